@@ -68,3 +68,176 @@ oracle("distinct_messages_newest", """SELECT position, message, seen_at FROM (
   WHERE rn = 1) WHERE position <= 5""")
 oracle("error_rate_corr", """SELECT round(avg(error_count), 8) AS error_rate,
   round(corr(db_lock_time, CAST(error_count AS DOUBLE)), 8) AS corr_lock_error FROM logs""")
+
+
+# ---- 2.7 causal ------------------------------------------------------------
+import itertools  # noqa: E402
+
+from kestrel.fixed import CAUSAL_EDGES, METRICS  # noqa: E402
+
+CLEAN = """clean AS (SELECT service, event_id, db_lock_time, pool_wait_ms, latency_ms,
+  CAST(error_count AS DOUBLE) AS error_count FROM logs
+  WHERE db_lock_time IS NOT NULL AND pool_wait_ms IS NOT NULL AND latency_ms IS NOT NULL AND error_count IS NOT NULL)"""
+
+
+def _s(a, b):
+    i, j = METRICS.index(a), METRICS.index(b)
+    return f"S__{a}__{b}" if i <= j else f"S__{b}__{a}"
+
+
+def _gram_select(cols, src="clean", by="service", extra_by=""):
+    parts = [f"{by}", f"{extra_by}" if extra_by else None, "count(*) AS n"]
+    parts += [f"avg({c}) AS mean__{c}" for c in cols]
+    for a, b in itertools.combinations_with_replacement(cols, 2):
+        parts.append(f"covar_pop({a}, {b}) * count(*) AS S__{a}__{b}")
+    keys = ", ".join(x for x in [by, extra_by] if x)
+    return f"SELECT {', '.join(p for p in parts if p)} FROM {src} GROUP BY {keys}"
+
+
+def _pval(t):
+    x = f"abs({t})"
+    tt = f"(1.0 / (1.0 + 0.2316419 * {x}))"
+    poly = (f"{tt} * (0.319381530 + {tt} * (-0.356563782 + {tt} * (1.781477937 + {tt} * "
+            f"(-1.821255978 + {tt} * 1.330274429))))")
+    return f"(2.0 * exp(-{x} * {x} / 2.0) / 2.5066282746310002 * {poly})"
+
+
+oracle("corr_matrix", f"WITH {CLEAN} SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 8) AS corr FROM clean"
+    for a, b in itertools.combinations(METRICS, 2)) + ")")
+
+oracle("gram", f"WITH {CLEAN}, g AS ({_gram_select(METRICS)}) SELECT service, n, " + ", ".join(
+    [f"round(mean__{c}, 4) AS mean__{c}" for c in METRICS]
+    + [f"round(S__{a}__{b}, 4) AS S__{a}__{b}" for a, b in itertools.combinations_with_replacement(METRICS, 2)])
+    + " FROM g")
+
+_T, _W, _Y = "pool_wait_ms", "db_lock_time", "error_count"
+
+
+def _ate_sql(t, w, y, src, by_sim=False):
+    cols = [t, w, y]
+    key = "sim, service" if by_sim else "service"
+    grp = "GROUP BY sim" if by_sim else ""
+    sel_sim = "sim, " if by_sim else ""
+    sums = ", ".join(f"sum(S__{a}__{b}) AS S__{a}__{b}" for a, b in itertools.combinations_with_replacement(cols, 2))
+    gparts = ", ".join(f"covar_pop({a}, {b}) * count(*) AS S__{a}__{b}"
+                       for a, b in itertools.combinations_with_replacement(cols, 2))
+    st, sw, stw = f"S__{t}__{t}", f"S__{w}__{w}", f"S__{t}__{w}"
+    sty, swy, syy = f"S__{t}__{y}", f"S__{w}__{y}", f"S__{y}__{y}"
+    return f"""g AS (SELECT {key}, count(*) AS n, {gparts} FROM {src} GROUP BY {key}),
+p AS (SELECT {sel_sim}CAST(sum(n) AS BIGINT) AS n, count(*) AS groups, {sums} FROM g {grp}),
+b AS (SELECT *, ({sty} * {sw} - {swy} * {stw}) / ({st} * {sw} - {stw} * {stw}) AS beta,
+             ({swy} * {st} - {sty} * {stw}) / ({st} * {sw} - {stw} * {stw}) AS gamma,
+             ({st} * {sw} - {stw} * {stw}) AS det FROM p),
+s AS (SELECT *, sqrt((({syy} - beta * {sty} - gamma * {swy}) / (n - groups - 2)) * {sw} / det) AS se FROM b)"""
+
+
+oracle("ate_linear", f"""WITH {CLEAN}, {_ate_sql(_T, _W, _Y, 'clean')}
+SELECT 'pool_wait_ms' AS treatment, 'error_count' AS outcome, n, groups,
+  CASE WHEN n >= 5 THEN round(beta, 10) END AS ate, CASE WHEN n >= 5 THEN round(se, 10) END AS std_error,
+  CASE WHEN n >= 5 THEN round(beta / se, 6) END AS t_value,
+  CASE WHEN n >= 5 THEN round({_pval('beta / se')}, 6) END AS p_value FROM s""")
+
+oracle("ate_hetero", f"""WITH {CLEAN},
+g AS (SELECT service, count(*) AS n, covar_pop(pool_wait_ms, pool_wait_ms) * count(*) AS stt,
+        covar_pop(pool_wait_ms, db_lock_time) * count(*) AS stw, covar_pop(pool_wait_ms, error_count) * count(*) AS sty,
+        covar_pop(db_lock_time, db_lock_time) * count(*) AS sww, covar_pop(db_lock_time, error_count) * count(*) AS swy
+      FROM clean GROUP BY service),
+q AS (SELECT *, stt > 0 AS ok, CASE WHEN stt > 0 THEN swy - stw * sty / stt END AS num,
+        CASE WHEN stt > 0 THEN sww - stw * stw / stt END AS den FROM g),
+gm AS (SELECT sum(num) / sum(den) AS gamma, sum(CASE WHEN ok THEN n END) AS n_ok,
+        count(*) FILTER (WHERE NOT ok) AS excluded_groups FROM q)
+SELECT 'pool_wait_ms' AS treatment, 'error_count' AS outcome,
+  round(sum(q.n * (q.sty - gm.gamma * q.stw) / q.stt) / max(gm.n_ok), 10) AS ate,
+  round(max(gm.gamma), 10) AS confounder_slope, max(gm.excluded_groups) AS excluded_groups
+FROM q, gm WHERE q.ok""")
+
+_PLACEBO_SRC = """ps AS (SELECT c.service, c.db_lock_time, c.error_count, s.sim,
+   CAST((((c.event_id % 1000003) * 7919 + s.sim * 104729) % 1000003) AS DOUBLE) / CAST(1000003 AS DOUBLE) AS placebo
+   FROM clean c, (SELECT CAST(unnest(generate_series(1, 20)) AS INTEGER) AS sim) s)"""
+
+oracle("placebo_refute", f"""WITH {CLEAN}, {_PLACEBO_SRC}, {_ate_sql('placebo', _W, _Y, 'ps', by_sim=True)}
+SELECT sim, round(beta, 10) AS placebo_effect, round(beta / se, 6) AS placebo_t FROM s""")
+
+
+def _ate_cte_named(prefix_sql, name):
+    return prefix_sql.replace("g AS (", f"{name}g AS (").replace("FROM g ", f"FROM {name}g ").replace(
+        "p AS (", f"{name}p AS (").replace("FROM p)", f"FROM {name}p)").replace(
+        "b AS (", f"{name}b AS (").replace("FROM b)", f"FROM {name}b)").replace("s AS (", f"{name}s AS (")
+
+
+oracle("placebo_summary", f"""WITH {CLEAN}, {_PLACEBO_SRC},
+{_ate_cte_named(_ate_sql('placebo', _W, _Y, 'ps', by_sim=True), 'pl_')},
+{_ate_cte_named(_ate_sql(_T, _W, _Y, 'clean'), 're_')},
+pl AS (SELECT sim, round(beta, 10) AS placebo_effect, round(beta / se, 6) AS placebo_t FROM pl_s),
+re AS (SELECT round(beta, 10) AS real_ate, round(beta / se, 6) AS real_t FROM re_s)
+SELECT max(real_ate) AS real_ate, round(avg(placebo_effect), 10) AS mean_placebo_effect, count(*) AS simulations,
+  round(avg(CASE WHEN abs(placebo_t) >= abs(real_t) THEN 1.0 ELSE 0.0 END), 6) AS placebo_share_beyond
+FROM pl, re""")
+
+
+def _pcorr_sql(r, x, y, cond):
+    if not cond:
+        return r[frozenset((x, y))]
+    z, rest = cond[-1], cond[:-1]
+    rxy, rxz, ryz = _pcorr_sql(r, x, y, rest), _pcorr_sql(r, x, z, rest), _pcorr_sql(r, y, z, rest)
+    return f"(({rxy}) - ({rxz}) * ({ryz})) / sqrt((1 - ({rxz}) * ({rxz})) * (1 - ({ryz}) * ({ryz})))"
+
+
+def _pc_tests_sql():
+    pairs = list(itertools.combinations(METRICS, 2))
+    r = {frozenset(p): f"r{i}" for i, p in enumerate(pairs)}
+    corr = ", ".join(f"corr({a}, {b}) AS r{i}" for i, (a, b) in enumerate(pairs))
+    sels = []
+    for x, y in pairs:
+        others = [c for c in METRICS if c not in (x, y)]
+        for k in range(3):
+            for cond in itertools.combinations(others, k):
+                pr = _pcorr_sql(r, x, y, cond)
+                z = f"(sqrt(n - {k + 3}) * atanh({pr}))"
+                sels.append(f"SELECT service, n, '{x}' AS x, '{y}' AS y, '{','.join(cond)}' AS cond, {k} AS \"order\", "
+                            f"round({pr}, 6) AS partial_r, round({z}, 4) AS z, abs({z}) < 1.96 AS independent FROM w")
+    return (f"{CLEAN}, w AS (SELECT coalesce(service, 'ALL') AS service, count(*) AS n, {corr} "
+            f"FROM clean GROUP BY ROLLUP (service)), tests AS (" + " UNION ALL ".join(sels) + ")")
+
+
+oracle("pc_tests", f"WITH {_pc_tests_sql()} SELECT * FROM tests")
+_SKEL = """skel AS (SELECT service, x, y, NOT bool_or(independent) AS adjacent, round(min(abs(z)), 4) AS min_abs_z,
+   arg_min(cond, (abs(z), "order", cond)) AS weakest_cond FROM tests GROUP BY service, x, y)"""
+oracle("pc_skeleton", f"WITH {_pc_tests_sql()}, {_SKEL} SELECT * FROM skel")
+
+_truth = sorted({tuple(sorted((a, b), key=METRICS.index)) for a, b in CAUSAL_EDGES if a in METRICS and b in METRICS})
+_TRUTH = "truth AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _truth) + ") t(x, y))"
+
+
+def _metrics_sql(found, method):
+    return f"""SELECT '{method}' AS method, tp, fp, fn, fp + fn AS shd, round(tp / (tp + fn), 6) AS recall,
+  round(fp / (6 - tp - fn), 6) AS false_positive_rate FROM (
+  SELECT count(*) FILTER (WHERE f.x IS NOT NULL AND t.x IS NOT NULL) AS tp,
+         count(*) FILTER (WHERE f.x IS NOT NULL AND t.x IS NULL) AS fp,
+         count(*) FILTER (WHERE f.x IS NULL AND t.x IS NOT NULL) AS fn
+  FROM ({found}) f FULL OUTER JOIN truth t ON f.x = t.x AND f.y = t.y)"""
+
+
+oracle("graph_metrics", f"""WITH {_pc_tests_sql()}, {_SKEL}, {_TRUTH}
+{_metrics_sql("SELECT x, y FROM skel WHERE service = 'ALL' AND adjacent", 'pc')}
+UNION ALL
+{_metrics_sql("SELECT x, y FROM tests WHERE service = 'ALL' AND \"order\" = 0 AND NOT independent", 'pearson')}""")
+
+
+def _effect_scan_sql():
+    sels = []
+    for t, y in itertools.permutations(METRICS, 2):
+        naive = f"{_s(t, y)} / {_s(t, t)}"
+        if "db_lock_time" in (t, y):
+            adj = naive
+        else:
+            w = "db_lock_time"
+            adj = (f"({_s(t, y)} * {_s(w, w)} - {_s(w, y)} * {_s(t, w)}) / "
+                   f"({_s(t, t)} * {_s(w, w)} - {_s(t, w)} * {_s(t, w)})")
+        sels.append(f"SELECT service, n, '{t}' AS treatment, '{y}' AS outcome, round({naive}, 8) AS naive_slope, "
+                    f"round({adj}, 8) AS adjusted_slope FROM g")
+    return f"WITH {CLEAN}, g AS ({_gram_select(METRICS)}) " + " UNION ALL ".join(sels)
+
+
+oracle("effect_scan", _effect_scan_sql())

@@ -129,3 +129,69 @@ def q_distinct_messages_newest(spark, sf):
 @query("error_rate_corr")
 def q_error_rate_corr(spark, sf):
     return agg.error_rate_corr(T.load_logs(spark, sf))
+
+
+# ---- 2.7 causal and statistical -----------------------------------------
+from kestrel.fixed import METRICS  # noqa: E402
+from kestrel.operators import causal  # noqa: E402
+
+
+def _clean_logs(spark, sf):
+    return clean.drop_incomplete(T.load_logs(spark, sf))
+
+
+@query("corr_matrix")
+def q_corr_matrix(spark, sf):
+    return causal.corr_matrix(_clean_logs(spark, sf))
+
+
+@query("gram")
+def q_gram(spark, sf):
+    g = causal.gram(_clean_logs(spark, sf), METRICS, ["service"])
+    return g.select("service", "n", *[F.round(c, 4).alias(c) for c in g.columns if c not in ("service", "n")])
+
+
+@query("ate_linear")
+def q_ate_linear(spark, sf):
+    return causal.ate_linear(_clean_logs(spark, sf))
+
+
+@query("ate_hetero")
+def q_ate_hetero(spark, sf):
+    return causal.ate_hetero(_clean_logs(spark, sf))
+
+
+@query("placebo_refute")
+def q_placebo(spark, sf):
+    return causal.placebo_refute(_clean_logs(spark, sf), simulations=20)
+
+
+@query("placebo_summary")
+def q_placebo_summary(spark, sf):
+    logs = _clean_logs(spark, sf)
+    return causal.placebo_summary(causal.placebo_refute(logs, simulations=20), causal.ate_linear(logs))
+
+
+@query("pc_tests")
+def q_pc_tests(spark, sf):
+    return causal.pc_tests(_clean_logs(spark, sf))
+
+
+@query("pc_skeleton")
+def q_pc_skeleton(spark, sf):
+    return causal.pc_skeleton(causal.pc_tests(_clean_logs(spark, sf)))
+
+
+@query("graph_metrics")
+def q_graph_metrics(spark, sf):
+    tests = causal.pc_tests(_clean_logs(spark, sf)).where(F.col("service") == "ALL")
+    truth = causal.true_skeleton(spark)
+    pc = causal.pc_skeleton(tests).where("adjacent").select("x", "y")
+    pearson = tests.where((F.col("order") == 0) & ~F.col("independent")).select("x", "y")
+    return causal.graph_metrics(pc, truth, method="pc").unionByName(
+        causal.graph_metrics(pearson, truth, method="pearson"))
+
+
+@query("effect_scan")
+def q_effect_scan(spark, sf):
+    return causal.effect_scan(_clean_logs(spark, sf))
