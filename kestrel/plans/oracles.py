@@ -241,3 +241,91 @@ def _effect_scan_sql():
 
 
 oracle("effect_scan", _effect_scan_sql())
+
+
+# ---- 2.5 time series ---------------------------------------------------------
+_BURST60 = """burst AS (SELECT event_id, "timestamp", service, cnt AS errors_in_window, cnt > 3 AS anomaly FROM (
+  SELECT event_id, "timestamp", service, count(*) OVER (PARTITION BY service ORDER BY epoch_us("timestamp")
+         RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS cnt FROM logs WHERE error_count >= 1))"""
+oracle("error_burst", f"WITH {_BURST60} SELECT * FROM burst")
+oracle("error_burst_global", """SELECT event_id, "timestamp", service, cnt AS errors_in_window, cnt > 3 AS anomaly FROM (
+  SELECT event_id, "timestamp", service, count(*) OVER (ORDER BY epoch_us("timestamp")
+         RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW) AS cnt FROM logs WHERE error_count >= 1)""")
+oracle("burst_sliding", """SELECT ws AS window_start, ws + INTERVAL 5 MINUTE AS window_end, count(*) AS errors FROM (
+  SELECT time_bucket(INTERVAL 1 MINUTE, "timestamp") - i * INTERVAL 1 MINUTE AS ws
+  FROM logs, range(0, 5) r(i) WHERE error_count >= 1) GROUP BY ws HAVING count(*) > 3""")
+
+
+def _cooldown_sql(seconds):
+    return f"""WITH RECURSIVE {_BURST60}, cand AS (SELECT service, event_id, "timestamp" FROM burst WHERE anomaly),
+fire(service, fired_at, event_id) AS (
+  SELECT service, "timestamp", event_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY service ORDER BY "timestamp", event_id) AS rn FROM cand) WHERE rn = 1
+  UNION ALL
+  SELECT f.service, n."timestamp", n.event_id FROM fire f, LATERAL (
+    SELECT c."timestamp", c.event_id FROM cand c
+    WHERE c.service = f.service AND c."timestamp" >= f.fired_at + INTERVAL {seconds} SECOND
+    ORDER BY c."timestamp", c.event_id LIMIT 1) n)
+SELECT service, fired_at, event_id FROM fire"""
+
+
+oracle("cooldown", _cooldown_sql(30))
+oracle("cooldown_30m", _cooldown_sql(1800))
+
+
+def _fit_sql(key, src_key):
+    return f"""st AS (SELECT {src_key} AS {key}, min(epoch_us("timestamp")) AS t0, max(epoch_us("timestamp")) AS t_last,
+        avg(epoch_us("timestamp")) AS t_mean, count(*) AS n FROM logs WHERE latency_ms IS NOT NULL
+        GROUP BY 1 HAVING count(*) >= 5),
+zz AS (SELECT st.{key}, (CAST(epoch_us(l."timestamp") AS DOUBLE) - st.t_mean) / CAST(86400000000 AS DOUBLE) AS z,
+        l.latency_ms AS y FROM logs l JOIN st ON st.{key} = {src_key.replace('service', 'l.service')}
+        WHERE l.latency_ms IS NOT NULL),
+sm AS (SELECT {key}, sum(z) AS s1, sum(z * z) AS s2, sum(z * z * z) AS s3, sum(z * z * z * z) AS s4,
+        sum(y) AS sy, sum(z * y) AS szy, sum(z * z * y) AS szzy FROM zz GROUP BY {key}),
+dt AS (SELECT sm.*, st.n, st.t0, st.t_last, st.t_mean, CAST(st.n AS DOUBLE) AS nd FROM sm JOIN st USING ({key})),
+cf AS (SELECT *, nd * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS det FROM dt),
+ab AS (SELECT *, (sy * (s2 * s4 - s3 * s3) - s1 * (szy * s4 - s3 * szzy) + s2 * (szy * s3 - s2 * szzy)) / det AS a0,
+        (nd * (szy * s4 - szzy * s3) - sy * (s1 * s4 - s3 * s2) + s2 * (s1 * szzy - szy * s2)) / det AS a1,
+        (nd * (s2 * szzy - s3 * szy) - s1 * (s1 * szzy - s2 * szy) + sy * (s1 * s3 - s2 * s2)) / det AS a2,
+        (t_mean - t0) / CAST(86400000000 AS DOUBLE) AS c FROM cf)"""
+
+
+def _fit_public_sql(key):
+    return f"""SELECT {key}, n, make_timestamp(t0) AS first_ts, make_timestamp(t_last) AS last_ts,
+  round(a0 - a1 * c + a2 * c * c, 6) AS coef0, round(a1 - 2 * a2 * c, 6) AS coef1_per_day,
+  round(a2, 6) AS coef2_per_day2 FROM ab"""
+
+
+oracle("forecast_fit", f"WITH {_fit_sql('service', 'service')} {_fit_public_sql('service')}")
+oracle("forecast_global", f"WITH {_fit_sql('series', chr(39) + 'ALL' + chr(39))} {_fit_public_sql('series')}")
+_HORIZON = """hz AS (SELECT service, step, make_timestamp(t0 + CAST(floor(x_s) AS BIGINT) * 1000000) AS ts,
+   a0 + a1 * zf + a2 * zf * zf AS predicted FROM (
+   SELECT *, (CAST(t0 AS DOUBLE) / 1000000 + x_s - t_mean / 1000000) / CAST(86400 AS DOUBLE) AS zf FROM (
+     SELECT ab.*, s.step, CAST(t_last - t0 AS DOUBLE) / 1000000 + s.step * 60 AS x_s
+     FROM ab, (SELECT CAST(unnest(generate_series(1, 30)) AS INTEGER) AS step) s)))"""
+oracle("forecast_horizon", f"WITH {_fit_sql('service', 'service')}, {_HORIZON} "
+       "SELECT service, step, ts, round(predicted, 4) AS predicted FROM hz")
+oracle("slo_breach", f"""WITH {_fit_sql('service', 'service')}, {_HORIZON}
+SELECT service, round(max(predicted), 2) AS max_predicted_latency, max(predicted) > 1000 AS will_breach_slo,
+  CASE WHEN arg_max(predicted, step) > arg_min(predicted, step) * 1.1 THEN 'Accelerating' ELSE 'Stable' END AS trend
+FROM hz GROUP BY service""")
+oracle("forecast_linear", """WITH f AS (SELECT service, min(epoch_us("timestamp")) AS t0 FROM logs WHERE latency_ms IS NOT NULL GROUP BY service)
+SELECT l.service, count(*) AS n,
+  round(regr_slope(l.latency_ms, (epoch_us(l."timestamp") - f.t0) / CAST(86400000000 AS DOUBLE)), 6) AS slope_per_day,
+  round(regr_intercept(l.latency_ms, (epoch_us(l."timestamp") - f.t0) / CAST(86400000000 AS DOUBLE)), 6) AS intercept
+FROM logs l JOIN f USING (service) WHERE l.latency_ms IS NOT NULL GROUP BY l.service HAVING count(*) >= 5""")
+oracle("lag_panel", """WITH per AS (SELECT service, CAST(floor(epoch_us("timestamp") / 3600000000) AS BIGINT) AS bucket,
+   avg(cpu_percent) AS cpu, avg(latency_ms) AS latency, sum(error_count) AS errors FROM logs GROUP BY 1, 2),
+ups AS (SELECT DISTINCT from_service AS upstream FROM edges WHERE to_service = 'payment-db'),
+span AS (SELECT min(CAST(floor(epoch_us("timestamp") / 3600000000) AS BIGINT)) AS lo,
+                max(CAST(floor(epoch_us("timestamp") / 3600000000) AS BIGINT)) AS hi FROM logs),
+spine AS (SELECT upstream, unnest(generate_series(lo, hi)) AS bucket FROM ups, span)
+SELECT s.upstream, make_timestamp(s.bucket * 3600000000) AS bucket_start, round(p.cpu, 6) AS cpu_lag1,
+  round(p.latency, 6) AS latency_lag1, CAST(coalesce(t.errors, 0) AS BIGINT) AS target_errors
+FROM spine s LEFT JOIN per p ON p.service = s.upstream AND p.bucket + 1 = s.bucket
+LEFT JOIN (SELECT bucket, errors FROM per WHERE service = 'payment-db') t ON t.bucket = s.bucket""")
+oracle("status_timeline", """WITH w AS (SELECT time_bucket(INTERVAL 10 SECOND, "timestamp") AS window_start, count(*) AS processed,
+   sum(error_count) AS errors FROM logs GROUP BY 1)
+SELECT window_start, processed, CAST(errors AS BIGINT) AS errors,
+  CAST(sum(processed) OVER (ORDER BY window_start) AS BIGINT) AS processed_total,
+  CAST(sum(errors) OVER (ORDER BY window_start) AS BIGINT) AS errors_total FROM w""")

@@ -195,3 +195,84 @@ def q_graph_metrics(spark, sf):
 @query("effect_scan")
 def q_effect_scan(spark, sf):
     return causal.effect_scan(_clean_logs(spark, sf))
+
+
+# ---- 2.5 windows and time series ----------------------------------------
+from kestrel.operators import timeseries as ts  # noqa: E402
+
+BURST_FIXTURE_MINUTES = 60  # 5 minutes never fires per service below sf0.1 (SURVEY T3)
+
+
+@query("error_burst")
+def q_error_burst(spark, sf):
+    return ts.error_burst(T.load_logs(spark, sf), minutes=BURST_FIXTURE_MINUTES)
+
+
+@query("error_burst_global")
+def q_error_burst_global(spark, sf):
+    return ts.error_burst(T.load_logs(spark, sf), minutes=5, per_service=False)
+
+
+@query("burst_sliding")
+def q_burst_sliding(spark, sf):
+    return ts.burst_sliding(T.load_logs(spark, sf))
+
+
+def _burst_candidates(spark, sf):
+    return q_error_burst(spark, sf).where("anomaly")
+
+
+@query("cooldown")
+def q_cooldown(spark, sf):
+    return ts.cooldown(_burst_candidates(spark, sf), seconds=30)
+
+
+@query("cooldown_30m")
+def q_cooldown_30m(spark, sf):
+    return ts.cooldown(_burst_candidates(spark, sf), seconds=1800)
+
+
+def _fit_public(fit, keys):
+    return fit.select(*keys, "n", "first_ts", "last_ts", F.round("coef0", 6).alias("coef0"),
+                      F.round("coef1_per_day", 6).alias("coef1_per_day"),
+                      F.round("coef2_per_day2", 6).alias("coef2_per_day2"))
+
+
+@query("forecast_fit")
+def q_forecast_fit(spark, sf):
+    return _fit_public(ts.forecast_fit(T.load_logs(spark, sf), ["service"]), ["service"])
+
+
+@query("forecast_global")
+def q_forecast_global(spark, sf):
+    return _fit_public(ts.forecast_fit(T.load_logs(spark, sf)), ["series"])
+
+
+@query("forecast_horizon")
+def q_forecast_horizon(spark, sf):
+    h = ts.forecast_horizon(ts.forecast_fit(T.load_logs(spark, sf), ["service"]), ["service"])
+    return h.select("service", "step", "ts", F.round("predicted", 4).alias("predicted"))
+
+
+@query("slo_breach")
+def q_slo_breach(spark, sf):
+    h = ts.forecast_horizon(ts.forecast_fit(T.load_logs(spark, sf), ["service"]), ["service"])
+    return ts.slo_breach(h, ["service"])
+
+
+@query("forecast_linear")
+def q_forecast_linear(spark, sf):
+    f = ts.forecast_linear(T.load_logs(spark, sf), ["service"])
+    return f.select("service", "n", F.round("slope_per_day", 6).alias("slope_per_day"),
+                    F.round("intercept", 6).alias("intercept"))
+
+
+@query("lag_panel")
+def q_lag_panel(spark, sf):
+    logs = T.load_logs(spark, sf)
+    return ts.lag_panel(logs, T.edges_from_logs(logs), "payment-db")
+
+
+@query("status_timeline")
+def q_status_timeline(spark, sf):
+    return ts.status_timeline(T.load_logs(spark, sf))
