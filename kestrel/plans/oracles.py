@@ -329,3 +329,41 @@ oracle("status_timeline", """WITH w AS (SELECT time_bucket(INTERVAL 10 SECOND, "
 SELECT window_start, processed, CAST(errors AS BIGINT) AS errors,
   CAST(sum(processed) OVER (ORDER BY window_start) AS BIGINT) AS processed_total,
   CAST(sum(errors) OVER (ORDER BY window_start) AS BIGINT) AS errors_total FROM w""")
+
+
+# ---- 2.6 graph ---------------------------------------------------------------
+_E = "from_service, to_service, ts, latency_ms, cpu_percent, memory_percent, seq"
+oracle("edge_append", f"SELECT {_E} FROM edges")
+oracle("topology_edges", """SELECT from_service, to_service, count(*) AS observations, max(ts) AS last_ts
+  FROM edges GROUP BY 1, 2""")
+oracle("topology_nodes", """WITH e AS (SELECT DISTINCT from_service, to_service FROM edges),
+  o AS (SELECT from_service AS service, count(*) AS out_degree FROM e GROUP BY 1),
+  i AS (SELECT to_service AS service, count(*) AS in_degree FROM e GROUP BY 1)
+SELECT coalesce(o.service, i.service) AS service, coalesce(out_degree, 0) AS out_degree,
+  coalesce(in_degree, 0) AS in_degree FROM o FULL OUTER JOIN i ON o.service = i.service""")
+oracle("node_state", """SELECT from_service AS service, arg_max(cpu_percent, seq) AS current_cpu,
+  arg_max(memory_percent, seq) AS current_memory, arg_max(ts, seq) AS last_updated
+  FROM edges WHERE cpu_percent IS NOT NULL GROUP BY 1""")
+_NB = f"""nb AS (SELECT from_service AS upstream, ts, latency_ms, cpu_percent AS cpu_from, memory_percent AS mem_from, seq
+  FROM edges WHERE to_service = 'payment-db' AND ts >= {NOW} - INTERVAL 86400 SECOND)"""
+oracle("causal_neighbors", f"WITH {_NB} SELECT * FROM nb")
+oracle("neighbor_summary", f"""WITH {_NB} SELECT upstream, count(*) AS observations,
+  round(avg(latency_ms), 6) AS avg_latency, max(ts) AS last_ts FROM nb GROUP BY 1""")
+oracle("prune_edges", f"SELECT {_E} FROM edges WHERE ts > {NOW} - INTERVAL 604800 SECOND")
+oracle("ttl_view", f"""SELECT from_service, to_service, count(*) AS observations, max(ts) AS last_ts
+  FROM edges GROUP BY 1, 2 HAVING max(ts) >= {NOW} - INTERVAL 3600 SECOND""")
+oracle("edge_last100", f"""SELECT * FROM (SELECT {_E}, row_number() OVER (PARTITION BY from_service, to_service
+  ORDER BY seq DESC) AS recency FROM edges) WHERE recency <= 100""")
+oracle("global_last5000", f"SELECT {_E} FROM edges ORDER BY seq DESC LIMIT 5000")
+oracle("k_hop", """WITH e AS (SELECT DISTINCT from_service AS nbr, to_service AS node FROM edges),
+  h1 AS (SELECT DISTINCT nbr AS service, 1 AS hop FROM e WHERE node = 'payment-db'),
+  h2 AS (SELECT DISTINCT e.nbr AS service, 2 AS hop FROM h1 JOIN e ON e.node = h1.service)
+SELECT service, min(hop) AS hop FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2)
+WHERE service <> 'payment-db' GROUP BY 1""")
+oracle("reachability", """WITH RECURSIVE e AS (SELECT DISTINCT from_service AS a, to_service AS b FROM edges),
+  r(a, b, hops) AS (SELECT a, b, 1 FROM e
+    UNION SELECT r.a, e.b, r.hops + 1 FROM r JOIN e ON r.b = e.a WHERE r.hops < 64)
+SELECT a AS ancestor, b AS descendant, min(hops) AS hops FROM r GROUP BY 1, 2""")
+oracle("edge_obs_match", """SELECT a.seq AS log_seq, min(b.seq) AS matched_seq, count(*) AS candidates
+  FROM edges a JOIN edges b ON a.from_service = b.from_service AND a.to_service = b.to_service
+   AND abs(epoch_us(a.ts) - epoch_us(b.ts)) < 1000 GROUP BY 1""")

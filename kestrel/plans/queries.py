@@ -276,3 +276,86 @@ def q_lag_panel(spark, sf):
 @query("status_timeline")
 def q_status_timeline(spark, sf):
     return ts.status_timeline(T.load_logs(spark, sf))
+
+
+# ---- 2.6 temporal service graph -------------------------------------------
+from kestrel.operators import graph  # noqa: E402
+from kestrel.session import scratch_path  # noqa: E402
+
+GRAPH_WINDOW_S = 86400.0        # neighbour window for the fixture (1 day)
+PRUNE_AGE_S = 7 * 86400.0       # keep one week in the prune fixture
+TTL_S = 3600.0
+
+
+def _edges(spark, sf):
+    return T.load_edges(spark, sf)
+
+
+@query("edge_append")
+def q_edge_append(spark, sf):
+    e = _edges(spark, sf)
+    path = scratch_path(spark, "edges")
+    cut = T.ts_ntz("2024-01-15 00:00:00")
+    graph.edge_append(spark, path, e.where(F.col("ts") < cut))
+    return graph.edge_append(spark, path, e.where(F.col("ts") >= cut))
+
+
+@query("topology_edges")
+def q_topology_edges(spark, sf):
+    return graph.topology_edges(_edges(spark, sf))
+
+
+@query("topology_nodes")
+def q_topology_nodes(spark, sf):
+    return graph.topology_nodes(_edges(spark, sf))
+
+
+@query("node_state")
+def q_node_state(spark, sf):
+    return graph.node_state(_edges(spark, sf))
+
+
+@query("causal_neighbors")
+def q_causal_neighbors(spark, sf):
+    return graph.causal_neighbors(_edges(spark, sf), "payment-db", NOW(), GRAPH_WINDOW_S)
+
+
+@query("neighbor_summary")
+def q_neighbor_summary(spark, sf):
+    return graph.neighbor_summary(graph.causal_neighbors(_edges(spark, sf), "payment-db", NOW(), GRAPH_WINDOW_S))
+
+
+@query("prune_edges")
+def q_prune_edges(spark, sf):
+    return graph.prune_edges(_edges(spark, sf), NOW(), PRUNE_AGE_S)
+
+
+@query("ttl_view")
+def q_ttl_view(spark, sf):
+    return graph.ttl_view(_edges(spark, sf), NOW(), TTL_S)
+
+
+@query("edge_last100")
+def q_edge_last100(spark, sf):
+    return graph.edge_last_n(_edges(spark, sf), 100)
+
+
+@query("global_last5000")
+def q_global_last5000(spark, sf):
+    return graph.global_last_n(_edges(spark, sf), 5000)
+
+
+@query("k_hop")
+def q_k_hop(spark, sf):
+    return graph.k_hop(_edges(spark, sf), "payment-db", 2)
+
+
+@query("reachability")
+def q_reachability(spark, sf):
+    return graph.reachability(_edges(spark, sf))
+
+
+@query("edge_obs_match")
+def q_edge_obs_match(spark, sf):
+    e = _edges(spark, sf)
+    return graph.edge_obs_match(e, e)
