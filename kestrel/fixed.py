@@ -50,3 +50,14 @@ PRUNE_SECONDS = 7200
 NEIGHBOR_WINDOW_SECONDS = 300.0
 MATCH_TOLERANCE_SECONDS = 0.001
 WARN_LATENCY_MS = 100.0
+
+# Causal-chain texts by service family (first match wins).
+CHAIN_DB = "db_contention -> pool_wait -> latency (ATE: {ate})"
+CHAIN_CACHE = "cache_miss/overload -> latency -> errors"
+CHAIN_GATEWAY = "ingress_load -> upstream_timeout -> errors"
+CHAIN_OTHER = "{service} -> internal_latency -> errors"
+
+# Defaults when a diagnosis is missing or unparsable.
+DEFAULT_ACTION = "page_human"
+DEFAULT_TARGET = "unknown"
+DEFAULT_REASON = "Anomalous behavior detected"

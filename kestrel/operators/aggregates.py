@@ -17,7 +17,7 @@ def system_status(logs: DataFrame, actions: DataFrame | None = None) -> DataFram
     status = status.withColumn("processed", F.col("total_logs"))
     if actions is None:
         return status.withColumn("remediations", F.lit(0).cast("bigint"))
-    return status.crossJoin(actions.agg(F.count(F.lit(1)).alias("remediations")))
+    return status.withColumn("remediations", actions.select(F.count(F.lit(1))).scalar())
 
 
 def service_rank(errors: DataFrame) -> DataFrame:

@@ -51,19 +51,19 @@ oracle("latest_error", f"""SELECT {LOG_COLS} FROM logs WHERE error_count >= 1
   ORDER BY "timestamp" DESC, event_id DESC LIMIT 1""")
 
 # ---- 2.3 ------------------------------------------------------------------
-oracle("service_rank", """SELECT service, errors, row_number() OVER (ORDER BY errors DESC, service) AS rank
+oracle("service_rank", """SELECT service, errors, CAST(row_number() OVER (ORDER BY errors DESC, service) AS INTEGER) AS rank
   FROM (SELECT service, count(*) AS errors FROM logs WHERE error_count >= 1 GROUP BY service)""")
 oracle("incident_stats", """SELECT coalesce(service, 'ALL') AS service, round(avg(latency_ms), 6) AS avg_latency,
   count(*) AS error_total, count(*) / CAST(100 AS DOUBLE) AS error_rate_norm
   FROM logs WHERE error_count >= 1 GROUP BY ROLLUP (service)""")
 oracle("distinct_messages", """SELECT service, position, message, seen_at FROM (
   SELECT service, message, "timestamp" AS seen_at,
-         row_number() OVER (PARTITION BY service ORDER BY "timestamp", event_id, message) AS position
+         CAST(row_number() OVER (PARTITION BY service ORDER BY "timestamp", event_id, message) AS INTEGER) AS position
   FROM (SELECT *, row_number() OVER (PARTITION BY service, message ORDER BY "timestamp", event_id) AS rn FROM logs)
   WHERE rn = 1) WHERE position <= 3""")
 oracle("distinct_messages_newest", """SELECT position, message, seen_at FROM (
   SELECT message, "timestamp" AS seen_at,
-         row_number() OVER (ORDER BY "timestamp" DESC, event_id DESC, message) AS position
+         CAST(row_number() OVER (ORDER BY "timestamp" DESC, event_id DESC, message) AS INTEGER) AS position
   FROM (SELECT *, row_number() OVER (PARTITION BY message ORDER BY "timestamp" DESC, event_id DESC) AS rn FROM logs)
   WHERE rn = 1) WHERE position <= 5""")
 oracle("error_rate_corr", """SELECT round(avg(error_count), 8) AS error_rate,
@@ -352,8 +352,8 @@ oracle("neighbor_summary", f"""WITH {_NB} SELECT upstream, count(*) AS observati
 oracle("prune_edges", f"SELECT {_E} FROM edges WHERE ts > {NOW} - INTERVAL 604800 SECOND")
 oracle("ttl_view", f"""SELECT from_service, to_service, count(*) AS observations, max(ts) AS last_ts
   FROM edges GROUP BY 1, 2 HAVING max(ts) >= {NOW} - INTERVAL 3600 SECOND""")
-oracle("edge_last100", f"""SELECT * FROM (SELECT {_E}, row_number() OVER (PARTITION BY from_service, to_service
-  ORDER BY seq DESC) AS recency FROM edges) WHERE recency <= 100""")
+oracle("edge_last100", f"""SELECT * FROM (SELECT {_E}, CAST(row_number() OVER (PARTITION BY from_service, to_service
+  ORDER BY seq DESC) AS INTEGER) AS recency FROM edges) WHERE recency <= 100""")
 oracle("global_last5000", f"SELECT {_E} FROM edges ORDER BY seq DESC LIMIT 5000")
 oracle("k_hop", """WITH e AS (SELECT DISTINCT from_service AS nbr, to_service AS node FROM edges),
   h1 AS (SELECT DISTINCT nbr AS service, 1 AS hop FROM e WHERE node = 'payment-db'),
@@ -367,3 +367,171 @@ SELECT a AS ancestor, b AS descendant, min(hops) AS hops FROM r GROUP BY 1, 2"""
 oracle("edge_obs_match", """SELECT a.seq AS log_seq, min(b.seq) AS matched_seq, count(*) AS candidates
   FROM edges a JOIN edges b ON a.from_service = b.from_service AND a.to_service = b.to_service
    AND abs(epoch_us(a.ts) - epoch_us(b.ts)) < 1000 GROUP BY 1""")
+
+
+# ---- 2.4 similarity / context / scenarios ----------------------------------
+def _cos(a, b):
+    return (f"list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / "
+            f"(sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[]))) * "
+            f"sqrt(list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[]))))")
+
+
+def _knn_sql(q_cte, n):
+    return f"""WITH {q_cte},
+p AS (SELECT q.query_id, e.vec_id, round({_cos('e.embedding', 'q.query_vec')}, 6) AS similarity
+      FROM embeddings e JOIN q ON e.label = q.query_filter WHERE e.vec_id <> q.query_id)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank
+  FROM p) WHERE rank <= {n}"""
+
+
+oracle("knn_filtered", _knn_sql("q AS (SELECT vec_id AS query_id, embedding AS query_vec, label AS query_filter "
+                                "FROM embeddings ORDER BY vec_id DESC LIMIT 1)", 5))
+oracle("knn_batch", _knn_sql("q AS (SELECT max(vec_id) AS query_id, arg_max(embedding, vec_id) AS query_vec, "
+                             "label AS query_filter FROM embeddings GROUP BY label)", 3))
+
+_RECENT = f"""recent AS (SELECT * FROM logs WHERE error_count >= 1 AND "timestamp" > {NOW} - INTERVAL 1440 MINUTE)"""
+_CONTEXT = f"""{CLEAN}, {_ate_cte_named(_ate_sql(_T, _W, _Y, 'clean'), 're_')},
+ate AS (SELECT beta AS ate FROM re_s), {_RECENT},
+lat AS (SELECT service, "timestamp" AS latest_ts, latency_ms AS latest_latency, db_lock_time AS latest_lock,
+          pool_wait_ms AS latest_pool, message AS latest_message FROM (
+          SELECT *, row_number() OVER (PARTITION BY service ORDER BY "timestamp" DESC, event_id DESC) AS rn FROM recent)
+        WHERE rn = 1),
+st AS (SELECT service, round(avg(latency_ms), 6) AS avg_latency, count(*) AS error_total FROM recent GROUP BY 1),
+dm AS (SELECT service, message, row_number() OVER (PARTITION BY service ORDER BY "timestamp" DESC, event_id DESC, message) AS pos
+       FROM (SELECT *, row_number() OVER (PARTITION BY service, message ORDER BY "timestamp" DESC, event_id DESC) AS rn
+             FROM recent) WHERE rn = 1),
+msgs AS (SELECT service, string_agg(message, ' | ' ORDER BY pos) AS recent_messages FROM dm WHERE pos <= 5 GROUP BY 1),
+past AS (SELECT service, string_agg(message || ' @ ' || strftime("timestamp", '%Y-%m-%d %H:%M:%S'), ' | ' ORDER BY p) AS "similar",
+           string_agg('- ' || message || ' @ ' || strftime("timestamp", '%Y-%m-%d %H:%M:%S'), chr(10) ORDER BY p) AS similar_lines
+         FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY "timestamp" DESC, event_id DESC) AS p
+               FROM logs WHERE error_count >= 1 AND "timestamp" <= {NOW} - INTERVAL 1440 MINUTE) WHERE p <= 3 GROUP BY 1),
+tgt AS (SELECT service AS target FROM recent ORDER BY "timestamp" DESC, event_id DESC LIMIT 1),
+ctx AS (SELECT lat.service, lat.service = (SELECT target FROM tgt) AS is_target, latest_ts, latest_latency, latest_lock,
+          latest_pool, latest_message, avg_latency, error_total, error_total / CAST(100 AS DOUBLE) AS error_rate_norm,
+          recent_messages,
+          CASE WHEN contains(lat.service, 'db') THEN 'db_contention -> pool_wait -> latency (ATE: ' || printf('%.2f', (SELECT ate FROM ate)) || ')'
+               WHEN contains(lat.service, 'cache') THEN 'cache_miss/overload -> latency -> errors'
+               WHEN contains(lat.service, 'gateway') THEN 'ingress_load -> upstream_timeout -> errors'
+               ELSE lat.service || ' -> internal_latency -> errors' END AS causal_chain,
+          coalesce("similar", '') AS "similar", coalesce(similar_lines, '') AS similar_lines
+        FROM lat JOIN st USING (service) LEFT JOIN msgs USING (service) LEFT JOIN past USING (service))"""
+oracle("incident_context", f"""WITH {_CONTEXT} SELECT service, is_target, latest_ts, latest_latency, latest_lock,
+  latest_pool, latest_message, avg_latency, error_total, error_rate_norm, recent_messages, causal_chain, "similar" FROM ctx""")
+oracle("prompt_render", f"""WITH {_CONTEXT} SELECT service, printf('Incident on %s
+Latency: %.0f ms
+Error rate: %.2f%%
+Causal chain: %s
+Recent logs:
+%s
+Similar incidents:
+%s
+Answer with a JSON diagnosis.', service, avg_latency, error_rate_norm * 100, causal_chain, recent_messages, similar_lines) AS prompt
+FROM ctx""")
+
+
+def _rules_values():
+    from kestrel.operators.similarity import FIXTURE_RULES
+
+    def lit(v):
+        if v is None:
+            return "CAST(NULL AS DOUBLE)"
+        if isinstance(v, float):
+            return f"CAST({v!r} AS DOUBLE)"
+        if isinstance(v, int):
+            return str(v)
+        return "'" + v + "'"
+    rows = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in FIXTURE_RULES)
+    return (f"r AS (SELECT * FROM (VALUES {rows}) t(rule_id, service, min_latency, lock_below, min_lock, "
+            "min_pool, diagnosis, expected_action, priority))")
+
+
+_MATCH = f"""{_rules_values()},
+m AS (SELECT l.event_id, l.service, r.rule_id, r.diagnosis, r.expected_action, r.priority FROM logs l JOIN r
+      ON l.service = r.service AND (r.min_latency IS NULL OR l.latency_ms >= r.min_latency)
+     AND (r.lock_below IS NULL OR l.db_lock_time < r.lock_below) AND (r.min_lock IS NULL OR l.db_lock_time >= r.min_lock)
+     AND (r.min_pool IS NULL OR l.pool_wait_ms >= r.min_pool)),
+best AS (SELECT event_id, service, arg_min(rule_id, priority) AS rule_id, arg_min(diagnosis, priority) AS diagnosis,
+           arg_min(expected_action, priority) AS expected_action FROM m GROUP BY 1, 2)"""
+oracle("scenario_match", f"WITH {_MATCH} SELECT * FROM best")
+
+# ---- 2.8 rules / JSON ---------------------------------------------------------
+_DMIX = """dmix AS (SELECT d.event_id, d."timestamp", d.service,
+  CASE WHEN d.event_id % 17 <> 0 AND d.event_id % 2 = 1 THEN
+    '{"SRE_DIAGNOSIS": "' || l.message || '", "CONFIDENCE": 0.' || lpad(CAST(l.k AS VARCHAR), 2, '0') ||
+    ', "CLI_MITIGATION": "' || CASE l.k % 6 WHEN 0 THEN 'increase_pool' WHEN 1 THEN 'restart_service' WHEN 2 THEN 'scale_up'
+       WHEN 3 THEN 'investigate_db' WHEN 4 THEN 'page_human' ELSE 'reboot_host' END ||
+    '", "CAUSAL_BRIDGE": ' || CASE WHEN l.k % 2 = 0 THEN '["lock contention", "pool wait"]' ELSE '"lock contention -> pool wait"' END ||
+    ', "SERVICE": "' || l.service || '"}'
+  ELSE d.raw END AS raw FROM diagnoses d JOIN logs l USING (event_id))"""
+
+
+def _parse_sql(src):
+    return f"""pj AS (SELECT event_id, "timestamp", service, CASE WHEN json_valid(raw) THEN raw END AS j FROM {src}),
+pk AS (SELECT *, coalesce(json_type(j) = 'OBJECT', false) AS ok,
+         json_extract_string(j, '$.SRE_DIAGNOSIS') IS NOT NULL OR TRY_CAST(json_extract_string(j, '$.CONFIDENCE') AS DOUBLE) IS NOT NULL AS is_b
+       FROM pj),
+parsed AS (SELECT event_id, "timestamp", service,
+  CASE WHEN NOT ok THEN 'none' WHEN is_b THEN 'B' ELSE 'A' END AS schema,
+  CASE WHEN NOT ok THEN 'unparsed diagnosis' WHEN is_b THEN json_extract_string(j, '$.SRE_DIAGNOSIS')
+       ELSE json_extract_string(j, '$.root_cause') END AS root_cause,
+  CASE WHEN NOT ok THEN CAST(0 AS DOUBLE) WHEN is_b THEN TRY_CAST(json_extract_string(j, '$.CONFIDENCE') AS DOUBLE)
+       ELSE TRY_CAST(json_extract_string(j, '$.confidence_score') AS DOUBLE) END AS confidence_score,
+  CASE WHEN is_b THEN json_extract_string(j, '$.SERVICE') ELSE json_extract_string(j, '$.affected_service') END AS affected_service,
+  CASE WHEN NOT ok THEN 'page_human' WHEN is_b THEN json_extract_string(j, '$.CLI_MITIGATION')
+       ELSE json_extract_string(j, '$.recommended_action') END AS recommended_action,
+  CASE WHEN is_b THEN (CASE WHEN json_type(j, '$.CAUSAL_BRIDGE') = 'ARRAY'
+         THEN array_to_string(CAST(json_extract(j, '$.CAUSAL_BRIDGE') AS VARCHAR[]), chr(10) || '- ')
+         ELSE json_extract_string(j, '$.CAUSAL_BRIDGE') END)
+       ELSE json_extract_string(j, '$.reasoning') END AS reasoning
+FROM pk)"""
+
+
+_GATE = """gated AS (SELECT event_id, "timestamp", 'remediate' AS type, coalesce(recommended_action, 'page_human') AS action,
+  coalesce(affected_service, 'unknown') AS target, coalesce(root_cause, 'Anomalous behavior detected') AS reason,
+  confidence_score FROM parsed WHERE confidence_score > 0.8)"""
+
+oracle("diagnosis_parse", f"WITH {_DMIX}, {_parse_sql('dmix')} SELECT * FROM parsed")
+oracle("action_gate", f"WITH {_parse_sql('diagnoses')}, {_GATE} SELECT * FROM gated")
+oracle("action_validate", f"""WITH {_parse_sql('diagnoses')}, v AS (SELECT *,
+  recommended_action IN ('increase_pool', 'restart_service', 'scale_up', 'investigate_db', 'page_human') AS action_allowed,
+  confidence_score BETWEEN 0.0 AND 1.0 AS confidence_in_range FROM parsed)
+SELECT count(*) AS diagnoses, count(*) FILTER (WHERE NOT action_allowed) AS bad_action,
+  count(*) FILTER (WHERE NOT coalesce(confidence_in_range, false)) AS bad_confidence,
+  count(*) FILTER (WHERE action_allowed AND confidence_in_range) AS valid FROM v""")
+oracle("system_status", f"""WITH {_parse_sql('diagnoses')}, {_GATE}
+SELECT count(*) AS total_logs, count(*) FILTER (WHERE error_count > 0) AS error_logs, count(*) AS processed,
+  (SELECT count(*) FROM gated) AS remediations FROM logs""")
+oracle("top_k_history", f"""WITH {_parse_sql('diagnoses')}, {_GATE}
+SELECT * FROM gated ORDER BY "timestamp" DESC, event_id DESC LIMIT 20""")
+oracle("top_k_history_per_target", f"""WITH {_parse_sql('diagnoses')}, {_GATE}
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY target ORDER BY "timestamp" DESC, event_id DESC) AS INTEGER)
+  AS position FROM gated) WHERE position <= 20""")
+oracle("scenario_eval", f"""WITH {_MATCH}, {_parse_sql('diagnoses')}
+SELECT rule_id, count(*) AS incidents, count(p.recommended_action) AS diagnosed,
+  count(*) FILTER (WHERE p.recommended_action = b.expected_action) AS passed,
+  round(count(*) FILTER (WHERE p.recommended_action = b.expected_action) / count(p.recommended_action), 6) AS pass_rate
+FROM best b LEFT JOIN parsed p USING (event_id) GROUP BY 1""")
+
+_AUDIT = """au AS (SELECT *, len(forb) = 0 AND NOT force AS is_safe FROM (
+  SELECT event_id, service, command, cmd,
+    list_filter(['delete', 'remove', 'drop', 'restart', 'reboot'], lambda v: contains(cmd, v)) AS forb,
+    starts_with(cmd, 'kubectl') OR starts_with(cmd, 'terraform') AS iac, contains(cmd, '--force') AS force,
+    len(list_filter(['scale', 'edit', 'set', 'annotate', 'label', 'rollout'], lambda v: contains(cmd, v))) > 0 AS safe_verb
+  FROM (SELECT *, lower(command) AS cmd FROM commands))),
+aud AS (SELECT event_id, service, command, is_safe,
+  CAST(greatest(100 - 100 * len(forb) - CASE WHEN NOT iac THEN 20 ELSE 0 END - CASE WHEN force THEN 50 ELSE 0 END
+       - CASE WHEN NOT safe_verb AND is_safe THEN 30 ELSE 0 END, 0) AS INTEGER) AS security_score,
+  list_concat(list_concat(list_concat(list_transform(forb, lambda v: 'forbidden_verb:' || v),
+     CASE WHEN NOT iac THEN ['not_iac_tool'] ELSE CAST([] AS VARCHAR[]) END),
+     CASE WHEN force THEN ['force_flag'] ELSE CAST([] AS VARCHAR[]) END),
+     CASE WHEN NOT safe_verb AND is_safe THEN ['no_safe_verb'] ELSE CAST([] AS VARCHAR[]) END) AS issues,
+  CASE WHEN is_safe THEN 'would_apply' ELSE 'halted' END AS outcome FROM au)"""
+oracle("guardrail_audit", f"""WITH {_AUDIT} SELECT event_id, service, command, is_safe, security_score,
+  array_to_string(issues, ';') AS issues, outcome FROM aud""")
+oracle("guardrail_summary", f"""WITH {_AUDIT} SELECT service, issue, count(*) AS commands FROM (
+  SELECT service, unnest(issues) AS issue FROM aud) GROUP BY 1, 2""")
+oracle("causal_chain", f"""WITH {CLEAN}, {_ate_cte_named(_ate_sql(_T, _W, _Y, 'clean'), 're_')}
+SELECT service, CASE WHEN contains(service, 'db') THEN 'db_contention -> pool_wait -> latency (ATE: ' || printf('%.2f', (SELECT beta FROM re_s)) || ')'
+  WHEN contains(service, 'cache') THEN 'cache_miss/overload -> latency -> errors'
+  WHEN contains(service, 'gateway') THEN 'ingress_load -> upstream_timeout -> errors'
+  ELSE service || ' -> internal_latency -> errors' END AS causal_chain FROM (SELECT DISTINCT service FROM logs)""")

@@ -359,3 +359,113 @@ def q_reachability(spark, sf):
 def q_edge_obs_match(spark, sf):
     e = _edges(spark, sf)
     return graph.edge_obs_match(e, e)
+
+
+# ---- 2.4 similarity, context, scenarios; 2.8 rules ------------------------
+from kestrel.operators import rules  # noqa: E402
+from kestrel.operators import similarity as sim  # noqa: E402
+
+
+@query("knn_filtered")
+def q_knn_filtered(spark, sf):
+    corpus = T.load_embeddings(spark, sf)
+    return sim.knn(corpus, sim.latest_overall(corpus), n=5)
+
+
+@query("knn_batch")
+def q_knn_batch(spark, sf):
+    corpus = T.load_embeddings(spark, sf)
+    return sim.knn(corpus, sim.latest_per_label(corpus), n=3)
+
+
+@query("knn_lsh")
+def q_knn_lsh(spark, sf):
+    corpus = T.load_embeddings(spark, sf)
+    return sim.knn_lsh(corpus, sim.latest_per_label(corpus), n=3)
+
+
+@query("text_embed")
+def q_text_embed(spark, sf):
+    return sim.text_embed(T.read_table(spark, sf, "documents"))
+
+
+def _context(spark, sf):
+    logs = T.load_logs(spark, sf)
+    return sim.incident_context(logs, NOW(), RECENT_MINUTES, causal.ate_linear(clean.drop_incomplete(logs)))
+
+
+@query("incident_context")
+def q_incident_context(spark, sf):
+    return _context(spark, sf).withColumn("similar", F.array_join("similar", " | "))
+
+
+@query("scenario_match")
+def q_scenario_match(spark, sf):
+    return sim.scenario_match(T.load_logs(spark, sf), sim.rules_frame(spark))
+
+
+def _parsed(spark, sf, mixed=False):
+    logs = T.load_logs(spark, sf)
+    d = T.diagnoses_mixed(logs) if mixed else T.diagnoses_from_logs(logs)
+    return rules.diagnosis_parse(d)
+
+
+@query("scenario_eval")
+def q_scenario_eval(spark, sf):
+    logs = T.load_logs(spark, sf)
+    return sim.scenario_eval(sim.scenario_match(logs, sim.rules_frame(spark)),
+                             rules.diagnosis_parse(T.diagnoses_from_logs(logs)))
+
+
+@query("guardrail_audit")
+def q_guardrail_audit(spark, sf):
+    a = rules.guardrail_audit(T.load_commands(spark, sf))
+    return a.withColumn("issues", F.array_join("issues", ";"))
+
+
+@query("guardrail_summary")
+def q_guardrail_summary(spark, sf):
+    return rules.guardrail_summary(rules.guardrail_audit(T.load_commands(spark, sf)))
+
+
+@query("causal_chain")
+def q_causal_chain(spark, sf):
+    logs = T.load_logs(spark, sf)
+    ate = causal.ate_linear(clean.drop_incomplete(logs)).select("ate").scalar()
+    return logs.select("service").distinct().select(
+        "service", rules.causal_chain(F.col("service"), ate).alias("causal_chain"))
+
+
+@query("diagnosis_parse")
+def q_diagnosis_parse(spark, sf):
+    return _parsed(spark, sf, mixed=True)
+
+
+@query("action_gate")
+def q_action_gate(spark, sf):
+    return rules.action_gate(_parsed(spark, sf))
+
+
+@query("action_validate")
+def q_action_validate(spark, sf):
+    return rules.validation_summary(rules.action_validate(_parsed(spark, sf)))
+
+
+@query("prompt_render")
+def q_prompt_render(spark, sf):
+    return rules.prompt_render(_context(spark, sf))
+
+
+@query("system_status")
+def q_system_status(spark, sf):
+    return agg.system_status(T.load_logs(spark, sf), rules.action_gate(_parsed(spark, sf)))
+
+
+@query("top_k_history")
+def q_top_k_history(spark, sf):
+    return agg.top_k_history(rules.action_gate(_parsed(spark, sf)), 20)
+
+
+@query("top_k_history_per_target")
+def q_top_k_history_per_target(spark, sf):
+    return agg.top_k_history(rules.action_gate(_parsed(spark, sf)), 20, per="target")

@@ -167,3 +167,22 @@ def load_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def allowed_actions() -> list[str]:
     return list(ALLOWED_ACTIONS)
+
+
+def diagnoses_mixed(logs: DataFrame) -> DataFrame:
+    """Stored diagnoses in both output schemas: odd event ids in schema B
+    (bridge as a list when k is even), the rest as ``diagnoses_from_logs``."""
+    action = _pick(F.col("k") % 6, DIAGNOSIS_ACTIONS)
+    conf = F.concat(F.lit("0."), F.lpad(F.col("k").cast("string"), 2, "0"))
+    bridge = F.when(F.col("k") % 2 == 0, F.lit('["lock contention", "pool wait"]')) \
+              .otherwise(F.lit('"lock contention -> pool wait"'))
+    raw_b = F.concat(
+        F.lit('{"SRE_DIAGNOSIS": "'), F.col("message"), F.lit('", "CONFIDENCE": '), conf,
+        F.lit(', "CLI_MITIGATION": "'), action, F.lit('", "CAUSAL_BRIDGE": '), bridge,
+        F.lit(', "SERVICE": "'), F.col("service"), F.lit('"}'))
+    a = diagnoses_from_logs(logs)
+    b = (logs.where(F.col("error_count") == 1)
+         .select("event_id", F.when((F.col("event_id") % 17 != 0) & (F.col("event_id") % 2 == 1), raw_b)
+                 .alias("raw_b")))
+    return (a.join(b, "event_id")
+            .select("event_id", "timestamp", "service", F.coalesce("raw_b", "raw").alias("raw")))
