@@ -535,3 +535,36 @@ SELECT service, CASE WHEN contains(service, 'db') THEN 'db_contention -> pool_wa
   WHEN contains(service, 'cache') THEN 'cache_miss/overload -> latency -> errors'
   WHEN contains(service, 'gateway') THEN 'ingress_load -> upstream_timeout -> errors'
   ELSE service || ' -> internal_latency -> errors' END AS causal_chain FROM (SELECT DISTINCT service FROM logs)""")
+
+
+# ---- 2.1 sources / sinks -------------------------------------------------------
+_STORE = ('event_id, "timestamp", service, level, message, latency_ms, db_lock_time, pool_wait_ms, error_count')
+oracle("src_logs_csv", f"SELECT {_STORE} FROM logs")
+oracle("sink_logs_csv", """SELECT service, level, count(*) AS "rows", round(sum(latency_ms), 4) AS latency_sum
+  FROM logs GROUP BY 1, 2""")
+oracle("src_submissions", """SELECT event_id AS request_id, "timestamp", service,
+  CASE WHEN event_id % 7 = 0 THEN 'INFO' ELSE level END AS level, latency_ms, message
+  FROM logs WHERE event_id % 13 <> 0 AND event_id % 29 <> 0""")
+oracle("submissions_quarantine", """SELECT reason, count(*) AS "rows" FROM (
+  SELECT CASE WHEN event_id % 13 = 0 THEN 'malformed' ELSE 'bad_timestamp' END AS reason
+  FROM logs WHERE event_id % 13 = 0 OR event_id % 29 = 0) GROUP BY 1""")
+_STORE_ROWS = f"""store AS (SELECT * FROM (
+  SELECT strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') || '_' || service AS id, {_STORE},
+         row_number() OVER (PARTITION BY strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') || '_' || service
+                            ORDER BY event_id) AS rn
+  FROM logs) WHERE rn = 1)"""
+oracle("log_store_append", f"""WITH {_STORE_ROWS} SELECT id, {_STORE} FROM store""")
+oracle("log_store_scan", f"""WITH {_STORE_ROWS} SELECT id, service, "timestamp", level, latency_ms, error_count
+  FROM store WHERE error_count >= 1""")
+oracle("log_store_retention", f"""WITH {_STORE_ROWS} SELECT id, {_STORE} FROM store
+  WHERE "timestamp" > {NOW} - INTERVAL 7 DAY""")
+_FB = f"""{_parse_sql('diagnoses')},
+fb AS (SELECT f."timestamp", f.rating, f.event_id, p.root_cause, p.confidence_score, p.affected_service,
+         p.recommended_action FROM feedback f JOIN parsed p USING (event_id)),
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY "timestamp" DESC, rating DESC) AS rn
+           FROM fb) WHERE rn = 1)"""
+oracle("feedback_append", f"WITH {_FB} SELECT \"timestamp\", rating, event_id, root_cause, confidence_score, "
+       "affected_service, recommended_action FROM fb")
+oracle("feedback_gold", f"""WITH {_FB} SELECT event_id, "timestamp", root_cause, confidence_score, affected_service,
+  recommended_action FROM latest WHERE rating = 'positive'""")
+oracle("feedback_counts", f"WITH {_FB} SELECT rating, count(*) AS analyses FROM latest GROUP BY 1")

@@ -469,3 +469,132 @@ def q_top_k_history(spark, sf):
 @query("top_k_history_per_target")
 def q_top_k_history_per_target(spark, sf):
     return agg.top_k_history(rules.action_gate(_parsed(spark, sf)), 20, per="target")
+
+
+# ---- 2.1 sources and sinks; 2.9 generators --------------------------------
+from kestrel.operators import synth  # noqa: E402
+from kestrel.sources import files  # noqa: E402
+
+STORE_COLS = ["event_id", "timestamp", "service", "level", "message", "latency_ms", "db_lock_time",
+              "pool_wait_ms", "error_count"]
+
+
+def _written_csv(spark, sf):
+    path = scratch_path(spark, "logs_csv")
+    files.write_logs_csv(T.load_logs(spark, sf).select(*STORE_COLS), path)
+    return files.read_logs_csv(spark, path)
+
+
+@query("src_logs_csv")
+def q_src_logs_csv(spark, sf):
+    return _written_csv(spark, sf)
+
+
+@query("sink_logs_csv")
+def q_sink_logs_csv(spark, sf):
+    back = _written_csv(spark, sf)
+    return back.groupBy("service", "level").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.sum("latency_ms"), 4).alias("latency_sum"))
+
+
+def submissions_text(logs):
+    """Log submissions as JSON lines: level omitted on every 7th, a bad
+    timestamp on every 29th, and every 13th line cut short (malformed)."""
+    body = F.to_json(F.struct(
+        F.col("event_id").alias("request_id"),
+        F.when(F.col("event_id") % 29 == 0, F.lit("yesterday"))
+         .otherwise(files.iso_text(F.col("timestamp"))).alias("timestamp"),
+        "service",
+        F.when(F.col("event_id") % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("level")).alias("level"),
+        F.col("latency_ms").alias("latency"), "message"))
+    return logs.select(F.when(F.col("event_id") % 13 == 0, F.substring(body, 1, 20)).otherwise(body).alias("value"))
+
+
+def _submissions(spark, sf):
+    path = scratch_path(spark, "submissions")
+    submissions_text(T.load_logs(spark, sf)).write.text(path)
+    return files.split_submissions(files.read_submissions(spark, path))
+
+
+@query("src_submissions")
+def q_src_submissions(spark, sf):
+    return _submissions(spark, sf)[0]
+
+
+@query("submissions_quarantine")
+def q_submissions_quarantine(spark, sf):
+    return _submissions(spark, sf)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _store(spark, sf):
+    logs = T.load_logs(spark, sf).select(*STORE_COLS)
+    path = scratch_path(spark, "log_store")
+    files.log_store_append(spark, path, logs.where(F.col("timestamp") < T.ts_ntz("2024-01-20 00:00:00")), False)
+    files.log_store_append(spark, path, logs.where(F.col("timestamp") >= T.ts_ntz("2024-01-15 00:00:00")), True)
+    return path
+
+
+@query("log_store_append")
+def q_log_store_append(spark, sf):
+    return files.log_store_scan(spark, _store(spark, sf))
+
+
+@query("log_store_scan")
+def q_log_store_scan(spark, sf):
+    return files.log_store_scan(spark, _store(spark, sf),
+                                ["id", "service", "timestamp", "level", "latency_ms", "error_count"],
+                                F.col("error_count") >= 1)
+
+
+@query("log_store_retention")
+def q_log_store_retention(spark, sf):
+    path = _store(spark, sf)
+    keep_after = NOW() - F.expr("INTERVAL 7 DAYS")
+    return files.log_store_retention(spark, path, scratch_path(spark, "log_store_kept"), keep_after) \
+                .select(*files.LOG_STORE_COLUMNS)
+
+
+def _feedback_written(spark, sf):
+    logs = T.load_logs(spark, sf)
+    d = T.diagnoses_from_logs(logs)
+    parsed = rules.diagnosis_parse(d).select("event_id", *files.ANALYSIS_FIELDS)
+    fb = T.feedback_from_diagnoses(d, logs).join(parsed, "event_id")
+    path = scratch_path(spark, "feedback")
+    files.feedback_append(fb.where(F.col("rating") == "positive"), path)
+    files.feedback_append(fb.where(F.col("rating") == "negative"), path)
+    return files.read_feedback(spark, path)
+
+
+@query("feedback_append")
+def q_feedback_append(spark, sf):
+    return _feedback_written(spark, sf).select(
+        "timestamp", "rating", "event_id", *[F.col(f"analysis.{f}").alias(f) for f in files.ANALYSIS_FIELDS])
+
+
+@query("feedback_gold")
+def q_feedback_gold(spark, sf):
+    return files.feedback_gold(_feedback_written(spark, sf))
+
+
+@query("feedback_counts")
+def q_feedback_counts(spark, sf):
+    return files.feedback_counts(_feedback_written(spark, sf))
+
+
+@query("synth_logs")
+def q_synth_logs(spark, sf):
+    return synth.synth_logs(T.read_table(spark, sf, "events").select("event_id"))
+
+
+@query("synth_scm")
+def q_synth_scm(spark, sf):
+    return synth.synth_scm(T.read_table(spark, sf, "events").select("event_id"))
+
+
+@query("scm_effect")
+def q_scm_effect(spark, sf):
+    """Recover the structural slopes from the generated model (G9 on K2)."""
+    scm = synth.synth_scm(T.read_table(spark, sf, "events").select("event_id"))
+    return causal.effect_scan(scm.withColumnRenamed("service_name", "service"),
+                              ["cpu_percent", "memory_percent", "latency_ms", "error_raw"],
+                              confounder="cpu_percent")
