@@ -568,3 +568,14 @@ oracle("feedback_append", f"WITH {_FB} SELECT \"timestamp\", rating, event_id, r
 oracle("feedback_gold", f"""WITH {_FB} SELECT event_id, "timestamp", root_cause, confidence_score, affected_service,
   recommended_action FROM latest WHERE rating = 'positive'""")
 oracle("feedback_counts", f"WITH {_FB} SELECT rating, count(*) AS analyses FROM latest GROUP BY 1")
+
+
+# ---- 2.9 streaming: batch twins ----------------------------------------------------
+ORACLES["stream_burst"] = ORACLES["burst_sliding"]
+ORACLES["stream_cooldown"] = ORACLES["cooldown"]
+ORACLES["stream_ingest"] = with_views("""SELECT event_id AS request_id, "timestamp", service,
+  CASE WHEN event_id % 7 = 0 THEN 'INFO' ELSE level END AS level, latency_ms, message,
+  CAST(CASE WHEN (CASE WHEN event_id % 7 = 0 THEN 'INFO' ELSE level END) = 'ERROR' THEN 1 ELSE 0 END AS INTEGER) AS error_count
+  FROM logs WHERE event_id % 13 <> 0 AND event_id % 29 <> 0""")
+ORACLES["stream_actions"] = ORACLES["action_gate"]
+ORACLES["stream_node_state"] = ORACLES["node_state"]

@@ -598,3 +598,80 @@ def q_scm_effect(spark, sf):
     return causal.effect_scan(scm.withColumnRenamed("service_name", "service"),
                               ["cpu_percent", "memory_percent", "latency_ms", "error_raw"],
                               confounder="cpu_percent")
+
+
+# ---- 2.9 streaming (each runs to completion with availableNow) ---------------
+from kestrel.streaming import pipeline as stream  # noqa: E402
+
+
+def _run_to_table(spark, df, name, mode="append"):
+    out, ck = scratch_path(spark, name), scratch_path(spark, name + "_ckpt")
+    q = stream.write_parquet(df, out, ck, mode)
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def _events_stream(spark, sf):
+    schema = T.read_table(spark, sf, "events").schema
+    return stream.read_table_stream(spark, sf, schema, glob="events.parquet")
+
+
+@query("stream_burst")
+def q_stream_burst(spark, sf):
+    logs = T.logs_from_events(_events_stream(spark, sf))
+    return _run_to_table(spark, stream.burst_stream(logs), "stream_burst")
+
+
+@query("stream_cooldown")
+def q_stream_cooldown(spark, sf):
+    cand_path = scratch_path(spark, "burst_candidates")
+    cands = q_error_burst(spark, sf).where("anomaly").select("service", "event_id", "timestamp")
+    # Arrival in event-time order: four appends, one per week, oldest first.
+    edges = [None, "2024-01-08 00:00:00", "2024-01-15 00:00:00", "2024-01-22 00:00:00", None]
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        part = cands
+        if lo:
+            part = part.where(F.col("timestamp") >= T.ts_ntz(lo))
+        if hi:
+            part = part.where(F.col("timestamp") < T.ts_ntz(hi))
+        part.coalesce(1).write.mode("append").parquet(cand_path)
+    cands = stream.read_table_stream(spark, cand_path, spark.read.parquet(cand_path).schema, files_per_trigger=1)
+    return _run_to_table(spark, stream.cooldown_stream(cands, seconds=30), "stream_cooldown")
+
+
+@query("stream_ingest")
+def q_stream_ingest(spark, sf):
+    src = scratch_path(spark, "submissions_stream")
+    submissions_text(T.load_logs(spark, sf)).write.text(src)
+    s = stream.dedupe(stream.ingest(stream.submissions_stream(spark, src)))
+    out = _run_to_table(spark, s, "stream_ingest")
+    return out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).drop("id")
+
+
+@query("stream_actions")
+def q_stream_actions(spark, sf):
+    src = scratch_path(spark, "diagnoses_stream")
+    T.diagnoses_from_logs(T.load_logs(spark, sf)).write.parquet(src)
+    d = stream.read_table_stream(spark, src, spark.read.parquet(src).schema)
+    out, ck = scratch_path(spark, "actions"), scratch_path(spark, "actions_ckpt")
+    stream.write_idempotent(stream.actions_stream(d), out, ck).awaitTermination()
+    return spark.read.parquet(out).drop("epoch")
+
+
+@query("stream_node_state")
+def q_stream_node_state(spark, sf):
+    src = scratch_path(spark, "edges_stream")
+    T.load_edges(spark, sf).write.parquet(src)
+    e = stream.read_table_stream(spark, src, spark.read.parquet(src).schema)
+    return _node_state_via_batches(spark, e)
+
+
+def _node_state_via_batches(spark, e):
+    out, ck = scratch_path(spark, "node_state"), scratch_path(spark, "node_state_ckpt")
+
+    def sink(batch, epoch_id):
+        batch.write.mode("overwrite").parquet(out)   # complete mode: each epoch is the whole state
+
+    (stream.node_state_stream(e).writeStream.outputMode("complete").foreachBatch(sink)
+     .option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(out)
