@@ -186,39 +186,35 @@ def pc_tests(df: DataFrame, cols: list[str] = METRICS, by: str = "service",
     One pass of ``corr`` aggregates per service (and overall, via rollup);
     partial correlations of order 0..max_order by the standard recursion,
     one projection per order so each expression stays small; Fisher z =
-    sqrt(n - |S| - 3) * atanh(r); independent when |z| < 1.96.
+    sqrt(n - |S| - 3) * atanh(r); independent when |z| < 1.96.  The
+    expressions are SQL strings, parsed once on the JVM side.
     """
     pairs = list(itertools.combinations(cols, 2))
     wide = (df.select(by, *[_num(c).alias(c) for c in cols]).na.drop(subset=cols)
             .rollup(by).agg(F.count(F.lit(1)).alias("n"),
                             *[F.corr(a, b).alias(_pc_name(a, b, ())) for a, b in pairs]))
     for k in range(1, max_order + 1):
-        new_cols = {}
+        exprs = ["*"]
         for x, y in pairs:
             others = [c for c in cols if c not in (x, y)]
             for cond in itertools.combinations(others, k):
                 z, rest = cond[-1], cond[:-1]
-                rxy = F.col(_pc_name(x, y, rest))
-                rxz = F.col(_pc_name(x, z, rest))
-                ryz = F.col(_pc_name(y, z, rest))
-                new_cols[_pc_name(x, y, cond)] = F.try_divide(
-                    rxy - rxz * ryz, F.sqrt((1 - rxz * rxz) * (1 - ryz * ryz)))
-        wide = wide.withColumns(new_cols)
+                rxy, rxz, ryz = _pc_name(x, y, rest), _pc_name(x, z, rest), _pc_name(y, z, rest)
+                exprs.append(f"try_divide({rxy} - {rxz} * {ryz}, "
+                             f"sqrt((1 - {rxz} * {rxz}) * (1 - {ryz} * {ryz}))) AS {_pc_name(x, y, cond)}")
+        wide = wide.selectExpr(*exprs)
     tests = []
     for x, y in pairs:
         others = [c for c in cols if c not in (x, y)]
         for k in range(0, max_order + 1):
             for cond in itertools.combinations(others, k):
-                pr = F.col(_pc_name(x, y, cond))
-                z = F.sqrt(F.col("n") - F.lit(k + 3)) * F.atanh(pr)
-                tests.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"),
-                                      F.lit(",".join(cond)).alias("cond"),
-                                      F.lit(k).alias("order"),
-                                      F.round(pr, 6).alias("partial_r"),
-                                      F.round(z, 4).alias("z"),
-                                      (F.abs(z) < Z_CRIT).alias("independent")))
-    return wide.select(F.coalesce(F.col(by), F.lit("ALL")).alias(by), "n",
-                       F.inline(F.array(*tests)))
+                pr = _pc_name(x, y, cond)
+                z = f"(sqrt(n - {k + 3}) * atanh({pr}))"
+                tests.append(f"named_struct('x', '{x}', 'y', '{y}', 'cond', '{','.join(cond)}', 'order', {k}, "
+                             f"'partial_r', round({pr}, 6), 'z', round({z}, 4), "
+                             f"'independent', abs({z}) < {Z_CRIT})")
+    return wide.selectExpr(f"coalesce({by}, 'ALL') AS {by}", "n",
+                           f"inline(array({', '.join(tests)}))")
 
 
 def pc_skeleton(tests: DataFrame, by: str = "service") -> DataFrame:

@@ -46,40 +46,36 @@ def _pick(index: Column, values: list[str]) -> Column:
     return expr
 
 
+def _case(expr: str, values: list[str]) -> str:
+    arms = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
+    return f"CASE {expr} {arms} END"
+
+
 def logs_from_events(events: DataFrame) -> DataFrame:
-    """The canonical ``logs`` table derived from ``events``."""
-    base = events.select(
-        "event_id",
-        F.col("ts").alias("timestamp"),
-        "user_id",
-        F.expr("try_cast(regexp_extract(props, '([0-9]+)', 1) AS INT)").alias("k"),
-        _pick(F.col("event_id") % 5, SERVICES).alias("service"),
-        F.when(F.col("ts") > ts_ntz(INCIDENT_START), F.col("value") / 25)
-         .otherwise(F.col("value") / 500).alias("db_lock_time"),
-    )
-    pool = base.withColumn(
-        "pool_wait_ms",
-        F.greatest(F.lit(0.0), 50 * F.col("db_lock_time") + (F.col("k") - 49.5) / 3.0))
-    lat = pool.withColumn(
-        "latency_ms", 20 + 2 * F.col("pool_wait_ms") + (F.col("user_id") % 20).cast("double"))
-    err = lat.withColumn(
-        "error_count",
-        F.when(((F.col("event_id") * 7919) % 1000).cast("double") / 1000.0
-               < 1.0 / (1.0 + F.exp(-(F.col("latency_ms") - 200.0) / 50.0)), 1)
-         .otherwise(0).cast("int"))
-    return err.select(
+    """The canonical ``logs`` table derived from ``events``.
+
+    Written as SQL expression strings: each projection is parsed once on
+    the JVM side instead of being assembled call by call from Python.
+    Fractional literals carry the D suffix so the arithmetic is double.
+    """
+    base = events.selectExpr(
+        "event_id", "ts AS timestamp", "user_id",
+        "try_cast(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k",
+        f"{_case('event_id % 5', SERVICES)} AS service",
+        f"CASE WHEN ts > TIMESTAMP_NTZ '{INCIDENT_START}' THEN value / 25 ELSE value / 500 END AS db_lock_time")
+    pool = base.selectExpr(
+        "*", "greatest(0.0D, 50 * db_lock_time + (k - 49.5D) / 3.0D) AS pool_wait_ms")
+    lat = pool.selectExpr("*", "20 + 2 * pool_wait_ms + CAST(user_id % 20 AS DOUBLE) AS latency_ms")
+    err = lat.selectExpr(
+        "*", "CAST(CASE WHEN CAST((event_id * 7919) % 1000 AS DOUBLE) / 1000.0D"
+             " < 1.0D / (1.0D + exp(-(latency_ms - 200.0D) / 50.0D)) THEN 1 ELSE 0 END AS INT) AS error_count")
+    return err.selectExpr(
         "event_id", "timestamp", "user_id", "service",
-        F.when(F.col("error_count") == 1, "ERROR")
-         .when(F.col("latency_ms") > 100.0, "WARN").otherwise("INFO").alias("level"),
-        F.when(F.col("error_count") == 1, F.lit("Request timeout"))
-         .otherwise(F.concat(F.lit("Request completed in "),
-                             F.floor("latency_ms").cast("bigint").cast("string"),
-                             F.lit("ms"))).alias("message"),
+        "CASE WHEN error_count = 1 THEN 'ERROR' WHEN latency_ms > 100.0D THEN 'WARN' ELSE 'INFO' END AS level",
+        "CASE WHEN error_count = 1 THEN 'Request timeout' ELSE "
+        "concat('Request completed in ', CAST(CAST(floor(latency_ms) AS BIGINT) AS STRING), 'ms') END AS message",
         "latency_ms", "db_lock_time", "pool_wait_ms", "error_count",
-        F.col("k").cast("double").alias("cpu_percent"),
-        (F.col("user_id") % 100).cast("double").alias("memory_percent"),
-        "k",
-    )
+        "CAST(k AS DOUBLE) AS cpu_percent", "CAST(user_id % 100 AS DOUBLE) AS memory_percent", "k")
 
 
 def load_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
