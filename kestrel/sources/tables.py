@@ -82,22 +82,34 @@ def load_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs_from_events(read_table(spark, sf_dir, "events"))
 
 
-def edges_from_logs(logs: DataFrame) -> DataFrame:
+def edges_from_logs(logs: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """Service-to-service observations: each log's predecessor for the same user.
 
-    ``lag`` over (user_id) ordered by (timestamp, event_id); rows without a
-    predecessor are dropped.  The window shuffles once on user_id.
+    Equal to ``lag(service) OVER (PARTITION BY user_id ORDER BY timestamp,
+    event_id)``, computed so that one user holding a large share of rows is
+    not sorted in a single task: the lag runs within (user, time bucket)
+    partitions, and the first row of a bucket takes the last service of the
+    user's previous non-empty bucket from a one-row-per-(user, bucket)
+    aggregate (whose window runs over buckets, not rows).  Rows without a
+    predecessor are dropped.
     """
-    w = Window.partitionBy("user_id").orderBy("timestamp", "event_id")
-    return (logs
-            .select(F.lag("service").over(w).alias("from_service"),
-                    F.col("service").alias("to_service"),
-                    F.col("timestamp").alias("ts"),
-                    "latency_ms",
-                    F.when(F.col("event_id") % 4 == 0, F.lit(None).cast("double"))
-                     .otherwise(F.col("cpu_percent")).alias("cpu_percent"),
-                    "memory_percent",
-                    F.col("event_id").alias("seq"))
+    b_us = bucket_seconds * 1_000_000
+    x = logs.withColumn("_b", F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / b_us))
+    w = Window.partitionBy("user_id", "_b").orderBy("timestamp", "event_id")
+    x = x.withColumn("_prev", F.lag("service").over(w))
+    last = x.groupBy("user_id", "_b").agg(
+        F.max_by("service", F.struct("timestamp", "event_id")).alias("_last"))
+    carry = last.select("user_id", "_b", F.lag("_last").over(
+        Window.partitionBy("user_id").orderBy("_b")).alias("_carry"))
+    x = x.join(carry, ["user_id", "_b"], "left")
+    return (x.select(F.coalesce("_prev", "_carry").alias("from_service"),
+                     F.col("service").alias("to_service"),
+                     F.col("timestamp").alias("ts"),
+                     "latency_ms",
+                     F.when(F.col("event_id") % 4 == 0, F.lit(None).cast("double"))
+                      .otherwise(F.col("cpu_percent")).alias("cpu_percent"),
+                     "memory_percent",
+                     F.col("event_id").alias("seq"))
             .where(F.col("from_service").isNotNull()))
 
 
