@@ -61,34 +61,119 @@ def burst_sliding(logs: DataFrame, minutes: int = BURST_WINDOW_MINUTES, slide_mi
                     "errors"))
 
 
-def cooldown(candidates: DataFrame, seconds: int = COOLDOWN_SECONDS, key: str = "service",
-             ts: str = "timestamp", order_id: str = "event_id") -> DataFrame:
-    """Greedy firings: the first candidate fires, then nothing until ``seconds`` passed.
+def _materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it
+    back with its known schema: one job, lineage cut, survives lost executors."""
+    from kestrel.session import scratch_path
+
+    path = scratch_path(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
-    A gap of at least ``seconds`` between consecutive candidates always
-    fires, so candidates are cut into gap sessions (lag + running sum) and
-    the greedy rule is folded over each session's sorted candidates.
+# Runs with at most this many candidates are folded in one task.
+FOLD_MAX_CANDIDATES = 100_000
+
+
+def cooldown(candidates: DataFrame, seconds: int = COOLDOWN_SECONDS, key: str = "service",
+             ts: str = "timestamp", order_id: str = "event_id",
+             fold_max: int = FOLD_MAX_CANDIDATES) -> DataFrame:
+    """Greedy firings: the first candidate fires, then the first candidate at
+    least ``seconds`` after the last firing, and so on (per key).
+
+    Exact, and no unbounded group is gathered into one task.  With blocks of
+    width ``seconds`` each block holds at most one firing, and a non-empty
+    block after an empty one always fires its first candidate; so each run
+    of consecutive non-empty blocks starts afresh.  Runs with at most
+    ``fold_max`` candidates are folded in time order (one bounded group
+    each).  Longer runs use pointer doubling: the firing after candidate c
+    is the first candidate of the next block at or after t_c + cooldown, or
+    else the first candidate of the first non-empty block two or more
+    blocks later; firings are the orbit of each run's first candidate under
+    that successor, found in log2(run length in blocks) rounds of joins
+    keyed by (key, node), each written to the shared checkpoint folder.
     """
-    c_us = seconds * US
-    w = Window.partitionBy(key).orderBy("_us", order_id)
-    s = (candidates.select(key, order_id, ts, epoch_micros(F.col(ts)).alias("_us"))
-         .withColumn("_gap", F.col("_us") - F.lag("_us").over(w))
-         .withColumn("_new", F.when(F.col("_gap").isNull() | (F.col("_gap") >= c_us), 1).otherwise(0))
-         .withColumn("_session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    sessions = s.groupBy(key, "_session").agg(
-        F.array_sort(F.collect_list(F.struct("_us", order_id, ts))).alias("cands"))
+    c_us = int(seconds) * US
+    cand = candidates.select(F.col(key).alias("_k"), F.col(order_id).alias("_n"), F.col(ts).alias("_ts"),
+                             epoch_micros(F.col(ts)).alias("_t"))
+    cand = _materialize(cand.withColumn("_blk", F.floor(F.col("_t") / c_us)))   # read by several consumers
+
+    blocks = cand.groupBy("_k", "_blk").agg(F.min_by("_n", F.struct("_t", "_n")).alias("_first"),
+                                            F.count(F.lit(1)).alias("_cnt"))
+    wb = Window.partitionBy("_k").orderBy("_blk")     # over blocks (time span / cooldown), not rows
+    runs = blocks.withColumn(
+        "_start", F.coalesce(F.col("_blk") - F.lag("_blk", 1).over(wb) > 1, F.lit(True)))
+    runs = runs.withColumn("_run", F.sum(F.col("_start").cast("int")).over(
+        wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = runs.withColumn("_run_cnt", F.sum("_cnt").over(Window.partitionBy("_k", "_run")))
+    runs = _materialize(runs)
+    tagged = cand.join(runs.select("_k", "_blk", "_run", "_run_cnt"), ["_k", "_blk"])
+
+    # Bounded runs: fold the sorted candidates of each run.
+    small = tagged.where(F.col("_run_cnt") <= fold_max)
+    grouped = small.groupBy("_k", "_run").agg(
+        F.array_sort(F.collect_list(F.struct("_t", "_n", "_ts"))).alias("cands"))
     init = F.struct(F.lit(None).cast("long").alias("last"),
-                    F.array().cast("array<struct<_us:bigint,%s:bigint,%s:timestamp_ntz>>"
-                                   % (order_id, ts)).alias("fired"))
+                    F.array().cast(grouped.schema["cands"].dataType).alias("fired"))
 
     def step(acc: Column, c: Column) -> Column:
-        fire = acc["last"].isNull() | (c["_us"] - acc["last"] >= c_us)
-        return F.when(fire, F.struct(c["_us"].alias("last"),
+        fire = acc["last"].isNull() | (c["_t"] - acc["last"] >= c_us)
+        return F.when(fire, F.struct(c["_t"].alias("last"),
                                      F.array_append(acc["fired"], c).alias("fired"))).otherwise(acc)
 
-    folded = sessions.select(key, F.aggregate("cands", init, step)["fired"].alias("fired"))
-    return folded.select(key, F.explode("fired").alias("f")).select(
-        key, F.col(f"f.{ts}").alias("fired_at"), F.col(f"f.{order_id}").alias(order_id))
+    folded = (grouped.select("_k", F.explode(F.aggregate("cands", init, step)["fired"]).alias("f"))
+              .select(F.col("_k").alias(key), F.col("f._ts").alias("fired_at"), F.col("f._n").alias(order_id)))
+
+    # One number to the driver: the longest run (in blocks) above the fold limit.
+    longest = (runs.where(F.col("_run_cnt") > fold_max).groupBy("_k", "_run").count()
+               .agg(F.max("count").alias("m")).collect()[0]["m"])
+    if not longest:
+        return folded
+    return folded.unionByName(_cooldown_doubling(cand, runs, tagged, c_us, int(longest), fold_max,
+                                                 key, order_id))
+
+
+def _cooldown_doubling(cand, runs, tagged, c_us, longest, fold_max, key, order_id):
+    """Firings of the long runs by pointer doubling (see ``cooldown``)."""
+    big = _materialize(tagged.where(F.col("_run_cnt") > fold_max).select("_k", "_n", "_ts", "_t", "_blk", "_run"))
+    # s1: first candidate of block b+1 at or after t + cooldown (probes sort
+    # after candidates in the descending scan, so equal times qualify).
+    probes = big.select("_k", (F.col("_blk") + 1).alias("_blk"), (F.col("_t") + c_us).alias("_t"),
+                        F.lit(0).alias("_kind"), F.col("_n").alias("_src"), F.lit(None).cast("long").alias("_c"))
+    items = big.select("_k", "_blk", "_t", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_src"),
+                       F.col("_n").alias("_c"))
+    w = (Window.partitionBy("_k", "_blk")
+         .orderBy(F.col("_t").desc(), F.col("_kind").desc(), F.col("_c").desc())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    nxt = (probes.unionByName(items).withColumn("_next", F.last("_c", ignorenulls=True).over(w))
+           .where(F.col("_kind") == 0).select("_k", F.col("_src").alias("_n"), "_next"))
+    # s2: first candidate of the first non-empty block >= b + 2 (same run only).
+    wb = Window.partitionBy("_k").orderBy("_blk")
+    rb = runs.where(F.col("_run_cnt") > fold_max).select(
+        "_k", "_blk", "_run",
+        F.when(F.lead("_blk", 1).over(wb) >= F.col("_blk") + 2, F.lead("_first", 1).over(wb))
+         .otherwise(F.lead("_first", 2).over(wb)).alias("_skip"),
+        F.when(F.lead("_blk", 1).over(wb) >= F.col("_blk") + 2, F.lead("_run", 1).over(wb))
+         .otherwise(F.lead("_run", 2).over(wb)).alias("_skip_run"))
+    rb = rb.withColumn("_skip", F.when(F.col("_skip_run") == F.col("_run"), F.col("_skip")))
+    succ = (big.select("_k", "_n", "_blk").join(nxt, ["_k", "_n"], "left")
+            .join(rb.select("_k", "_blk", "_skip"), ["_k", "_blk"], "left")
+            .select("_k", "_n", F.coalesce("_next", "_skip").alias("_to")))
+    roots = runs.where((F.col("_run_cnt") > fold_max) & F.col("_start")).select("_k", F.col("_first").alias("_n"))
+    levels = max(1, longest.bit_length())                 # 2**levels > firings per run
+    jumps = [_materialize(succ)]
+    for _ in range(1, levels):
+        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
+        nxt_level = (a.join(b, (F.col("a._k") == F.col("b._k")) & (F.col("a._to") == F.col("b._n")), "left")
+                     .select(F.col("a._k").alias("_k"), F.col("a._n").alias("_n"), F.col("b._to").alias("_to")))
+        jumps.append(_materialize(nxt_level))
+    fired = roots
+    for jump in reversed(jumps):
+        step = (fired.join(jump, ["_k", "_n"]).where(F.col("_to").isNotNull())
+                .select("_k", F.col("_to").alias("_n")))
+        fired = _materialize(fired.unionByName(step).distinct())
+    return (fired.join(big.select("_k", "_n", "_ts"), ["_k", "_n"])
+            .select(F.col("_k").alias(key), F.col("_ts").alias("fired_at"), F.col("_n").alias(order_id)))
 
 
 # ---- forecasting -----------------------------------------------------------

@@ -187,3 +187,26 @@ def test_dag_confounders(spark):
     dag = spark.createDataFrame(CAUSAL_EDGES, "cause string, effect string")
     conf = {r["confounder"] for r in graph.dag_confounders(dag, "pool_wait_ms", "error_count").collect()}
     assert conf == {"db_lock_time"}
+
+
+def test_cooldown_doubling_equals_fold(spark):
+    # Dense candidates (one run) through the doubling path and the fold path.
+    import random
+    rnd = random.Random(3)
+    t, rows = 0.0, []
+    for i in range(400):
+        t += rnd.choice([0.5, 1, 3, 7, 12, 29.5, 30, 31])
+        rows.append(("k" + str(i % 2), i, T0 + timedelta(seconds=t)))
+    c = spark.createDataFrame(rows, "service string, event_id long, timestamp timestamp_ntz")
+    fold = {(r["service"], r["event_id"]) for r in timeseries.cooldown(c, 30).collect()}
+    dbl = {(r["service"], r["event_id"]) for r in timeseries.cooldown(c, 30, fold_max=5).collect()}
+    # brute force
+    expect = set()
+    for k in ("k0", "k1"):
+        last = None
+        for svc, i, ts_ in sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[1])):
+            if last is None or (ts_ - last).total_seconds() >= 30:
+                expect.add((svc, i))
+                last = ts_
+    assert fold == expect
+    assert dbl == expect
