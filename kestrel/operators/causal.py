@@ -119,13 +119,13 @@ def ate_hetero(df: DataFrame, treatment: str = TREATMENT, outcome: str = OUTCOME
     gamma = parts.agg(F.try_divide(F.sum("num"), F.sum("den")).alias("gamma"),
                       F.sum(F.when(F.col("ok"), F.col("n"))).alias("n_ok"),
                       F.count_if(~F.col("ok")).alias("excluded_groups"))
-    per = parts.where("ok").crossJoin(F.broadcast(gamma))  # gamma: exactly one row
-    beta_s = (F.col("sty") - F.col("gamma") * F.col("stw")) / F.col("stt")
-    return per.agg(
+    g_val = gamma.select("gamma").scalar()            # one-row aggregates as scalar subqueries
+    beta_s = (F.col("sty") - g_val * F.col("stw")) / F.col("stt")
+    return parts.where("ok").agg(
         F.lit(treatment).alias("treatment"), F.lit(outcome).alias("outcome"),
-        F.round(F.sum(F.col("n") * beta_s) / F.first("n_ok"), 10).alias("ate"),
-        F.round(F.first("gamma"), 10).alias("confounder_slope"),
-        F.first("excluded_groups").alias("excluded_groups"))
+        F.round(F.sum(F.col("n") * beta_s) / gamma.select("n_ok").scalar(), 10).alias("ate"),
+        F.round(g_val, 10).alias("confounder_slope"),
+        gamma.select("excluded_groups").scalar().alias("excluded_groups"))
 
 
 def placebo_hash(event_id: Column, sim: Column) -> Column:
@@ -163,12 +163,12 @@ def placebo_refute(df: DataFrame, simulations: int = 20, treatment: str = TREATM
 
 def placebo_summary(placebo: DataFrame, estimate: DataFrame) -> DataFrame:
     """Mean placebo effect, share of placebos with |t| >= |t| of the real one."""
-    est = F.broadcast(estimate.select(F.col("ate").alias("real_ate"), F.col("t_value").alias("real_t")))
-    return placebo.crossJoin(est).agg(
-        F.first("real_ate").alias("real_ate"),
+    real_ate, real_t = estimate.select("ate").scalar(), estimate.select("t_value").scalar()
+    return placebo.agg(
+        real_ate.alias("real_ate"),
         F.round(F.avg("placebo_effect"), 10).alias("mean_placebo_effect"),
         F.count(F.lit(1)).alias("simulations"),
-        F.round(F.avg(F.when(F.abs("placebo_t") >= F.abs(F.col("real_t")), 1.0).otherwise(0.0)), 6)
+        F.round(F.avg(F.when(F.abs("placebo_t") >= F.abs(real_t), 1.0).otherwise(0.0)), 6)
         .alias("placebo_share_beyond"))
 
 

@@ -148,23 +148,37 @@ def dag_confounders(dag: DataFrame, treatment: str, outcome: str) -> DataFrame:
 
 
 def edge_obs_match(log: DataFrame, store: DataFrame,
-                   tolerance_seconds: float = MATCH_TOLERANCE_SECONDS) -> DataFrame:
+                   tolerance_seconds: float = MATCH_TOLERANCE_SECONDS,
+                   bucket_seconds: float = 1.0) -> DataFrame:
     """Match each global-log row to the first stored observation on its edge
-    within the tolerance (|dt| < tol), first by arrival order.
-
-    Range join as an equi-join on (edge, tolerance bucket): the store side is
-    keyed by its bucket, the log side is copied to its bucket and both
-    neighbours, then the exact predicate filters.
+    within the tolerance (|dt| < tol), first by arrival order (seq), with
+    the number of candidates.
+
+    A range-framed window, not a join: log and store rows are unioned,
+    partitioned by (edge, time bucket) and ordered by time; min(seq) and
+    count over store rows in the frame (-tol, +tol) give the answer without
+    emitting pairs.  Store rows within the tolerance of a bucket edge are
+    copied into the neighbouring bucket as context, so buckets split a hot
+    edge and the result stays exact (tol < bucket).
     """
     tol_us = int(round(tolerance_seconds * 1_000_000))
-    l = log.select(F.col("seq").alias("log_seq"), "from_service", "to_service",
-                   epoch_micros(F.col("ts")).alias("l_us"))
-    l = l.withColumn("bkt", F.explode(F.sequence(F.floor(F.col("l_us") / tol_us) - 1,
-                                                 F.floor(F.col("l_us") / tol_us) + 1)))
-    s = store.select(F.col("seq").alias("obs_seq"), "from_service", "to_service",
-                     epoch_micros(F.col("ts")).alias("s_us"))
-    s = s.withColumn("bkt", F.floor(F.col("s_us") / tol_us))
-    m = (l.join(s, ["from_service", "to_service", "bkt"])
-         .where(F.abs(F.col("l_us") - F.col("s_us")) < tol_us))
-    return m.groupBy("log_seq").agg(F.min("obs_seq").alias("matched_seq"),
-                                    F.count(F.lit(1)).alias("candidates"))
+    b_us = int(round(bucket_seconds * 1_000_000))
+    assert tol_us < b_us
+    l = log.select("from_service", "to_service", epoch_micros(F.col("ts")).alias("_t"),
+                   F.col("seq").alias("log_seq"), F.lit(None).cast("long").alias("_s"))
+    l = l.withColumn("_b", F.floor(F.col("_t") / b_us))
+    st = store.select("from_service", "to_service", epoch_micros(F.col("ts")).alias("_t"),
+                      F.lit(None).cast("long").alias("log_seq"), F.col("seq").alias("_s"))
+    st = st.withColumn("_b0", F.floor(F.col("_t") / b_us))
+    near_lo = F.col("_t") - F.col("_b0") * b_us < tol_us
+    near_hi = (F.col("_b0") + 1) * b_us - F.col("_t") < tol_us
+    st = st.select("*", F.explode(F.array(
+        F.col("_b0"),
+        F.when(near_lo, F.col("_b0") - 1),
+        F.when(near_hi, F.col("_b0") + 1))).alias("_b")).where(F.col("_b").isNotNull()).drop("_b0")
+    w = (Window.partitionBy("from_service", "to_service", "_b").orderBy("_t")
+         .rangeBetween(-(tol_us - 1), tol_us - 1))
+    u = l.unionByName(st)
+    m = u.select("log_seq", F.min("_s").over(w).alias("matched_seq"),
+                 F.count("_s").over(w).alias("candidates"))
+    return m.where(F.col("log_seq").isNotNull() & (F.col("candidates") > 0))

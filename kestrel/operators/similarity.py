@@ -31,14 +31,18 @@ def knn(corpus: DataFrame, queries: DataFrame, n: int = 5, filter_col: str | Non
     filter value (an equi-join key).  Returns query_id, rank, vec_id,
     similarity (rounded to 6 dp; ties broken by vec_id).
     """
+    # Without a filter every query is compared with every corpus row (exact
+    # kNN); a constant key keeps that a broadcast hash join of the checked
+    # query set.
     c = corpus.select(F.col(id_col).alias("vec_id"), F.col(vec).alias("vec"),
-                      *( [F.col(filter_col).alias("fkey")] if filter_col else []))
+                      (F.col(filter_col) if filter_col else F.lit(0)).alias("fkey"))
+    if not filter_col:
+        queries = queries.withColumn("query_filter", F.lit(0))
     q_small, q_rows = checked_broadcast(queries, max_broadcast_rows)
     blocks = max(1, -(-q_rows // max_broadcast_rows))
 
     def one(qb: DataFrame) -> DataFrame:
-        cond = [c["fkey"] == qb["query_filter"]] if filter_col else []
-        pairs = c.join(qb, cond, "inner") if cond else c.join(qb, how="cross")
+        pairs = c.join(qb, c["fkey"] == qb["query_filter"], "inner")
         if exclude_self:
             pairs = pairs.where(F.col("vec_id") != F.col("query_id"))
         pairs = pairs.select("query_id", "vec_id",

@@ -210,3 +210,18 @@ def test_cooldown_doubling_equals_fold(spark):
                 last = ts_
     assert fold == expect
     assert dbl == expect
+
+
+def test_edge_match_across_bucket_boundary(spark):
+    b = datetime(2024, 3, 1, 12, 0, 1)          # a whole second: a bucket boundary
+    rows = [("A", "B", b - timedelta(microseconds=400), 1.0, None, None, 1),
+            ("A", "B", b + timedelta(microseconds=500), 1.0, None, None, 2),
+            ("A", "B", b + timedelta(microseconds=1500), 1.0, None, None, 3),
+            ("A", "C", b, 1.0, None, None, 4)]
+    e = spark.createDataFrame(rows, EDGE_SCHEMA)
+    got = {r["log_seq"]: (r["matched_seq"], r["candidates"]) for r in graph.edge_obs_match(e, e).collect()}
+    # 1 sees 1, 2 (0.9 ms); 2 sees 1, 2, 3 (1.0 ms is not < 1 ms: 3 - 2 is exactly 1000 us -> excluded)
+    assert got[1] == (1, 2)
+    assert got[2] == (1, 2)
+    assert got[3] == (3, 1)
+    assert got[4] == (4, 1)
