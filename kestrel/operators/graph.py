@@ -16,6 +16,7 @@ from pyspark.sql import Window
 from kestrel.fixed import (EDGE_KEEP, GLOBAL_KEEP, MATCH_TOLERANCE_SECONDS,
                            NEIGHBOR_WINDOW_SECONDS, PRUNE_SECONDS, TTL_SECONDS)
 from kestrel.functions.exprs import epoch_micros
+from kestrel.functions.scans import join_on
 
 
 def edge_append(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
@@ -154,31 +155,41 @@ def edge_obs_match(log: DataFrame, store: DataFrame,
     within the tolerance (|dt| < tol), first by arrival order (seq), with
     the number of candidates.
 
-    A range-framed window, not a join: log and store rows are unioned,
-    partitioned by (edge, time bucket) and ordered by time; min(seq) and
-    count over store rows in the frame (-tol, +tol) give the answer without
-    emitting pairs.  Store rows within the tolerance of a bucket edge are
-    copied into the neighbouring bucket as context, so buckets split a hot
-    edge and the result stays exact (tol < bucket).
+    A range-framed window, not a join, so no pairs are emitted.  Both sides
+    are first collapsed to one point per (edge, microsecond): store points
+    carry min(seq) and their row count, log points are distinct (partial +
+    final aggregates, so repeated timestamps combine map-side).  Points are
+    partitioned by (edge, time bucket) and ordered by time; min and sum
+    over store points in the frame (-tol, +tol) give the answer.  Store
+    points within the tolerance of a bucket edge are copied into the
+    neighbouring bucket, so the result is exact (tol < bucket) and no
+    partition holds more than a bucket's worth of distinct timestamps on
+    each side, however hot an edge or a second is.  Answers go back to the
+    log rows by an equi-join on (edge, time), whose skewed keys AQE splits.
     """
     tol_us = int(round(tolerance_seconds * 1_000_000))
     b_us = int(round(bucket_seconds * 1_000_000))
     assert tol_us < b_us
-    l = log.select("from_service", "to_service", epoch_micros(F.col("ts")).alias("_t"),
-                   F.col("seq").alias("log_seq"), F.lit(None).cast("long").alias("_s"))
-    l = l.withColumn("_b", F.floor(F.col("_t") / b_us))
-    st = store.select("from_service", "to_service", epoch_micros(F.col("ts")).alias("_t"),
-                      F.lit(None).cast("long").alias("log_seq"), F.col("seq").alias("_s"))
+    edge = ["from_service", "to_service"]
+    lrows = log.select(*edge, epoch_micros(F.col("ts")).alias("_t"), F.col("seq").alias("log_seq"))
+    l = (lrows.select(*edge, "_t").distinct()
+         .select(*edge, "_t", F.lit(None).cast("long").alias("_s"), F.lit(None).cast("long").alias("_n"),
+                 F.lit(True).alias("_probe"), F.floor(F.col("_t") / b_us).alias("_b")))
+    st = (store.select(*edge, epoch_micros(F.col("ts")).alias("_t"), "seq")
+          .groupBy(*edge, "_t").agg(F.min("seq").alias("_s"), F.count(F.lit(1)).alias("_n")))
     st = st.withColumn("_b0", F.floor(F.col("_t") / b_us))
     near_lo = F.col("_t") - F.col("_b0") * b_us < tol_us
     near_hi = (F.col("_b0") + 1) * b_us - F.col("_t") < tol_us
-    st = st.select("*", F.explode(F.array(
+    st = (st.select("*", F.explode(F.array(
         F.col("_b0"),
         F.when(near_lo, F.col("_b0") - 1),
-        F.when(near_hi, F.col("_b0") + 1))).alias("_b")).where(F.col("_b").isNotNull()).drop("_b0")
-    w = (Window.partitionBy("from_service", "to_service", "_b").orderBy("_t")
+        F.when(near_hi, F.col("_b0") + 1))).alias("_b")).where(F.col("_b").isNotNull())
+        .select(*edge, "_t", "_s", "_n", F.lit(False).alias("_probe"), "_b"))
+    w = (Window.partitionBy(*edge, "_b").orderBy("_t")
          .rangeBetween(-(tol_us - 1), tol_us - 1))
-    u = l.unionByName(st)
-    m = u.select("log_seq", F.min("_s").over(w).alias("matched_seq"),
-                 F.count("_s").over(w).alias("candidates"))
-    return m.where(F.col("log_seq").isNotNull() & (F.col("candidates") > 0))
+    m = (l.unionByName(st)
+         .select(*edge, "_t", "_probe", F.min("_s").over(w).alias("matched_seq"),
+                 F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("candidates"))
+         .where(F.col("_probe") & (F.col("candidates") > 0))
+         .drop("_probe"))
+    return join_on(lrows, m, [*edge, "_t"]).select("log_seq", "matched_seq", "candidates")

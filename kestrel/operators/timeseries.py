@@ -1,9 +1,11 @@
 """Windows and time series over logs.
 
 No operator here runs an unpartitioned window over raw logs.  Trailing
-per-row windows use time buckets the width of the window (each row is
-copied once into the next bucket as context), so the window is partitioned
-by (key, bucket) and a hot service is split across its buckets.
+per-row counts window (key, window-width bucket) cells when a first
+aggregate shows every cell is small; otherwise they are rank differences
+over one point per distinct (key, microsecond), looked up in one-second
+cells (``kestrel.functions.scans``), so neither a hot service nor a hot
+bucket or timestamp lands in one task.
 """
 
 from __future__ import annotations
@@ -15,28 +17,60 @@ from kestrel.fixed import (BURST_MIN_ERRORS, BURST_WINDOW_MINUTES, COOLDOWN_SECO
                            FORECAST_MIN_ROWS, FORECAST_STEP_SECONDS, FORECAST_STEPS, SLO_MS,
                            TREND_FACTOR)
 from kestrel.functions.exprs import epoch_micros
+from kestrel.functions.scans import CELL_US, MAX_CELL_ROWS, count_at_or_before, join_on, largest_cell
 
 US = 1_000_000
 DAY_S = 86400.0
 
 
 def trailing_count(df: DataFrame, window_us: int, keys: list[str] | None = None,
-                   ts: str = "timestamp", order_id: str = "event_id") -> DataFrame:
+                   ts: str = "timestamp", max_cell_rows: int = MAX_CELL_ROWS,
+                   cell_us: int = CELL_US) -> DataFrame:
     """Rows of ``df`` with the count of rows of the same key in (t - w, t].
 
-    Exact: a window of width w spans at most two buckets of width w, so each
-    row is kept in its bucket and copied (as context) into the next one;
-    counts are taken over originals and copies, and only originals are kept.
+    A first aggregate measures the largest (key, w-wide bucket) cell (one
+    number to the driver).  When every cell, with the copies of its
+    predecessor, fits ``max_cell_rows``, one window over (key, bucket) is
+    exact: a window of width w spans at most two buckets, so each row is
+    kept in its bucket and copied as context into the next one.  Otherwise
+    ``_trailing_bounded`` answers the same question with no partition
+    larger than a second of distinct timestamps.
     """
     keys = keys or []
-    us = epoch_micros(F.col(ts))
-    base = df.withColumn("_us", us).withColumn("_b", F.floor(F.col("_us") / window_us))
+    rows = df.withColumn("_t", epoch_micros(F.col(ts)))
+    if 2 * largest_cell(df.select(*keys, ts), keys, ts, window_us) <= max_cell_rows:
+        return _trailing_bucketed(rows, window_us, keys).select(*df.columns, "window_count")
+    return _trailing_bounded(rows, window_us, keys, cell_us).select(*df.columns, "window_count")
+
+
+def _trailing_bucketed(rows: DataFrame, window_us: int, keys: list[str]) -> DataFrame:
+    base = rows.withColumn("_b", F.floor(F.col("_t") / window_us))
     copies = base.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_shift"))
     copies = copies.withColumn("_b", F.col("_b") + F.col("_shift"))
-    w = (Window.partitionBy(*keys, "_b").orderBy("_us")
+    w = (Window.partitionBy(*keys, "_b").orderBy("_t")
          .rangeBetween(-(window_us - 1), Window.currentRow))
     counted = copies.withColumn("window_count", F.count(F.lit(1)).over(w))
-    return counted.where(F.col("_shift") == 0).drop("_us", "_b", "_shift")
+    return counted.where(F.col("_shift") == 0)
+
+
+def _trailing_bounded(rows: DataFrame, window_us: int, keys: list[str], cell_us: int) -> DataFrame:
+    """count(t - w, t] = R(t) - R(t - w), where R(x) is the number of rows of
+    the key at time <= x.  Rows are collapsed to one point per distinct
+    (key, microsecond) with its multiplicity (partial + final aggregate),
+    and both lookups of every point are answered by ``count_at_or_before``
+    in cells of ``cell_us``: no window partition holds more than
+    ``cell_us`` distinct timestamps plus their lookups, however many rows a
+    key, a bucket or a single timestamp holds.  Counts go back to the rows
+    by an equi-join on (key, time), whose skewed keys AQE splits.
+    """
+    pts = rows.groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_c"))
+    looks = pts.select(*keys, (F.col("_t") - window_us).alias("_x"), F.col("_t").alias("_o"))
+    r = count_at_or_before(pts, looks, keys, cell_us)
+    at_t = r.where(F.col("_probe") == 0).select(*keys, F.col("_x").alias("_t"), "_r")
+    at_s = r.where(F.col("_probe") == 1).select(*keys, F.col("_o").alias("_t"), F.col("_r").alias("_rs"))
+    cnt = join_on(at_t, at_s, [*keys, "_t"]).select(
+        *keys, "_t", (F.col("_r") - F.col("_rs")).alias("window_count"))
+    return join_on(rows, cnt, [*keys, "_t"])
 
 
 def error_burst(logs: DataFrame, minutes: int = BURST_WINDOW_MINUTES,
@@ -64,11 +98,9 @@ def burst_sliding(logs: DataFrame, minutes: int = BURST_WINDOW_MINUTES, slide_mi
 def _materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it
     back with its known schema: one job, lineage cut, survives lost executors."""
-    from kestrel.session import scratch_path
+    from kestrel.session import materialize
 
-    path = scratch_path(df.sparkSession, "round")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialize(df, "round")
 
 
 # Runs with at most this many candidates are folded in one task.

@@ -60,3 +60,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` under the shared checkpoint folder and read it back.
+
+    One job; the lineage is cut there, the result survives lost executors,
+    and every later consumer reads the same rows (no recomputation).
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kestrel.fixed import ALLOWED_ACTIONS, SERVICES
+from kestrel.functions.scans import previous_in_order
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -86,23 +87,15 @@ def edges_from_logs(logs: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """Service-to-service observations: each log's predecessor for the same user.
 
     Equal to ``lag(service) OVER (PARTITION BY user_id ORDER BY timestamp,
-    event_id)``, computed so that one user holding a large share of rows is
-    not sorted in a single task: the lag runs within (user, time bucket)
-    partitions, and the first row of a bucket takes the last service of the
-    user's previous non-empty bucket from a one-row-per-(user, bucket)
-    aggregate (whose window runs over buckets, not rows).  Rows without a
-    predecessor are dropped.
+    event_id)``, computed by ``previous_in_order`` so that neither a user
+    nor a (user, hour) bucket holding a large share of rows is sorted in a
+    single task.  Rows without a predecessor are dropped.
     """
-    b_us = bucket_seconds * 1_000_000
-    x = logs.withColumn("_b", F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / b_us))
-    w = Window.partitionBy("user_id", "_b").orderBy("timestamp", "event_id")
-    x = x.withColumn("_prev", F.lag("service").over(w))
-    last = x.groupBy("user_id", "_b").agg(
-        F.max_by("service", F.struct("timestamp", "event_id")).alias("_last"))
-    carry = last.select("user_id", "_b", F.lag("_last").over(
-        Window.partitionBy("user_id").orderBy("_b")).alias("_carry"))
-    x = x.join(carry, ["user_id", "_b"], "left")
-    return (x.select(F.coalesce("_prev", "_carry").alias("from_service"),
+    x = logs.select("user_id", "timestamp", "event_id", "service", "latency_ms", "cpu_percent",
+                    "memory_percent")
+    x = previous_in_order(x, "user_id", ["timestamp", "event_id"], "service", "from_service",
+                          bucket_us=bucket_seconds * 1_000_000)
+    return (x.select("from_service",
                      F.col("service").alias("to_service"),
                      F.col("timestamp").alias("ts"),
                      "latency_ms",
