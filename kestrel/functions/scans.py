@@ -95,11 +95,18 @@ def count_at_or_before(points: DataFrame, lookups: DataFrame, keys: list[str],
 MAX_CELL_ROWS = 4_000_000
 
 
-def largest_cell(df: DataFrame, keys: list[str], ts: str, bucket_us: int) -> int:
-    """Rows in the largest (keys, ``bucket_us``-wide time bucket) cell.
-
-    A partial + final aggregate; one number reaches the driver.
+def largest_cell(df: DataFrame, keys: list[str], ts: str, bucket_us: int,
+                 cap: int = MAX_CELL_ROWS) -> int:
+    """An upper bound on the rows of the largest (keys, ``bucket_us``-wide
+    time bucket) cell; exact whenever it exceeds ``cap``.
+
+    The row count comes first (it bounds every cell, and no column is
+    read); only inputs larger than ``cap`` get the per-cell partial + final
+    aggregate.  One number reaches the driver either way.
     """
+    total = df.count()
+    if total <= cap:
+        return total
     b = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / bucket_us)
     return df.groupBy(*keys, b).count().agg(F.max("count")).first()[0] or 0
 
@@ -121,7 +128,7 @@ def previous_in_order(df: DataFrame, key: str, order: list[str], value: str, out
     (``_previous_ranged``).
     """
     ts = ts or order[0]
-    if largest_cell(df.select(key, ts), [key], ts, bucket_us) <= max_cell_rows:
+    if largest_cell(df.select(key, ts), [key], ts, bucket_us, max_cell_rows) <= max_cell_rows:
         return _previous_bucketed(df, key, order, value, out, ts, bucket_us)
     return _previous_ranged(df, key, order, value, out)
 

@@ -38,7 +38,7 @@ def trailing_count(df: DataFrame, window_us: int, keys: list[str] | None = None,
     """
     keys = keys or []
     rows = df.withColumn("_t", epoch_micros(F.col(ts)))
-    if 2 * largest_cell(df.select(*keys, ts), keys, ts, window_us) <= max_cell_rows:
+    if 2 * largest_cell(df.select(*keys, ts), keys, ts, window_us, max_cell_rows // 2) <= max_cell_rows:
         return _trailing_bucketed(rows, window_us, keys).select(*df.columns, "window_count")
     return _trailing_bounded(rows, window_us, keys, cell_us).select(*df.columns, "window_count")
 
