@@ -95,20 +95,27 @@ def count_at_or_before(points: DataFrame, lookups: DataFrame, keys: list[str],
 MAX_CELL_ROWS = 4_000_000
 
 
-def largest_cell(df: DataFrame, keys: list[str], ts: str, bucket_us: int,
-                 cap: int = MAX_CELL_ROWS) -> int:
-    """An upper bound on the rows of the largest (keys, ``bucket_us``-wide
-    time bucket) cell; exact whenever it exceeds ``cap``.
+def cell_sizes(df: DataFrame, keys: list[str], ts: str, bucket_us: int,
+               cap: int = MAX_CELL_ROWS) -> tuple[int, int]:
+    """(bound, rows): an upper bound on the rows of the largest (keys,
+    ``bucket_us``-wide time bucket) cell, exact whenever it exceeds ``cap``,
+    and the total row count.
 
     The row count comes first (it bounds every cell, and no column is
     read); only inputs larger than ``cap`` get the per-cell partial + final
-    aggregate.  One number reaches the driver either way.
+    aggregate.  Two numbers reach the driver.
     """
     total = df.count()
     if total <= cap:
-        return total
+        return total, total
     b = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / bucket_us)
-    return df.groupBy(*keys, b).count().agg(F.max("count")).first()[0] or 0
+    return (df.groupBy(*keys, b).count().agg(F.max("count")).first()[0] or 0), total
+
+
+def largest_cell(df: DataFrame, keys: list[str], ts: str, bucket_us: int,
+                 cap: int = MAX_CELL_ROWS) -> int:
+    """The bound of ``cell_sizes``."""
+    return cell_sizes(df, keys, ts, bucket_us, cap)[0]
 
 
 def previous_in_order(df: DataFrame, key: str, order: list[str], value: str, out: str,
@@ -128,9 +135,12 @@ def previous_in_order(df: DataFrame, key: str, order: list[str], value: str, out
     (``_previous_ranged``).
     """
     ts = ts or order[0]
-    if largest_cell(df.select(key, ts), [key], ts, bucket_us, max_cell_rows) <= max_cell_rows:
+    largest, total = cell_sizes(df.select(key, ts), [key], ts, bucket_us, max_cell_rows)
+    if largest <= max_cell_rows:
         return _previous_bucketed(df, key, order, value, out, ts, bucket_us)
-    return _previous_ranged(df, key, order, value, out)
+    # Range partitions of at most about half a cell's budget each.
+    per_part = max(1, max_cell_rows // 2)
+    return _previous_ranged(df, key, order, value, out, partitions=-(-total // per_part))
 
 
 def _previous_bucketed(df, key, order, value, out, ts, bucket_us):
@@ -157,7 +167,7 @@ def _previous_ranged(df, key, order, value, out, partitions: int | None = None):
     from kestrel.session import materialize
 
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(partitions or 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     r = df.repartitionByRange(n, key, *order).withColumn("_p", F.spark_partition_id())
     w = Window.partitionBy("_p", key).orderBy(*order)
     r = r.withColumn("_lag", F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1)
