@@ -125,9 +125,10 @@ def previous_in_order(df: DataFrame, key: str, order: list[str], value: str, out
     in the total order ``order`` (NULL for a key's first row); ``order``
     starts with the time column ``ts`` and must be unique within a key.
 
-    Equal to ``lag(value) OVER (PARTITION BY key ORDER BY order)``.  A
-    first aggregate over (key, ts) finds the largest (key, time bucket)
-    cell.  If it fits ``max_cell_rows`` the lag runs within (key, bucket)
+    Equal to ``lag(value) OVER (PARTITION BY key ORDER BY order)``, which
+    is what runs when the whole input fits ``max_cell_rows``.  Else a first
+    aggregate over (key, ts) finds the largest (key, time bucket) cell.  If
+    it fits ``max_cell_rows`` the lag runs within (key, bucket)
     partitions and each bucket's first row takes the last value of the
     key's previous non-empty bucket (a window over one row per bucket).
     Otherwise the rows are range-partitioned on (key, order), which
@@ -136,6 +137,8 @@ def previous_in_order(df: DataFrame, key: str, order: list[str], value: str, out
     """
     ts = ts or order[0]
     largest, total = cell_sizes(df.select(key, ts), [key], ts, bucket_us, max_cell_rows)
+    if total <= max_cell_rows:          # every key fits one task: one window, one shuffle
+        return df.withColumn(out, F.lag(value).over(Window.partitionBy(key).orderBy(*order)))
     if largest <= max_cell_rows:
         return _previous_bucketed(df, key, order, value, out, ts, bucket_us)
     # Range partitions of at most about half a cell's budget each.

@@ -17,7 +17,7 @@ from kestrel.fixed import (BURST_MIN_ERRORS, BURST_WINDOW_MINUTES, COOLDOWN_SECO
                            FORECAST_MIN_ROWS, FORECAST_STEP_SECONDS, FORECAST_STEPS, SLO_MS,
                            TREND_FACTOR)
 from kestrel.functions.exprs import epoch_micros
-from kestrel.functions.scans import CELL_US, MAX_CELL_ROWS, count_at_or_before, join_on, largest_cell
+from kestrel.functions.scans import CELL_US, MAX_CELL_ROWS, cell_sizes, count_at_or_before, join_on
 
 US = 1_000_000
 DAY_S = 86400.0
@@ -28,9 +28,10 @@ def trailing_count(df: DataFrame, window_us: int, keys: list[str] | None = None,
                    cell_us: int = CELL_US) -> DataFrame:
     """Rows of ``df`` with the count of rows of the same key in (t - w, t].
 
-    A first aggregate measures the largest (key, w-wide bucket) cell (one
-    number to the driver).  When every cell, with the copies of its
-    predecessor, fits ``max_cell_rows``, one window over (key, bucket) is
+    A row count comes first: when the whole input fits ``max_cell_rows``,
+    one window per key is exact and enough.  Otherwise an aggregate measures
+    the largest (key, w-wide bucket) cell (one number to the driver).  When
+    every cell, with the copies of its predecessor, fits, one window over (key, bucket) is
     exact: a window of width w spans at most two buckets, so each row is
     kept in its bucket and copied as context into the next one.  Otherwise
     ``_trailing_bounded`` answers the same question with no partition
@@ -38,7 +39,11 @@ def trailing_count(df: DataFrame, window_us: int, keys: list[str] | None = None,
     """
     keys = keys or []
     rows = df.withColumn("_t", epoch_micros(F.col(ts)))
-    if 2 * largest_cell(df.select(*keys, ts), keys, ts, window_us, max_cell_rows // 2) <= max_cell_rows:
+    largest, total = cell_sizes(df.select(*keys, ts), keys, ts, window_us, max_cell_rows // 2)
+    if keys and total <= max_cell_rows:     # every key fits one task: one window per key
+        w = Window.partitionBy(*keys).orderBy("_t").rangeBetween(-(window_us - 1), Window.currentRow)
+        return rows.withColumn("window_count", F.count(F.lit(1)).over(w)).select(*df.columns, "window_count")
+    if 2 * largest <= max_cell_rows:
         return _trailing_bucketed(rows, window_us, keys).select(*df.columns, "window_count")
     return _trailing_bounded(rows, window_us, keys, cell_us).select(*df.columns, "window_count")
 

@@ -30,7 +30,8 @@ def test_trailing_count_both_plans_with_ties(spark):
             direct = rows.withColumn("window_count", F.count(F.lit(1)).over(
                 Window.partitionBy(*keys).orderBy(F.unix_micros(F.col("timestamp").cast("timestamp")))
                 .rangeBetween(-(w_us - 1), 0)))
-            for cap in (0, 10**9):        # 0 forces the bounded plan
+            # 0 forces the bounded plan, n - 1 the bucketed one, 10**9 one window per key
+            for cap in (0, rows.count() - 1, 10**9):
                 got = trailing_count(rows, w_us, keys, max_cell_rows=cap)
                 assert got.columns == direct.columns
                 assert _same(got, direct), (keys, w_us, cap)
@@ -51,7 +52,8 @@ def test_previous_in_order_both_plans_with_ties(spark):
     rows = _hot_logs(spark, "hour")
     direct = rows.withColumn("prev", F.lag("service").over(
         Window.partitionBy("user_id").orderBy("timestamp", "event_id")))
-    for cap in (0, 10**9):                # 0 forces the range-partitioned plan
+    # 0 forces the range-partitioned plan, n - 1 the bucketed one, 10**9 one window per key
+    for cap in (0, rows.count() - 1, 10**9):
         got = previous_in_order(rows, "user_id", ["timestamp", "event_id"], "service", "prev",
                                 max_cell_rows=cap)
         assert _same(got.select(*direct.columns), direct), cap
