@@ -113,19 +113,22 @@ def ate_hetero(df: DataFrame, treatment: str = TREATMENT, outcome: str = OUTCOME
     sww, swy = F.col(_sname(cols, confounder, confounder)), F.col(_sname(cols, confounder, outcome))
     ok = stt > 0
     parts = g.select(
-        "n", ok.alias("ok"), stt.alias("stt"), stw.alias("stw"), sty.alias("sty"),
+        "n", ok.alias("ok"),
         F.when(ok, swy - stw * sty / stt).alias("num"),
-        F.when(ok, sww - stw * stw / stt).alias("den"))
-    gamma = parts.agg(F.try_divide(F.sum("num"), F.sum("den")).alias("gamma"),
-                      F.sum(F.when(F.col("ok"), F.col("n"))).alias("n_ok"),
-                      F.count_if(~F.col("ok")).alias("excluded_groups"))
-    g_val = gamma.select("gamma").scalar()            # one-row aggregates as scalar subqueries
-    beta_s = (F.col("sty") - g_val * F.col("stw")) / F.col("stt")
-    return parts.where("ok").agg(
+        F.when(ok, sww - stw * stw / stt).alias("den"),
+        F.when(ok, F.col("n") * sty / stt).alias("a"),
+        F.when(ok, F.col("n") * stw / stt).alias("b"))
+    # beta_s = (sty - gamma * stw) / stt, so sum(n_s * beta_s) = sum(n*sty/stt) - gamma * sum(n*stw/stt):
+    # one aggregate over one row per service gives gamma and the ATE together.
+    sums = parts.agg(F.sum("num").alias("num"), F.sum("den").alias("den"), F.sum("a").alias("a"),
+                     F.sum("b").alias("b"), F.sum(F.when(F.col("ok"), F.col("n"))).alias("n_ok"),
+                     F.count_if(~F.col("ok")).alias("excluded_groups"))
+    g_val = F.try_divide(F.col("num"), F.col("den"))
+    return sums.select(
         F.lit(treatment).alias("treatment"), F.lit(outcome).alias("outcome"),
-        F.round(F.sum(F.col("n") * beta_s) / gamma.select("n_ok").scalar(), 10).alias("ate"),
+        F.round(F.try_divide(F.col("a") - g_val * F.col("b"), F.col("n_ok")), 10).alias("ate"),
         F.round(g_val, 10).alias("confounder_slope"),
-        gamma.select("excluded_groups").scalar().alias("excluded_groups"))
+        "excluded_groups")
 
 
 def placebo_hash(event_id: Column, sim: Column) -> Column:
@@ -163,7 +166,8 @@ def placebo_refute(df: DataFrame, simulations: int = 20, treatment: str = TREATM
 
 def placebo_summary(placebo: DataFrame, estimate: DataFrame) -> DataFrame:
     """Mean placebo effect, share of placebos with |t| >= |t| of the real one."""
-    real_ate, real_t = estimate.select("ate").scalar(), estimate.select("t_value").scalar()
+    real = estimate.select(F.struct("ate", "t_value")).scalar()     # one scalar subquery
+    real_ate, real_t = real["ate"], real["t_value"]
     return placebo.agg(
         real_ate.alias("real_ate"),
         F.round(F.avg("placebo_effect"), 10).alias("mean_placebo_effect"),

@@ -325,8 +325,8 @@ def lag_panel(logs: DataFrame, edges: DataFrame, target: str,
         F.sum("error_count").alias("errors"))
     ups = edges.where(F.col("to_service") == target).select(F.col("from_service").alias("upstream")).distinct()
     span = logs.agg(F.min(bucket).alias("lo"), F.max(bucket).alias("hi"))
-    spine = ups.select("upstream", F.explode(F.sequence(span.select("lo").scalar(),
-                                                        span.select("hi").scalar())).alias("bucket"))
+    lo_hi = span.select(F.struct("lo", "hi")).scalar()          # one scalar subquery
+    spine = ups.select("upstream", F.explode(F.sequence(lo_hi["lo"], lo_hi["hi"])).alias("bucket"))
     prev = per.select(F.col("service").alias("upstream"), (F.col("bucket") + 1).alias("bucket"),
                       F.col("cpu").alias("cpu_lag1"), F.col("latency").alias("latency_lag1"))
     tgt = per.where(F.col("service") == target).select("bucket", F.col("errors").alias("target_errors"))
