@@ -123,7 +123,9 @@ def cooldown(candidates: DataFrame, seconds: int = COOLDOWN_SECONDS, key: str =
     block after an empty one always fires its first candidate; so each run
     of consecutive non-empty blocks starts afresh.  Runs with at most
     ``fold_max`` candidates are folded in time order (one bounded group
-    each).  Longer runs use pointer doubling: the firing after candidate c
+    each; when all candidates together number at most ``fold_max``, a
+    row count on the written candidates skips the runs and folds per key).
+    Longer runs use pointer doubling: the firing after candidate c
     is the first candidate of the next block at or after t_c + cooldown, or
     else the first candidate of the first non-empty block two or more
     blocks later; firings are the orbit of each run's first candidate under
@@ -134,6 +136,8 @@ def cooldown(candidates: DataFrame, seconds: int = COOLDOWN_SECONDS, key: str =
     cand = candidates.select(F.col(key).alias("_k"), F.col(order_id).alias("_n"), F.col(ts).alias("_ts"),
                              epoch_micros(F.col(ts)).alias("_t"))
     cand = _materialize(cand.withColumn("_blk", F.floor(F.col("_t") / c_us)))   # read by several consumers
+    if cand.count() <= fold_max:       # all candidates together are a bounded group: fold per key
+        return _fold(cand.withColumn("_run", F.lit(0)), c_us, key, order_id)
 
     blocks = cand.groupBy("_k", "_blk").agg(F.min_by("_n", F.struct("_t", "_n")).alias("_first"),
                                             F.count(F.lit(1)).alias("_cnt"))
@@ -147,8 +151,20 @@ def cooldown(candidates: DataFrame, seconds: int = COOLDOWN_SECONDS, key: str =
     tagged = cand.join(runs.select("_k", "_blk", "_run", "_run_cnt"), ["_k", "_blk"])
 
     # Bounded runs: fold the sorted candidates of each run.
-    small = tagged.where(F.col("_run_cnt") <= fold_max)
-    grouped = small.groupBy("_k", "_run").agg(
+    folded = _fold(tagged.where(F.col("_run_cnt") <= fold_max), c_us, key, order_id)
+
+    # One number to the driver: the longest run (in blocks) above the fold limit.
+    longest = (runs.where(F.col("_run_cnt") > fold_max).groupBy("_k", "_run").count()
+               .agg(F.max("count").alias("m")).collect()[0]["m"])
+    if not longest:
+        return folded
+    return folded.unionByName(_cooldown_doubling(cand, runs, tagged, c_us, int(longest), fold_max,
+                                                 key, order_id))
+
+
+def _fold(tagged: DataFrame, c_us: int, key: str, order_id: str) -> DataFrame:
+    """Greedy firings of each (key, run), folding its time-sorted candidates."""
+    grouped = tagged.groupBy("_k", "_run").agg(
         F.array_sort(F.collect_list(F.struct("_t", "_n", "_ts"))).alias("cands"))
     init = F.struct(F.lit(None).cast("long").alias("last"),
                     F.array().cast(grouped.schema["cands"].dataType).alias("fired"))
@@ -158,16 +174,8 @@ def cooldown(candidates: DataFrame, seconds: int = COOLDOWN_SECONDS, key: str =
         return F.when(fire, F.struct(c["_t"].alias("last"),
                                      F.array_append(acc["fired"], c).alias("fired"))).otherwise(acc)
 
-    folded = (grouped.select("_k", F.explode(F.aggregate("cands", init, step)["fired"]).alias("f"))
-              .select(F.col("_k").alias(key), F.col("f._ts").alias("fired_at"), F.col("f._n").alias(order_id)))
-
-    # One number to the driver: the longest run (in blocks) above the fold limit.
-    longest = (runs.where(F.col("_run_cnt") > fold_max).groupBy("_k", "_run").count()
-               .agg(F.max("count").alias("m")).collect()[0]["m"])
-    if not longest:
-        return folded
-    return folded.unionByName(_cooldown_doubling(cand, runs, tagged, c_us, int(longest), fold_max,
-                                                 key, order_id))
+    return (grouped.select("_k", F.explode(F.aggregate("cands", init, step)["fired"]).alias("f"))
+            .select(F.col("_k").alias(key), F.col("f._ts").alias("fired_at"), F.col("f._n").alias(order_id)))
 
 
 def _cooldown_doubling(cand, runs, tagged, c_us, longest, fold_max, key, order_id):
