@@ -229,13 +229,24 @@ def _series(df: DataFrame, by: list[str], ts: str, value: str) -> DataFrame:
              .where(F.col("_y").isNotNull())
 
 
+def _per_series(stats: DataFrame) -> DataFrame:
+    """A one-row-per-series table, written once and broadcast when a count
+    shows it is small (else a shuffle join).  Left to AQE, the join would
+    shuffle every row before the small side's size is known."""
+    from kestrel.functions.joins import checked_broadcast
+    from kestrel.session import materialize
+
+    return checked_broadcast(materialize(stats, "series"))[0]
+
+
 def forecast_fit(df: DataFrame, by: list[str] | None = None, ts: str = "timestamp",
                  value: str = "latency_ms", degree: int = 2,
                  min_rows: int = FORECAST_MIN_ROWS) -> DataFrame:
     """Least-squares polynomial (degree 1 or 2) of value on time, per series.
 
     x is days since the series' first row.  Pass 1 finds the first, last and
-    mean time per series (one row each); pass 2 sums powers of the centred x
+    mean time per series (one row each, written once and broadcast behind a
+    row-count check, so pass 2 shuffles no rows); pass 2 sums powers of the centred x
     (partial + final aggregate); the 3x3 normal equations are solved by
     Cramer's rule in columns.  Coefficients are reported in x (days since
     first); series with fewer than ``min_rows`` rows give no result.
@@ -245,7 +256,7 @@ def forecast_fit(df: DataFrame, by: list[str] | None = None, ts: str = "timestam
     s = _series(df, by, ts, value)
     stats = s.groupBy(*keys).agg(F.min("_us").alias("t0"), F.max("_us").alias("t_last"),
                                  F.avg("_us").alias("t_mean"), F.count(F.lit(1)).alias("n"))
-    j = s.join(stats.where(F.col("n") >= min_rows), keys)  # one row per series; AQE broadcasts it
+    j = s.join(_per_series(stats.where(F.col("n") >= min_rows)), keys)
     z = (F.col("_us") - F.col("t_mean")) / (US * DAY_S)
     sums = j.groupBy(*keys).agg(
         F.first("n").alias("n"), F.first("t0").alias("t0"), F.first("t_last").alias("t_last"),
@@ -309,7 +320,7 @@ def forecast_linear(df: DataFrame, by: list[str] | None = None, ts: str = "times
     by = by or []
     keys = by or ["series"]
     s = _series(df, by, ts, value)
-    first = s.groupBy(*keys).agg(F.min("_us").alias("t0"))
+    first = _per_series(s.groupBy(*keys).agg(F.min("_us").alias("t0")))
     x = (F.col("_us") - F.col("t0")) / (US * DAY_S)
     return (s.join(first, keys).groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("n"), F.regr_slope("_y", x).alias("slope_per_day"),
