@@ -20,7 +20,9 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from kestrel.operators import causal, synth  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from kestrel.operators import aggregates, causal, clean, synth  # noqa: E402
 from kestrel.operators import timeseries as ts  # noqa: E402
 from kestrel.session import build_session  # noqa: E402
 
@@ -29,6 +31,17 @@ OPERATORS = {
     "corr_matrix": lambda logs: causal.corr_matrix(logs),
     "forecast_fit": lambda logs: ts.forecast_fit(logs, ["service"]),
     "error_burst_60m": lambda logs: ts.error_burst(logs, minutes=60),
+    "ate_hetero": lambda logs: causal.ate_hetero(logs),
+    "placebo_refute": lambda logs: causal.placebo_refute(logs, simulations=20),
+    "pc_tests": lambda logs: causal.pc_tests(logs),
+    "effect_scan": lambda logs: causal.effect_scan(logs),
+    "status_timeline": lambda logs: ts.status_timeline(logs),
+    "burst_sliding": lambda logs: ts.burst_sliding(logs),
+    "service_rank": lambda logs: aggregates.service_rank(logs.where(F.col("error_count") >= 1)),
+    "distinct_messages": lambda logs: aggregates.distinct_messages(
+        logs.where(F.col("error_count") >= 1), k=5, newest_first=True),
+    "latest_error": lambda logs: clean.latest_error(logs),
+    "recent_logs": lambda logs: clean.recent_logs(logs, 10),
 }
 
 
