@@ -44,3 +44,33 @@ def test_no_single_partition_exchange(spark, name):
 def test_aggregates_are_partial(spark):
     plan = _plan(spark, "ate_linear")
     assert "partial_covar_pop" in plan or "partial_" in plan
+
+
+def test_forecast_joins_per_series_side_by_broadcast(spark):
+    """Pass 2 of the fit must not shuffle rows: the per-series side is broadcast."""
+    plan = _plan(spark, "forecast_fit")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def _exec_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bounded_plans_have_no_cartesian_or_single_partition_row_window(spark):
+    """The skew-bounded plans (forced) partition every row-level window."""
+    from pyspark.sql import functions as F
+
+    from kestrel.functions.scans import previous_in_order
+    from kestrel.operators.timeseries import trailing_count
+    from kestrel.sources import tables as T
+
+    logs = T.load_logs(spark, SF_SMALL)
+    tc = _exec_plan(trailing_count(logs.where(F.col("error_count") >= 1).select("event_id", "timestamp", "service"),
+                                   300 * 10**6, ["service"], max_cell_rows=0))
+    lag = _exec_plan(previous_in_order(logs.select("user_id", "timestamp", "event_id", "service"), "user_id",
+                                       ["timestamp", "event_id"], "service", "prev", max_cell_rows=0))
+    for plan in (tc, lag):
+        assert "CartesianProduct" not in plan
+    assert "SinglePartition" not in tc
+    # The range-partitioned rows are written once; the plan reads them with their partition numbers.
+    assert "_p:int" in lag
