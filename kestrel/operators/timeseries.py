@@ -123,7 +123,7 @@ def cooldown(candidates: DataFrame, seconds: int = COOLDOWN_SECONDS, key: str =
     block after an empty one always fires its first candidate; so each run
     of consecutive non-empty blocks starts afresh.  Runs with at most
     ``fold_max`` candidates are folded in time order (one bounded group
-    each; when all candidates together number at most ``fold_max``, a
+    each, a binary-search pointer chase in ``_fold``; when all candidates together number at most ``fold_max``, a
     row count on the written candidates skips the runs and folds per key).
     Longer runs use pointer doubling: the firing after candidate c
     is the first candidate of the next block at or after t_c + cooldown, or
@@ -163,19 +163,30 @@ def cooldown(candidates: DataFrame, seconds: int = COOLDOWN_SECONDS, key: str =
 
 
 def _fold(tagged: DataFrame, c_us: int, key: str, order_id: str) -> DataFrame:
-    """Greedy firings of each (key, run), folding its time-sorted candidates."""
-    grouped = tagged.groupBy("_k", "_run").agg(
-        F.array_sort(F.collect_list(F.struct("_t", "_n", "_ts"))).alias("cands"))
-    init = F.struct(F.lit(None).cast("long").alias("last"),
-                    F.array().cast(grouped.schema["cands"].dataType).alias("fired"))
-
-    def step(acc: Column, c: Column) -> Column:
-        fire = acc["last"].isNull() | (c["_t"] - acc["last"] >= c_us)
-        return F.when(fire, F.struct(c["_t"].alias("last"),
-                                     F.array_append(acc["fired"], c).alias("fired"))).otherwise(acc)
-
-    return (grouped.select("_k", F.explode(F.aggregate("cands", init, step)["fired"]).alias("f"))
-            .select(F.col("_k").alias(key), F.col("f._ts").alias("fired_at"), F.col("f._n").alias(order_id)))
+    """Greedy firings of each (key, run), a bounded group.
+
+    Within a group sorted by (time, id), the firing after candidate i is
+    the first candidate at or after t_i + cooldown (a binary search over
+    the sorted times), so the firings are a pointer chase from the first
+    candidate: O(n log n) per group in one pandas call, Arrow batches in
+    and out; Spark partitions and shuffles the groups.
+    """
+    import numpy as np
+
+    out = tagged.select("_k", "_n", "_ts").schema
+
+    def fire(pdf):
+        pdf = pdf.sort_values(["_t", "_n"], kind="stable")
+        t = pdf["_t"].to_numpy()
+        nxt = np.searchsorted(t, t + c_us, side="left")
+        picks, i = [], 0
+        while i < len(t):
+            picks.append(i)
+            i = nxt[i]
+        return pdf.iloc[picks][["_k", "_n", "_ts"]]
+
+    fired = tagged.select("_k", "_run", "_t", "_n", "_ts").groupBy("_k", "_run").applyInPandas(fire, out)
+    return fired.select(F.col("_k").alias(key), F.col("_ts").alias("fired_at"), F.col("_n").alias(order_id))
 
 
 def _cooldown_doubling(cand, runs, tagged, c_us, longest, fold_max, key, order_id):
