@@ -79,7 +79,7 @@ def diagnosis_parse(diagnoses: DataFrame, raw: str = "raw") -> DataFrame:
     def g(path: str, t: str = "string") -> Column:
         return F.try_variant_get(v, path, t)
 
-    is_obj = F.schema_of_variant(v).startswith("OBJECT")
+    is_obj = F.regexp_like(F.col(raw), F.lit(r"^\s*\{"))   # parsed JSON starting with '{' is an object
     is_b = g("$.SRE_DIAGNOSIS").isNotNull() | g("$.CONFIDENCE", "double").isNotNull()
     bridge = F.coalesce(F.array_join(g("$.CAUSAL_BRIDGE", "array<string>"), "\n- "), g("$.CAUSAL_BRIDGE"))
     parsed = v.isNotNull() & F.coalesce(is_obj, F.lit(False))
