@@ -22,6 +22,35 @@ BASE_CONF = {
 }
 
 
+MB = 1 << 20
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_mb: int = 128,
+                 scan_split_mb: int = 256, max_partitions: int = 100_000) -> dict[str, str]:
+    """Partition sizing for a cluster run over ``input_bytes`` of Parquet.
+
+    Scan splits of ``scan_split_mb`` (a task reads about that much
+    compressed input).  The initial shuffle partition count keeps a reducer
+    near ``target_partition_mb`` if the whole input were shuffled, with at
+    least two waves of the cluster's cores, and at most ``max_partitions``
+    (map-output metadata grows with mappers x reducers).  The shuffles here
+    carry projections and partial aggregates, a fraction of the input, and
+    AQE coalesces partitions toward the advisory size at run time and
+    splits skewed join partitions above 4x the median (and 256 MB).  E.g.
+    10^14 bytes on 1000 executors x 8 cores: 100,000 initial partitions,
+    about 400,000 scan tasks.
+    """
+    partitions = min(max_partitions, max(2 * total_cores, -(-input_bytes // (target_partition_mb * MB))))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(scan_split_mb * MB),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_mb * MB),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 * MB),
+    }
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "kestrel", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app_name)

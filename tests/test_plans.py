@@ -74,3 +74,13 @@ def test_bounded_plans_have_no_cartesian_or_single_partition_row_window(spark):
     assert "SinglePartition" not in tc
     # The range-partitioned rows are written once; the plan reads them with their partition numbers.
     assert "_p:int" in lag
+
+
+def test_cluster_conf_sizes_partitions():
+    from kestrel.session import cluster_conf
+
+    big = cluster_conf(10**14, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 100_000
+    small = cluster_conf(10**8, 8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
+    assert int(small["spark.sql.files.maxPartitionBytes"]) == 256 << 20
