@@ -162,6 +162,25 @@ def cooldown(candidates: DataFrame, seconds: int = COOLDOWN_SECONDS, key: str =
                                                  key, order_id))
 
 
+def greedy_chase(t, c_us: int, last: int | None = None) -> list[int]:
+    """Positions of the greedy firings in sorted times ``t`` (numpy array).
+
+    The first firing is the first time at or after ``last + c_us`` (or the
+    first time when nothing fired before); each next one is the first time
+    at or after the previous firing + ``c_us`` (binary search), so the cost
+    is O(n log n) for the search and O(firings) for the chase.
+    """
+    import numpy as np
+
+    nxt = np.searchsorted(t, t + c_us, side="left")
+    i = 0 if last is None else int(np.searchsorted(t, last + c_us, side="left"))
+    picks = []
+    while i < len(t):
+        picks.append(i)
+        i = int(nxt[i])
+    return picks
+
+
 def _fold(tagged: DataFrame, c_us: int, key: str, order_id: str) -> DataFrame:
     """Greedy firings of each (key, run), a bounded group.
 
@@ -171,19 +190,11 @@ def _fold(tagged: DataFrame, c_us: int, key: str, order_id: str) -> DataFrame:
     candidate: O(n log n) per group in one pandas call, Arrow batches in
     and out; Spark partitions and shuffles the groups.
     """
-    import numpy as np
-
     out = tagged.select("_k", "_n", "_ts").schema
 
     def fire(pdf):
         pdf = pdf.sort_values(["_t", "_n"], kind="stable")
-        t = pdf["_t"].to_numpy()
-        nxt = np.searchsorted(t, t + c_us, side="left")
-        picks, i = [], 0
-        while i < len(t):
-            picks.append(i)
-            i = nxt[i]
-        return pdf.iloc[picks][["_k", "_n", "_ts"]]
+        return pdf.iloc[greedy_chase(pdf["_t"].to_numpy(), c_us)][["_k", "_n", "_ts"]]
 
     fired = tagged.select("_k", "_run", "_t", "_n", "_ts").groupBy("_k", "_run").applyInPandas(fire, out)
     return fired.select(F.col("_k").alias(key), F.col("_ts").alias("fired_at"), F.col("_n").alias(order_id))

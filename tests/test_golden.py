@@ -225,3 +225,30 @@ def test_edge_match_across_bucket_boundary(spark):
     assert got[2] == (1, 2)
     assert got[3] == (3, 1)
     assert got[4] == (4, 1)
+
+
+def test_greedy_chase_matches_loop_across_batches():
+    """The binary-search chase equals the greedy loop, also when a batch
+    starts from the previous batch's last firing (the streaming state)."""
+    import numpy as np
+
+    from kestrel.operators.timeseries import greedy_chase
+
+    rng = np.random.default_rng(7)
+    t = np.sort(rng.integers(0, 10_000, size=2_000))
+    c = 37
+
+    def loop(ts, last=None):
+        out = []
+        for i, x in enumerate(ts):
+            if last is None or x - last >= c:
+                last = x
+                out.append(i)
+        return out
+
+    assert greedy_chase(t, c) == loop(t)
+    for cut in (1, 500, 1999):
+        first = greedy_chase(t[:cut], c)
+        last = int(t[:cut][first[-1]])
+        rest = [cut + i for i in greedy_chase(t[cut:], c, last)]
+        assert first + rest == loop(t)
