@@ -4,7 +4,8 @@ each, wall time and shuffle bytes per operator from Spark's event log.
     python tools/scale_probe.py SCRATCH_DIR [n ...]
 
 SCRATCH_DIR receives the generated tables and the event log (use a fresh
-folder per run).  Prints one JSON line per (n, operator).  Aggregating
+folder per run).  Prints one JSON line per (n, operator) with wall time,
+shuffle bytes written and the longest task.  Aggregating
 operators (ATE, forecast fit, correlations) should keep shuffle bytes flat
 in n (partial aggregation: one row per group per map task); the trailing
 window scales with the error rows it must count.
@@ -42,12 +43,25 @@ OPERATORS = {
         logs.where(F.col("error_count") >= 1), k=5, newest_first=True),
     "latest_error": lambda logs: clean.latest_error(logs),
     "recent_logs": lambda logs: clean.recent_logs(logs, 10),
+    # A hot cell: a year of rows on one timestamp, all services together
+    # (about 1M rows per cell at 4M), counted over 60 min with the bucketed
+    # window forced (one task sorts the cell) and with the bounded plan.
+    "burst_hot_year_bucketed": lambda logs: ts.trailing_count(_hot(logs), 3600 * 10**6, [],
+                                                              max_cell_rows=10**12),
+    "burst_hot_year_bounded": lambda logs: ts.trailing_count(_hot(logs), 3600 * 10**6, [],
+                                                             max_cell_rows=0),
 }
 
 
-def shuffle_bytes_by_description(log_dir: str) -> dict[str, int]:
-    """Shuffle bytes written per job description, from the event log."""
-    stage_job, job_desc, out = {}, {}, {}
+def _hot(logs):
+    return logs.select("event_id", F.date_trunc("year", "timestamp").cast("timestamp_ntz").alias("timestamp"),
+                       "service")
+
+
+def shuffle_bytes_by_description(log_dir: str) -> tuple[dict[str, int], dict[str, int]]:
+    """Shuffle bytes written and the longest task (ms) per job description,
+    from the event log."""
+    stage_job, job_desc, out, longest = {}, {}, {}, {}
     for path in glob.glob(os.path.join(log_dir, "**", "*"), recursive=True):
         if os.path.isdir(path):
             continue
@@ -61,10 +75,12 @@ def shuffle_bytes_by_description(log_dir: str) -> dict[str, int]:
                     for sid in e.get("Stage IDs", []):
                         stage_job[sid] = e["Job ID"]
                 elif kind == "SparkListenerTaskEnd":
-                    m = (e.get("Task Metrics") or {}).get("Shuffle Write Metrics") or {}
+                    tm = e.get("Task Metrics") or {}
+                    m = tm.get("Shuffle Write Metrics") or {}
                     desc = job_desc.get(stage_job.get(e.get("Stage ID")), "")
                     out[desc] = out.get(desc, 0) + int(m.get("Shuffle Bytes Written", 0))
-    return out
+                    longest[desc] = max(longest.get(desc, 0), int(tm.get("Executor Run Time", 0)))
+    return out, longest
 
 
 def main() -> None:
@@ -91,11 +107,11 @@ def main() -> None:
             times[desc] = round(time.perf_counter() - t0, 3)
     spark.sparkContext.setJobDescription(None)
     spark.stop()
-    shuffled = shuffle_bytes_by_description(log_dir)
+    shuffled, longest = shuffle_bytes_by_description(log_dir)
     for desc, sec in times.items():
         name, n = desc.rsplit(" ", 1)
         print(json.dumps({"operator": name, "n": int(n), "sec": sec,
-                          "shuffle_bytes": shuffled.get(desc, 0)}))
+                          "shuffle_bytes": shuffled.get(desc, 0), "longest_task_ms": longest.get(desc, 0)}))
 
 
 if __name__ == "__main__":
