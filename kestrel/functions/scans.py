@@ -93,6 +93,7 @@ def count_at_or_before(points: DataFrame, lookups: DataFrame, keys: list[str],
 
 # Rows one window task may sort: above this a cell is split (see callers).
 MAX_CELL_ROWS = 4_000_000
+MAX_RANGE_PARTITIONS = 100_000
 
 
 def cell_sizes(df: DataFrame, keys: list[str], ts: str, bucket_us: int,
@@ -141,9 +142,11 @@ def previous_in_order(df: DataFrame, key: str, order: list[str], value: str, out
         return df.withColumn(out, F.lag(value).over(Window.partitionBy(key).orderBy(*order)))
     if largest <= max_cell_rows:
         return _previous_bucketed(df, key, order, value, out, ts, bucket_us)
-    # Range partitions of at most about half a cell's budget each.
+    # Range partitions of at most about half a cell's budget each (and at
+    # most MAX_RANGE_PARTITIONS; map-output metadata grows with their number).
     per_part = max(1, max_cell_rows // 2)
-    return _previous_ranged(df, key, order, value, out, partitions=-(-total // per_part))
+    return _previous_ranged(df, key, order, value, out,
+                            partitions=min(MAX_RANGE_PARTITIONS, -(-total // per_part)))
 
 
 def _previous_bucketed(df, key, order, value, out, ts, bucket_us):
