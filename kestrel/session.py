@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -63,22 +65,49 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED = "spark.kestrel.shipped"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's sources to the executors, once per application.
+
+    Functions that run in Python workers refer to the package by name; a
+    cluster where it isn't installed gets it as a zip by Spark's file server.
+    """
+    sc = spark.sparkContext
+    if sc.getLocalProperty(_SHIPPED) == sc.applicationId:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):        # else the package itself was loaded from a zip
+        path = os.path.join(tempfile.mkdtemp(prefix="kestrel-src-"), "kestrel.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, files in os.walk(root):
+                for f in sorted(files):
+                    if f.endswith(".py"):
+                        full = os.path.join(folder, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
+        sc.addPyFile(path)
+    sc.setLocalProperty(_SHIPPED, sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is; a cluster without it is an error (a machine-local folder
-    would not survive a lost executor, nor be seen by the others).  Only a
+    used as is; a cluster without it (``local-cluster`` counts as one) is an
+    error: a machine-local folder would not survive a lost executor, nor be
+    seen by the others.  Only a
     local master (tests, benches) gets a folder of our own when it is unset.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         path = tempfile.mkdtemp(prefix="kestrel-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -101,6 +130,7 @@ def materialize(df, name: str = "table"):
     and every later consumer reads the same rows (no recomputation).
     """
     spark = df.sparkSession
+    ship_package(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
