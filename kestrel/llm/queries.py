@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import decontaminate, mixing, quality, simhash, tokenfile, tokenizing
+from kestrel.llm import decontaminate, licenses, mixing, prefix_hash, quality, secrets, simhash, tokenfile, tokenizing, toxicity
 from kestrel.session import scratch_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,11 @@ def query(name: str):
     return register
 
 
+@query("op1_prefix_fingerprints")
+def q_fingerprints(spark, sf_dir):
+    return prefix_hash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op2_source_mixing")
 def q_mixing(spark, sf_dir):
     documents, _ = mixing.mix(table(spark, sf_dir, "documents"))
@@ -70,6 +75,24 @@ def q_token_counts(spark, sf_dir):
     return tokenizing.count_tokens(docs, public_tokenizers.path(VOCABULARY), keep=["doc_id"])
 
 
+@query("op4_license_scan")
+def q_licenses(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op5_toxicity")
+def q_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op6_secret_scan")
+def q_secrets(spark, sf_dir):
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 @query("op7_decontamination")
 def q_decontamination(spark, sf_dir):
     return decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
