@@ -28,7 +28,7 @@ from kestrel.llm.common import text_bytes
 from kestrel.llm.decontaminate import _TABLE, words_of
 
 GRAM, WINDOW = 3, 3
-BAND = 8                   # insertions or deletions an alignment may run ahead or behind
+BAND = 8                   # words an alignment may run ahead or behind (a quarter of a shorter template)
 MIN_COVERAGE = 0.8
 
 # Notices as the licenses publish them.
@@ -72,7 +72,7 @@ def winnow(hashes: list[int], window: int = WINDOW) -> set[int]:
     return {min(range(i, i + window), key=lambda j: (hashes[j], -j)) for i in range(len(hashes) - window + 1)}
 
 
-def align(template: np.ndarray, words: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
+def align(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
     """Best alignment of the whole template with a run of ``words`` near the diagonal word = place + ``shift``.
 
     A match counts 1, a gap or mismatch -1; words before and after the run
@@ -112,6 +112,7 @@ class TemplateIndex:
         self.names = list(templates)
         self.words = [np.array([self.number.setdefault(w, len(self.number)) for w in words_of(t.encode())], np.int64)
                       for t in templates.values()]
+        self.band = [min(BAND, max(1, len(w) // 4)) for w in self.words]
         entries = []
         for t, ids in enumerate(self.words):
             grams = [self._code(ids[i:i + GRAM]) for i in range(len(ids) - GRAM + 1)]
@@ -140,7 +141,7 @@ class TemplateIndex:
                       for p, a, b in zip(ok[lo < hi], lo[lo < hi], hi[lo < hi], strict=True) for e in range(a, b))
         last = None
         for t, d in hits:
-            if last is None or t != last[0] or d - last[1] > BAND:
+            if last is None or t != last[0] or d - last[1] > self.band[t]:
                 last = (t, d)
                 yield last
 
@@ -151,9 +152,9 @@ class TemplateIndex:
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         found = []
         for t, d in self.candidates(ids):
-            size = len(self.words[t])
-            lo = max(0, d - BAND)
-            m, first, end = align(self.words[t], ids[lo:d + size + 2 * BAND], d - lo)
+            size, band = len(self.words[t]), self.band[t]
+            lo = max(0, d - band)
+            m, first, end = align(self.words[t], ids[lo:d + size + 2 * band], d - lo, band)
             if m >= MIN_COVERAGE * size:
                 found.append((m, m / size, lo + first, lo + end, t))
         found.sort(key=lambda f: (-f[0], -f[1], f[2], f[4]))

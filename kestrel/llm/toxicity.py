@@ -38,8 +38,8 @@ from kestrel.session import materialize
 MAX_LABELLED = 20_000     # labelled rows that the model is fitted on (those with the smallest id hashes)
 MAX_TERMS = 20_000        # terms of the model: the most significant ones
 MIN_TERM, MAX_TERM = 4, 12
-PRIOR = 500.0             # strength of the Dirichlet prior, in counted terms
-MIN_Z, MIN_LOG_ODDS = 3.0, 1.5
+PRIOR = 0.05              # strength of the Dirichlet prior, as a share of all counted terms
+MIN_Z, MIN_LOG_ODDS = 4.0, 1.5
 E_VALUE = 0.01
 NO_PASSAGE = -10.0        # normalised score of a document without any toxic term
 
@@ -145,9 +145,10 @@ def _count_terms(sample: DataFrame) -> tuple[DataFrame, int, int]:
 
 def _significant(counts: DataFrame, toxic: int, clean: int) -> list:
     """Terms with significant log-odds under the informative Dirichlet prior: (term, log_odds, toxic, clean)."""
-    prior = F.lit(PRIOR) * (F.col("toxic") + F.col("clean")) / float(toxic + clean)
+    strength = PRIOR * (toxic + clean)
+    prior = F.lit(PRIOR) * (F.col("toxic") + F.col("clean"))
     a, b = F.col("toxic") + prior, F.col("clean") + prior
-    odds = F.log(a / (toxic + PRIOR - a)) - F.log(b / (clean + PRIOR - b))
+    odds = F.log(a / (toxic + strength - a)) - F.log(b / (clean + strength - b))
     z = odds / F.sqrt(1 / a + 1 / b)
     rows = (counts.select("term", odds.alias("log_odds"), z.alias("z"), "toxic", "clean")
             .where((F.col("z") >= MIN_Z) & (F.col("log_odds") >= MIN_LOG_ODDS)))
