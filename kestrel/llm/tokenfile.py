@@ -137,7 +137,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, blo
 
         for b in batches:
             for d, t in zip(b.column("doc_id").to_pylist(), text_bytes(b), strict=True):
-                x = enc.ids(t) + end
+                x = enc.ids(t, overlaps=False) + end
                 ids.append(x)
                 doc_ids.append(d)
                 lengths.append(len(x) // 4)

@@ -34,6 +34,10 @@ CACHE_WORDS = 300_000    # words kept per worker, and as many that were used bef
 CACHED_BYTES = 64        # longer words are not kept
 TOKEN_LIMIT = 2048
 
+PIECE_BYTES = 1 << 20    # a text is split into words this much at a time
+
+# A word of letters, or one that ends in a run of other marks: two pre-tokens, whatever stands around them.
+_LETTERS = re.compile(rb"([A-Za-z\x80-\xff]+)([^A-Za-z0-9'\x80-\xff]*)")
 _GAP = re.compile(r"(?<=[^\s])[ \t\n\r](?=[^\s])")
 
 
@@ -90,16 +94,30 @@ class Encoder:
             self.offsets = offsets if self.by_word else None
             mark = self.many(["~"])[0]
             self.mark = mark[0] if len(mark) == 1 else None
+            if self.by_word:       # the normalisers leave lower-case ASCII letters and blanks as they are
+                bare = Tokenizer.from_file(path)
+                bare.no_truncation()
+                bare.no_padding()
+                bare.normalizer = None
+                self.bare: Callable = lambda ts: [e.ids for e in bare.encode_batch_fast(ts, add_special_tokens=False)]
+
+    def ids(self, text: bytes, overlaps: bool = True) -> bytes:
+        """All ids of a text as little-endian unsigned 32-bit integers.
 
-    def ids(self, text: bytes) -> bytes:
-        """All ids of a text as little-endian unsigned 32-bit integers."""
+        Long texts are encoded in overlapping chunks, or (``overlaps`` false,
+        vocabularies that split at blanks only) word by word like the others.
+        """
         if not self.by_word:
             return np.array(self.many([text.decode()])[0], "<u4").tobytes()
-        if len(text) > self.chunk:
+        if overlaps and len(text) > self.chunk:
             whole = text.decode()
             if len(whole) > self.chunk:
                 return b"".join(p.astype("<u4").tobytes() for p in self.spliced(whole))
-        words = text.split()            # bytes: splits on ASCII blanks only
+        if len(text) <= PIECE_BYTES:
+            return self.words(text.split())           # bytes: splits on ASCII blanks only
+        return b"".join(self.words(p.split()) for p in pieces(text))
+
+    def words(self, words: list[bytes]) -> bytes:
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             self.older, self.cache = cache, {}
@@ -109,31 +127,61 @@ class Encoder:
             known = [w for w in new if w in self.older]
             for w in known:
                 cache[w] = self.older[w]
-            unknown = list(new.difference(known))
-            if unknown:
-                cache.update(zip(unknown, self.each(unknown), strict=True))
+            self.learn(new.difference(known))
         out = b"".join(map(cache.__getitem__, words))
         for w in new:
             if len(w) > CACHED_BYTES:
                 del cache[w]
         return out
 
-    def each(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word.  One call of the library for all: words stand between blanks and a mark, a
+    def learn(self, words: set[bytes]) -> None:
+        """Put the ids of new words into the cache; words that differ in case or the marks after them are encoded once."""
+        cache, older = self.cache, self.older
+        parts, letters, others = [], set(), set()
+        for w in words:
+            m = _LETTERS.fullmatch(w)
+            if m and m[1].isascii():
+                base, tail = m[1].lower(), m[2]
+                letters.add(base)
+            elif m and m[2] and m[1].decode().isalpha():
+                base, tail = m.groups()
+                others.add(base)
+            else:
+                others.add(w)
+                continue
+            parts.append((w, base, tail))
+            others.add(tail)
+        others.discard(b"")
+        found = {b"": b""}
+        for some, encode in ((letters, self.bare), (others, self.many)):
+            ask = []
+            for w in some:
+                v = cache.get(w) or older.get(w)
+                if v is None:
+                    ask.append(w)
+                else:
+                    found[w] = v
+            if ask:
+                found.update(self.each(ask, encode))
+        for w, base, tail in parts:
+            cache[w] = found[base] + found[tail]
+        for w in others:
+            cache[w] = found[w]
+
+    def each(self, words: list[bytes], encode: Callable):
+        """(word, ids) of each word.  One call of the library for all: words stand between blanks and a mark, a
         one-token word that none of them contains."""
         joint = [w for w in words if b"~" not in w] if self.mark is not None else []
-        ids = np.array(self.many([b" ~ ".join(joint).decode()])[0], "<u4") if joint else np.zeros(0, "<u4")
+        ids = np.array(encode([b" ~ ".join(joint).decode()])[0], "<u4") if joint else np.zeros(0, "<u4")
         cuts = np.flatnonzero(ids == self.mark)
         if len(cuts) != len(joint) - 1:
             joint = []
-        raw, at, found = ids.tobytes(), [-1, *cuts.tolist(), len(ids)], {}
-        for i, w in enumerate(joint):
-            found[w] = raw[4 * (at[i] + 1):4 * at[i + 1]]
-        rest = [w for w in words if w not in found]
+        raw, at = ids.tobytes(), [0, *(4 * cuts + 4).tolist(), 4 * len(ids) + 4]
+        yield from zip(joint, [raw[x:y - 4] for x, y in zip(at, at[1:], strict=False)], strict=False)
+        rest = [w for w in words if b"~" in w] if joint else words
         if rest:
-            found.update((w, np.array(i, "<u4").tobytes())
-                         for w, i in zip(rest, self.many([w.decode() for w in rest]), strict=True))
-        return [found[w] for w in words]
+            yield from ((w, np.array(i, "<u4").tobytes())
+                        for w, i in zip(rest, encode([w.decode() for w in rest]), strict=True))
 
     def spliced(self, text: str):
         """Id arrays whose concatenation is the encoding of the whole text, chunk by chunk."""
@@ -171,6 +219,21 @@ class Encoder:
         return int(gaps[np.argmin(np.abs(gaps - (begin + end) // 2))]) if len(gaps) else None
 
 
+def pieces(text: bytes, size: int = PIECE_BYTES):
+    """A long text in pieces of about ``size`` bytes, cut at blanks."""
+    begin = 0
+    while begin < len(text):
+        end = begin + size
+        if end < len(text):
+            cut = max(text.rfind(b" ", begin, end), text.rfind(b"\n", begin, end))
+            if cut <= begin:        # no blank: up to the next one
+                after = [i for i in (text.find(b" ", end), text.find(b"\n", end)) if i >= 0]
+                cut = min(after, default=len(text))
+            end = cut
+        yield text[begin:end]
+        begin = end
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
