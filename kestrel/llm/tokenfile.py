@@ -136,8 +136,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, blo
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _ARROW.types, strict=True)], schema=_ARROW)
 
         for b in batches:
-            for d, t in zip(b.column("doc_id").to_pylist(), text_bytes(b), strict=True):
-                x = enc.ids(t, overlaps=False) + end
+            for d, own in zip(b.column("doc_id").to_pylist(), enc.all_ids(text_bytes(b), overlaps=False), strict=True):
+                x = own + end
                 ids.append(x)
                 doc_ids.append(d)
                 lengths.append(len(x) // 4)

@@ -20,7 +20,8 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,7 +35,7 @@ CACHE_WORDS = 300_000    # words kept per worker, and as many that were used bef
 CACHED_BYTES = 64        # longer words are not kept
 TOKEN_LIMIT = 2048
 
-PIECE_BYTES = 1 << 20    # a text is split into words this much at a time
+PIECE_BYTES = 1 << 16    # bytes of text that are split into words at a time
 
 # A word of letters, or one that ends in a run of other marks: two pre-tokens, whatever stands around them.
 _LETTERS = re.compile(rb"([A-Za-z\x80-\xff]+)([^A-Za-z0-9'\x80-\xff]*)")
@@ -63,7 +64,7 @@ def splits_at_blanks(path: str) -> bool:
     whole = not re.search(r"\\s|\\W|\.|\s|\[\^", parts)     # what is left: literals without blanks
     words = not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"]
                     for t in rules.get("added_tokens", []))
-    return whole and words
+    return whole and words and "[\\p{L}]+" in first["pattern"]["Regex"]
 
 
 class Encoder:
@@ -81,7 +82,7 @@ class Encoder:
             self.offsets = None
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark runs a worker per core already
-            from tokenizers import Tokenizer
+            from tokenizers import Tokenizer, pre_tokenizers
             lib = Tokenizer.from_file(path)
             lib.no_truncation()
             lib.no_padding()
@@ -94,45 +95,65 @@ class Encoder:
             self.offsets = offsets if self.by_word else None
             mark = self.many(["~"])[0]
             self.mark = mark[0] if len(mark) == 1 else None
-            if self.by_word:       # the normalisers leave lower-case ASCII letters and blanks as they are
+            if self.by_word:
+                # Lower-case ASCII letters between blanks: the normalisers and the byte alphabet leave them as they
+                # are, and the pattern's run of letters is the whole word.
                 bare = Tokenizer.from_file(path)
                 bare.no_truncation()
                 bare.no_padding()
                 bare.normalizer = None
+                bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
                 self.bare: Callable = lambda ts: [e.ids for e in bare.encode_batch_fast(ts, add_special_tokens=False)]
 
-    def ids(self, text: bytes, overlaps: bool = True) -> bytes:
-        """All ids of a text as little-endian unsigned 32-bit integers.
+    def ids(self, text: bytes) -> bytes:
+        """All ids of a text as little-endian unsigned 32-bit integers."""
+        return next(self.all_ids([text]))
+
+    def all_ids(self, texts: list[bytes], overlaps: bool = True) -> Iterator[bytes]:
+        """The ids of each text, in order.
 
         Long texts are encoded in overlapping chunks, or (``overlaps`` false,
         vocabularies that split at blanks only) word by word like the others.
+        Short texts are taken together, about ``PIECE_BYTES`` at a time.
         """
-        if not self.by_word:
-            return np.array(self.many([text.decode()])[0], "<u4").tobytes()
-        if overlaps and len(text) > self.chunk:
-            whole = text.decode()
-            if len(whole) > self.chunk:
-                return b"".join(p.astype("<u4").tobytes() for p in self.spliced(whole))
-        if len(text) <= PIECE_BYTES:
-            return self.words(text.split())           # bytes: splits on ASCII blanks only
-        return b"".join(self.words(p.split()) for p in pieces(text))
-
-    def words(self, words: list[bytes]) -> bytes:
+        group, size = [], 0
+        for t in texts:
+            alone = not self.by_word or len(t) > (self.chunk if overlaps else PIECE_BYTES)
+            if group and (alone or size + len(t) > PIECE_BYTES):
+                yield from self.by_words(group)
+                group, size = [], 0
+            if not alone:
+                group.append(t)
+                size += len(t)
+            elif not self.by_word:
+                yield np.array(self.many([t.decode()])[0], "<u4").tobytes()
+            elif overlaps and len(whole := t.decode()) > self.chunk:
+                yield b"".join(p.astype("<u4").tobytes() for p in self.spliced(whole))
+            else:
+                yield b"".join(next(self.by_words([p])) for p in pieces(t))
+        yield from self.by_words(group)
+
+    def by_words(self, texts: list[bytes]) -> Iterator[bytes]:
+        lists = [t.split() for t in texts]            # bytes: splits on ASCII blanks only
+        words = list(chain.from_iterable(lists))
+        if len(self.cache) > CACHE_WORDS:
+            self.older, self.cache = self.cache, {}
         cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            self.older, self.cache = cache, {}
-            cache = self.cache
-        new = set(words).difference(cache)
-        if new:
+        found = list(map(cache.get, words))
+        if None in found:
+            new = {w for w, v in zip(words, found, strict=True) if v is None}
             known = [w for w in new if w in self.older]
             for w in known:
                 cache[w] = self.older[w]
             self.learn(new.difference(known))
-        out = b"".join(map(cache.__getitem__, words))
-        for w in new:
-            if len(w) > CACHED_BYTES:
-                del cache[w]
-        return out
+            found = list(map(cache.__getitem__, words))
+            for w in new:
+                if len(w) > CACHED_BYTES:
+                    del cache[w]
+        at = 0
+        for x in lists:
+            yield b"".join(found[at:at + len(x)])
+            at += len(x)
 
     def learn(self, words: set[bytes]) -> None:
         """Put the ids of new words into the cache; words that differ in case or the marks after them are encoded once."""
@@ -256,7 +277,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT, keep: lis
 
         def columns(batch):
             ts = text_bytes(batch)
-            return [[len(t) for t in ts], [len(enc.ids(t)) // 4 for t in ts]]
+            return [[len(t) for t in ts], [len(x) // 4 for x in enc.all_ids(ts)]]
         return columns
     out = add_columns(docs, {"n_bytes": "bigint", "n_tokens": "bigint"}, make, keep)
     names = [c for c in out.columns if c != "over_limit"]
