@@ -14,15 +14,17 @@ that does not grow with the data:
   ``cell_us`` microseconds, which hold at most ``cell_us`` distinct
   timestamps plus the lookups that fall in them.
 * ``previous_in_order``: each row's predecessor in a total order within a
-  key; over (key, time bucket) cells when a first aggregate shows they are
-  small, else over range partitions of that order (a hot key is split
-  across balanced partitions; partition boundaries carry the predecessor).
+  key, over range partitions of that order (a hot key is split across
+  balanced partitions; partition boundaries carry the predecessor).
+
+Each has one plan, whatever the size of the input.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 US = 1_000_000
 CELL_US = US                 # one second of distinct microsecond timestamps per cell
@@ -91,97 +93,53 @@ def count_at_or_before(points: DataFrame, lookups: DataFrame, keys: list[str],
                     (F.col("_before") + F.col("_cum")).alias("_r"))
 
 
-# Rows one window task may sort: above this a cell is split (see callers).
-MAX_CELL_ROWS = 4_000_000
-MAX_RANGE_PARTITIONS = 100_000
-
-
-def cell_sizes(df: DataFrame, keys: list[str], ts: str, bucket_us: int,
-               cap: int = MAX_CELL_ROWS) -> tuple[int, int]:
-    """(bound, rows): an upper bound on the rows of the largest (keys,
-    ``bucket_us``-wide time bucket) cell, exact whenever it exceeds ``cap``,
-    and the total row count.
-
-    The row count comes first (it bounds every cell, and no column is
-    read); only inputs larger than ``cap`` get the per-cell partial + final
-    aggregate.  Two numbers reach the driver.
-    """
-    total = df.count()
-    if total <= cap:
-        return total, total
-    b = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / bucket_us)
-    return (df.groupBy(*keys, b).count().agg(F.max("count")).first()[0] or 0), total
-
-
-def largest_cell(df: DataFrame, keys: list[str], ts: str, bucket_us: int,
-                 cap: int = MAX_CELL_ROWS) -> int:
-    """The bound of ``cell_sizes``."""
-    return cell_sizes(df, keys, ts, bucket_us, cap)[0]
-
-
-def previous_in_order(df: DataFrame, key: str, order: list[str], value: str, out: str,
-                      ts: str | None = None, bucket_us: int = 3600 * US,
-                      max_cell_rows: int = MAX_CELL_ROWS) -> DataFrame:
+def previous_in_order(df: DataFrame, key: str, order: list[str], value: str, out: str) -> DataFrame:
     """``df`` with ``out`` = ``value`` of the previous row of the same ``key``
-    in the total order ``order`` (NULL for a key's first row); ``order``
-    starts with the time column ``ts`` and must be unique within a key.
-
-    Equal to ``lag(value) OVER (PARTITION BY key ORDER BY order)``, which
-    is what runs when the whole input fits ``max_cell_rows``.  Else a first
-    aggregate over (key, ts) finds the largest (key, time bucket) cell.  If
-    it fits ``max_cell_rows`` the lag runs within (key, bucket)
-    partitions and each bucket's first row takes the last value of the
-    key's previous non-empty bucket (a window over one row per bucket).
-    Otherwise the rows are range-partitioned on (key, order), which
-    spreads a hot key, bucket or timestamp over balanced partitions
-    (``_previous_ranged``).
-    """
-    ts = ts or order[0]
-    largest, total = cell_sizes(df.select(key, ts), [key], ts, bucket_us, max_cell_rows)
-    if total <= max_cell_rows:          # every key fits one task: one window, one shuffle
-        return df.withColumn(out, F.lag(value).over(Window.partitionBy(key).orderBy(*order)))
-    if largest <= max_cell_rows:
-        return _previous_bucketed(df, key, order, value, out, ts, bucket_us)
-    # Range partitions of at most about half a cell's budget each (and at
-    # most MAX_RANGE_PARTITIONS; map-output metadata grows with their number).
-    per_part = max(1, max_cell_rows // 2)
-    return _previous_ranged(df, key, order, value, out,
-                            partitions=min(MAX_RANGE_PARTITIONS, -(-total // per_part)))
-
-
-def _previous_bucketed(df, key, order, value, out, ts, bucket_us):
-    x = df.withColumn("_b", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / bucket_us))
-    w = Window.partitionBy(key, "_b").orderBy(*order)
-    x = x.withColumn("_lag", F.lag(value).over(w))
-    last = x.groupBy(key, "_b").agg(F.max_by(value, F.struct(*order)).alias("_last"))
-    carry = last.select(key, "_b", F.lag("_last").over(Window.partitionBy(key).orderBy("_b")).alias("_carry"))
-    x = join_on(x, carry, [key, "_b"], "left")
-    return x.withColumn(out, F.coalesce("_lag", "_carry")).drop("_b", "_lag", "_carry")
-
-
-def _previous_ranged(df, key, order, value, out, partitions: int | None = None):
-    """Lag over range partitions of (key, order).
-
-    The lag runs within (range partition, key) cells.  The partitioned rows
-    are written once to the shared checkpoint folder, so the boundary
-    carry (the last row of every partition, a window over one row per
-    partition) and the rows see the same partition numbers; a recomputed
-    range exchange would sample anew.  The first row of a partition takes
-    the last row of the nearest earlier non-empty partition when it has
-    the same key.
+    in the total order ``order`` (NULL for a key's first row).
+
+    Equal to ``lag(value) OVER (PARTITION BY key ORDER BY order)``; NULL keys
+    are one key, NULLs in the order come first.  One plan at every size: rows
+    are range-partitioned and sorted on (key, order), which spreads a hot key,
+    hour or timestamp over balanced partitions, and shifted by one row in
+    Arrow batches (no further exchange).  The result is written once to the
+    shared checkpoint folder, so that rows and partition boundaries agree on
+    the partition numbers (a recomputed range exchange would sample anew);
+    the first row of a partition then takes the last row of the nearest
+    earlier non-empty partition, if that has the same key.
     """
     from kestrel.session import materialize
 
     spark = df.sparkSession
-    n = max(partitions or 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    r = df.repartitionByRange(n, key, *order).withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p", key).orderBy(*order)
-    r = r.withColumn("_lag", F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    r = materialize(r, "ranged")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = list(df.columns)
+    schema = T.StructType([*df.schema, T.StructField(out, df.schema[value].dataType),
+                           T.StructField("_p", T.IntegerType()), T.StructField("_first", T.BooleanType())])
+
+    def shift(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        part, held = TaskContext.get().partitionId(), None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, values = b.column(key), b.column(value)
+            before = [pa.concat_arrays([h if h is not None else pa.nulls(1, c.type), c[:-1]])
+                      for h, c in zip(held or (None, None), (keys, values), strict=True)]
+            same = pc.or_(pc.fill_null(pc.equal(before[0], keys), False),
+                          pc.and_(pc.is_null(before[0]), pc.is_null(keys)))
+            first = pa.array([held is None] + [False] * (b.num_rows - 1))
+            same = pc.and_not(same, first)
+            prev = pc.if_else(same, before[1], pa.nulls(b.num_rows, values.type))
+            held = (keys[-1:], values[-1:])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, prev, pa.array([part] * b.num_rows, pa.int32()), first], names=[*columns, out, "_p", "_first"])
+
+    r = materialize(df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order).mapInArrow(shift, schema), "ranged")
     last = r.groupBy("_p").agg(F.max_by(F.struct(F.col(key).alias("_lk"), F.col(value).alias("_lv")),
                                         F.struct(F.col(key), *order)).alias("_last"))
-    carry = last.select("_p", F.lag("_last").over(Window.orderBy("_p")).alias("_prev"))
-    r = r.join(F.broadcast(carry), "_p", "left")      # one row per partition: bounded
-    prev_same = F.when(F.col("_prev._lk").eqNullSafe(F.col(key)), F.col("_prev._lv"))
-    return (r.withColumn(out, F.when(F.col("_first"), prev_same).otherwise(F.col("_lag")))
-            .drop("_p", "_lag", "_first", "_prev"))
+    carry = last.select("_p", F.lag("_last").over(Window.orderBy("_p")).alias("_prev"))     # a row per partition
+    r = r.join(F.broadcast(carry), "_p", "left")
+    same = F.col("_prev").isNotNull() & F.col("_prev._lk").eqNullSafe(F.col(key))
+    return r.select(*columns, F.when(F.col("_first") & same, F.col("_prev._lv")).otherwise(F.col(out)).alias(out))

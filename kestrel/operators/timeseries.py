@@ -1,15 +1,17 @@
 """Windows and time series over logs.
 
 No operator here runs an unpartitioned window over raw logs.  Trailing
-per-row counts window (key, window-width bucket) cells when a first
-aggregate shows every cell is small; otherwise they are rank differences
-over one point per distinct (key, microsecond), looked up in one-second
-cells (``kestrel.functions.scans``), so neither a hot service nor a hot
-bucket or timestamp lands in one task.
+per-row counts are rank differences over one point per distinct (key,
+microsecond), looked up in one-second cells (``kestrel.functions.scans``),
+and cooldown folds bounded segments, so neither a hot service nor a hot
+bucket or timestamp lands in one task.  Every operator has one plan,
+whatever the size of its input.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,49 +19,20 @@ from kestrel.fixed import (BURST_MIN_ERRORS, BURST_WINDOW_MINUTES, COOLDOWN_SECO
                            FORECAST_MIN_ROWS, FORECAST_STEP_SECONDS, FORECAST_STEPS, SLO_MS,
                            TREND_FACTOR)
 from kestrel.functions.exprs import epoch_micros
-from kestrel.functions.scans import CELL_US, MAX_CELL_ROWS, cell_sizes, count_at_or_before, join_on
+from kestrel.functions.scans import CELL_US, count_at_or_before, join_on, prefix_before
+from kestrel.session import materialize
 
 US = 1_000_000
 DAY_S = 86400.0
 
 
 def trailing_count(df: DataFrame, window_us: int, keys: list[str] | None = None,
-                   ts: str = "timestamp", max_cell_rows: int = MAX_CELL_ROWS,
-                   cell_us: int = CELL_US) -> DataFrame:
+                   ts: str = "timestamp", cell_us: int = CELL_US) -> DataFrame:
     """Rows of ``df`` with the count of rows of the same key in (t - w, t].
 
-    A row count comes first: when the whole input fits ``max_cell_rows``,
-    one window per key is exact and enough.  Otherwise an aggregate measures
-    the largest (key, w-wide bucket) cell (one number to the driver).  When
-    every cell, with the copies of its predecessor, fits, one window over (key, bucket) is
-    exact: a window of width w spans at most two buckets, so each row is
-    kept in its bucket and copied as context into the next one.  Otherwise
-    ``_trailing_bounded`` answers the same question with no partition
-    larger than a second of distinct timestamps.
-    """
-    keys = keys or []
-    rows = df.withColumn("_t", epoch_micros(F.col(ts)))
-    largest, total = cell_sizes(df.select(*keys, ts), keys, ts, window_us, max_cell_rows // 2)
-    if keys and total <= max_cell_rows:     # every key fits one task: one window per key
-        w = Window.partitionBy(*keys).orderBy("_t").rangeBetween(-(window_us - 1), Window.currentRow)
-        return rows.withColumn("window_count", F.count(F.lit(1)).over(w)).select(*df.columns, "window_count")
-    if 2 * largest <= max_cell_rows:
-        return _trailing_bucketed(rows, window_us, keys).select(*df.columns, "window_count")
-    return _trailing_bounded(rows, window_us, keys, cell_us).select(*df.columns, "window_count")
-
-
-def _trailing_bucketed(rows: DataFrame, window_us: int, keys: list[str]) -> DataFrame:
-    base = rows.withColumn("_b", F.floor(F.col("_t") / window_us))
-    copies = base.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_shift"))
-    copies = copies.withColumn("_b", F.col("_b") + F.col("_shift"))
-    w = (Window.partitionBy(*keys, "_b").orderBy("_t")
-         .rangeBetween(-(window_us - 1), Window.currentRow))
-    counted = copies.withColumn("window_count", F.count(F.lit(1)).over(w))
-    return counted.where(F.col("_shift") == 0)
-
-
-def _trailing_bounded(rows: DataFrame, window_us: int, keys: list[str], cell_us: int) -> DataFrame:
-    """count(t - w, t] = R(t) - R(t - w), where R(x) is the number of rows of
+    A NULL key is a key; a row without a time is in no window and counts 0.
+
+    count(t - w, t] = R(t) - R(t - w), where R(x) is the number of rows of
     the key at time <= x.  Rows are collapsed to one point per distinct
     (key, microsecond) with its multiplicity (partial + final aggregate),
     and both lookups of every point are answered by ``count_at_or_before``
@@ -68,14 +41,17 @@ def _trailing_bounded(rows: DataFrame, window_us: int, keys: list[str], cell_us:
     key, a bucket or a single timestamp holds.  Counts go back to the rows
     by an equi-join on (key, time), whose skewed keys AQE splits.
     """
-    pts = rows.groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_c"))
+    keys = keys or []
+    rows = df.withColumn("_t", epoch_micros(F.col(ts)))
+    pts = rows.where(F.col("_t").isNotNull()).groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_c"))
     looks = pts.select(*keys, (F.col("_t") - window_us).alias("_x"), F.col("_t").alias("_o"))
     r = count_at_or_before(pts, looks, keys, cell_us)
     at_t = r.where(F.col("_probe") == 0).select(*keys, F.col("_x").alias("_t"), "_r")
     at_s = r.where(F.col("_probe") == 1).select(*keys, F.col("_o").alias("_t"), F.col("_r").alias("_rs"))
     cnt = join_on(at_t, at_s, [*keys, "_t"]).select(
         *keys, "_t", (F.col("_r") - F.col("_rs")).alias("window_count"))
-    return join_on(rows, cnt, [*keys, "_t"])
+    out = join_on(rows, cnt, [*keys, "_t"], "left")
+    return out.select(*df.columns, F.coalesce("window_count", F.lit(0)).alias("window_count"))
 
 
 def error_burst(logs: DataFrame, minutes: int = BURST_WINDOW_MINUTES,
@@ -100,80 +76,107 @@ def burst_sliding(logs: DataFrame, minutes: int = BURST_WINDOW_MINUTES, slide_mi
                     "errors"))
 
 
-def _materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared checkpoint folder and read it
-    back with its known schema: one job, lineage cut, survives lost executors."""
-    from kestrel.session import materialize
-
-    return materialize(df, "round")
-
-
-# Runs with at most this many candidates are folded in one task.
-FOLD_MAX_CANDIDATES = 100_000
+# Candidate points of a segment of the cooldown fold (a block more at most).
+SEGMENT_POINTS = 100_000
 
 
 def cooldown(candidates: DataFrame, seconds: int = COOLDOWN_SECONDS, key: str = "service",
              ts: str = "timestamp", order_id: str = "event_id",
-             fold_max: int = FOLD_MAX_CANDIDATES) -> DataFrame:
+             segment_points: int = SEGMENT_POINTS, last: DataFrame | None = None) -> DataFrame:
     """Greedy firings: the first candidate fires, then the first candidate at
     least ``seconds`` after the last firing, and so on (per key).
 
-    Exact, and no unbounded group is gathered into one task.  With blocks of
-    width ``seconds`` each block holds at most one firing, and a non-empty
-    block after an empty one always fires its first candidate; so each run
-    of consecutive non-empty blocks starts afresh.  Runs with at most
-    ``fold_max`` candidates are folded in time order (one bounded group
-    each, a binary-search pointer chase in ``_fold``; when all candidates together number at most ``fold_max``, a
-    row count on the written candidates skips the runs and folds per key).
-    Longer runs use pointer doubling: the firing after candidate c
-    is the first candidate of the next block at or after t_c + cooldown, or
-    else the first candidate of the first non-empty block two or more
-    blocks later; firings are the orbit of each run's first candidate under
-    that successor, found in log2(run length in blocks) rounds of joins
-    keyed by (key, node), each written to the shared checkpoint folder.
+    A NULL key is a key; a candidate without a time never fires; of
+    candidates at one time the smallest id may fire.  ``last`` (key,
+    last_us) gives the last firing of a key before these candidates.
+
+    Exact, one plan at every size, and no unbounded group.  Candidates are
+    collapsed to one point per (key, microsecond) and cut into segments of
+    about ``segment_points`` points, at borders of blocks as wide as the
+    cooldown.  A firing before a segment reaches into its first block only,
+    so what a segment hands on (the time from which the next candidate may
+    fire) is a step function of what it is handed with few steps: greedy
+    runs soon join.  A first pass computes every segment's steps, a chase
+    over one short list per key finds what each segment is handed, and a
+    second pass fills in the firings.
     """
     c_us = int(seconds) * US
-    cand = candidates.select(F.col(key).alias("_k"), F.col(order_id).alias("_n"), F.col(ts).alias("_ts"),
-                             epoch_micros(F.col(ts)).alias("_t"))
-    cand = _materialize(cand.withColumn("_blk", F.floor(F.col("_t") / c_us)))   # read by several consumers
-    if cand.count() <= fold_max:       # all candidates together are a bounded group: fold per key
-        return _fold(cand.withColumn("_run", F.lit(0)), c_us, key, order_id)
-
-    blocks = cand.groupBy("_k", "_blk").agg(F.min_by("_n", F.struct("_t", "_n")).alias("_first"),
-                                            F.count(F.lit(1)).alias("_cnt"))
-    wb = Window.partitionBy("_k").orderBy("_blk")     # over blocks (time span / cooldown), not rows
-    runs = blocks.withColumn(
-        "_start", F.coalesce(F.col("_blk") - F.lag("_blk", 1).over(wb) > 1, F.lit(True)))
-    runs = runs.withColumn("_run", F.sum(F.col("_start").cast("int")).over(
-        wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = runs.withColumn("_run_cnt", F.sum("_cnt").over(Window.partitionBy("_k", "_run")))
-    runs = _materialize(runs)
-    tagged = cand.join(runs.select("_k", "_blk", "_run", "_run_cnt"), ["_k", "_blk"])
-
-    # Bounded runs: fold the sorted candidates of each run.
-    folded = _fold(tagged.where(F.col("_run_cnt") <= fold_max), c_us, key, order_id)
-
-    # One number to the driver: the longest run (in blocks) above the fold limit.
-    longest = (runs.where(F.col("_run_cnt") > fold_max).groupBy("_k", "_run").count()
-               .agg(F.max("count").alias("m")).collect()[0]["m"])
-    if not longest:
-        return folded
-    return folded.unionByName(_cooldown_doubling(cand, runs, tagged, c_us, int(longest), fold_max,
-                                                 key, order_id))
-
-
-def greedy_chase(t, c_us: int, last: int | None = None) -> list[int]:
-    """Positions of the greedy firings in sorted times ``t`` (numpy array).
-
-    The first firing is the first time at or after ``last + c_us`` (or the
-    first time when nothing fired before); each next one is the first time
-    at or after the previous firing + ``c_us`` (binary search), so the cost
-    is O(n log n) for the search and O(firings) for the chase.
-    """
-    import numpy as np
+    points = (candidates.select(F.col(key).alias("_k"), F.col(order_id).alias("_n"), F.col(ts).alias("_ts"),
+                                epoch_micros(F.col(ts)).alias("_t"))
+              .where(F.col("_t").isNotNull())
+              .groupBy("_k", "_t").agg(F.min("_n").alias("_n"), F.first("_ts").alias("_ts"))
+              .withColumn("_pos", F.floor(F.col("_t") / c_us)))
+    points = materialize(points, "cooldown")
+    blocks = points.groupBy("_k", "_pos").agg(F.count(F.lit(1)).alias("_cnt"))
+    segments = prefix_before(blocks, ["_k"], "_pos", "_cnt").select(
+        "_k", "_pos", F.floor(F.col("_before") / segment_points).alias("_seg"))
+    points = join_on(points, segments, ["_k", "_pos"]).select("_k", "_seg", "_t", "_n", "_ts")
+    points = materialize(points, "segments")
+    kind = points.schema["_k"].dataType.simpleString()
+
+    def steps(pdf):
+        t = np.sort(pdf["_t"].to_numpy())
+        upto, out = segment_steps(t, c_us)
+        return pd.DataFrame({"_k": [pdf["_k"].iloc[0]] * len(upto), "_seg": pdf["_seg"].iloc[0], "upto": upto, "out": out})
+
+    def handed(pdf):
+        at = -(1 << 62)
+        first = pdf["_from"].dropna()
+        if len(first):
+            at = int(first.iloc[0])
+        rows = []
+        pdf = pdf.sort_values(["_seg", "upto"])
+        cuts = np.flatnonzero(np.diff(pdf["_seg"].to_numpy(), prepend=-1))
+        seg, upto, out = (pdf[c].to_numpy() for c in ("_seg", "upto", "out"))
+        for a, b in zip(cuts, [*cuts[1:], len(seg)], strict=True):
+            rows.append((seg[a], at))
+            i = a + int(np.searchsorted(upto[a:b], at, side="left"))
+            if i < b:                   # else nothing in the segment may fire
+                at = int(out[i])
+        return pd.DataFrame({"_k": [pdf["_k"].iloc[0]] * len(rows), "_seg": [r[0] for r in rows], "_at": [r[1] for r in rows]})
+
+    def fire(pdf):
+        pdf = pdf.sort_values("_t")
+        return pdf.iloc[greedy_chase(pdf["_t"].to_numpy(), c_us, int(pdf["_at"].iloc[0]))][["_k", "_n", "_ts"]]
+
+    table = points.groupBy("_k", "_seg").applyInPandas(steps, f"_k {kind}, _seg long, upto long, out long")
+    if last is not None:
+        start = last.select(F.col(key).alias("_k"), (F.col("last_us") + c_us).alias("_from"))
+        table = join_on(table, start, ["_k"], "left")
+    else:
+        table = table.withColumn("_from", F.lit(None).cast("long"))
+    entry = table.groupBy("_k").applyInPandas(handed, f"_k {kind}, _seg long, _at long")
+    fired = join_on(points, entry, ["_k", "_seg"]).groupBy("_k", "_seg").applyInPandas(
+        fire, points.select("_k", "_n", "_ts").schema)
+    return fired.select(F.col("_k").alias(key), F.col("_ts").alias("fired_at"), F.col("_n").alias(order_id))
+
 
+def segment_steps(t, c_us: int):
+    """What a segment of sorted candidate times hands on: (upto, out), for a
+    time handed to it of at most upto[i] (and above upto[i - 1]) the next
+    candidate may fire at out[i].  Only the times of the first block and the
+    one after them can be the first firing."""
+    n = len(t)
+    nxt = np.searchsorted(t, t + c_us, side="left")
+    end = np.where(nxt < n, nxt, np.arange(n))
+    while (end[end] != end).any():          # doubling, until each candidate knows the last firing of its run
+        end = end[end]
+    entries = min(n, int(np.searchsorted(t, (t[0] // c_us + 1) * c_us, side="left")) + 1)
+    out = t[end[:entries]] + c_us
+    keep = np.append(out[1:] != out[:-1], True)
+    return t[:entries][keep], out[keep]
+
+
+def greedy_chase(t, c_us: int, at: int | None = None) -> list[int]:
+    """Positions of the greedy firings in sorted times ``t`` (numpy array),
+    none before the time ``at``.
+
+    Each next firing is the first time at or after the previous one +
+    ``c_us`` (binary search), so the cost is O(n log n) for the search and
+    O(firings) for the chase.
+    """
     nxt = np.searchsorted(t, t + c_us, side="left")
-    i = 0 if last is None else int(np.searchsorted(t, last + c_us, side="left"))
+    i = 0 if at is None else int(np.searchsorted(t, at, side="left"))
     picks = []
     while i < len(t):
         picks.append(i)
@@ -181,68 +184,6 @@ def greedy_chase(t, c_us: int, last: int | None = None) -> list[int]:
     return picks
 
 
-def _fold(tagged: DataFrame, c_us: int, key: str, order_id: str) -> DataFrame:
-    """Greedy firings of each (key, run), a bounded group.
-
-    Within a group sorted by (time, id), the firing after candidate i is
-    the first candidate at or after t_i + cooldown (a binary search over
-    the sorted times), so the firings are a pointer chase from the first
-    candidate: O(n log n) per group in one pandas call, Arrow batches in
-    and out; Spark partitions and shuffles the groups.
-    """
-    out = tagged.select("_k", "_n", "_ts").schema
-
-    def fire(pdf):
-        pdf = pdf.sort_values(["_t", "_n"], kind="stable")
-        return pdf.iloc[greedy_chase(pdf["_t"].to_numpy(), c_us)][["_k", "_n", "_ts"]]
-
-    fired = tagged.select("_k", "_run", "_t", "_n", "_ts").groupBy("_k", "_run").applyInPandas(fire, out)
-    return fired.select(F.col("_k").alias(key), F.col("_ts").alias("fired_at"), F.col("_n").alias(order_id))
-
-
-def _cooldown_doubling(cand, runs, tagged, c_us, longest, fold_max, key, order_id):
-    """Firings of the long runs by pointer doubling (see ``cooldown``)."""
-    big = _materialize(tagged.where(F.col("_run_cnt") > fold_max).select("_k", "_n", "_ts", "_t", "_blk", "_run"))
-    # s1: first candidate of block b+1 at or after t + cooldown (probes sort
-    # after candidates in the descending scan, so equal times qualify).
-    probes = big.select("_k", (F.col("_blk") + 1).alias("_blk"), (F.col("_t") + c_us).alias("_t"),
-                        F.lit(0).alias("_kind"), F.col("_n").alias("_src"), F.lit(None).cast("long").alias("_c"))
-    items = big.select("_k", "_blk", "_t", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_src"),
-                       F.col("_n").alias("_c"))
-    w = (Window.partitionBy("_k", "_blk")
-         .orderBy(F.col("_t").desc(), F.col("_kind").desc(), F.col("_c").desc())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    nxt = (probes.unionByName(items).withColumn("_next", F.last("_c", ignorenulls=True).over(w))
-           .where(F.col("_kind") == 0).select("_k", F.col("_src").alias("_n"), "_next"))
-    # s2: first candidate of the first non-empty block >= b + 2 (same run only).
-    wb = Window.partitionBy("_k").orderBy("_blk")
-    rb = runs.where(F.col("_run_cnt") > fold_max).select(
-        "_k", "_blk", "_run",
-        F.when(F.lead("_blk", 1).over(wb) >= F.col("_blk") + 2, F.lead("_first", 1).over(wb))
-         .otherwise(F.lead("_first", 2).over(wb)).alias("_skip"),
-        F.when(F.lead("_blk", 1).over(wb) >= F.col("_blk") + 2, F.lead("_run", 1).over(wb))
-         .otherwise(F.lead("_run", 2).over(wb)).alias("_skip_run"))
-    rb = rb.withColumn("_skip", F.when(F.col("_skip_run") == F.col("_run"), F.col("_skip")))
-    succ = (big.select("_k", "_n", "_blk").join(nxt, ["_k", "_n"], "left")
-            .join(rb.select("_k", "_blk", "_skip"), ["_k", "_blk"], "left")
-            .select("_k", "_n", F.coalesce("_next", "_skip").alias("_to")))
-    roots = runs.where((F.col("_run_cnt") > fold_max) & F.col("_start")).select("_k", F.col("_first").alias("_n"))
-    levels = max(1, longest.bit_length())                 # 2**levels > firings per run
-    jumps = [_materialize(succ)]
-    for _ in range(1, levels):
-        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
-        nxt_level = (a.join(b, (F.col("a._k") == F.col("b._k")) & (F.col("a._to") == F.col("b._n")), "left")
-                     .select(F.col("a._k").alias("_k"), F.col("a._n").alias("_n"), F.col("b._to").alias("_to")))
-        jumps.append(_materialize(nxt_level))
-    fired = roots
-    for jump in reversed(jumps):
-        step = (fired.join(jump, ["_k", "_n"]).where(F.col("_to").isNotNull())
-                .select("_k", F.col("_to").alias("_n")))
-        fired = _materialize(fired.unionByName(step).distinct())
-    return (fired.join(big.select("_k", "_n", "_ts"), ["_k", "_n"])
-            .select(F.col("_k").alias(key), F.col("_ts").alias("fired_at"), F.col("_n").alias(order_id)))
-
-
 # ---- forecasting -----------------------------------------------------------
 
 def _series(df: DataFrame, by: list[str], ts: str, value: str) -> DataFrame:
@@ -256,7 +197,6 @@ def _per_series(stats: DataFrame) -> DataFrame:
     shows it is small (else a shuffle join).  Left to AQE, the join would
     shuffle every row before the small side's size is known."""
     from kestrel.functions.joins import checked_broadcast
-    from kestrel.session import materialize
 
     return checked_broadcast(materialize(stats, "series"))[0]
 

@@ -12,7 +12,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.fixed import ALLOWED_ACTIONS, SERVICES
+from kestrel.fixed import SERVICES
 from kestrel.functions.scans import previous_in_order
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -83,18 +83,17 @@ def load_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs_from_events(read_table(spark, sf_dir, "events"))
 
 
-def edges_from_logs(logs: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def edges_from_logs(logs: DataFrame) -> DataFrame:
     """Service-to-service observations: each log's predecessor for the same user.
 
     Equal to ``lag(service) OVER (PARTITION BY user_id ORDER BY timestamp,
-    event_id)``, computed by ``previous_in_order`` so that neither a user
-    nor a (user, hour) bucket holding a large share of rows is sorted in a
-    single task.  Rows without a predecessor are dropped.
+    event_id)``, computed by ``previous_in_order`` so that no user holding a
+    large share of rows is sorted in a single task.  Rows without a
+    predecessor, or whose predecessor has no service, are dropped.
     """
     x = logs.select("user_id", "timestamp", "event_id", "service", "latency_ms", "cpu_percent",
                     "memory_percent")
-    x = previous_in_order(x, "user_id", ["timestamp", "event_id"], "service", "from_service",
-                          bucket_us=bucket_seconds * 1_000_000)
+    x = previous_in_order(x, "user_id", ["timestamp", "event_id"], "service", "from_service")
     return (x.select("from_service",
                      F.col("service").alias("to_service"),
                      F.col("timestamp").alias("ts"),
@@ -125,8 +124,8 @@ def load_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands_from_logs(load_logs(spark, sf_dir))
 
 
-def diagnoses_from_logs(logs: DataFrame) -> DataFrame:
-    """Stored model output, one per ERROR log; every 17th is not JSON."""
+def diagnoses_from_logs(logs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Stored model output, one per ERROR log; every 17th is not JSON.  ``keep``: columns of the log to carry along."""
     action = _pick(F.col("k") % 6, DIAGNOSIS_ACTIONS)
     conf = F.concat(F.lit("0."), F.lpad(F.col("k").cast("string"), 2, "0"))
     raw = F.concat(
@@ -135,30 +134,25 @@ def diagnoses_from_logs(logs: DataFrame) -> DataFrame:
         F.lit(', "affected_service": "'), F.col("service"),
         F.lit('", "recommended_action": "'), action, F.lit('"}'))
     return (logs.where(F.col("error_count") == 1)
-            .select("event_id", "timestamp", "service",
+            .select("event_id", "timestamp", "service", *[F.col(c) for c in keep or []],
                     F.when(F.col("event_id") % 17 == 0, F.lit("not json"))
                      .otherwise(raw).alias("raw")))
 
 
-def load_diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnoses_from_logs(load_logs(spark, sf_dir))
-
-
-def feedback_from_diagnoses(diagnoses: DataFrame, logs: DataFrame) -> DataFrame:
+def feedback_from_diagnoses(d: DataFrame) -> DataFrame:
     """Ratings of stored analyses: positive when k is even, one minute after.
 
     Every third analysis is rated again two minutes after, with the rating
-    flipped, so 'latest rating per analysis' has work to do.
+    flipped, so 'latest rating per analysis' has work to do.  ``d`` carries ``k``
+    and the parsed analysis beside the diagnosis.
     """
-    d = diagnoses.join(logs.select("event_id", "k"), "event_id")
+    rest = [c for c in d.columns if c not in ("timestamp", "rating", "k")]
     first = d.select(
         (F.col("timestamp") + F.expr("INTERVAL 1 MINUTE")).alias("timestamp"),
-        F.when(F.col("k") % 2 == 0, "positive").otherwise("negative").alias("rating"),
-        "event_id", "raw")
+        F.when(F.col("k") % 2 == 0, "positive").otherwise("negative").alias("rating"), *rest)
     second = d.where(F.col("event_id") % 3 == 0).select(
         (F.col("timestamp") + F.expr("INTERVAL 2 MINUTES")).alias("timestamp"),
-        F.when(F.col("k") % 2 == 0, "negative").otherwise("positive").alias("rating"),
-        "event_id", "raw")
+        F.when(F.col("k") % 2 == 0, "negative").otherwise("positive").alias("rating"), *rest)
     return first.unionByName(second)
 
 
@@ -166,10 +160,6 @@ def load_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "embeddings")
 
 
-def allowed_actions() -> list[str]:
-    return list(ALLOWED_ACTIONS)
-
-
 def diagnoses_mixed(logs: DataFrame) -> DataFrame:
     """Stored diagnoses in both output schemas: odd event ids in schema B
     (bridge as a list when k is even), the rest as ``diagnoses_from_logs``."""
@@ -181,9 +171,6 @@ def diagnoses_mixed(logs: DataFrame) -> DataFrame:
         F.lit('{"SRE_DIAGNOSIS": "'), F.col("message"), F.lit('", "CONFIDENCE": '), conf,
         F.lit(', "CLI_MITIGATION": "'), action, F.lit('", "CAUSAL_BRIDGE": '), bridge,
         F.lit(', "SERVICE": "'), F.col("service"), F.lit('"}'))
-    a = diagnoses_from_logs(logs)
-    b = (logs.where(F.col("error_count") == 1)
-         .select("event_id", F.when((F.col("event_id") % 17 != 0) & (F.col("event_id") % 2 == 1), raw_b)
-                 .alias("raw_b")))
-    return (a.join(b, "event_id")
-            .select("event_id", "timestamp", "service", F.coalesce("raw_b", "raw").alias("raw")))
+    schema_b = F.when((F.col("event_id") % 17 != 0) & (F.col("event_id") % 2 == 1), raw_b)
+    d = diagnoses_from_logs(logs.withColumn("raw_b", schema_b), ["raw_b"])
+    return d.select("event_id", "timestamp", "service", F.coalesce("raw_b", "raw").alias("raw"))

@@ -189,8 +189,8 @@ def test_dag_confounders(spark):
     assert conf == {"db_lock_time"}
 
 
-def test_cooldown_doubling_equals_fold(spark):
-    # Dense candidates (one run) through the doubling path and the fold path.
+def test_cooldown_of_dense_candidates(spark):
+    # One run of candidates, cut into many segments and into one.
     import random
     rnd = random.Random(3)
     t, rows = 0.0, []
@@ -199,7 +199,7 @@ def test_cooldown_doubling_equals_fold(spark):
         rows.append(("k" + str(i % 2), i, T0 + timedelta(seconds=t)))
     c = spark.createDataFrame(rows, "service string, event_id long, timestamp timestamp_ntz")
     fold = {(r["service"], r["event_id"]) for r in timeseries.cooldown(c, 30).collect()}
-    dbl = {(r["service"], r["event_id"]) for r in timeseries.cooldown(c, 30, fold_max=5).collect()}
+    dbl = {(r["service"], r["event_id"]) for r in timeseries.cooldown(c, 30, segment_points=5).collect()}
     # brute force
     expect = set()
     for k in ("k0", "k1"):
@@ -250,5 +250,5 @@ def test_greedy_chase_matches_loop_across_batches():
     for cut in (1, 500, 1999):
         first = greedy_chase(t[:cut], c)
         last = int(t[:cut][first[-1]])
-        rest = [cut + i for i in greedy_chase(t[cut:], c, last)]
+        rest = [cut + i for i in greedy_chase(t[cut:], c, last + c)]
         assert first + rest == loop(t)

@@ -66,9 +66,9 @@ def test_bounded_plans_have_no_cartesian_or_single_partition_row_window(spark):
 
     logs = T.load_logs(spark, SF_SMALL)
     tc = _exec_plan(trailing_count(logs.where(F.col("error_count") >= 1).select("event_id", "timestamp", "service"),
-                                   300 * 10**6, ["service"], max_cell_rows=0))
+                                   300 * 10**6, ["service"]))
     lag = _exec_plan(previous_in_order(logs.select("user_id", "timestamp", "event_id", "service"), "user_id",
-                                       ["timestamp", "event_id"], "service", "prev", max_cell_rows=0))
+                                       ["timestamp", "event_id"], "service", "prev"))
     for plan in (tc, lag):
         assert "CartesianProduct" not in plan
     assert "SinglePartition" not in tc
