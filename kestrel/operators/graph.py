@@ -17,13 +17,14 @@ from kestrel.fixed import (EDGE_KEEP, GLOBAL_KEEP, MATCH_TOLERANCE_SECONDS,
                            NEIGHBOR_WINDOW_SECONDS, PRUNE_SECONDS, TTL_SECONDS)
 from kestrel.functions.exprs import epoch_micros
 from kestrel.functions.scans import join_on
+from kestrel.session import materialize
+from kestrel.sources.files import by_date
 
 
 def edge_append(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
     """Append observations to a Parquet table partitioned by date; return the table."""
-    (batch.withColumn("dt", F.to_date("ts"))
-     .write.mode("append").partitionBy("dt").parquet(path))
-    return spark.read.parquet(path).drop("dt")
+    by_date(batch.withColumn("dt", F.to_date("ts"))).write.mode("append").partitionBy("dt").parquet(path)
+    return spark.read.schema(batch.schema.add("dt", "date")).parquet(path).drop("dt")
 
 
 def topology_edges(edges: DataFrame) -> DataFrame:
@@ -87,9 +88,24 @@ def edge_last_n(edges: DataFrame, n: int = EDGE_KEEP) -> DataFrame:
     return edges.withColumn("recency", F.row_number().over(w)).where(F.col("recency") <= n)
 
 
-def global_last_n(edges: DataFrame, n: int = GLOBAL_KEEP) -> DataFrame:
-    """Newest ``n`` observations overall (TakeOrderedAndProject, no full sort)."""
-    return edges.orderBy(F.col("seq").desc()).limit(n)
+def global_last_n(edges: DataFrame, n: int = GLOBAL_KEEP, slice_rows: int = 4096) -> DataFrame:
+    """Newest ``n`` observations overall (by arrival order).
+
+    Two steps: counts per slice of ``slice_rows`` arrival numbers (partial +
+    final aggregate) give the first slice that can hold one of the newest
+    ``n``; only rows from there on are ordered, so the last task sees little
+    more than ``n`` rows however many tasks scan the table.
+    """
+    slices = edges.where(F.col("seq").isNotNull()).groupBy(F.floor(F.col("seq") / slice_rows).alias("s")).count()
+    newest = slices.orderBy(F.col("s").desc()).limit(n).collect()        # n numbers at most
+    total, cut = 0, None
+    for r in newest:
+        total, cut = total + r["count"], r["s"]
+        if total >= n:
+            break
+    if total >= n:
+        edges = edges.where(F.col("seq") >= cut * slice_rows)
+    return edges.orderBy(F.col("seq").desc_nulls_last()).limit(n)
 
 
 def k_hop(edges: DataFrame, target: str, k: int = 2, upstream: bool = True) -> DataFrame:
@@ -111,29 +127,39 @@ def k_hop(edges: DataFrame, target: str, k: int = 2, upstream: bool = True) -> D
             .groupBy("service").agg(F.min("hop").alias("hop")))
 
 
-def reachability(edges: DataFrame, max_iterations: int = 64) -> DataFrame:
+def reachability(edges: DataFrame) -> DataFrame:
     """Transitive closure (ancestor, descendant, fewest hops) of the edge set.
 
-    Semi-naive iteration over the distinct edge set: each round joins only
-    the pairs found in the previous round.  The closure is checkpointed
-    every round to the shared checkpoint folder, which cuts lineage and
-    survives lost executors.  Stops when a round adds nothing.
+    Semi-naive iteration over the distinct edge set, written once: each round
+    joins only the pairs found in the previous round and writes only what is
+    new, until a round adds nothing (no cap on rounds).
     """
-    e = edges.select(F.col("from_service").alias("a"), F.col("to_service").alias("b")).distinct()
-    closure = e.withColumn("hops", F.lit(1)).checkpoint()
-    delta = closure
-    for i in range(2, max_iterations + 1):
-        step = (delta.select("a", F.col("b").alias("m")).join(e.select(F.col("a").alias("m"), "b"), "m")
-                .select("a", "b").distinct())
-        new = step.join(closure.select("a", "b"), ["a", "b"], "left_anti").withColumn("hops", F.lit(i))
-        new = new.checkpoint()
-        if new.isEmpty():
-            break
-        closure = closure.unionByName(new).checkpoint()
-        delta = new
+    e = materialize(edges.select(F.col("from_service").alias("a"), F.col("to_service").alias("b"))
+                    .where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct(), "edge_set")
+    step = e.select(F.col("a").alias("m"), F.col("b"))
+    closure = delta = e.withColumn("hops", F.lit(1))
+    hops = 1
+    while not delta.isEmpty():
+        hops += 1
+        found = delta.select("a", F.col("b").alias("m")).join(step, "m").select("a", "b").distinct()
+        delta = materialize(found.join(closure.select("a", "b"), ["a", "b"], "left_anti")
+                            .withColumn("hops", F.lit(hops)), "closure")
+        closure = closure.unionByName(delta)
     return closure.select(F.col("a").alias("ancestor"), F.col("b").alias("descendant"), "hops")
 
 
+def ancestors(edges: DataFrame, target: str) -> DataFrame:
+    """Every service from which ``target`` can be reached (its ancestors alone, not the whole closure)."""
+    e = materialize(edges.select(F.col("from_service").alias("a"), F.col("to_service").alias("b"))
+                    .where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct(), "edge_set")
+    found = delta = e.where(F.col("b") == target).select("a").distinct()
+    while not delta.isEmpty():
+        step = delta.select(F.col("a").alias("b")).join(e, "b").select("a").distinct()
+        delta = materialize(step.join(found, "a", "left_anti"), "ancestors")
+        found = found.unionByName(delta)
+    return found.select(F.col("a").alias("ancestor"))
+
+
 def dag_confounders(dag: DataFrame, treatment: str, outcome: str) -> DataFrame:
     """Common ancestors of treatment and outcome, given a (cause, effect) DAG.
 
@@ -142,10 +168,9 @@ def dag_confounders(dag: DataFrame, treatment: str, outcome: str) -> DataFrame:
     confounders.
     """
     e = dag.select(F.col("cause").alias("from_service"), F.col("effect").alias("to_service"))
-    anc_t = reachability(e).where(F.col("descendant") == treatment).select("ancestor")
     e_wo = e.where((F.col("from_service") != treatment) & (F.col("to_service") != treatment))
-    anc_y = reachability(e_wo).where(F.col("descendant") == outcome).select("ancestor")
-    return anc_t.join(anc_y, "ancestor").distinct().withColumnRenamed("ancestor", "confounder")
+    return (ancestors(e, treatment).join(ancestors(e_wo, outcome), "ancestor").distinct()
+            .withColumnRenamed("ancestor", "confounder"))
 
 
 def edge_obs_match(log: DataFrame, store: DataFrame,

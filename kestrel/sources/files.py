@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType, StructField,
+from pyspark.sql.types import (DateType, DoubleType, IntegerType, LongType, StringType, StructField,
                                StructType, TimestampNTZType)
 
 from kestrel.functions.exprs import iso_text
@@ -42,6 +42,14 @@ def read_logs_csv(spark: SparkSession, path: str, schema: StructType = LOGS_SCHE
             .option("timestampNTZFormat", TS_FORMAT).option("mode", "PERMISSIVE").csv(path))
 
 
+def by_date(df: DataFrame, files_per_date: int = 8) -> DataFrame:
+    """``df`` (with ``dt``) dealt out by date and a hash of the row, ahead of a write partitioned by ``dt``: a
+    date gets at most ``files_per_date`` files per write, and a hot date is split over as many tasks."""
+    salt = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if "map" not in t]), F.lit(files_per_date))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "dt", salt)
+
+
 # ---- JSON submissions --------------------------------------------------------
 
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:
@@ -50,51 +58,83 @@ def read_submissions(spark: SparkSession, path: str) -> DataFrame:
             .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
 
 
+# Calendar date, then optionally any one separator, hours to microseconds, and an offset (the forms that
+# datetime.fromisoformat takes for calendar dates in extended notation).
+ISO_PATTERN = (r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,](\d{3}|\d{6}))?)?)?"
+               r"(Z|[+-]\d{2}(:?\d{2}(:?\d{2})?)?)?)?$")
+
+
+def iso_timestamp(text):
+    """ISO-8601 text as a UTC wall-clock time; NULL where it isn't one.  A time without an offset is UTC."""
+    hour_only = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(Z|[+-].*)?$", "$1:00$2")
+    offset = F.regexp_replace(hour_only, r"([+-]\d{2}):?(\d{2})$", "$1:$2")
+    whole = F.regexp_replace(F.regexp_replace(offset, r"([T ][^+-]*[+-]\d{2})$", "$1:00"), ",", ".")
+    return F.when(text.rlike(ISO_PATTERN), whole.try_cast("timestamp")).cast("timestamp_ntz")
+
+
 def split_submissions(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, quarantine).  Good rows: well-formed, service present, ISO
-    timestamp parsed; ``level`` defaults to INFO; ``latency`` -> latency_ms."""
-    ts = F.try_to_timestamp(F.col("timestamp"), F.lit(TS_FORMAT)).cast("timestamp_ntz")
-    typed = raw.select("*", ts.alias("_ts"))
+    """(good, quarantine).  Good rows: well-formed JSON with service, an ISO
+    timestamp of any form, latency and message; ``level`` defaults to INFO;
+    ``latency`` -> latency_ms.  The quarantine keeps the first reason."""
+    typed = raw.select("*", iso_timestamp(F.col("timestamp")).alias("_ts"))
     reason = (F.when(F.col("_corrupt_record").isNotNull(), "malformed")
               .when(F.col("service").isNull(), "missing_service")
-              .when(F.col("_ts").isNull(), "bad_timestamp"))
+              .when(F.col("_ts").isNull(), "bad_timestamp")
+              .when(F.col("latency").isNull(), "missing_latency")
+              .when(F.col("message").isNull(), "missing_message"))
     typed = typed.withColumn("reason", reason)
     good = typed.where(F.col("reason").isNull()).select(
         "request_id", F.col("_ts").alias("timestamp"), "service",
         F.coalesce(F.col("level"), F.lit("INFO")).alias("level"),
         F.col("latency").alias("latency_ms"), "message")
-    bad = typed.where(F.col("reason").isNotNull()).select("reason", "_corrupt_record", "timestamp")
+    bad = typed.where(F.col("reason").isNotNull()).select("reason", "_corrupt_record", "request_id", "timestamp", "service")
     return good, bad
 
 
 # ---- log store -----------------------------------------------------------------
 
+STORE_SCHEMA = StructType([StructField("id", StringType()), *LOGS_SCHEMA, StructField("dt", DateType())])
+
+
 def store_id(ts_col: str = "timestamp", service_col: str = "service"):
     return F.concat_ws("_", iso_text(F.col(ts_col)), F.col(service_col))
 
 
-def log_store_append(spark: SparkSession, path: str, batch: DataFrame, exists: bool) -> DataFrame:
+def bulk_id(ts_col: str = "timestamp", index_col: str = "event_id"):
+    """``log_{iso timestamp}_{index}``: two logs of a service at one time stay two."""
+    return F.concat_ws("_", F.lit("log"), iso_text(F.col(ts_col)), F.col(index_col).cast("string"))
+
+
+def log_store_append(spark: SparkSession, path: str, batch: DataFrame, exists: bool, bulk: bool = False) -> DataFrame:
     """Append a batch to the partitioned Parquet store; an existing id is kept.
 
-    Ids are ``{iso timestamp}_{service}``; within the batch the lowest
-    event_id wins (an aggregate, not a window).  The anti join against the
-    store is keyed by (dt, id): dt is the partition column, so only the
-    batch's dates are read from the store.
+    Ids are ``{iso timestamp}_{service}``, or with ``bulk``
+    ``log_{iso timestamp}_{event_id}``; within the batch the lowest
+    event_id wins (an aggregate, not a window).  The anti join reads the
+    store's partitions between the batch's first and last date only (two
+    dates reach the driver); rows without a time go to the partition without a date.
     """
-    b = batch.withColumn("id", store_id()).withColumn("dt", F.to_date("timestamp"))
+    b = batch.withColumn("id", bulk_id() if bulk else store_id()).withColumn("dt", F.to_date("timestamp"))
     cols = [c for c in LOG_STORE_COLUMNS if c != "id"] + ["dt"]
     first = F.min_by(F.struct(*cols), "event_id")
     b = b.groupBy("id").agg(first.alias("r")).select("id", "r.*")
     if exists:
-        old = spark.read.parquet(path).select("dt", "id")
-        b = b.join(old, ["dt", "id"], "left_anti")
-    b.select(*LOG_STORE_COLUMNS, "dt").write.mode("append").partitionBy("dt").parquet(path)
-    return spark.read.parquet(path)
+        lo, hi = batch.agg(F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))).first()
+        old = log_store(spark, path).select("dt", "id")
+        here = F.col("dt").between(F.lit(lo), F.lit(hi)) if lo else F.lit(False)
+        b = b.join(old.where(here | F.col("dt").isNull()).select("id"), "id", "left_anti")
+    by_date(b.select(*LOG_STORE_COLUMNS, "dt")).write.mode("append").partitionBy("dt").parquet(path)
+    return log_store(spark, path)
+
+
+def log_store(spark: SparkSession, path: str) -> DataFrame:
+    """The store's table, by its known schema (it may hold no row)."""
+    return spark.read.schema(STORE_SCHEMA).parquet(path)
 
 
 def log_store_scan(spark: SparkSession, path: str, columns: list[str] | None = None,
                    where=None) -> DataFrame:
-    df = spark.read.parquet(path)
+    df = log_store(spark, path)
     if where is not None:
         df = df.where(where)
     return df.select(*(columns or LOG_STORE_COLUMNS))
@@ -104,12 +144,11 @@ def log_store_retention(spark: SparkSession, path: str, new_path: str, keep_afte
     """Rewrite the store keeping rows newer than ``keep_after`` (strict).
 
     The dt predicate prunes whole partitions; the row predicate trims the
-    boundary day.  A full wipe is the case where no row is kept.
+    boundary day.  A full wipe, where no row is kept, leaves an empty store.
     """
-    df = spark.read.parquet(path)
-    kept = df.where((F.col("dt") >= F.to_date(keep_after)) & (F.col("timestamp") > keep_after))
-    kept.write.mode("overwrite").partitionBy("dt").parquet(new_path)
-    return spark.read.parquet(new_path)
+    kept = log_store(spark, path).where((F.col("dt") >= F.to_date(keep_after)) & (F.col("timestamp") > keep_after))
+    by_date(kept).write.mode("overwrite").partitionBy("dt").parquet(new_path)
+    return log_store(spark, new_path)
 
 
 # ---- feedback ------------------------------------------------------------------
