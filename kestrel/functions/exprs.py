@@ -13,9 +13,13 @@ def col_or_null(df, name: str, dtype: str = "double") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(dtype)
 
 
+NUMBER_PATTERN = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+
+
 def to_number(c: Column) -> Column:
     """Coerce to double; unparsable text and NaN become NULL."""
-    d = c.try_cast("double")
+    text = F.trim(c.cast("string"))
+    d = F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))       # a bare cast also takes 12d and 12f
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
 
 

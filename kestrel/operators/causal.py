@@ -132,8 +132,13 @@ def ate_hetero(df: DataFrame, treatment: str = TREATMENT, outcome: str = OUTCOME
 
 
 def placebo_hash(event_id: Column, sim: Column) -> Column:
-    """Deterministic uniform(0,1) placebo from (row id, simulation)."""
-    return (((event_id % 1000003) * 7919 + sim * 104729) % 1000003).cast("double") / 1000003.0
+    """Deterministic uniform(0,1) placebo from (row id, simulation).
+
+    The simulation is in the multiplier of a quadratic residue, so the draws
+    of two simulations aren't shifts of one another.
+    """
+    x = ((event_id % 1000003) * 7919 + sim * 104729) % 1000003
+    return ((x * x + event_id % 1000003 * sim * 15485863) % 1000003).cast("double") / 1000003.0
 
 
 def placebo_refute(df: DataFrame, simulations: int = 20, treatment: str = TREATMENT,

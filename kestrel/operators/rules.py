@@ -110,18 +110,18 @@ def action_gate(parsed: DataFrame, threshold: float = ACTION_CONFIDENCE) -> Data
 
 
 def action_validate(parsed: DataFrame) -> DataFrame:
-    """Per row: action in the allowed list, confidence within [0, 1]."""
+    """Per row: action in the allowed list, confidence within [0, 1]; a missing one is neither."""
     return parsed.select(
         "*",
-        F.col("recommended_action").isin(*ALLOWED_ACTIONS).alias("action_allowed"),
-        F.col("confidence_score").between(0.0, 1.0).alias("confidence_in_range"))
+        F.coalesce(F.col("recommended_action").isin(*ALLOWED_ACTIONS), F.lit(False)).alias("action_allowed"),
+        F.coalesce(F.col("confidence_score").between(0.0, 1.0), F.lit(False)).alias("confidence_in_range"))
 
 
 def validation_summary(validated: DataFrame) -> DataFrame:
     return validated.agg(
         F.count(F.lit(1)).alias("diagnoses"),
         F.count_if(~F.col("action_allowed")).alias("bad_action"),
-        F.count_if(~F.coalesce(F.col("confidence_in_range"), F.lit(False))).alias("bad_confidence"),
+        F.count_if(~F.col("confidence_in_range")).alias("bad_confidence"),
         F.count_if(F.col("action_allowed") & F.col("confidence_in_range")).alias("valid"))
 
 

@@ -17,8 +17,10 @@ from kestrel.functions.joins import BROADCAST_MAX_ROWS, checked_broadcast
 
 
 def _topn(pairs: DataFrame, n: int) -> DataFrame:
+    """Ranked on the raw score; rounded only in the result."""
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("vec_id"))
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return (pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+            .withColumn("similarity", F.round("similarity", 6)))
 
 
 def knn(corpus: DataFrame, queries: DataFrame, n: int = 5, filter_col: str | None = "label",
@@ -45,8 +47,7 @@ def knn(corpus: DataFrame, queries: DataFrame, n: int = 5, filter_col: str | Non
         pairs = c.join(qb, c["fkey"] == qb["query_filter"], "inner")
         if exclude_self:
             pairs = pairs.where(F.col("vec_id") != F.col("query_id"))
-        pairs = pairs.select("query_id", "vec_id",
-                             F.round(cosine_similarity(F.col("vec"), F.col("query_vec")), 6).alias("similarity"))
+        pairs = pairs.select("query_id", "vec_id", cosine_similarity(F.col("vec"), F.col("query_vec")).alias("similarity"))
         return _topn(pairs, n)
 
     if blocks == 1:
@@ -97,7 +98,7 @@ def knn_lsh(corpus: DataFrame, queries: DataFrame, n: int = 5, bucket_length: fl
                                       numHashTables=num_tables, seed=seed).fit(cv)
     cand = lsh.approxSimilarityJoin(qv, cv, threshold, distCol="dist")
     pairs = cand.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"),
-                        F.round(cosine_similarity(F.col("datasetB.vec"), F.col("datasetA.query_vec")), 6)
+                        cosine_similarity(F.col("datasetB.vec"), F.col("datasetA.query_vec"))
                         .alias("similarity")).where(F.col("vec_id") != F.col("query_id"))
     return _topn(pairs, n)
 
@@ -114,7 +115,7 @@ def text_embed(docs: DataFrame, text: str = "text", id_col: str = "doc_id", dim:
     from pyspark.ml.functions import vector_to_array
 
     pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="_tok", pattern="\\W+", toLowercase=True),
+        RegexTokenizer(inputCol=text, outputCol="_tok", pattern="(?U)\\W+", toLowercase=True),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim),
         IDF(inputCol="_tf", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol="_unit", p=2.0)])
@@ -149,21 +150,26 @@ def rules_frame(spark: SparkSession, rules=None) -> DataFrame:
 
 
 def scenario_match(logs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Best-priority scenario rule matching each log (theta join).
+    """Best-priority scenario rule matching each log.
 
-    The rule table is a fixed handful of rows, broadcast; the join keeps the
-    service equality as its hash key and evaluates thresholds as the join
-    condition.  Best priority per log by min_by (an aggregate, no window).
+    The rules are a fixed handful: one small array (a scalar subquery) sorted
+    by priority; the first one that fits is taken in the projection, so no
+    log is shuffled.
     """
-    r = F.broadcast(rules.withColumnRenamed("service", "rule_service"))
-    cond = ((logs["service"] == r["rule_service"])
-            & (r["min_latency"].isNull() | (logs["latency_ms"] >= r["min_latency"]))
-            & (r["lock_below"].isNull() | (logs["db_lock_time"] < r["lock_below"]))
-            & (r["min_lock"].isNull() | (logs["db_lock_time"] >= r["min_lock"]))
-            & (r["min_pool"].isNull() | (logs["pool_wait_ms"] >= r["min_pool"])))
-    m = logs.join(r, cond)
-    best = F.min_by(F.struct("rule_id", "diagnosis", "expected_action"), "priority")
-    return (m.groupBy("event_id", "service").agg(best.alias("b"))
+    fields = ["priority", "rule_id", "service", "min_latency", "lock_below", "min_lock", "min_pool", "diagnosis",
+              "expected_action"]
+    table = rules.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("r")).scalar()
+
+    def fits(r):
+        return ((r["service"] == F.col("service"))
+                & (r["min_latency"].isNull() | (F.col("latency_ms") >= r["min_latency"]))
+                & (r["lock_below"].isNull() | (F.col("db_lock_time") < r["lock_below"]))
+                & (r["min_lock"].isNull() | (F.col("db_lock_time") >= r["min_lock"]))
+                & (r["min_pool"].isNull() | (F.col("pool_wait_ms") >= r["min_pool"])))
+    fields = ("event_id", "service", "latency_ms", "db_lock_time", "pool_wait_ms")
+    ruled = logs.select(*fields, table.alias("rules"))
+    best = F.get(F.filter("rules", fits), F.lit(0))
+    return (ruled.select("event_id", "service", best.alias("b")).where(F.col("b").isNotNull())
             .select("event_id", "service", "b.rule_id", "b.diagnosis", "b.expected_action"))
 
 
