@@ -152,9 +152,10 @@ SELECT 'pool_wait_ms' AS treatment, 'error_count' AS outcome,
   round(max(gm.gamma), 10) AS confounder_slope, max(gm.excluded_groups) AS excluded_groups
 FROM q, gm WHERE q.ok""")
 
-_PLACEBO_SRC = """ps AS (SELECT c.service, c.db_lock_time, c.error_count, s.sim,
-   CAST((((c.event_id % 1000003) * 7919 + s.sim * 104729) % 1000003) AS DOUBLE) / CAST(1000003 AS DOUBLE) AS placebo
-   FROM clean c, (SELECT CAST(unnest(generate_series(1, 20)) AS INTEGER) AS sim) s)"""
+_PLACEBO_SRC = """ps AS (SELECT c.service, c.db_lock_time, c.error_count, CAST(c.sim AS INTEGER) AS sim,
+   CAST((c.x * c.x + c.event_id % 1000003 * c.sim * 15485863) % 1000003 AS DOUBLE) / CAST(1000003 AS DOUBLE) AS placebo
+   FROM (SELECT *, ((event_id % 1000003) * 7919 + sim * 104729) % 1000003 AS x
+         FROM clean, (SELECT CAST(unnest(generate_series(1, 20)) AS BIGINT) AS sim)) c)"""
 
 oracle("placebo_refute", f"""WITH {CLEAN}, {_PLACEBO_SRC}, {_ate_sql('placebo', _W, _Y, 'ps', by_sim=True)}
 SELECT sim, round(beta, 10) AS placebo_effect, round(beta / se, 6) AS placebo_t FROM s""")
@@ -378,9 +379,10 @@ def _cos(a, b):
 
 def _knn_sql(q_cte, n):
     return f"""WITH {q_cte},
-p AS (SELECT q.query_id, e.vec_id, round({_cos('e.embedding', 'q.query_vec')}, 6) AS similarity
+p AS (SELECT q.query_id, e.vec_id, {_cos('e.embedding', 'q.query_vec')} AS similarity
       FROM embeddings e JOIN q ON e.label = q.query_filter WHERE e.vec_id <> q.query_id)
-SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank
+SELECT query_id, vec_id, round(similarity, 6) AS similarity, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank
   FROM p) WHERE rank <= {n}"""
 
 
@@ -542,12 +544,44 @@ _STORE = ('event_id, "timestamp", service, level, message, latency_ms, db_lock_t
 oracle("src_logs_csv", f"SELECT {_STORE} FROM logs")
 oracle("sink_logs_csv", """SELECT service, level, count(*) AS "rows", round(sum(latency_ms), 4) AS latency_sum
   FROM logs GROUP BY 1, 2""")
-oracle("src_submissions", """SELECT event_id AS request_id, "timestamp", service,
+_SUBMITTED_TS = """CASE WHEN event_id % 5 = 0 THEN date_trunc('second', "timestamp") ELSE "timestamp" END AS "timestamp\""""
+_ACCEPTED = "event_id % 13 <> 0 AND event_id % 29 <> 0 AND event_id % 31 <> 0 AND event_id % 37 <> 0"
+oracle("src_submissions", f"""SELECT event_id AS request_id, {_SUBMITTED_TS}, service,
   CASE WHEN event_id % 7 = 0 THEN 'INFO' ELSE level END AS level, latency_ms, message
-  FROM logs WHERE event_id % 13 <> 0 AND event_id % 29 <> 0""")
-oracle("submissions_quarantine", """SELECT reason, count(*) AS "rows" FROM (
-  SELECT CASE WHEN event_id % 13 = 0 THEN 'malformed' ELSE 'bad_timestamp' END AS reason
-  FROM logs WHERE event_id % 13 = 0 OR event_id % 29 = 0) GROUP BY 1""")
+  FROM logs WHERE {_ACCEPTED}""")
+oracle("submissions_quarantine", f"""SELECT reason, count(*) AS "rows" FROM (
+  SELECT CASE WHEN event_id % 13 = 0 THEN 'malformed' WHEN event_id % 29 = 0 THEN 'bad_timestamp'
+              WHEN event_id % 31 = 0 THEN 'missing_latency' ELSE 'missing_message' END AS reason
+  FROM logs WHERE NOT ({_ACCEPTED})) GROUP BY 1""")
+ORACLES["stream_quarantine"] = ORACLES["submissions_quarantine"]
+oracle("log_store_append_bulk", f"""SELECT 'log_' || strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') || '_' || event_id AS id, {_STORE}
+  FROM logs""")
+oracle("log_store_wipe", f"""SELECT '' AS id, {_STORE} FROM logs WHERE false""")
+_NULLS = """burst_in AS (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN service END AS service,
+  CASE WHEN event_id % 13 <> 0 THEN date_trunc('minute', "timestamp") END AS "timestamp"
+  FROM logs WHERE error_count >= 1),
+burst AS (SELECT event_id, "timestamp", service, cnt AS errors_in_window, cnt > 3 AS anomaly FROM (
+  SELECT *, CASE WHEN "timestamp" IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY service ORDER BY epoch_us("timestamp")
+         RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) END AS cnt FROM burst_in))"""
+oracle("error_burst_nulls", f"WITH {_NULLS} SELECT * FROM burst")
+oracle("cooldown_nulls", f"""WITH RECURSIVE {_NULLS}, cand AS (SELECT service, event_id, "timestamp" FROM burst WHERE anomaly),
+fire(service, fired_at, event_id) AS (
+  SELECT service, "timestamp", event_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY service ORDER BY "timestamp", event_id) AS rn FROM cand) WHERE rn = 1
+  UNION ALL
+  SELECT f.service, n."timestamp", n.event_id FROM fire f, LATERAL (
+    SELECT c."timestamp", c.event_id FROM cand c
+    WHERE c.service IS NOT DISTINCT FROM f.service AND c."timestamp" >= f.fired_at + INTERVAL 1800 SECOND
+    ORDER BY c."timestamp", c.event_id LIMIT 1) n)
+SELECT service, fired_at, event_id FROM fire""")
+oracle("topology_edges_nulls", """SELECT from_service, to_service, count(*) AS observations, max(ts) AS last_ts FROM (
+  SELECT lag(service) OVER (PARTITION BY user_id ORDER BY "timestamp" NULLS FIRST, event_id) AS from_service,
+         service AS to_service, "timestamp" AS ts
+  FROM (SELECT event_id, CASE WHEN event_id % 17 <> 0 THEN user_id % 3 END AS user_id,
+               CASE WHEN event_id % 11 <> 0 THEN service END AS service,
+               CASE WHEN event_id % 13 <> 0 THEN date_trunc('minute', "timestamp") END AS "timestamp" FROM logs))
+  WHERE from_service IS NOT NULL GROUP BY 1, 2""")
+oracle("dag_confounders", """SELECT 'db_lock_time' AS confounder""")
 _STORE_ROWS = f"""store AS (SELECT * FROM (
   SELECT strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') || '_' || service AS id, {_STORE},
          row_number() OVER (PARTITION BY strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') || '_' || service
@@ -573,9 +607,15 @@ oracle("feedback_counts", f"WITH {_FB} SELECT rating, count(*) AS analyses FROM
 # ---- 2.9 streaming: batch twins ----------------------------------------------------
 ORACLES["stream_burst"] = ORACLES["burst_sliding"]
 ORACLES["stream_cooldown"] = ORACLES["cooldown"]
-ORACLES["stream_ingest"] = with_views("""SELECT event_id AS request_id, "timestamp", service,
+ORACLES["stream_ingest"] = with_views(f"""SELECT event_id AS request_id, {_SUBMITTED_TS}, service,
   CASE WHEN event_id % 7 = 0 THEN 'INFO' ELSE level END AS level, latency_ms, message,
   CAST(CASE WHEN (CASE WHEN event_id % 7 = 0 THEN 'INFO' ELSE level END) = 'ERROR' THEN 1 ELSE 0 END AS INTEGER) AS error_count
-  FROM logs WHERE event_id % 13 <> 0 AND event_id % 29 <> 0""")
+  FROM logs WHERE {_ACCEPTED}""")
+_REPEATED = "(event_id % 10 = 0 AND event_id % 3 <> 2)"
+ORACLES["stream_metrics"] = with_views(f"""SELECT count(*) + count(*) FILTER (WHERE {_REPEATED}) AS submitted,
+  count(*) FILTER (WHERE {_ACCEPTED}) AS accepted,
+  count(*) FILTER (WHERE NOT ({_ACCEPTED})) + count(*) FILTER (WHERE NOT ({_ACCEPTED}) AND {_REPEATED}) AS refused,
+  count(*) FILTER (WHERE {_ACCEPTED} AND {_REPEATED}) AS repeated,
+  count(*) FILTER (WHERE {_ACCEPTED} AND event_id % 7 <> 0 AND level = 'ERROR') AS errors FROM logs""")
 ORACLES["stream_actions"] = ORACLES["action_gate"]
 ORACLES["stream_node_state"] = ORACLES["node_state"]

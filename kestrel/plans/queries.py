@@ -213,6 +213,28 @@ def q_error_burst_global(spark, sf):
     return ts.error_burst(T.load_logs(spark, sf), minutes=5, per_service=False)
 
 
+def _with_nulls(logs, **every):
+    """Times cut to the minute (ties), and every n-th value of the named columns NULL."""
+    logs = logs.withColumn("timestamp", F.date_trunc("minute", "timestamp").cast("timestamp_ntz"))
+    return logs.withColumns({c: F.when(F.col("event_id") % n != 0, F.col(c)) for c, n in every.items()})
+
+
+@query("error_burst_nulls")
+def q_error_burst_nulls(spark, sf):
+    return ts.error_burst(_with_nulls(T.load_logs(spark, sf), service=11, timestamp=13), minutes=BURST_FIXTURE_MINUTES)
+
+
+@query("cooldown_nulls")
+def q_cooldown_nulls(spark, sf):
+    return ts.cooldown(q_error_burst_nulls(spark, sf).where("anomaly"), seconds=1800)
+
+
+@query("topology_edges_nulls")
+def q_topology_edges_nulls(spark, sf):
+    logs = _with_nulls(T.load_logs(spark, sf).withColumn("user_id", F.col("user_id") % 3), service=11, timestamp=13, user_id=17)
+    return graph.topology_edges(T.edges_from_logs(logs))
+
+
 @query("burst_sliding")
 def q_burst_sliding(spark, sf):
     return ts.burst_sliding(T.load_logs(spark, sf))
@@ -280,7 +302,7 @@ def q_status_timeline(spark, sf):
 
 # ---- 2.6 temporal service graph -------------------------------------------
 from kestrel.operators import graph  # noqa: E402
-from kestrel.session import scratch_path  # noqa: E402
+from kestrel.session import materialize, scratch_path  # noqa: E402
 
 GRAPH_WINDOW_S = 86400.0        # neighbour window for the fixture (1 day)
 PRUNE_AGE_S = 7 * 86400.0       # keep one week in the prune fixture
@@ -355,6 +377,16 @@ def q_reachability(spark, sf):
     return graph.reachability(_edges(spark, sf))
 
 
+@query("dag_confounders")
+def q_dag_confounders(spark, sf):
+    """Confounders of the causal graph's treatment and outcome; edges that the logs' metrics can show are kept."""
+    from kestrel.fixed import CAUSAL_EDGES, OUTCOME, TREATMENT
+    seen = T.load_logs(spark, sf).agg(*[F.count(c).alias(c) for c in METRICS])
+    names = seen.select(F.explode(F.array(*[F.when(F.col(c) > 0, F.lit(c)) for c in METRICS])).alias("cause"))
+    dag = spark.createDataFrame(CAUSAL_EDGES, "cause string, effect string").join(names, "cause")
+    return graph.dag_confounders(dag, TREATMENT, OUTCOME)
+
+
 @query("edge_obs_match")
 def q_edge_obs_match(spark, sf):
     e = _edges(spark, sf)
@@ -471,8 +503,7 @@ def q_top_k_history_per_target(spark, sf):
     return agg.top_k_history(rules.action_gate(_parsed(spark, sf)), 20, per="target")
 
 
-# ---- 2.1 sources and sinks; 2.9 generators --------------------------------
-from kestrel.operators import synth  # noqa: E402
+# ---- 2.1 sources and sinks --------------------------------
 from kestrel.sources import files  # noqa: E402
 
 STORE_COLS = ["event_id", "timestamp", "service", "level", "message", "latency_ms", "db_lock_time",
@@ -498,15 +529,21 @@ def q_sink_logs_csv(spark, sf):
 
 
 def submissions_text(logs):
-    """Log submissions as JSON lines: level omitted on every 7th, a bad
-    timestamp on every 29th, and every 13th line cut short (malformed)."""
+    """Log submissions as JSON lines: times with and without fraction and
+    offset, level omitted on every 7th, latency on every 31st, message on every
+    37th, a bad timestamp on every 29th, and every 13th line cut short (malformed)."""
+    ts, n = F.col("timestamp"), F.col("event_id")
     body = F.to_json(F.struct(
-        F.col("event_id").alias("request_id"),
-        F.when(F.col("event_id") % 29 == 0, F.lit("yesterday"))
-         .otherwise(files.iso_text(F.col("timestamp"))).alias("timestamp"),
+        n.alias("request_id"),
+        F.when(n % 29 == 0, F.lit("yesterday"))
+         .when(n % 5 == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
+         .when(n % 5 == 1, F.concat(files.iso_text(ts), F.lit("Z")))
+         .when(n % 5 == 2, F.concat(files.iso_text(ts + F.expr("INTERVAL 2 HOURS")), F.lit("+02:00")))
+         .otherwise(files.iso_text(ts)).alias("timestamp"),
         "service",
-        F.when(F.col("event_id") % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("level")).alias("level"),
-        F.col("latency_ms").alias("latency"), "message"))
+        F.when(n % 7 != 0, F.col("level")).alias("level"),
+        F.when(n % 31 != 0, F.col("latency_ms")).alias("latency"),
+        F.when(n % 37 != 0, F.col("message")).alias("message")))
     return logs.select(F.when(F.col("event_id") % 13 == 0, F.substring(body, 1, 20)).otherwise(body).alias("value"))
 
 
@@ -539,6 +576,22 @@ def q_log_store_append(spark, sf):
     return files.log_store_scan(spark, _store(spark, sf))
 
 
+@query("log_store_append_bulk")
+def q_log_store_append_bulk(spark, sf):
+    logs = T.load_logs(spark, sf).select(*STORE_COLS)
+    path = scratch_path(spark, "log_store_bulk")
+    files.log_store_append(spark, path, logs.where(F.col("timestamp") < T.ts_ntz("2024-01-20 00:00:00")), False, bulk=True)
+    later = logs.where(F.col("timestamp") >= T.ts_ntz("2024-01-15 00:00:00"))
+    return files.log_store_append(spark, path, later, True, bulk=True).select(*files.LOG_STORE_COLUMNS)
+
+
+@query("log_store_wipe")
+def q_log_store_wipe(spark, sf):
+    wiped = files.log_store_retention(spark, _store(spark, sf), scratch_path(spark, "log_store_wiped"),
+                                      T.ts_ntz("2100-01-01 00:00:00"))
+    return wiped.select(*files.LOG_STORE_COLUMNS)
+
+
 @query("log_store_scan")
 def q_log_store_scan(spark, sf):
     return files.log_store_scan(spark, _store(spark, sf),
@@ -555,10 +608,8 @@ def q_log_store_retention(spark, sf):
 
 
 def _feedback_written(spark, sf):
-    logs = T.load_logs(spark, sf)
-    d = T.diagnoses_from_logs(logs)
-    parsed = rules.diagnosis_parse(d).select("event_id", *files.ANALYSIS_FIELDS)
-    fb = T.feedback_from_diagnoses(d, logs).join(parsed, "event_id")
+    parsed = rules.diagnosis_parse(T.diagnoses_from_logs(T.load_logs(spark, sf), ["k"]))
+    fb = T.feedback_from_diagnoses(parsed.select("event_id", "timestamp", "k", *files.ANALYSIS_FIELDS))
     path = scratch_path(spark, "feedback")
     files.feedback_append(fb.where(F.col("rating") == "positive"), path)
     files.feedback_append(fb.where(F.col("rating") == "negative"), path)
@@ -581,25 +632,6 @@ def q_feedback_counts(spark, sf):
     return files.feedback_counts(_feedback_written(spark, sf))
 
 
-@query("synth_logs")
-def q_synth_logs(spark, sf):
-    return synth.synth_logs(T.read_table(spark, sf, "events").select("event_id"))
-
-
-@query("synth_scm")
-def q_synth_scm(spark, sf):
-    return synth.synth_scm(T.read_table(spark, sf, "events").select("event_id"))
-
-
-@query("scm_effect")
-def q_scm_effect(spark, sf):
-    """Recover the structural slopes from the generated model (G9 on K2)."""
-    scm = synth.synth_scm(T.read_table(spark, sf, "events").select("event_id"))
-    return causal.effect_scan(scm.withColumnRenamed("service_name", "service"),
-                              ["cpu_percent", "memory_percent", "latency_ms", "error_raw"],
-                              confounder="cpu_percent")
-
-
 # ---- 2.9 streaming (each runs to completion with availableNow) ---------------
 from kestrel.streaming import pipeline as stream  # noqa: E402
 
@@ -618,34 +650,58 @@ def _events_stream(spark, sf):
 
 @query("stream_burst")
 def q_stream_burst(spark, sf):
-    logs = T.logs_from_events(_events_stream(spark, sf))
-    return _run_to_table(spark, stream.burst_stream(logs), "stream_burst")
+    logs = T.logs_from_events(_events_stream(spark, sf)).select("timestamp", "error_count")
+    # The end of a finished input: one event far ahead closes the windows that are open there.
+    end = scratch_path(spark, "end_of_events")
+    (T.load_logs(spark, sf).agg((F.max("timestamp") + F.expr("INTERVAL 1 DAY")).alias("timestamp"))
+     .withColumn("error_count", F.lit(0)).write.parquet(end))
+    end = stream.read_table_stream(spark, end, "timestamp timestamp_ntz, error_count int")
+    return _run_to_table(spark, stream.burst_stream(logs.unionByName(end)), "stream_burst")
 
 
 @query("stream_cooldown")
 def q_stream_cooldown(spark, sf):
     cand_path = scratch_path(spark, "burst_candidates")
-    cands = q_error_burst(spark, sf).where("anomaly").select("service", "event_id", "timestamp")
+    cands = materialize(q_error_burst(spark, sf).where("anomaly").select("service", "event_id", "timestamp"), "candidates")
     # Arrival in event-time order: four appends, one per week, oldest first.
-    edges = [None, "2024-01-08 00:00:00", "2024-01-15 00:00:00", "2024-01-22 00:00:00", None]
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        part = cands
-        if lo:
-            part = part.where(F.col("timestamp") >= T.ts_ntz(lo))
-        if hi:
-            part = part.where(F.col("timestamp") < T.ts_ntz(hi))
-        part.coalesce(1).write.mode("append").parquet(cand_path)
-    cands = stream.read_table_stream(spark, cand_path, spark.read.parquet(cand_path).schema, files_per_trigger=1)
-    return _run_to_table(spark, stream.cooldown_stream(cands, seconds=30), "stream_cooldown")
+    weeks = ["2024-01-01 00:00:00", "2024-01-08 00:00:00", "2024-01-15 00:00:00", "2024-01-22 00:00:00", "2100-01-01 00:00:00"]
+    out, ck = scratch_path(spark, "stream_cooldown"), scratch_path(spark, "stream_cooldown_ckpt")
+    for lo, hi in zip(weeks, weeks[1:]):
+        part = cands.where((F.col("timestamp") >= T.ts_ntz(lo)) & (F.col("timestamp") < T.ts_ntz(hi)))
+        part.write.mode("append").parquet(cand_path)
+        arrived = stream.read_table_stream(spark, cand_path, cands.schema)
+        stream.cooldown_to_table(arrived, out, ck, seconds=30).awaitTermination()
+    return spark.read.schema(stream.COOLDOWN_OUT + ", epoch long").parquet(out).drop("epoch")
+
+
+def _ingested(spark, sf):
+    """Submissions in three appends, every 10th sent again with the last; the ingest run after each."""
+    src, base = scratch_path(spark, "submissions_stream"), scratch_path(spark, "ingest")
+    logs = T.load_logs(spark, sf)
+    third = F.pmod(F.col("event_id"), F.lit(3))
+    for k in range(3):
+        sent = submissions_text(logs.where((third == k) | ((F.col("event_id") % 10 == 0) if k == 2 else F.lit(False))))
+        sent.write.mode("append").text(src)
+        stream.ingest_to_tables(stream.submissions_stream(spark, src), base).awaitTermination()
+    return base
 
 
 @query("stream_ingest")
 def q_stream_ingest(spark, sf):
-    src = scratch_path(spark, "submissions_stream")
-    submissions_text(T.load_logs(spark, sf)).write.text(src)
-    s = stream.dedupe(stream.ingest(stream.submissions_stream(spark, src)))
-    out = _run_to_table(spark, s, "stream_ingest")
-    return out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).drop("id")
+    return stream.ingested(spark, _ingested(spark, sf)).drop("id", "dt")
+
+
+@query("stream_quarantine")
+def q_stream_quarantine(spark, sf):
+    bad = stream.quarantined(spark, _ingested(spark, sf))
+    # What was sent twice was refused twice: the last append repeats every 10th.
+    return bad.groupBy("reason").agg(F.countDistinct("line").alias("rows"))
+
+
+@query("stream_metrics")
+def q_stream_metrics(spark, sf):
+    """Counters of the ingest, summed over its micro-batches."""
+    return stream.ingest_metrics(spark, _ingested(spark, sf))
 
 
 @query("stream_actions")
@@ -667,11 +723,9 @@ def q_stream_node_state(spark, sf):
 
 
 def _node_state_via_batches(spark, e):
+    """Complete mode: each epoch is the whole state, in a folder of its own; the newest complete one is read."""
     out, ck = scratch_path(spark, "node_state"), scratch_path(spark, "node_state_ckpt")
-
-    def sink(batch, epoch_id):
-        batch.write.mode("overwrite").parquet(out)   # complete mode: each epoch is the whole state
-
-    (stream.node_state_stream(e).writeStream.outputMode("complete").foreachBatch(sink)
-     .option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination())
-    return spark.read.parquet(out)
+    state = stream.node_state_stream(e)
+    stream.write_idempotent(state, out, ck, mode="complete").awaitTermination()
+    epochs = spark.read.schema(state.schema.add("epoch", "long")).parquet(out)
+    return epochs.where(F.col("epoch") == epochs.select(F.max("epoch")).scalar()).drop("epoch")

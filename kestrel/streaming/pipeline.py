@@ -18,8 +18,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from kestrel.fixed import BURST_MIN_ERRORS, BURST_WINDOW_MINUTES, COOLDOWN_SECONDS
 from kestrel.functions.exprs import error_flag
 from kestrel.operators.rules import action_gate, diagnosis_parse
-from kestrel.operators.timeseries import greedy_chase
-from kestrel.sources.files import SUBMISSION_SCHEMA, split_submissions, store_id
+from kestrel.operators.timeseries import cooldown, greedy_chase
+from kestrel.session import materialize
+from kestrel.sources.files import SUBMISSION_SCHEMA, bulk_id, by_date, split_submissions
 
 WATERMARK = "10 minutes"
 
@@ -49,15 +50,77 @@ def submissions_stream(spark: SparkSession, folder: str, files_per_trigger: int
     return r.json(folder)
 
 
-def ingest(raw: DataFrame) -> DataFrame:
-    """Typed, enriched submissions: id, error flag; malformed rows dropped."""
-    good, _ = split_submissions(raw)
-    return good.select("request_id", store_id().alias("id"), "timestamp", "service", "level",
+def ingest(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, refused) submissions; the good ones typed, with a store id and the error flag."""
+    good, bad = split_submissions(raw)
+    rows = good.select("request_id", bulk_id("timestamp", "request_id").alias("id"), "timestamp", "service", "level",
                        "latency_ms", "message", error_flag(F.col("level")).alias("error_count"))
+    return rows, bad
+
+
+INGEST_SCHEMA = ("request_id long, id string, timestamp timestamp_ntz, service string, level string, latency_ms double, "
+                 "message string, error_count int")
+QUARANTINE_SCHEMA = "reason string, line string"
+METRICS_SCHEMA = "submitted long, accepted long, refused long, repeated long, errors long"
+
+
+def ingest_to_tables(raw: DataFrame, base: str, available_now: bool = True):
+    """Ingest with deduplication: good rows go to ``base/store``, refused ones to ``base/quarantine``, counters to
+    ``base/metrics``, each micro-batch to its own epoch folder, which a replay overwrites.
+
+    An id is stored once: within the batch by an aggregate, against what
+    earlier epochs stored by an anti join over the batch's dates only.
+    Nothing is late: a row of any time is compared with the store.
+    """
+    def sink(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        raw_rows = materialize(batch, "submissions")            # read three times
+        good, bad = ingest(raw_rows)
+        first = good.groupBy("id").agg(F.min(F.struct(*[c for c in good.columns if c != "id"])).alias("r"))
+        rows = first.select("id", "r.*").withColumn("dt", F.to_date("timestamp"))
+        if epoch:
+            lo, hi = good.agg(F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))).first()
+            if lo:
+                old = stored(spark, base).where((F.col("epoch") < epoch) & F.col("dt").between(F.lit(lo), F.lit(hi)))
+                rows = rows.join(old.select("id"), "id", "left_anti")
+        rows = materialize(rows, "ingest")
+        by_date(rows).write.mode("overwrite").partitionBy("dt").parquet(f"{base}/store/epoch={epoch}")
+        (bad.select("reason", F.coalesce("_corrupt_record", F.to_json(F.struct("request_id", "timestamp", "service"))).alias("line"))
+         .write.mode("overwrite").parquet(f"{base}/quarantine/epoch={epoch}"))
+        counted = good.agg(F.count(F.lit(1)).alias("good"))
+        refused = bad.agg(F.count(F.lit(1)).alias("refused"))
+        kept = rows.agg(F.count(F.lit(1)).alias("accepted"), F.coalesce(F.sum("error_count"), F.lit(0)).alias("errors"))
+        one = kept.select("accepted", "errors", refused.scalar().alias("refused"), counted.scalar().alias("good"))
+        (one.select((F.col("good") + F.col("refused")).alias("submitted"), "accepted", "refused",
+                    (F.col("good") - F.col("accepted")).alias("repeated"), "errors")
+         .write.mode("overwrite").parquet(f"{base}/metrics/epoch={epoch}"))
+
+    w = raw.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint")
+    return (w.trigger(availableNow=True) if available_now else w).start()
+
+
+def stored(spark: SparkSession, base: str) -> DataFrame:
+    return spark.read.schema(f"{INGEST_SCHEMA}, epoch long, dt date").parquet(f"{base}/store")
+
+
+def ingested(spark: SparkSession, base: str) -> DataFrame:
+    """Every stored submission, once."""
+    return stored(spark, base).drop("epoch")
+
+
+def quarantined(spark: SparkSession, base: str) -> DataFrame:
+    return spark.read.schema(f"{QUARANTINE_SCHEMA}, epoch long").parquet(f"{base}/quarantine")
+
+
+def ingest_metrics(spark: SparkSession, base: str) -> DataFrame:
+    """Counters over all micro-batches."""
+    m = spark.read.schema(f"{METRICS_SCHEMA}, epoch long").parquet(f"{base}/metrics")
+    return m.agg(*[F.sum(c).alias(c) for c in ("submitted", "accepted", "refused", "repeated", "errors")])
 
 
 def dedupe(stream: DataFrame) -> DataFrame:
-    """Drop repeated ids within the watermark (state is bounded by it)."""
+    """Drop repeated ids within the watermark (state is bounded by it); rows older than it are dropped, so for an
+    endless stream without a store to compare with.  ``ingest_to_tables`` drops none."""
     return (event_time(stream).withWatermark("timestamp", WATERMARK)
             .dropDuplicatesWithinWatermark(["id"]))
 
@@ -89,7 +152,8 @@ def _cooldown_fn(cooldown_us: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["_us", "event_id"], kind="stable")
-        fired = rows.iloc[greedy_chase(rows["_us"].to_numpy(), cooldown_us, last)]
+        fired = rows.iloc[greedy_chase(rows["_us"].to_numpy(), cooldown_us,
+                                      None if last is None else last + cooldown_us)]
         if len(fired):
             state.update((int(fired["_us"].iloc[-1]),))
         yield pd.DataFrame({"service": [key[0]] * len(fired), "fired_at": fired["timestamp"].to_numpy(),
@@ -112,6 +176,24 @@ def cooldown_stream(candidates: DataFrame, seconds: int = COOLDOWN_SECONDS, key:
         GroupStateTimeout.NoTimeout)
 
 
+def cooldown_to_table(candidates: DataFrame, path: str, checkpoint: str, seconds: int = COOLDOWN_SECONDS,
+                      key: str = "service"):
+    """Cooldown firings of a stream, each micro-batch in its own epoch folder.
+
+    A micro-batch is folded by the batch operator (bounded segments, also of
+    a hot key); what earlier epochs fired last is its start, a maximum per key.
+    """
+    def sink(batch: DataFrame, epoch: int) -> None:
+        last = None
+        if epoch:
+            old = batch.sparkSession.read.schema(f"{COOLDOWN_OUT}, epoch long").parquet(path).where(F.col("epoch") < epoch)
+            last = old.groupBy(key).agg(F.max(F.unix_micros(F.col("fired_at").cast("timestamp"))).alias("last_us"))
+        cooldown(batch, seconds, key, last=last).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return (candidates.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 # ---- J5: actions -------------------------------------------------------------------------
 
 def actions_stream(diagnoses: DataFrame) -> DataFrame:
@@ -119,7 +201,7 @@ def actions_stream(diagnoses: DataFrame) -> DataFrame:
     return action_gate(diagnosis_parse(diagnoses))
 
 
-def write_idempotent(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+def write_idempotent(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True, mode: str = "append"):
     """foreachBatch sink writing each micro-batch to its own epoch folder.
 
     A replayed epoch overwrites its own folder, so the sink is exactly-once
@@ -128,7 +210,7 @@ def write_idempotent(stream: DataFrame, path: str, checkpoint: str, available_no
     def sink(batch: DataFrame, epoch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch_id}")
 
-    w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    w = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
 
@@ -143,14 +225,6 @@ def node_state_stream(edges: DataFrame) -> DataFrame:
                     F.col("s.memory_percent").alias("current_memory"), F.col("s.ts").alias("last_updated")))
 
 
-# ---- J7: metrics ---------------------------------------------------------------------------
-
-def observe_metrics(stream: DataFrame, name: str = "ingest_metrics") -> DataFrame:
-    """Attach processed / error counters reported with each micro-batch."""
-    return stream.observe(name, F.count(F.lit(1)).alias("processed"),
-                          F.sum(F.col("error_count")).alias("errors"))
-
-
 def write_parquet(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     return (stream.writeStream.format("parquet").outputMode(mode)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path))
