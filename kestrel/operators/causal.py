@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,12 +101,13 @@ def ate_linear(df: DataFrame, treatment: str = TREATMENT, outcome: str = OUTCOME
 
 
 def ate_hetero(df: DataFrame, treatment: str = TREATMENT, outcome: str = OUTCOME,
-               confounder: str = CONFOUNDER, by: str = "service") -> DataFrame:
+               confounder: str = CONFOUNDER, by: str = "service", min_rows: int = 5) -> DataFrame:
     """Effect with a treatment x service interaction, averaged over rows.
 
     Shared confounder slope gamma; per-service treatment slopes beta_s;
     ATE = sum(n_s / N * beta_s).  Services with no treatment variance are
-    excluded and counted in ``excluded_groups``.
+    excluded and counted in ``excluded_groups``.  Fewer than ``min_rows``
+    complete rows: NULL estimates.
     """
     cols = [treatment, confounder, outcome]
     g = gram(df, cols, [by])
@@ -123,7 +126,7 @@ def ate_hetero(df: DataFrame, treatment: str = TREATMENT, outcome: str = OUTCOME
     sums = parts.agg(F.sum("num").alias("num"), F.sum("den").alias("den"), F.sum("a").alias("a"),
                      F.sum("b").alias("b"), F.sum(F.when(F.col("ok"), F.col("n"))).alias("n_ok"),
                      F.count_if(~F.col("ok")).alias("excluded_groups"))
-    g_val = F.try_divide(F.col("num"), F.col("den"))
+    g_val = F.when(F.col("n_ok") >= min_rows, F.try_divide(F.col("num"), F.col("den")))
     return sums.select(
         F.lit(treatment).alias("treatment"), F.lit(outcome).alias("outcome"),
         F.round(F.try_divide(F.col("a") - g_val * F.col("b"), F.col("n_ok")), 10).alias("ate"),
@@ -143,7 +146,7 @@ def placebo_hash(event_id: Column, sim: Column) -> Column:
 
 def placebo_refute(df: DataFrame, simulations: int = 20, treatment: str = TREATMENT,
                    outcome: str = OUTCOME, confounder: str = CONFOUNDER,
-                   by: str = "service", id_col: str = "event_id") -> DataFrame:
+                   by: str = "service", id_col: str = "event_id", min_rows: int = 5) -> DataFrame:
     """Re-estimate the effect with a random treatment, ``simulations`` times.
 
     Each row is expanded into one copy per simulation inside the map task
@@ -165,8 +168,9 @@ def placebo_refute(df: DataFrame, simulations: int = 20, treatment: str = TREATM
            - gamma * F.col(_sname(cols, confounder, outcome)))
     dof = F.col("n") - F.col("groups") - 2
     se = F.sqrt(F.try_divide(F.try_divide(rss, dof) * F.col(_sname(cols, confounder, confounder)), det))
-    return pooled.select("sim", F.round(beta, 10).alias("placebo_effect"),
-                         F.round(F.try_divide(beta, se), 6).alias("placebo_t"))
+    enough = F.col("n") >= min_rows
+    return pooled.select("sim", F.when(enough, F.round(beta, 10)).alias("placebo_effect"),
+                         F.when(enough, F.round(F.try_divide(beta, se), 6)).alias("placebo_t"))
 
 
 def placebo_summary(placebo: DataFrame, estimate: DataFrame) -> DataFrame:
@@ -226,6 +230,91 @@ def pc_tests(df: DataFrame, cols: list[str] = METRICS, by: str = "service",
                            f"inline(array({', '.join(tests)}))")
 
 
+def pc_search(corr, n: int, cols: list[str], z_crit: float = Z_CRIT):
+    """The PC algorithm on a correlation matrix: (skeleton pairs, separating sets, arrows).
+
+    Pairs are tested conditional on subsets of their current neighbours
+    only, of growing size, until no node has enough neighbours left (no cap
+    on the order); tests of one size see the neighbours as they were when it began.
+    Then v-structures x -> z <- y are oriented (z not in the set that
+    separated x and y), and arrows follow where another v-structure or a
+    cycle would arise.  ``arrows`` holds (cause, effect).
+    """
+    k = len(cols)
+    near = {i: set(range(k)) - {i} for i in range(k)}
+    apart: dict[tuple[int, int], tuple[int, ...]] = {}
+    order = 0
+    while any(len(near[i]) - 1 >= order for i in near):
+        before = {i: set(s) for i, s in near.items()}
+        for x, y in itertools.combinations(range(k), 2):
+            if y not in near[x]:
+                continue
+            sets = itertools.chain.from_iterable(itertools.combinations(sorted(before[a] - {b}), order) for a, b in ((x, y), (y, x)))
+            for s in dict.fromkeys(sets):
+                idx = [x, y, *s]
+                if n - order - 3 <= 0:
+                    continue
+                p = np.linalg.pinv(corr[np.ix_(idx, idx)])
+                r = float(np.clip(-p[0, 1] / np.sqrt(abs(p[0, 0] * p[1, 1])), -1 + 1e-12, 1 - 1e-12))
+                if abs(np.sqrt(n - order - 3) * np.arctanh(r)) < z_crit:
+                    near[x].discard(y)
+                    near[y].discard(x)
+                    apart[x, y] = s
+                    break
+        order += 1
+    arrows: set[tuple[int, int]] = set()
+    for x, y in itertools.combinations(range(k), 2):
+        if y not in near[x]:
+            for z in sorted(near[x] & near[y]):
+                if z not in apart.get((x, y), ()) and (z, x) not in arrows and (z, y) not in arrows:
+                    arrows |= {(x, z), (y, z)}
+    grown = True
+    while grown:
+        grown = False
+        for a in range(k):
+            for b in sorted(near[a]):
+                if (a, b) in arrows or (b, a) in arrows:
+                    continue
+                chain = any((c, a) in arrows and b not in near[c] and c != b for c in near[a])
+                cycle = any((a, c) in arrows and (c, b) in arrows for c in near[a] & near[b])
+                if chain or cycle:
+                    arrows.add((a, b))
+                    grown = True
+    pairs = [(x, y) for x, y in itertools.combinations(range(k), 2) if y in near[x]]
+    return pairs, apart, arrows
+
+
+def pc_oriented(df: DataFrame, cols: list[str] = METRICS, by: str = "service", min_rows: int = 100) -> DataFrame:
+    """Directed causal graph per service: every pair of metrics, whether it is
+    adjacent, its arrow ('x->y', 'y->x', 'undirected'; NULL if not adjacent)
+    and the set that separated it.
+
+    One aggregate gives the correlations of each service (a row each); the
+    search runs on that row (``pc_search``).  Services with at most
+    ``min_rows`` complete rows are left out.
+    """
+    pairs = list(itertools.combinations(cols, 2))
+    wide = (df.select(by, *[_num(c).alias(c) for c in cols]).na.drop(subset=cols).groupBy(by)
+            .agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.corr(a, b), F.lit(0.0)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+            .where(F.col("n") > min_rows))
+    kind = df.schema[by].dataType.simpleString()
+
+    def search(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                corr = np.eye(len(cols))
+                for i, (a, b) in enumerate(pairs):
+                    corr[cols.index(a), cols.index(b)] = corr[cols.index(b), cols.index(a)] = r[2 + i]
+                found, apart, arrows = pc_search(corr, int(r[1]), cols)
+                for x, y in itertools.combinations(range(len(cols)), 2):
+                    arrow = ("x->y" if (x, y) in arrows else "y->x" if (y, x) in arrows else "undirected") if (x, y) in found else None
+                    rows.append((r[0], cols[x], cols[y], (x, y) in found, arrow,
+                                 ",".join(cols[i] for i in apart[x, y]) if (x, y) in apart else None))
+            yield pd.DataFrame(rows, columns=[by, "x", "y", "adjacent", "arrow", "separated_by"])
+    return wide.mapInPandas(search, f"{by} {kind}, x string, y string, adjacent boolean, arrow string, separated_by string")
+
+
 def pc_skeleton(tests: DataFrame, by: str = "service") -> DataFrame:
     """Edges that survive every test; the separating set of removed ones."""
     sep = F.min_by(F.col("cond"), F.struct(F.abs("z"), F.col("order"), F.col("cond")))

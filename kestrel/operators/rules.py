@@ -72,9 +72,12 @@ def diagnosis_parse(diagnoses: DataFrame, raw: str = "raw") -> DataFrame:
     Accepts schema A (root_cause, confidence_score, affected_service,
     recommended_action, reasoning) and schema B (SRE_DIAGNOSIS, CONFIDENCE,
     CLI_MITIGATION, CAUSAL_BRIDGE as text or list, SERVICE).  Text that is
-    not a JSON object parses to confidence 0.0 and the default action.
+    not a JSON object parses to confidence 0.0 (a rate-limit error, 429: 0.1),
+    the default action, and the service of the row.  The text is parsed once,
+    in a projection of its own.
     """
-    v = F.try_parse_json(F.col(raw))
+    diagnoses = diagnoses.withColumn("_json", F.try_parse_json(F.col(raw)))
+    v = F.col("_json")
 
     def g(path: str, t: str = "string") -> Column:
         return F.try_variant_get(v, path, t)
@@ -83,16 +86,18 @@ def diagnosis_parse(diagnoses: DataFrame, raw: str = "raw") -> DataFrame:
     is_b = g("$.SRE_DIAGNOSIS").isNotNull() | g("$.CONFIDENCE", "double").isNotNull()
     bridge = F.coalesce(F.array_join(g("$.CAUSAL_BRIDGE", "array<string>"), "\n- "), g("$.CAUSAL_BRIDGE"))
     parsed = v.isNotNull() & F.coalesce(is_obj, F.lit(False))
+    throttled = ~parsed & F.coalesce(F.contains(F.col(raw), F.lit("429")), F.lit(False))
+    own = F.coalesce(F.col("service"), F.lit(DEFAULT_TARGET)) if "service" in diagnoses.columns else F.lit(DEFAULT_TARGET)
     kind = F.when(~parsed, "none").when(is_b, "B").otherwise("A")
     return diagnoses.select(
-        *[c for c in diagnoses.columns if c != raw],
+        *[c for c in diagnoses.columns if c not in (raw, "_json")],
         kind.alias("schema"),
-        F.when(~parsed, F.lit("unparsed diagnosis"))
+        F.when(throttled, F.lit("Diagnosis throttled by rate limit")).when(~parsed, F.lit("unparsed diagnosis"))
          .when(is_b, g("$.SRE_DIAGNOSIS")).otherwise(g("$.root_cause")).alias("root_cause"),
-        F.when(~parsed, F.lit(0.0))
+        F.when(throttled, F.lit(0.1)).when(~parsed, F.lit(0.0))
          .when(is_b, g("$.CONFIDENCE", "double")).otherwise(g("$.confidence_score", "double"))
          .alias("confidence_score"),
-        F.when(is_b, g("$.SERVICE")).otherwise(g("$.affected_service")).alias("affected_service"),
+        F.when(~parsed, own).when(is_b, g("$.SERVICE")).otherwise(g("$.affected_service")).alias("affected_service"),
         F.when(~parsed, F.lit(DEFAULT_ACTION))
          .when(is_b, g("$.CLI_MITIGATION")).otherwise(g("$.recommended_action")).alias("recommended_action"),
         F.when(is_b, bridge).otherwise(g("$.reasoning")).alias("reasoning"))

@@ -189,8 +189,8 @@ def incident_context(logs: DataFrame, now, minutes: int, ate: DataFrame, k_messa
 
     Latest error telemetry, mean latency and error count over the recent
     window, the newest distinct messages, the causal-chain text with the
-    effect estimate, the service's past incidents (newest errors before the
-    window), and whether it holds the newest error overall.  Every part is
+    effect estimate, the service's past incidents (errors before the window
+    whose telemetry is nearest to the latest error's, by cosine), and whether it holds the newest error overall.  Every part is
     an aggregate keyed by service; the joins are between one-row-per-service
     frames.
     """
@@ -202,20 +202,24 @@ def incident_context(logs: DataFrame, now, minutes: int, ate: DataFrame, k_messa
     recent = recent_errors(logs, minutes, now)
     order = F.struct("timestamp", "event_id")
     latest = recent.groupBy("service").agg(
-        F.max_by(F.struct("timestamp", "latency_ms", "db_lock_time", "pool_wait_ms", "message"), order).alias("l"),
+        F.max_by(F.struct("event_id", "timestamp", "latency_ms", "db_lock_time", "pool_wait_ms", "message"), order).alias("l"),
         F.round(F.avg("latency_ms"), 6).alias("avg_latency"),
         F.count(F.lit(1)).alias("error_total"))
     msgs = (distinct_messages(recent, k=k_messages, newest_first=True)
             .groupBy("service").agg(F.array_join(F.transform(
                 F.array_sort(F.collect_list(F.struct("position", "message"))), lambda x: x["message"]), " | ")
                 .alias("recent_messages")))
+    # The k past incidents of the service whose telemetry is nearest to its latest error's (exact search, D1).
+    vector = F.array("latency_ms", "db_lock_time", "pool_wait_ms")
     past = logs.where((F.col("error_count") >= 1) & (F.col("timestamp") <= cutoff))
-    w = Window.partitionBy("service").orderBy(F.col("timestamp").desc(), F.col("event_id").desc())
-    past = (past.withColumn("p", F.row_number().over(w)).where(F.col("p") <= k_similar)
-            .groupBy("service").agg(F.transform(F.array_sort(F.collect_list(F.struct(
-                "p", F.concat(F.col("message"), F.lit(" @ "),
-                              F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")).alias("m")))),
-                lambda x: x["m"]).alias("similar")))
+    queries = latest.select(F.col("l.event_id").alias("query_id"), "service", F.array(
+        "l.latency_ms", "l.db_lock_time", "l.pool_wait_ms").alias("query_vec"), F.col("service").alias("query_filter"))
+    near = knn(past.select("event_id", "service", vector.alias("vec")), queries.drop("service"), n=k_similar,
+               filter_col="service", exclude_self=False, vec="vec", id_col="event_id")
+    near = near.join(queries.select("query_id", "service"), "query_id").select("service", "rank", F.col("vec_id").alias("event_id"))
+    told = F.concat(F.col("message"), F.lit(" @ "), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    past = (past.select("event_id", told.alias("m")).join(near, "event_id").groupBy("service")
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "m"))), lambda x: x["m"]).alias("similar")))
     target = recent.select(F.max_by("service", order)).scalar()
     ate_value = ate.select("ate").scalar()
     return (latest.join(msgs, "service", "left").join(past, "service", "left")

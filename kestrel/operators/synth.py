@@ -64,7 +64,7 @@ def synth_scm(spine: DataFrame, id_col: str = "event_id", start: str = "2024-01-
     """
     t0 = F.expr(f"TIMESTAMP_NTZ '{start}'")
     df = spine.select(F.col(id_col).alias("row_id"),
-                      (t0 + F.make_dt_interval(mins=F.col(id_col).cast("int"))).alias("timestamp"),
+                      (t0 + F.make_dt_interval(secs=F.col(id_col) * F.lit(60.0))).alias("timestamp"),
                       F.lit(service).alias("service_name"),
                       (10 + 80 * F.rand(seed + 1)).alias("cpu_percent"),
                       (20 + 60 * F.rand(seed + 2)).alias("memory_percent"))

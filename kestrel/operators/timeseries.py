@@ -291,14 +291,18 @@ def forecast_linear(df: DataFrame, by: list[str] | None = None, ts: str = "times
 
 
 def lag_panel(logs: DataFrame, edges: DataFrame, target: str,
-              bucket_seconds: int = 3600) -> DataFrame:
+              bucket_seconds: int = 3600, lookback_seconds: int | None = None) -> DataFrame:
     """Panel for lagged causal analysis of one target service.
 
     Rows = (upstream, time bucket) over a dense spine of buckets; columns =
     the upstream's mean cpu and latency in the previous bucket and the
     target's errors in the bucket.  The lag is an equi-join on the bucket
-    shifted by one, so no window is needed.
+    shifted by one, so no window is needed.  With ``lookback_seconds`` only
+    logs from that long before the newest one on take part.
     """
+    if lookback_seconds is not None:
+        newest = logs.select(F.max("timestamp")).scalar()
+        logs = logs.where(F.col("timestamp") >= newest - F.expr(f"INTERVAL {int(lookback_seconds)} SECONDS"))
     b_us = bucket_seconds * US
     bucket = F.floor(epoch_micros(F.col("timestamp")) / b_us)
     per = logs.groupBy("service", bucket.alias("bucket")).agg(

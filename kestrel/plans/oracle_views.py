@@ -54,7 +54,8 @@ commands AS (
     "diagnoses": """
 diagnoses AS (
   SELECT event_id, "timestamp", service,
-         CASE WHEN event_id % 17 = 0 THEN 'not json'
+         CASE WHEN event_id % 34 = 0 THEN 'Error code: 429 - rate limit reached'
+              WHEN event_id % 17 = 0 THEN 'not json'
               ELSE '{"root_cause": "' || message || '", "confidence_score": 0.' || lpad(CAST(k AS VARCHAR), 2, '0') ||
                    ', "affected_service": "' || service || '", "recommended_action": "' ||
                    CASE k % 6 WHEN 0 THEN 'increase_pool' WHEN 1 THEN 'restart_service' WHEN 2 THEN 'scale_up'

@@ -315,16 +315,22 @@ SELECT l.service, count(*) AS n,
   round(regr_slope(l.latency_ms, (epoch_us(l."timestamp") - f.t0) / CAST(86400000000 AS DOUBLE)), 6) AS slope_per_day,
   round(regr_intercept(l.latency_ms, (epoch_us(l."timestamp") - f.t0) / CAST(86400000000 AS DOUBLE)), 6) AS intercept
 FROM logs l JOIN f USING (service) WHERE l.latency_ms IS NOT NULL GROUP BY l.service HAVING count(*) >= 5""")
-oracle("lag_panel", """WITH per AS (SELECT service, CAST(floor(epoch_us("timestamp") / 3600000000) AS BIGINT) AS bucket,
-   avg(cpu_percent) AS cpu, avg(latency_ms) AS latency, sum(error_count) AS errors FROM logs GROUP BY 1, 2),
+def _lag_panel_sql(logs, bucket_us):
+    return f"""per AS (SELECT service, CAST(floor(epoch_us("timestamp") / {bucket_us}) AS BIGINT) AS bucket,
+   avg(cpu_percent) AS cpu, avg(latency_ms) AS latency, sum(error_count) AS errors FROM {logs} GROUP BY 1, 2),
 ups AS (SELECT DISTINCT from_service AS upstream FROM edges WHERE to_service = 'payment-db'),
-span AS (SELECT min(CAST(floor(epoch_us("timestamp") / 3600000000) AS BIGINT)) AS lo,
-                max(CAST(floor(epoch_us("timestamp") / 3600000000) AS BIGINT)) AS hi FROM logs),
+span AS (SELECT min(CAST(floor(epoch_us("timestamp") / {bucket_us}) AS BIGINT)) AS lo,
+                max(CAST(floor(epoch_us("timestamp") / {bucket_us}) AS BIGINT)) AS hi FROM {logs}),
 spine AS (SELECT upstream, unnest(generate_series(lo, hi)) AS bucket FROM ups, span)
-SELECT s.upstream, make_timestamp(s.bucket * 3600000000) AS bucket_start, round(p.cpu, 6) AS cpu_lag1,
+SELECT s.upstream, make_timestamp(s.bucket * {bucket_us}) AS bucket_start, round(p.cpu, 6) AS cpu_lag1,
   round(p.latency, 6) AS latency_lag1, CAST(coalesce(t.errors, 0) AS BIGINT) AS target_errors
 FROM spine s LEFT JOIN per p ON p.service = s.upstream AND p.bucket + 1 = s.bucket
-LEFT JOIN (SELECT bucket, errors FROM per WHERE service = 'payment-db') t ON t.bucket = s.bucket""")
+LEFT JOIN (SELECT bucket, errors FROM per WHERE service = 'payment-db') t ON t.bucket = s.bucket"""
+
+
+oracle("lag_panel", "WITH " + _lag_panel_sql("logs", 3_600_000_000))
+oracle("lag_panel_lookback", """WITH lately AS (SELECT * FROM logs
+  WHERE "timestamp" >= (SELECT max("timestamp") FROM logs) - INTERVAL 86400 SECOND), """ + _lag_panel_sql("lately", 600_000_000))
 oracle("status_timeline", """WITH w AS (SELECT time_bucket(INTERVAL 10 SECOND, "timestamp") AS window_start, count(*) AS processed,
    sum(error_count) AS errors FROM logs GROUP BY 1)
 SELECT window_start, processed, CAST(errors AS BIGINT) AS errors,
@@ -405,8 +411,13 @@ dm AS (SELECT service, message, row_number() OVER (PARTITION BY service ORDER BY
 msgs AS (SELECT service, string_agg(message, ' | ' ORDER BY pos) AS recent_messages FROM dm WHERE pos <= 5 GROUP BY 1),
 past AS (SELECT service, string_agg(message || ' @ ' || strftime("timestamp", '%Y-%m-%d %H:%M:%S'), ' | ' ORDER BY p) AS "similar",
            string_agg('- ' || message || ' @ ' || strftime("timestamp", '%Y-%m-%d %H:%M:%S'), chr(10) ORDER BY p) AS similar_lines
-         FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY "timestamp" DESC, event_id DESC) AS p
-               FROM logs WHERE error_count >= 1 AND "timestamp" <= {NOW} - INTERVAL 1440 MINUTE) WHERE p <= 3 GROUP BY 1),
+         FROM (SELECT g.*, row_number() OVER (PARTITION BY g.service ORDER BY
+                 (g.latency_ms * latest_latency + g.db_lock_time * latest_lock + g.pool_wait_ms * latest_pool)
+                 / (sqrt(g.latency_ms * g.latency_ms + g.db_lock_time * g.db_lock_time + g.pool_wait_ms * g.pool_wait_ms)
+                    * sqrt(latest_latency * latest_latency + latest_lock * latest_lock + latest_pool * latest_pool)) DESC,
+                 g.event_id) AS p
+               FROM logs g JOIN lat USING (service)
+               WHERE error_count >= 1 AND "timestamp" <= {NOW} - INTERVAL 1440 MINUTE) WHERE p <= 3 GROUP BY 1),
 tgt AS (SELECT service AS target FROM recent ORDER BY "timestamp" DESC, event_id DESC LIMIT 1),
 ctx AS (SELECT lat.service, lat.service = (SELECT target FROM tgt) AS is_target, latest_ts, latest_latency, latest_lock,
           latest_pool, latest_message, avg_latency, error_total, error_total / CAST(100 AS DOUBLE) AS error_rate_norm,
@@ -468,17 +479,17 @@ _DMIX = """dmix AS (SELECT d.event_id, d."timestamp", d.service,
 
 
 def _parse_sql(src):
-    return f"""pj AS (SELECT event_id, "timestamp", service, CASE WHEN json_valid(raw) THEN raw END AS j FROM {src}),
-pk AS (SELECT *, coalesce(json_type(j) = 'OBJECT', false) AS ok,
+    return f"""pj AS (SELECT event_id, "timestamp", service, raw, CASE WHEN json_valid(raw) THEN raw END AS j FROM {src}),
+pk AS (SELECT *, coalesce(json_type(j) = 'OBJECT', false) AS ok, coalesce(contains(raw, '429'), false) AS throttled,
          json_extract_string(j, '$.SRE_DIAGNOSIS') IS NOT NULL OR TRY_CAST(json_extract_string(j, '$.CONFIDENCE') AS DOUBLE) IS NOT NULL AS is_b
        FROM pj),
 parsed AS (SELECT event_id, "timestamp", service,
   CASE WHEN NOT ok THEN 'none' WHEN is_b THEN 'B' ELSE 'A' END AS schema,
-  CASE WHEN NOT ok THEN 'unparsed diagnosis' WHEN is_b THEN json_extract_string(j, '$.SRE_DIAGNOSIS')
+  CASE WHEN NOT ok AND throttled THEN 'Diagnosis throttled by rate limit' WHEN NOT ok THEN 'unparsed diagnosis' WHEN is_b THEN json_extract_string(j, '$.SRE_DIAGNOSIS')
        ELSE json_extract_string(j, '$.root_cause') END AS root_cause,
-  CASE WHEN NOT ok THEN CAST(0 AS DOUBLE) WHEN is_b THEN TRY_CAST(json_extract_string(j, '$.CONFIDENCE') AS DOUBLE)
+  CASE WHEN NOT ok THEN CAST(CASE WHEN throttled THEN 0.1 ELSE 0 END AS DOUBLE) WHEN is_b THEN TRY_CAST(json_extract_string(j, '$.CONFIDENCE') AS DOUBLE)
        ELSE TRY_CAST(json_extract_string(j, '$.confidence_score') AS DOUBLE) END AS confidence_score,
-  CASE WHEN is_b THEN json_extract_string(j, '$.SERVICE') ELSE json_extract_string(j, '$.affected_service') END AS affected_service,
+  CASE WHEN NOT ok THEN coalesce(service, 'unknown') WHEN is_b THEN json_extract_string(j, '$.SERVICE') ELSE json_extract_string(j, '$.affected_service') END AS affected_service,
   CASE WHEN NOT ok THEN 'page_human' WHEN is_b THEN json_extract_string(j, '$.CLI_MITIGATION')
        ELSE json_extract_string(j, '$.recommended_action') END AS recommended_action,
   CASE WHEN is_b THEN (CASE WHEN json_type(j, '$.CAUSAL_BRIDGE') = 'ARRAY'

@@ -295,6 +295,18 @@ def q_lag_panel(spark, sf):
     return ts.lag_panel(logs, T.edges_from_logs(logs), "payment-db")
 
 
+@query("lag_panel_lookback")
+def q_lag_panel_lookback(spark, sf):
+    """The last day in 10-minute buckets."""
+    logs = T.load_logs(spark, sf)
+    return ts.lag_panel(logs, T.edges_from_logs(logs), "payment-db", bucket_seconds=600, lookback_seconds=86_400)
+
+
+@query("pc_oriented")
+def q_pc_oriented(spark, sf):
+    return causal.pc_oriented(_clean_logs(spark, sf))
+
+
 @query("status_timeline")
 def q_status_timeline(spark, sf):
     return ts.status_timeline(T.load_logs(spark, sf))

@@ -67,7 +67,8 @@ ISO_PATTERN = (r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,](\d{3}|\d{6}))?)
 def iso_timestamp(text):
     """ISO-8601 text as a UTC wall-clock time; NULL where it isn't one.  A time without an offset is UTC."""
     hour_only = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(Z|[+-].*)?$", "$1:00$2")
-    offset = F.regexp_replace(hour_only, r"([+-]\d{2}):?(\d{2})$", "$1:$2")
+    minutes_only = F.regexp_replace(hour_only, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(Z|[+-].*)?$", "$1:00$2")
+    offset = F.regexp_replace(minutes_only, r"([+-]\d{2}):?(\d{2})$", "$1:$2")
     whole = F.regexp_replace(F.regexp_replace(offset, r"([T ][^+-]*[+-]\d{2})$", "$1:00"), ",", ".")
     return F.when(text.rlike(ISO_PATTERN), whole.try_cast("timestamp")).cast("timestamp_ntz")
 

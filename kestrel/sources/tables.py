@@ -125,7 +125,8 @@ def load_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diagnoses_from_logs(logs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Stored model output, one per ERROR log; every 17th is not JSON.  ``keep``: columns of the log to carry along."""
+    """Stored model output, one per ERROR log; every 17th is not JSON,
+    every other of these a rate-limit error.  ``keep``: columns of the log to carry along."""
     action = _pick(F.col("k") % 6, DIAGNOSIS_ACTIONS)
     conf = F.concat(F.lit("0."), F.lpad(F.col("k").cast("string"), 2, "0"))
     raw = F.concat(
@@ -135,7 +136,8 @@ def diagnoses_from_logs(logs: DataFrame, keep: list[str] | None = None) -> DataF
         F.lit('", "recommended_action": "'), action, F.lit('"}'))
     return (logs.where(F.col("error_count") == 1)
             .select("event_id", "timestamp", "service", *[F.col(c) for c in keep or []],
-                    F.when(F.col("event_id") % 17 == 0, F.lit("not json"))
+                    F.when(F.col("event_id") % 34 == 0, F.lit("Error code: 429 - rate limit reached"))
+                     .when(F.col("event_id") % 17 == 0, F.lit("not json"))
                      .otherwise(raw).alias("raw")))
 
 
