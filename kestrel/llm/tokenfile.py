@@ -24,7 +24,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import text_bytes
 from kestrel.llm.tokenizing import encoder
 from kestrel.session import materialize
 
@@ -125,29 +124,31 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, blo
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
 
     def blocks(batches):
-        enc, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
-        shard, number, first = TaskContext.get().partitionId(), 0, 0
-        ids, doc_ids, lengths, held = [], [], [], 0
-
-        def close():
-            v = np.frombuffer(b"".join(ids), "<u4")
-            words = encode(v).astype("<u8").tobytes()
-            row = (shard, number, first, len(v), list(doc_ids), list(lengths), words)
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _ARROW.types, strict=True)], schema=_ARROW)
-
-        for b in batches:
-            for d, own in zip(b.column("doc_id").to_pylist(), enc.all_ids(text_bytes(b), overlaps=False), strict=True):
-                x = own + end
-                ids.append(x)
-                doc_ids.append(d)
-                lengths.append(len(x) // 4)
-                held += lengths[-1]
-                if held >= block_ids:
-                    yield close()
-                    number, first = number + 1, first + held
-                    ids, doc_ids, lengths, held = [], [], [], 0
-        if doc_ids:
-            yield close()
+        enc, shard = encoder(vocabulary), TaskContext.get().partitionId()
+        number, first = 0, 0
+        ids, doc_ids, lengths = np.zeros(0, np.uint32), [], np.zeros(0, np.int64)
+        last = iter(batches)
+        while True:
+            b = next(last, None)
+            if b is not None:
+                own, n = enc.batch(b.column("text"), overlaps=False)
+                ends = np.cumsum(n + 1)                                     # each document's ids, then the end id
+                whole = np.full(len(own) + len(n), end_id, np.uint32)
+                inside = np.ones(len(whole), bool)
+                inside[ends - 1] = False
+                whole[inside] = own
+                ids, doc_ids, lengths = np.concatenate([ids, whole]), doc_ids + b.column("doc_id").to_pylist(), np.concatenate([lengths, n + 1])
+            ends, begin, at = np.cumsum(lengths), 0, 0
+            while at < len(ends) and (b is None or ends[-1] - begin >= block_ids):
+                # whole documents up to the one with which the block is full
+                cut = min(int(np.searchsorted(ends, begin + block_ids)), len(ends) - 1) + 1
+                v = ids[begin:ends[cut - 1]]
+                row = (shard, number, first, len(v), doc_ids[at:cut], lengths[at:cut], encode(v).astype("<u8").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _ARROW.types, strict=True)], schema=_ARROW)
+                number, first, begin, at = number + 1, first + len(v), int(ends[cut - 1]), cut
+            ids, doc_ids, lengths = ids[begin:], doc_ids[at:], lengths[at:]
+            if b is None:
+                return
 
     rows.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(path)
 

@@ -11,8 +11,8 @@ The libraries do all encoding.  What is added:
   it from the left chunk and those after it from the right one are the
   library's tokens of the whole text.  Where an overlap holds none, it is
   widened, up to the whole chunk, and then the chunk itself.
-* For such a vocabulary shorter texts go word by word through a bounded
-  cache: every distinct word is encoded once by the library.
+* For such a vocabulary shorter texts go word by word: the distinct words of
+  a batch are looked up in a bounded cache, new ones encoded by the library.
 """
 
 from __future__ import annotations
@@ -20,14 +20,15 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import add_columns, text_bytes
+from kestrel.llm.common import add_columns
 
 CHUNK_CHARS = 32_768     # longer texts are encoded in chunks of this many characters
 OVERLAP_CHARS = 256      # of neighbouring chunks, at first
@@ -35,7 +36,8 @@ CACHE_WORDS = 300_000    # words kept per worker, and as many that were used bef
 CACHED_BYTES = 64        # longer words are not kept
 TOKEN_LIMIT = 2048
 
-PIECE_BYTES = 1 << 16    # bytes of text that are split into words at a time
+WORDS_AT_ONCE = 1 << 18  # words whose ids are dealt out at a time
+ASK_WORDS = 512          # words per call of the library
 
 # A word of letters, or one that ends in a run of other marks: two pre-tokens, whatever stands around them.
 _LETTERS = re.compile(rb"([A-Za-z\x80-\xff]+)([^A-Za-z0-9'\x80-\xff]*)")
@@ -72,7 +74,7 @@ class Encoder:
 
     def __init__(self, path: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS):
         self.chunk, self.overlap = chunk, overlap
-        self.cache: dict[bytes, bytes] = {}
+        self.cache: dict[bytes, bytes] = {b"": b""}
         self.older: dict[bytes, bytes] = {}
         self.by_word, self.mark = False, None
         if path.endswith(".model"):
@@ -105,57 +107,77 @@ class Encoder:
                 bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
                 self.bare: Callable = lambda ts: [e.ids for e in bare.encode_batch_fast(ts, add_special_tokens=False)]
 
-    def ids(self, text: bytes) -> bytes:
-        """All ids of a text as little-endian unsigned 32-bit integers."""
-        return next(self.all_ids([text]))
+    def ids(self, text: str) -> np.ndarray:
+        """All ids of a text."""
+        return self.batch(pa.array([text]))[0]
 
-    def all_ids(self, texts: list[bytes], overlaps: bool = True) -> Iterator[bytes]:
-        """The ids of each text, in order.
+    def batch(self, texts: pa.Array, overlaps: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each).
 
         Long texts are encoded in overlapping chunks, or (``overlaps`` false,
         vocabularies that split at blanks only) word by word like the others.
-        Short texts are taken together, about ``PIECE_BYTES`` at a time.
         """
-        group, size = [], 0
-        for t in texts:
-            alone = not self.by_word or len(t) > (self.chunk if overlaps else PIECE_BYTES)
-            if group and (alone or size + len(t) > PIECE_BYTES):
-                yield from self.by_words(group)
-                group, size = [], 0
-            if not alone:
-                group.append(t)
-                size += len(t)
-            elif not self.by_word:
-                yield np.array(self.many([t.decode()])[0], "<u4").tobytes()
-            elif overlaps and len(whole := t.decode()) > self.chunk:
-                yield b"".join(p.astype("<u4").tobytes() for p in self.spliced(whole))
-            else:
-                yield b"".join(next(self.by_words([p])) for p in pieces(t))
-        yield from self.by_words(group)
-
-    def by_words(self, texts: list[bytes]) -> Iterator[bytes]:
-        lists = [t.split() for t in texts]            # bytes: splits on ASCII blanks only
-        words = list(chain.from_iterable(lists))
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            every = [np.array(self.many([t])[0], np.uint32) for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, np.uint32), *every]), np.array([len(i) for i in every], np.int64)
+        if not overlaps:
+            return self.by_words(texts)
+        long = pc.greater(pc.utf8_length(texts), self.chunk)
+        ids, n = self.by_words(pc.if_else(long, "", texts))
+        at = np.flatnonzero(long.to_numpy(zero_copy_only=False))
+        if not len(at):
+            return ids, n
+        parts, begin = [], 0
+        ends = np.cumsum(n)
+        for i in at.tolist():
+            own = np.concatenate(list(self.spliced(texts[i].as_py())))
+            parts += [ids[begin:ends[i]], own]
+            begin, n[i] = ends[i], len(own)
+        return np.concatenate([*parts, ids[begin:]]), n
+
+    def by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts whose words, at ASCII blanks, are encoded each by itself: the distinct words of the
+        batch are looked up once, their ids dealt out in whole-array steps."""
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        which = coded.indices.to_numpy()
+        found = self.lookup(coded.dictionary.cast(pa.binary()).to_pylist())
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool = np.frombuffer(b"".join(found), "<u4")
+        start = np.cumsum(n) - n
+        parts, totals = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        for i in range(0, len(which), WORDS_AT_ONCE):
+            w = which[i:i + WORDS_AT_ONCE]
+            k = n[w]
+            ends = np.cumsum(k)
+            parts.append(pool[np.repeat(start[w] - ends + k, k) + np.arange(ends[-1])])
+            totals.append(ends + totals[-1][-1])
+        bounds = np.concatenate(totals)[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return np.concatenate(parts), np.diff(bounds)
+
+    def lookup(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words, as little-endian unsigned 32-bit integers."""
         if len(self.cache) > CACHE_WORDS:
-            self.older, self.cache = self.cache, {}
+            self.older, self.cache = self.cache, {b"": b""}
         cache = self.cache
         found = list(map(cache.get, words))
-        if None in found:
-            new = {w for w, v in zip(words, found, strict=True) if v is None}
-            known = [w for w in new if w in self.older]
-            for w in known:
-                cache[w] = self.older[w]
-            self.learn(new.difference(known))
-            found = list(map(cache.__getitem__, words))
-            for w in new:
-                if len(w) > CACHED_BYTES:
-                    del cache[w]
-        at = 0
-        for x in lists:
-            yield b"".join(found[at:at + len(x)])
-            at += len(x)
-
-    def learn(self, words: set[bytes]) -> None:
+        new = [i for i, v in enumerate(found) if v is None]
+        if new:
+            unknown = []
+            for i in new:
+                v = self.older.get(words[i])
+                if v is None:
+                    unknown.append(words[i])
+                else:
+                    cache[words[i]] = v
+            self.learn(unknown)
+            for i in new:
+                w = words[i]
+                found[i] = cache.pop(w) if len(w) > CACHED_BYTES else cache[w]
+        return found
+
+    def learn(self, words: list[bytes]) -> None:
         """Put the ids of new words into the cache; words that differ in case or the marks after them are encoded once."""
         cache, older = self.cache, self.older
         parts, letters, others = [], set(), set()
@@ -182,8 +204,8 @@ class Encoder:
                     ask.append(w)
                 else:
                     found[w] = v
-            if ask:
-                found.update(self.each(ask, encode))
+            for i in range(0, len(ask), ASK_WORDS):
+                found.update(self.each(ask[i:i + ASK_WORDS], encode))
         for w, base, tail in parts:
             cache[w] = found[base] + found[tail]
         for w in others:
@@ -240,21 +262,6 @@ class Encoder:
         return int(gaps[np.argmin(np.abs(gaps - (begin + end) // 2))]) if len(gaps) else None
 
 
-def pieces(text: bytes, size: int = PIECE_BYTES):
-    """A long text in pieces of about ``size`` bytes, cut at blanks."""
-    begin = 0
-    while begin < len(text):
-        end = begin + size
-        if end < len(text):
-            cut = max(text.rfind(b" ", begin, end), text.rfind(b"\n", begin, end))
-            if cut <= begin:        # no blank: up to the next one
-                after = [i for i in (text.find(b" ", end), text.find(b"\n", end)) if i >= 0]
-                cut = min(after, default=len(text))
-            end = cut
-        yield text[begin:end]
-        begin = end
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -276,8 +283,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT, keep: lis
         enc = encoder(path)
 
         def columns(batch):
-            ts = text_bytes(batch)
-            return [[len(t) for t in ts], [len(x) // 4 for x in enc.all_ids(ts)]]
+            texts = pc.fill_null(batch.column("text"), "")
+            return [pc.binary_length(texts).cast(pa.int64()), pa.array(enc.batch(texts)[1])]
         return columns
     out = add_columns(docs, {"n_bytes": "bigint", "n_tokens": "bigint"}, make, keep)
     names = [c for c in out.columns if c != "over_limit"]

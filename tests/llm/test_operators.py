@@ -168,7 +168,7 @@ def test_overlaps_resynchronise(doc_rows, chunk, overlap):
     odd = ["x" * 3000 + " ab " + "y" * 900 + "\n" + "q", "!? " * 700, "don't  I'll\t\tgo <|endoftext|> x <|startoftext|>y " * 40,
            "é́ ́b ΣΑΣ Σ 日本語   \x0b\x0c\x1c! " * 60, " " * 500 + "a" + " " * 500, "z" * 4000]
     for t in [r[1] for r in doc_rows[:120]] + odd:
-        assert np.frombuffer(enc.ids(t.encode()), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+        assert enc.ids(t).tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
 def test_other_vocabularies():
@@ -178,10 +178,10 @@ def test_other_vocabularies():
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert not tokenizing.splits_at_blanks(path) and tokenizing.splits_at_blanks(cases.VOCABULARY)
     text = "Hello  world, it's\n\nfine <|endoftext|> ñ"
-    assert np.frombuffer(tokenizing.Encoder(path).ids(text.encode()), "<u4").tolist() == Tokenizer.from_file(path).encode(
+    assert tokenizing.Encoder(path).ids(text).tolist() == Tokenizer.from_file(path).encode(
         text, add_special_tokens=False).ids
     path = public_tokenizers.path("piece_bpe_32k.model")
-    assert np.frombuffer(tokenizing.Encoder(path).ids(text.encode()), "<u4").tolist() == sentencepiece.SentencePieceProcessor(
+    assert tokenizing.Encoder(path).ids(text).tolist() == sentencepiece.SentencePieceProcessor(
         model_file=path).encode(text)
 
 
