@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kestrel.functions.exprs import cosine_similarity
+from kestrel.functions.exprs import cosine_similarity, dot
 from kestrel.functions.joins import BROADCAST_MAX_ROWS, checked_broadcast
+from kestrel.session import materialize
 
 
 def _topn(pairs: DataFrame, n: int) -> DataFrame:
@@ -77,30 +78,45 @@ def latest_overall(corpus: DataFrame, label: str = "label", vec: str = "embeddin
     return corpus.agg(newest.alias("q")).select("q.*")
 
 
-def knn_lsh(corpus: DataFrame, queries: DataFrame, n: int = 5, bucket_length: float = 0.5,
-            num_tables: int = 8, threshold: float = 1.2, seed: int = 7,
-            vec: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """Approximate kNN: random-projection LSH on unit vectors, exact re-rank.
+def lsh_keys(vec, dim: int, bits: int, num_tables: int, seed: int):
+    """One key per table: the signs of ``bits`` random projections, packed."""
+    import numpy as np
 
-    On unit vectors Euclidean distance is monotone in cosine distance, so
-    ``BucketedRandomProjectionLSH.approxSimilarityJoin`` finds candidates
-    (only colliding buckets are compared) and the exact cosine ranks them.
+    planes = np.random.default_rng(seed).normal(size=(num_tables, bits, dim))
+
+    def code(rows):
+        out = F.lit(0)
+        for i, plane in enumerate(rows):
+            side = dot(vec, F.array(*[F.lit(float(x)) for x in plane])) >= 0
+            out = out + F.when(side, 1 << i).otherwise(0)
+        return out
+    return F.array(*[F.struct(F.lit(t).alias("table"), code(rows).alias("code")) for t, rows in enumerate(planes)])
+
+
+def knn_lsh(corpus: DataFrame, queries: DataFrame, n: int = 5, dim: int = 64, bits: int = 2, num_tables: int = 10,
+            seed: int = 7, filter_col: str = "label", vec: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+    """Approximate kNN within the query's filter value: sign-projection LSH, exact re-rank.
+
+    Rows meet where one of ``num_tables`` keys of ``bits`` signs and the
+    filter value agree, so a bucket is a 2^-bits part of a filter value's
+    rows (more bits for a larger corpus, more tables for recall).  The query
+    set is broadcast behind a count, so only colliding pairs are shuffled.
+    A query that collides with fewer than ``n`` rows is answered by the
+    exact search, so every query gets ``n`` rows where there are that many.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    cv = corpus.select(F.col(id_col).alias("vec_id"), array_to_vector(F.col(vec)).alias("raw"),
-                       F.col(vec).alias("vec"))
-    qv = queries.select("query_id", array_to_vector(F.col("query_vec")).alias("raw"), "query_vec")
-    norm = Normalizer(inputCol="raw", outputCol="unit", p=2.0)
-    cv, qv = norm.transform(cv), norm.transform(qv)
-    lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(cv)
-    cand = lsh.approxSimilarityJoin(qv, cv, threshold, distCol="dist")
-    pairs = cand.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"),
-                        cosine_similarity(F.col("datasetB.vec"), F.col("datasetA.query_vec"))
-                        .alias("similarity")).where(F.col("vec_id") != F.col("query_id"))
-    return _topn(pairs, n)
+    c = corpus.select(F.col(id_col).alias("vec_id"), F.col(vec).alias("vec"), F.col(filter_col).alias("fkey"))
+    q_small, _ = checked_broadcast(queries.select("query_id", "query_vec", "query_filter", F.explode(
+        lsh_keys(F.col("query_vec"), dim, bits, num_tables, seed)).alias("k")))
+    rows = c.select("*", F.explode(lsh_keys(F.col("vec"), dim, bits, num_tables, seed)).alias("ck"))
+    met = rows.join(q_small, (F.col("ck") == F.col("k")) & (F.col("fkey") == F.col("query_filter"))
+                    & (F.col("vec_id") != F.col("query_id")))
+    pairs = (met.select("query_id", "vec_id", cosine_similarity(F.col("vec"), F.col("query_vec")).alias("similarity"))
+             .groupBy("query_id", "vec_id").agg(F.first("similarity").alias("similarity")))
+    found = materialize(_topn(pairs, n), "lsh")
+    full = found.groupBy("query_id").count().where(F.col("count") >= n).select("query_id")
+    rest = queries.join(full, "query_id", "left_anti")
+    exact = knn(corpus, rest, n, filter_col, vec=vec, id_col=id_col)
+    return found.join(full, "query_id").unionByName(exact.select(*found.columns))
 
 
 def text_embed(docs: DataFrame, text: str = "text", id_col: str = "doc_id", dim: int = 384) -> DataFrame:

@@ -341,6 +341,7 @@ SELECT window_start, processed, CAST(errors AS BIGINT) AS errors,
 # ---- 2.6 graph ---------------------------------------------------------------
 _E = "from_service, to_service, ts, latency_ms, cpu_percent, memory_percent, seq"
 oracle("edge_append", f"SELECT {_E} FROM edges")
+oracle("edges_view", f"SELECT {_E} FROM edges")
 oracle("topology_edges", """SELECT from_service, to_service, count(*) AS observations, max(ts) AS last_ts
   FROM edges GROUP BY 1, 2""")
 oracle("topology_nodes", """WITH e AS (SELECT DISTINCT from_service, to_service FROM edges),

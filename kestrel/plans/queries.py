@@ -292,14 +292,14 @@ def q_forecast_linear(spark, sf):
 @query("lag_panel")
 def q_lag_panel(spark, sf):
     logs = T.load_logs(spark, sf)
-    return ts.lag_panel(logs, T.edges_from_logs(logs), "payment-db")
+    return ts.lag_panel(logs, _edges(spark, sf), "payment-db")
 
 
 @query("lag_panel_lookback")
 def q_lag_panel_lookback(spark, sf):
     """The last day in 10-minute buckets."""
     logs = T.load_logs(spark, sf)
-    return ts.lag_panel(logs, T.edges_from_logs(logs), "payment-db", bucket_seconds=600, lookback_seconds=86_400)
+    return ts.lag_panel(logs, _edges(spark, sf), "payment-db", bucket_seconds=600, lookback_seconds=86_400)
 
 
 @query("pc_oriented")
@@ -325,6 +325,12 @@ def _edges(spark, sf):
     return T.load_edges(spark, sf)
 
 
+@query("edges_view")
+def q_edges_view(spark, sf):
+    """The derivation itself: the ordered lag over all logs."""
+    return T.edges_from_logs(T.load_logs(spark, sf))
+
+
 @query("edge_append")
 def q_edge_append(spark, sf):
     e = _edges(spark, sf)

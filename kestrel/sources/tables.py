@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kestrel.fixed import SERVICES
 from kestrel.functions.scans import previous_in_order
+from kestrel.session import materialize
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -105,8 +106,15 @@ def edges_from_logs(logs: DataFrame) -> DataFrame:
             .where(F.col("from_service").isNotNull()))
 
 
+_EDGE_FACTS: dict[tuple[str, str], DataFrame] = {}
+
+
 def load_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges_from_logs(load_logs(spark, sf_dir))
+    """The edge fact table of a folder's events: written once per application, read by every graph query."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _EDGE_FACTS:
+        _EDGE_FACTS[at] = materialize(edges_from_logs(load_logs(spark, sf_dir)), "edges")
+    return _EDGE_FACTS[at]
 
 
 def commands_from_logs(logs: DataFrame) -> DataFrame:
