@@ -36,13 +36,24 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+ROWS_AT_ONCE = 1024     # texts that are held as Python objects at a time
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int | None = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows (no copies)."""
+    for b in batches:
+        step = rows or max(1, b.num_rows)
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
+
+
 def add_columns(df: DataFrame, added: dict[str, str], make: Callable[[], Callable],
-                keep: list[str] | None = None) -> DataFrame:
+                keep: list[str] | None = None, rows: int | None = ROWS_AT_ONCE) -> DataFrame:
     """``df`` (its ``keep`` columns; default all) plus columns computed per Arrow batch.
 
     ``make`` runs once per task and returns a function from a batch to the
     lists or arrays of the added columns, in the order of ``added`` (name to
-    SQL type).
+    SQL type).  Batches are handled ``rows`` rows at a time (None: whole).
     """
     keep = [c for c in (df.columns if keep is None else keep) if c not in added]
     schema = T.StructType([df.schema[c] for c in keep]
@@ -52,7 +63,7 @@ def add_columns(df: DataFrame, added: dict[str, str], make: Callable[[], Callabl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = make()
-        for b in batches:
+        for b in slices(batches, rows):
             new = [v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(columns(b), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + new, names=names)
 

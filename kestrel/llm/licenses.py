@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from kestrel.llm.common import text_bytes
+from kestrel.llm.common import slices, text_bytes
 from kestrel.llm.decontaminate import _TABLE, words_of
 
 GRAM, WINDOW = 3, 3
@@ -183,7 +183,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     def run(batches):
         kinds = (pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         names = ["doc_id", "license", "matched_words", "coverage", "first_word", "last_word", "first_char", "last_char"]
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for d, t in zip(b.column("doc_id").to_pylist(), text_bytes(b), strict=True):
                 found = index.scan(t)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import texts
+from kestrel.llm.common import slices, texts
 from kestrel.session import materialize
 
 PRIMES = (2147483629, 2147483587)      # the two largest primes below 2^31 - 1: products fit in 64 bits
@@ -232,7 +232,7 @@ def _empty(kind: int, part: int, doc_id, text: str) -> tuple:
 def _in_order(batches):
     """Compare each document of an ordered part with the next; hand on the part's first and last text."""
     part, held = TaskContext.get().partitionId(), None
-    for b in batches:
+    for b in slices(batches):
         rows = []
         for doc_id, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
             own = Document(text)

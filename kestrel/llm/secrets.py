@@ -29,7 +29,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import text_bytes, texts
+from kestrel.llm.common import slices, text_bytes, texts
 from kestrel.llm.decontaminate import words_of
 from kestrel.session import materialize
 
@@ -132,7 +132,7 @@ def candidates(docs: DataFrame, table: np.ndarray, words: frozenset[str], path:
     points), value, features, seed (``seed_label``)."""
     def run(batches):
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.int32())
-        for b in batches:
+        for b in slices(batches):
             rows = []
             places = b.column(path).cast(pa.string()).to_pylist()
             for d, t, place in zip(b.column("doc_id").to_pylist(), texts(b), places, strict=True):

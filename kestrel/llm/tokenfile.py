@@ -3,13 +3,15 @@
 A 64-bit word holds a selector (top 4 bits) and 60 bits of payload: selectors
 1 to 14 pack 60, 30, 20, ... 1 ids of 1, 2, 3, ... 60 bits each, first id
 lowest.  Selector 0 is the escape: the next word is one raw 64-bit value.  A
-block's last word may have room left, the block's id count tells.
+block is packed in strips of ``STRIP`` ids with an offset each, so that strips
+are packed and unpacked side by side, and any place is found without reading
+what stands before it.  A strip's last word may have room left; the counts tell.
 
 A file set is a Parquet folder of blocks, written and committed by Spark:
 ``shard`` (files in ascending doc_id order), ``block`` (number in the shard),
 ``first`` (ids of the shard before the block), ``n_ids``, ``doc_ids`` and
 ``lengths`` (of the documents whose ids the block holds, whole documents in
-order), ``words`` (the packed words, little-endian).  A document's ids are
+order), ``offsets`` (of the strips, in words), ``words`` (little-endian).  A document's ids are
 found from its block's directory; a block is decoded in whole-array steps, one
 per selector.
 """
@@ -24,19 +26,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kestrel.llm.common import slices
 from kestrel.llm.tokenizing import encoder
 from kestrel.session import materialize
 
 END_ID = 1
-BLOCK_IDS = 65_536        # a block is closed once it holds this many ids
+STRIP = 1024              # ids of a strip, whose words begin anew
+BLOCK_IDS = 1 << 19       # a block is closed once it holds this many ids
+DOCUMENTS_AT_ONCE = 4096  # documents whose ids a task holds
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])     # by selector; 0: the escape
 BITS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 PAYLOAD = np.uint64((1 << 60) - 1)
 
 BLOCK_SCHEMA = ("shard int, block int, first bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, "
-                "words binary")
+                "offsets array<bigint>, words binary")
 _ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()),
-                    ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("words", pa.binary())])
+                    ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("words", pa.binary())])
 
 
 def bit_lengths(v: np.ndarray) -> np.ndarray:
@@ -47,66 +52,85 @@ def bit_lengths(v: np.ndarray) -> np.ndarray:
     return out
 
 
-def encode(values: np.ndarray) -> np.ndarray:
-    """Pack unsigned 64-bit values; each word takes as many of the next values as any selector can hold."""
-    v = np.ascontiguousarray(values, np.uint64)
-    n = len(v)
+def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, offsets): unsigned 64-bit values packed in strips of ``STRIP`` values, and where each strip's words begin.
+
+    Each word takes as many of its strip's next values as any selector can
+    hold; all strips are walked in step.
+    """
+    n = len(values)
+    strips = -(-n // STRIP)
     if not n:
-        return np.zeros(0, np.uint64)
-    pad = int(COUNTS.max())
-    widest = {1: np.concatenate([bit_lengths(v), np.zeros(pad, np.uint8)])}     # by window: the most bits in it
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    pad = int(COUNTS.max())                            # zeros after each strip: a last word has room left
+    v = np.zeros((strips, STRIP + pad), np.uint64)
+    v[:, :STRIP].flat[:n] = values
+    flat = v.ravel()
+    m = len(flat)
+    widest = {1: np.concatenate([bit_lengths(flat), np.zeros(pad, np.uint8)])}     # by window: the most bits in it
     for w in (2, 4, 8, 16, 32):
-        m = widest[w // 2]
-        widest[w] = np.maximum(m[:len(m) - w // 2], m[w // 2:])
-    selector = np.zeros(n, np.int64)
-    for s in range(len(COUNTS) - 1, 0, -1):          # the largest count that fits wins
+        half = widest[w // 2]
+        widest[w] = np.maximum(half[:len(half) - w // 2], half[w // 2:])
+    selector = np.zeros(m, np.uint8)
+    for s in range(len(COUNTS) - 1, 0, -1):            # the largest count that fits wins
         c = int(COUNTS[s])
         p = 1 << (c.bit_length() - 1)
-        most = np.maximum(widest[p][:n], widest[p][c - p:c - p + n])
-        selector[most <= BITS[s]] = s
-    after = (np.arange(n) + COUNTS[selector]).tolist()
-    starts, i = [], 0
-    while i < n:
-        starts.append(i)
-        i = after[i]
-    at = np.array(starts)
-    sel = selector[at]
-    place = np.arange(len(at)) + np.cumsum(sel == 0) - (sel == 0)      # an escape takes two words
-    out = np.zeros(len(at) + int((sel == 0).sum()), np.uint64)
-    padded = np.concatenate([v, np.zeros(pad, np.uint64)])
+        most = np.maximum(widest[p][:m], widest[p][c - p:c - p + m])
+        np.copyto(selector, np.uint8(s), where=most <= np.uint8(BITS[s]))
+    begin = np.arange(strips) * (STRIP + pad)
+    end = begin + np.minimum(STRIP, n - np.arange(strips) * STRIP)
+    at, own, cur, live = [], [], begin, np.arange(strips)
+    while len(live):
+        at.append(cur)
+        own.append(live)
+        cur = cur + COUNTS[selector[cur]]
+        on = cur < end[live]
+        cur, live = cur[on], live[on]
+    at, own = np.concatenate(at), np.concatenate(own)
+    order = np.argsort(at, kind="stable")
+    at, own = at[order], own[order]
+    sel = selector[at].astype(np.int64)
+    size = 1 + (sel == 0)                              # an escape takes two words
+    place = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint64)
+    flat = np.concatenate([flat, np.zeros(pad, np.uint64)])
     for s in np.unique(sel):
-        own = np.flatnonzero(sel == s)
+        w = np.flatnonzero(sel == s)
         if s == 0:
-            out[place[own] + 1] = v[at[own]]
+            out[place[w] + 1] = flat[at[w]]
             continue
         shift = (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)
-        packed = np.bitwise_or.reduce(padded[at[own][:, None] + np.arange(COUNTS[s])] << shift, axis=1)
-        out[place[own]] = packed | np.uint64(int(s) << 60)
-    return out
+        packed = np.bitwise_or.reduce(flat[at[w][:, None] + np.arange(COUNTS[s])] << shift, axis=1)
+        out[place[w]] = packed | np.uint64(int(s) << 60)
+    return out, place[np.searchsorted(own, np.arange(strips))]
 
 
-def decode(words: np.ndarray, n: int) -> np.ndarray:
+def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` values that ``encode`` packed."""
     w = np.ascontiguousarray(words, np.uint64)
     sel = (w >> np.uint64(60)).astype(np.int64)
     raw = np.zeros(len(w), bool)
-    for i in np.flatnonzero(sel == 0).tolist():       # none in ordinary files
+    for i in np.flatnonzero(sel == 0).tolist():        # none in ordinary files
         if not raw[i]:
             raw[i + 1] = True
     heads = np.flatnonzero(~raw)
     hs = sel[heads]
-    ends = np.cumsum(COUNTS[hs])
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
-    begins = ends - COUNTS[hs]
+    strip = np.searchsorted(offsets, heads, "right") - 1
+    before = np.cumsum(COUNTS[hs]) - COUNTS[hs]
+    first = before[np.searchsorted(heads, offsets)] if len(heads) else before
+    pad = int(COUNTS.max())
+    begins = before - first[strip] + strip * (STRIP + pad)
+    out = np.zeros((len(offsets), STRIP + pad), np.uint64)
+    flat = out.reshape(-1)
     for s in np.unique(hs):
         own = hs == s
         if s == 0:
-            out[begins[own]] = w[heads[own] + 1]
+            flat[begins[own]] = w[heads[own] + 1]
             continue
         shift = (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)
         mask = np.uint64((1 << int(BITS[s])) - 1)
-        out[begins[own][:, None] + np.arange(COUNTS[s])] = ((w[heads[own]] & PAYLOAD)[:, None] >> shift) & mask
-    return out[:n]
+        flat[begins[own][:, None] + np.arange(COUNTS[s])] = ((w[heads[own]] & PAYLOAD)[:, None] >> shift) & mask
+    return out[:, :STRIP].reshape(-1)[:n]
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
@@ -127,7 +151,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, blo
         enc, shard = encoder(vocabulary), TaskContext.get().partitionId()
         number, first = 0, 0
         ids, doc_ids, lengths = np.zeros(0, np.uint32), [], np.zeros(0, np.int64)
-        last = iter(batches)
+        last = slices(batches, DOCUMENTS_AT_ONCE)
         while True:
             b = next(last, None)
             if b is not None:
@@ -143,7 +167,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, blo
                 # whole documents up to the one with which the block is full
                 cut = min(int(np.searchsorted(ends, begin + block_ids)), len(ends) - 1) + 1
                 v = ids[begin:ends[cut - 1]]
-                row = (shard, number, first, len(v), doc_ids[at:cut], lengths[at:cut], encode(v).astype("<u8").tobytes())
+                words, offsets = encode(v)
+                row = (shard, number, first, len(v), doc_ids[at:cut], lengths[at:cut], offsets, words.astype("<u8").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _ARROW.types, strict=True)], schema=_ARROW)
                 number, first, begin, at = number + 1, first + len(v), int(ends[cut - 1]), cut
             ids, doc_ids, lengths = ids[begin:], doc_ids[at:], lengths[at:]
@@ -161,7 +186,7 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
     def documents(batches):
         for b in batches:
             for r in b.to_pylist():
-                v = decode(np.frombuffer(r["words"], "<u8"), r["n_ids"])
+                v = decode(np.frombuffer(r["words"], "<u8"), np.array(r["offsets"], np.int64), r["n_ids"])
                 ends = np.cumsum(np.array(r["lengths"], np.int64))
                 begins = ends - np.array(r["lengths"], np.int64)
                 own = [v[x:y] for x, y in zip(begins.tolist(), ends.tolist(), strict=True)]

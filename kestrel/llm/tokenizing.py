@@ -286,6 +286,6 @@ def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT, keep: lis
             texts = pc.fill_null(batch.column("text"), "")
             return [pc.binary_length(texts).cast(pa.int64()), pa.array(enc.batch(texts)[1])]
         return columns
-    out = add_columns(docs, {"n_bytes": "bigint", "n_tokens": "bigint"}, make, keep)
+    out = add_columns(docs, {"n_bytes": "bigint", "n_tokens": "bigint"}, make, keep, rows=None)
     names = [c for c in out.columns if c != "over_limit"]
     return out.select(*names, (F.col("n_tokens") > limit).alias("over_limit"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import add_columns, texts
+from kestrel.llm.common import add_columns, slices, texts
 from kestrel.llm.decontaminate import words_of
 from kestrel.llm.quality import logistic, training_labels
 from kestrel.session import materialize
@@ -241,7 +241,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 def passages(docs: DataFrame, model: Model) -> DataFrame:
     """Every significant passage: doc_id, first_word, last_word (exclusive), score, e_value."""
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for d, t in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
                 n, found = model.passages(t)

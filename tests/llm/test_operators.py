@@ -193,8 +193,8 @@ def test_simple8b_round_trip():
             if n > 5:
                 v[::3] = 7
                 v[n // 2] = high - 1
-            assert (tokenfile.decode(tokenfile.encode(v), n) == v).all()
-    assert len(tokenfile.encode(np.zeros(600, np.uint64))) == 10
+            assert (tokenfile.decode(*tokenfile.encode(v), n) == v).all()
+    assert len(tokenfile.encode(np.zeros(600, np.uint64))[0]) == 10
 
 
 @pytest.mark.parametrize("awkward", [True, False])
