@@ -15,8 +15,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-# Headline: the queries whose total is the metric.  Every other registered query of the log side is timed once
-# after a warm-up and reported beside them (BENCH_ALL=0 leaves them out).
+# Headline: the queries whose total is the metric.  Every other registered query of the log side is run and timed
+# once, and reported beside them (BENCH_ALL=0 leaves them out).
 HEADLINE = [
     "recent_errors", "service_rank", "incident_stats", "corr_matrix", "ate_linear", "ate_hetero",
     "placebo_refute", "pc_tests", "effect_scan", "error_burst", "error_burst_global", "burst_sliding",
@@ -39,7 +39,8 @@ def main() -> None:
     names = [n for n in QUERIES if n not in HEADLINE] if os.environ.get("BENCH_ALL", "1") != "0" else []
     for name in [*HEADLINE, *names]:
         fn = QUERIES[name]
-        fn(spark, sf_dir).write.format("noop").mode("overwrite").save()   # warm-up
+        if name in HEADLINE:
+            fn(spark, sf_dir).write.format("noop").mode("overwrite").save()   # warm-up
         samples = []
         for _ in range(runs if name in HEADLINE else 1):
             t0 = time.perf_counter()

@@ -629,5 +629,8 @@ ORACLES["stream_metrics"] = with_views(f"""SELECT count(*) + count(*) FILTER (WH
   count(*) FILTER (WHERE NOT ({_ACCEPTED})) + count(*) FILTER (WHERE NOT ({_ACCEPTED}) AND {_REPEATED}) AS refused,
   count(*) FILTER (WHERE {_ACCEPTED} AND {_REPEATED}) AS repeated,
   count(*) FILTER (WHERE {_ACCEPTED} AND event_id % 7 <> 0 AND level = 'ERROR') AS errors FROM logs""")
+ORACLES["stream_history"] = with_views(f"""WITH fired AS ({_cooldown_sql(30)}),
+dfired AS (SELECT d.* FROM diagnoses d JOIN fired USING (event_id)), {_parse_sql('dfired')}, {_GATE}
+SELECT * FROM gated ORDER BY "timestamp" DESC, event_id DESC LIMIT 20""")
 ORACLES["stream_actions"] = ORACLES["action_gate"]
 ORACLES["stream_node_state"] = ORACLES["node_state"]

@@ -677,8 +677,8 @@ def q_stream_burst(spark, sf):
     return _run_to_table(spark, stream.burst_stream(logs.unionByName(end)), "stream_burst")
 
 
-@query("stream_cooldown")
-def q_stream_cooldown(spark, sf):
+def _firings(spark, sf):
+    """Folder of the firings of a stream of burst candidates."""
     cand_path = scratch_path(spark, "burst_candidates")
     cands = materialize(q_error_burst(spark, sf).where("anomaly").select("service", "event_id", "timestamp"), "candidates")
     # Arrival in event-time order: four appends, one per week, oldest first.
@@ -689,7 +689,24 @@ def q_stream_cooldown(spark, sf):
         part.write.mode("append").parquet(cand_path)
         arrived = stream.read_table_stream(spark, cand_path, cands.schema)
         stream.cooldown_to_table(arrived, out, ck, seconds=30).awaitTermination()
-    return spark.read.schema(stream.COOLDOWN_OUT + ", epoch long").parquet(out).drop("epoch")
+    return out
+
+
+@query("stream_cooldown")
+def q_stream_cooldown(spark, sf):
+    return spark.read.schema(stream.COOLDOWN_OUT + ", epoch long").parquet(_firings(spark, sf)).drop("epoch")
+
+
+@query("stream_history")
+def q_stream_history(spark, sf):
+    """Fire, gate, act: the newest 20 actions of the diagnoses of what fired."""
+    fired = stream.read_table_stream(spark, _firings(spark, sf), stream.COOLDOWN_OUT + ", epoch long")
+    diagnoses = T.diagnoses_from_logs(T.load_logs(spark, sf))
+    actions = stream.incident_actions(fired, diagnoses)
+    out, ck = scratch_path(spark, "incident_actions"), scratch_path(spark, "incident_actions_ckpt")
+    stream.write_idempotent(actions, out, ck).awaitTermination()
+    done = spark.read.schema(actions.schema.add("epoch", "long")).parquet(out).drop("epoch")
+    return agg.top_k_history(done, 20)
 
 
 def _ingested(spark, sf):

@@ -201,6 +201,11 @@ def actions_stream(diagnoses: DataFrame) -> DataFrame:
     return action_gate(diagnosis_parse(diagnoses))
 
 
+def incident_actions(fired: DataFrame, diagnoses: DataFrame) -> DataFrame:
+    """Actions for a stream of firings: each one's stored diagnosis, parsed and gated."""
+    return actions_stream(fired.select("event_id").join(diagnoses, "event_id"))
+
+
 def write_idempotent(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True, mode: str = "append"):
     """foreachBatch sink writing each micro-batch to its own epoch folder.
 
