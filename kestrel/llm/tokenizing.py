@@ -39,8 +39,10 @@ TOKEN_LIMIT = 2048
 WORDS_AT_ONCE = 1 << 18  # words whose ids are dealt out at a time
 ASK_WORDS = 512          # words per call of the library
 
-# A word of letters, or one that ends in a run of other marks: two pre-tokens, whatever stands around them.
-_LETTERS = re.compile(rb"([A-Za-z\x80-\xff]+)([^A-Za-z0-9'\x80-\xff]*)")
+# A word of letters (of ranges that hold nothing else), or one that ends in a run of other ASCII marks: two
+# pre-tokens, whatever stands around them.  The case of its ASCII letters doesn't matter to the library.
+_PARTS = (r"^(?P<base>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+)"
+          r"(?P<tail>[!-&(-/:-@\[-`{-~]*)$")
 _GAP = re.compile(r"(?<=[^\s])[ \t\n\r](?=[^\s])")
 
 
@@ -58,6 +60,7 @@ def splits_at_blanks(path: str) -> bool:
     steps = norm["normalizers"] if norm["type"] == "Sequence" else [norm]
     plain = all(s["type"] in ("NFC", "Lowercase")
                 or s["type"] == "Replace" and s["pattern"] == {"Regex": "\\s+"} and s["content"] == " " for s in steps)
+    plain = plain and any(s["type"] == "Lowercase" for s in steps)       # words are looked up whatever their case
     pre = rules.get("pre_tokenizer") or {"type": ""}
     first = pre["pretokenizers"][0] if pre["type"] == "Sequence" else pre
     if not plain or first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert"):
@@ -138,78 +141,58 @@ class Encoder:
 
     def by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same for texts whose words, at ASCII blanks, are encoded each by itself: the distinct words of the
-        batch are looked up once, their ids dealt out in whole-array steps."""
+        batch are looked up once, their ids dealt out in whole-array steps.  Words that differ in case or in the
+        marks after them are looked up by their parts."""
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
+        parts = pc.extract_regex(coded.dictionary, _PARTS)
+        apart = parts.is_valid()
+        base = pc.if_else(apart, pc.ascii_lower(pc.struct_field(parts, "base")), coded.dictionary)
+        tail = pc.if_else(apart, pc.struct_field(parts, "tail"), "")
+        pools = [self.lookup(x) for x in (base.dictionary_encode(), tail.dictionary_encode())]
+        # The ids of each distinct word: those of its base, then those of its tail.
+        n = [k[which] for _, _, k, which in pools]
+        count = n[0] + n[1]
+        start = np.cumsum(count) - count
+        pool = np.empty(int(count.sum()), np.uint32)
+        for at, (ids, begin, _, which), k in zip((start, start + n[0]), pools, n, strict=True):
+            pool[deal(at, k)] = ids[deal(begin[which], k)]
         which = coded.indices.to_numpy()
-        found = self.lookup(coded.dictionary.cast(pa.binary()).to_pylist())
-        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        pool = np.frombuffer(b"".join(found), "<u4")
-        start = np.cumsum(n) - n
-        parts, totals = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        out, totals = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
         for i in range(0, len(which), WORDS_AT_ONCE):
             w = which[i:i + WORDS_AT_ONCE]
-            k = n[w]
-            ends = np.cumsum(k)
-            parts.append(pool[np.repeat(start[w] - ends + k, k) + np.arange(ends[-1])])
-            totals.append(ends + totals[-1][-1])
+            out.append(pool[deal(start[w], count[w])])
+            totals.append(np.cumsum(count[w]) + totals[-1][-1])
         bounds = np.concatenate(totals)[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        return np.concatenate(parts), np.diff(bounds)
+        return np.concatenate(out), np.diff(bounds)
 
-    def lookup(self, words: list[bytes]) -> list[bytes]:
-        """The ids of distinct words, as little-endian unsigned 32-bit integers."""
+    def lookup(self, coded: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of the distinct words one after the other, where each begins, how many it has, the words' indices)."""
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
         if len(self.cache) > CACHE_WORDS:
             self.older, self.cache = self.cache, {b"": b""}
-        cache = self.cache
+        cache, older = self.cache, self.older
         found = list(map(cache.get, words))
         new = [i for i, v in enumerate(found) if v is None]
         if new:
-            unknown = []
+            letters, others = [], []
             for i in new:
-                v = self.older.get(words[i])
-                if v is None:
-                    unknown.append(words[i])
+                w = words[i]
+                v = older.get(w)
+                if v is not None:
+                    cache[w] = v
+                elif w.isalpha() and w.islower():          # bytes: ASCII letters only
+                    letters.append(w)
                 else:
-                    cache[words[i]] = v
-            self.learn(unknown)
+                    others.append(w)
+            for ask, encode in ((letters, self.bare), (others, self.many)):
+                for i in range(0, len(ask), ASK_WORDS):
+                    cache.update(self.each(ask[i:i + ASK_WORDS], encode))
             for i in new:
                 w = words[i]
                 found[i] = cache.pop(w) if len(w) > CACHED_BYTES else cache[w]
-        return found
-
-    def learn(self, words: list[bytes]) -> None:
-        """Put the ids of new words into the cache; words that differ in case or the marks after them are encoded once."""
-        cache, older = self.cache, self.older
-        parts, letters, others = [], set(), set()
-        for w in words:
-            m = _LETTERS.fullmatch(w)
-            if m and m[1].isascii():
-                base, tail = m[1].lower(), m[2]
-                letters.add(base)
-            elif m and m[2] and m[1].decode().isalpha():
-                base, tail = m.groups()
-                others.add(base)
-            else:
-                others.add(w)
-                continue
-            parts.append((w, base, tail))
-            others.add(tail)
-        others.discard(b"")
-        found = {b"": b""}
-        for some, encode in ((letters, self.bare), (others, self.many)):
-            ask = []
-            for w in some:
-                v = cache.get(w) or older.get(w)
-                if v is None:
-                    ask.append(w)
-                else:
-                    found[w] = v
-            for i in range(0, len(ask), ASK_WORDS):
-                found.update(self.each(ask[i:i + ASK_WORDS], encode))
-        for w, base, tail in parts:
-            cache[w] = found[base] + found[tail]
-        for w in others:
-            cache[w] = found[w]
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), "<u4"), np.cumsum(n) - n, n, coded.indices.to_numpy()
 
     def each(self, words: list[bytes], encode: Callable):
         """(word, ids) of each word.  One call of the library for all: words stand between blanks and a mark, a
@@ -262,6 +245,12 @@ class Encoder:
         return int(gaps[np.argmin(np.abs(gaps - (begin + end) // 2))]) if len(gaps) else None
 
 
+def deal(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places start[i], ..., start[i] + n[i] - 1 of each i, one run after the other."""
+    ends = np.cumsum(n)
+    return np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

@@ -166,6 +166,7 @@ def test_token_counts(spark, docs, doc_rows, awkward):
 def test_overlaps_resynchronise(doc_rows, chunk, overlap):
     lib, enc = cases.library(), tokenizing.Encoder(cases.VOCABULARY, chunk, overlap)
     odd = ["x" * 3000 + " ab " + "y" * 900 + "\n" + "q", "!? " * 700, "don't  I'll\t\tgo <|endoftext|> x <|startoftext|>y " * 40,
+           "Hello, WORLD!! (it's) Émile... Ñandú%%% x<y> A-B a. ÀÉ, o'Neill; ǅ ß! 'S 'Tis ÷× n~ ~~ ab~, " * 30,
            "é́ ́b ΣΑΣ Σ 日本語   \x0b\x0c\x1c! " * 60, " " * 500 + "a" + " " * 500, "z" * 4000]
     for t in [r[1] for r in doc_rows[:120]] + odd:
         assert enc.ids(t).tolist() == lib.encode(t, add_special_tokens=False).ids
