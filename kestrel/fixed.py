@@ -24,11 +24,13 @@ CONFOUNDER = "db_lock_time"
 
 # Command safety policy.
 SAFE_VERBS = ["scale", "edit", "set", "annotate", "label", "rollout"]
-SAFE_RESOURCES = ["deployment", "pod", "service", "hpa", "configmap"]
 FORBIDDEN_VERBS = ["delete", "remove", "drop", "restart", "reboot"]
 IAC_PREFIXES = ["kubectl", "terraform"]
 FORCE_FLAG = "--force"
 
+# Services that the generated incident affects.
+AFFECTED = ["payment-db", "api-gateway", "user-service"]
+
 # Remediation actions a diagnosis may recommend.
 ALLOWED_ACTIONS = ["increase_pool", "restart_service", "scale_up", "investigate_db", "page_human"]
 

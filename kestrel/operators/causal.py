@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.fixed import CAUSAL_EDGES, CONFOUNDER, METRICS, OUTCOME, TREATMENT
-from kestrel.functions.exprs import normal_two_sided_p
+from kestrel.functions.exprs import epoch_micros, normal_two_sided_p
 
 Z_CRIT = 1.96
 
@@ -315,6 +315,20 @@ def pc_oriented(df: DataFrame, cols: list[str] = METRICS, by: str = "service", m
     return wide.mapInPandas(search, f"{by} {kind}, x string, y string, adjacent boolean, arrow string, separated_by string")
 
 
+def pc_neighbourhood(logs: DataFrame, services: list[str], target: str, metric: str = "latency_ms",
+                     bucket_seconds: int = 3600, min_rows: int = 100) -> DataFrame:
+    """Directed graph among ``target`` and the ``services`` chosen for it (its k-hop neighbours).
+
+    One aggregate gives the mean ``metric`` per service and time bucket, a
+    column per service; buckets that lack one are left out, and the search
+    runs on the correlations (``pc_oriented``).
+    """
+    names = [target, *sorted(set(services) - {target})]
+    bucket = F.floor(epoch_micros(F.col("timestamp")) / (bucket_seconds * 1_000_000))
+    panel = logs.where(F.col("service").isin(names)).groupBy(bucket.alias("bucket")).pivot("service", names).agg(F.avg(metric))
+    return pc_oriented(panel.select(F.lit(target).alias("target"), *names), names, "target", min_rows)
+
+
 def pc_skeleton(tests: DataFrame, by: str = "service") -> DataFrame:
     """Edges that survive every test; the separating set of removed ones."""
     sep = F.min_by(F.col("cond"), F.struct(F.abs("z"), F.col("order"), F.col("cond")))

@@ -11,9 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.fixed import SERVICES
-
-AFFECTED = ["payment-db", "api-gateway", "user-service"]
+from kestrel.fixed import AFFECTED, SERVICES
 
 
 def _exp(scale: float, seed: int) -> Column:

@@ -307,6 +307,14 @@ def q_pc_oriented(spark, sf):
     return causal.pc_oriented(_clean_logs(spark, sf))
 
 
+@query("pc_neighbourhood")
+def q_pc_neighbourhood(spark, sf):
+    """Discovery among the services within two hops of the failing one (names of services reach the driver)."""
+    near = graph.k_hop(_edges(spark, sf), "payment-db", 2)
+    names = [r["service"] for r in near.collect()]
+    return causal.pc_neighbourhood(T.load_logs(spark, sf), names, "payment-db")
+
+
 @query("status_timeline")
 def q_status_timeline(spark, sf):
     return ts.status_timeline(T.load_logs(spark, sf))

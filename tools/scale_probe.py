@@ -26,6 +26,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from kestrel.operators import aggregates, causal, clean, synth  # noqa: E402
 from kestrel.operators import timeseries as ts  # noqa: E402
 from kestrel.session import build_session  # noqa: E402
+from kestrel.sources.tables import edges_from_logs  # noqa: E402
 
 OPERATORS = {
     "ate_linear": lambda logs: causal.ate_linear(logs),
@@ -44,12 +45,11 @@ OPERATORS = {
     "latest_error": lambda logs: clean.latest_error(logs),
     "recent_logs": lambda logs: clean.recent_logs(logs, 10),
     # A hot cell: a year of rows on one timestamp, all services together
-    # (about 1M rows per cell at 4M), counted over 60 min with the bucketed
-    # window forced (one task sorts the cell) and with the bounded plan.
-    "burst_hot_year_bucketed": lambda logs: ts.trailing_count(_hot(logs), 3600 * 10**6, [],
-                                                              max_cell_rows=10**12),
-    "burst_hot_year_bounded": lambda logs: ts.trailing_count(_hot(logs), 3600 * 10**6, [],
-                                                             max_cell_rows=0),
+    # (about 1M rows per cell at 4M), counted over 60 min.
+    "burst_hot_year": lambda logs: ts.trailing_count(_hot(logs), 3600 * 10**6, []),
+    "cooldown": lambda logs: ts.cooldown(logs.where(F.col("error_count") >= 1), 30),
+    "edges_view": lambda logs: edges_from_logs(logs.withColumns(
+        {"user_id": F.col("event_id") % 3, "cpu_percent": F.lit(1.0), "memory_percent": F.lit(1.0)})),
 }
 
 
