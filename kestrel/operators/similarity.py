@@ -168,13 +168,13 @@ def rules_frame(spark: SparkSession, rules=None) -> DataFrame:
 def scenario_match(logs: DataFrame, rules: DataFrame) -> DataFrame:
     """Best-priority scenario rule matching each log.
 
-    The rules are a fixed handful: one small array (a scalar subquery) sorted
-    by priority; the first one that fits is taken in the projection, so no
-    log is shuffled.
+    The rules are a fixed handful: they become one literal array in order of
+    priority, and the first that fits is taken in the projection, so no log
+    is shuffled.
     """
-    fields = ["priority", "rule_id", "service", "min_latency", "lock_below", "min_lock", "min_pool", "diagnosis",
-              "expected_action"]
-    table = rules.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("r")).scalar()
+    kinds = dict(rules.dtypes)
+    rows = sorted(rules.collect(), key=lambda r: r["priority"])
+    table = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in kinds]) for r in rows])
 
     def fits(r):
         return ((r["service"] == F.col("service"))
@@ -182,10 +182,8 @@ def scenario_match(logs: DataFrame, rules: DataFrame) -> DataFrame:
                 & (r["lock_below"].isNull() | (F.col("db_lock_time") < r["lock_below"]))
                 & (r["min_lock"].isNull() | (F.col("db_lock_time") >= r["min_lock"]))
                 & (r["min_pool"].isNull() | (F.col("pool_wait_ms") >= r["min_pool"])))
-    fields = ("event_id", "service", "latency_ms", "db_lock_time", "pool_wait_ms")
-    ruled = logs.select(*fields, table.alias("rules"))
-    best = F.get(F.filter("rules", fits), F.lit(0))
-    return (ruled.select("event_id", "service", best.alias("b")).where(F.col("b").isNotNull())
+    best = F.get(F.filter(table, fits), F.lit(0))
+    return (logs.select("event_id", "service", best.alias("b")).where(F.col("b").isNotNull())
             .select("event_id", "service", "b.rule_id", "b.diagnosis", "b.expected_action"))
 
 

@@ -41,8 +41,9 @@ def trailing_count(df: DataFrame, window_us: int, keys: list[str] | None = None,
     key, a bucket or a single timestamp holds.  Counts go back to the rows
     by an equi-join on (key, time), whose skewed keys AQE splits.
     """
-    keys = keys or []
     rows = df.withColumn("_t", epoch_micros(F.col(ts)))
+    if not keys:                        # all rows are one key, as hot as a key can be
+        keys, rows = ["_all"], rows.withColumn("_all", F.lit(0))
     pts = rows.where(F.col("_t").isNotNull()).groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_c"))
     looks = pts.select(*keys, (F.col("_t") - window_us).alias("_x"), F.col("_t").alias("_o"))
     r = count_at_or_before(pts, looks, keys, cell_us)
