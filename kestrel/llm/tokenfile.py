@@ -33,7 +33,7 @@ from kestrel.session import materialize
 END_ID = 1
 STRIP = 1024              # ids of a strip, whose words begin anew
 BLOCK_IDS = 1 << 19       # a block is closed once it holds this many ids
-DOCUMENTS_AT_ONCE = 8192  # documents whose ids a task holds
+DOCUMENTS_AT_ONCE = 2048  # documents whose ids a task holds
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])     # by selector; 0: the escape
 BITS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 PAYLOAD = np.uint64((1 << 60) - 1)

@@ -32,7 +32,7 @@ from kestrel.llm.common import add_columns
 
 CHUNK_CHARS = 32_768     # longer texts are encoded in chunks of this many characters
 OVERLAP_CHARS = 256      # of neighbouring chunks, at first
-CACHE_WORDS = 300_000    # words kept per worker, and as many that were used before those
+CACHE_WORDS = 200_000    # words kept per worker, and as many that were used before those
 CACHED_BYTES = 64        # longer words are not kept
 TOKEN_LIMIT = 2048
 
@@ -275,6 +275,6 @@ def count_tokens(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT, keep: lis
             texts = pc.fill_null(batch.column("text"), "")
             return [pc.binary_length(texts).cast(pa.int64()), pa.array(enc.batch(texts)[1])]
         return columns
-    out = add_columns(docs, {"n_bytes": "bigint", "n_tokens": "bigint"}, make, keep, rows=None)
+    out = add_columns(docs, {"n_bytes": "bigint", "n_tokens": "bigint"}, make, keep, rows=4096)
     names = [c for c in out.columns if c != "over_limit"]
     return out.select(*names, (F.col("n_tokens") > limit).alias("over_limit"))
