@@ -76,6 +76,11 @@ def simhash(text: str | None, width: int = 3) -> int:
 
 def components(rows, radius: int = 2) -> list[tuple]:
     """(doc_id, fingerprint, component_id) by comparing every pair of fingerprints."""
+    return [r[:3] for r in grouped(rows, radius)]
+
+
+def grouped(rows, radius: int = 2) -> list[tuple]:
+    """The same and a name of the group (two groups may have one smallest id)."""
     prints = [simhash(r[1]) for r in rows]
     distinct = sorted(set(prints))
     root = {f: f for f in distinct}
@@ -92,7 +97,7 @@ def components(rows, radius: int = 2) -> list[tuple]:
     for r, f in zip(rows, prints, strict=True):
         if r[0] is not None:
             low[find(f)] = min(low.get(find(f), r[0]), r[0])
-    return [(r[0], f"{f:016x}", low.get(find(f))) for r, f in zip(rows, prints, strict=True)]
+    return [(r[0], f"{f:016x}", low.get(find(f)), find(f)) for r, f in zip(rows, prints, strict=True)]
 
 
 def word_list(text: str | None) -> list[str]:
