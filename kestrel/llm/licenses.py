@@ -7,8 +7,13 @@ shares with a template hit the index.  All grams of a document are looked up.
 Hits of a template whose diagonals (place in the document minus place in the
 template) lie within the band are one candidate; a banded sequence alignment
 of the template with the words around it gives the matched words and the
-span.  Candidates below ``MIN_COVERAGE`` are dropped, and of overlapping ones
-the one with the most matched words is kept.
+span.  The words that tell a license from its siblings (``EXACT``: name, kind,
+version) must be there as they stand, with no word that changes them beside
+them; otherwise the finding is only similar and names no license.  What is
+below ``MIN_COVERAGE`` is reported by its parts: local alignments of
+``PART_WORDS`` matched words or more.  Of overlapping findings whole ones go
+before similar ones and these before parts, then the one with the most matched
+words.
 
 The templates are a small fixed list, sent with the tasks; the scan is one
 pass without a shuffle.
@@ -17,7 +22,7 @@ pass without a shuffle.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,17 @@ GRAM, WINDOW = 3, 3
 BAND = 8                   # words an alignment may run ahead or behind (a quarter of a shorter template)
 MIN_COVERAGE = 0.8
 
-# Notices as the licenses publish them.
+PART_WORDS = GRAM + WINDOW - 1    # matched words from which a part of a template is reported
+
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: ")
+_BSD_CLAUSES = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+    "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+    "the following disclaimer in the documentation and/or other materials provided with the distribution. ")
+
+# Short notices (four wordings), and notices as the licenses publish them.  A wording's number after #
+# is not part of the license's name.
 TEMPLATES = {
     "MIT-line": "Released under the MIT License.",
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -45,24 +60,105 @@ TEMPLATES = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
         "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    "BSD-2-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met"),
-    "GPL-3.0-or-later": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
-        "later version."),
-    "GPL-2.0-or-later": (
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
-        "later version."),
+    "BSD-2-Clause": _BSD + _BSD_CLAUSES,
+    "BSD-3-Clause": _BSD + _BSD_CLAUSES + (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission."),
+    "BSD-3-Clause#2": _BSD + _BSD_CLAUSES + (
+        "The name of the author may not be used to endorse or promote products derived from this software without "
+        "specific prior written permission."),
+    "BSD-4-Clause": _BSD + _BSD_CLAUSES + (
+        "All advertising materials mentioning features or use of this software must display the following "
+        "acknowledgement: This product includes software developed by the copyright holder. Neither the name of the "
+        "copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission."),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
         "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    "0BSD": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted."),
+    "MPL-1.1": (
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use "
+        "this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.mozilla.org/MPL/"),
+}
+# Words that must be there exactly, by wording.
+EXACT = {
+    "MIT-line": ["MIT License"], "Apache-2.0-line": ["Apache License, Version 2.0"],
+    "GPL-3.0-line": ["GNU General Public License, version 3"], "CC-BY-NC-4.0-line": ["CC BY-NC 4.0"],
+    "Apache-2.0": ["Apache License, Version 2.0"], "MPL-2.0": ["Mozilla Public License, v. 2.0"],
+    "MPL-1.1": ["Mozilla Public License Version 1.1"], "ISC": ["provided that the above copyright notice"],
+    "0BSD": ["with or without fee is hereby granted"],
+    "BSD-2-Clause": ["Redistributions in binary form must reproduce the above copyright notice"],
+    "BSD-3-Clause": ["nor the names of its contributors may be used to endorse or promote products"],
+    "BSD-3-Clause#2": ["may not be used to endorse or promote products"],
+    "BSD-4-Clause": ["All advertising materials mentioning features or use of this software",
+                     "may be used to endorse or promote products"],
 }
+# Words near a finding that make it another license: (words looked at after its end, runs).
+OTHERWISE = {"BSD-2-Clause": (80, ["endorse or promote products", "all advertising materials"]),
+             "BSD-3-Clause": (20, ["all advertising materials"]), "BSD-3-Clause#2": (20, ["all advertising materials"]),
+             "0BSD": (3, ["provided that"])}
+# Beside exact words, these change the license.
+MODIFIERS = frozenset(b"lesser library affero nc sa nd noncommercial sharealike noderivatives noderivs non share no igo".split())
+
+
+def _short_notices() -> None:
+    """Short notices of the common licenses and their siblings, and the GNU notices, into TEMPLATES and EXACT."""
+    def add(license: str, text: str, *exact: str) -> None:
+        n = next(n for n in range(1, 1000) if (f"{license}#{n}" if n > 1 else license) not in TEMPLATES)
+        name = f"{license}#{n}" if n > 1 else license
+        TEMPLATES[name], EXACT[name] = text, list(exact)
+
+    names = {"MIT": ["MIT License"], "ISC": ["ISC License"], "Unlicense": ["Unlicense"], "0BSD": ["Zero-Clause BSD License"],
+             "Apache-1.1": ["Apache License, Version 1.1", "Apache Software License, Version 1.1"],
+             "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+             "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"],
+             "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License"],
+             "BSD-4-Clause": ["BSD 4-Clause License", "4-Clause BSD License"],
+             "MPL-1.1": ["Mozilla Public License, Version 1.1"],
+             "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License 2.0"],
+             "EPL-1.0": ["Eclipse Public License, Version 1.0", "Eclipse Public License 1.0"],
+             "EPL-2.0": ["Eclipse Public License, Version 2.0", "Eclipse Public License v2.0", "Eclipse Public License 2.0"],
+             "CC0-1.0": ["CC0 1.0", "Creative Commons Zero 1.0"]}
+    for short, words in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"),
+                         ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+                         ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            names[f"CC-{short}-{v}"] = [f"CC {short} {v}", f"Creative Commons {words} {v}"]
+            if short.endswith("ND"):
+                names[f"CC-{short}-{v}"].append(f"Creative Commons {words.replace('Derivatives', 'Derivs')} {v}")
+    later = ("or later", "or any later version", "or (at your option) any later version")
+    for letter, kind, versions in (("", "", ("1", "2", "3")), ("L", "Library ", ("2",)), ("L", "Lesser ", ("2.1", "3")),
+                                   ("A", "Affero ", ("3",))):
+        for v in versions:
+            license, long = f"{letter}GPL-{v}" + ("" if "." in v else ".0"), f"GNU {kind}General Public License"
+            either = [f"{long}, version {v}", f"{long} v{v}", f"GNU {letter}GPL version {v}", f"{letter}GPL version {v}",
+                      f"GNU {letter}GPLv{v}", f"{letter}GPLv{v}", f"{letter}GPL {v}"]
+            names[license] = [*either, f"{long} {v}"] + [f"{long} {v}.0", f"{letter}GPL {v}.0"] * ("." not in v)
+            add(f"{license}-line", f"under the terms of version {v} of the {long}", f"version {v} of the {long}")
+            names[f"{license}-or-later"] = [f"{n} {x}" for n in either for x in later]
+            # The notices that the GNU licenses publish.
+            subject = "library" if letter == "L" else "program"
+            for mark in (";", ":"):
+                add(f"{license}-or-later", f"This {subject} is free software{mark} you can redistribute it and/or modify it under "
+                    f"the terms of the {long} as published by the Free Software Foundation, either version {v} of the License, "
+                    "or (at your option) any later version.", long, f"version {v} of the License", "any later version")
+    for license, texts in names.items():
+        for text in texts:
+            add(f"{license}-line", f"under the {text}", text)
+            if license.startswith("CC") or len(words_of(text.encode())) == 1:
+                add(f"{license}-line", f"Licensed under {text}", text)
+        spdx = [license, f"{license}-only"] if "GPL" in license and "later" not in license else [license]
+        for x in spdx:
+            add(f"{license}-line", f"SPDX-License-Identifier: {x}", f"Identifier: {x}")
+
+
+_short_notices()
 
 
 def winnow(hashes: list[int], window: int = WINDOW) -> set[int]:
@@ -104,6 +200,32 @@ def align(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> tup
     return best[1:]
 
 
+def align_part(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
+    """Best alignment of any run of the template with any run of ``words`` near the diagonal, counted as in ``align``:
+    (matched words, first word, end); it begins and ends with a match."""
+    width = 2 * band + 1
+    none = (0, 0, 0)
+    best = (0, 0, 0, 0)
+    row = [none] * (width + 1)
+    for i, t in enumerate(template.tolist()):
+        new: list[tuple[int, int, int]] = []
+        for k in range(width):
+            j = i + shift - band + k
+            s, m, f = row[k + 1]
+            cell = (s - 1, m, f)
+            if 0 <= j < len(words):
+                s, m, f = row[k]
+                hit = words[j] == t
+                cell = max(cell, (s + 1, m + 1, f if m else j) if hit else (s - 1, m, f), key=lambda c: c[0])
+                if hit and cell[0] > best[0]:
+                    best = (*cell, j + 1)
+            if k and new[k - 1][0] - 1 > cell[0]:
+                cell = (new[k - 1][0] - 1, *new[k - 1][1:])
+            new.append(cell if cell[0] > 0 else none)
+        row = [*new, none]
+    return best[1:]
+
+
 class TemplateIndex:
     """Numbered template words and the inverted index of their winnowed grams."""
 
@@ -112,6 +234,11 @@ class TemplateIndex:
         self.names = list(templates)
         self.words = [np.array([self.number.setdefault(w, len(self.number)) for w in words_of(t.encode())], np.int64)
                       for t in templates.values()]
+        numbers = lambda text: np.array([self.number.setdefault(w, len(self.number)) for w in words_of(text.encode())], np.int64)
+        own = [EXACT.get(n, []) if TEMPLATES.get(n) == t else [] for n, t in templates.items()]
+        self.exact = [[numbers(x) for x in e] for e in own]
+        other = [OTHERWISE.get(n, (0, [])) if TEMPLATES.get(n) == t else (0, []) for n, t in templates.items()]
+        self.otherwise = [(reach, [numbers(x) for x in runs]) for reach, runs in other]
         self.band = [min(BAND, max(1, len(w) // 4)) for w in self.words]
         entries = []
         for t, ids in enumerate(self.words):
@@ -145,34 +272,88 @@ class TemplateIndex:
                 last = (t, d)
                 yield last
 
-    def scan(self, text: bytes) -> list[tuple[str, int, float, int, int]]:
-        """Findings of a text: (license, matched words, coverage, first word, end)."""
+    def named(self, t: int, words: list[bytes], ids: np.ndarray, first: int, end: int, raw: Callable[[int], bytes]) -> bool:
+        """Whether the words [first, end) hold the template's exact words, nothing beside them that changes them."""
+        def stands(run: np.ndarray) -> bool:
+            for at in range(first, end - len(run) + 1):
+                stop = at + len(run)
+                if (ids[at:stop] == run).all() and not MODIFIERS.intersection(words[max(0, at - 1):at] + words[stop:stop + 1]):
+                    if not _GOES_ON.match(raw(stop - 1)):
+                        return True
+            return False
+        reach, runs = self.otherwise[t]
+        after = ids[end:end + reach]
+        return (all(stands(run) for run in self.exact[t])
+                and not any((after[i:i + len(run)] == run).all() for run in runs for i in range(len(after) - len(run) + 1)))
+
+    def findings(self, text: bytes) -> list[tuple[str | None, str, str, int, float, int, int]]:
+        """Findings of a text: (license or None, template, kind, matched words, coverage, first word, end)."""
         words = words_of(text)
         get = self.number.get
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        found = []
-        for t, d in self.candidates(ids):
+        groups = list(self.candidates(ids))
+        if not groups:
+            return []
+        spans: list[int] = []
+
+        def raw(word: int) -> bytes:
+            if not spans:
+                spans.extend(m.end() for m in _SPAN.finditer(text.translate(_TABLE)))
+            return text[spans[word]:spans[word] + 2]
+
+        found, rest = [], []
+        for t, d in groups:
             size, band = len(self.words[t]), self.band[t]
-            lo = max(0, d - band)
-            m, first, end = align(self.words[t], ids[lo:d + size + 2 * band], d - lo, band)
-            if m >= MIN_COVERAGE * size:
-                found.append((m, m / size, lo + first, lo + end, t))
-        found.sort(key=lambda f: (-f[0], -f[1], f[2], f[4]))
+            lo, hi = max(0, d - band), d + size + 2 * band
+            # What can't match enough words needs no alignment.
+            most = int(np.isin(self.words[t], ids[lo:hi]).sum())
+            if most >= MIN_COVERAGE * size:
+                m, first, end = align(self.words[t], ids[lo:hi], d - lo, band)
+                if m >= MIN_COVERAGE * size:
+                    good = self.named(t, words, ids, lo + first, lo + end, raw)
+                    found.append((0 if good else 1, m, m / size, lo + first, lo + end, t, good))
+                    continue
+            if most >= PART_WORDS:
+                rest.append((t, d, lo, hi))
         kept: list[tuple] = []
         taken = np.zeros(len(words), bool)
-        for f in found:
-            if not taken[f[2]:f[3]].any():
-                taken[f[2]:f[3]] = True
-                kept.append(f)
-        return [(self.names[t], m, c, first, end) for m, c, first, end, t in sorted(kept, key=lambda f: f[2])]
+
+        def keep(found: list[tuple]) -> None:
+            for f in sorted(found, key=lambda f: (f[0], -f[1], not f[6], -f[2], f[3], f[5])):
+                if not taken[f[3]:f[4]].any():
+                    taken[f[3]:f[4]] = True
+                    kept.append(f)
+        keep(found)
+        while rest:        # the parts of what is left, the longest first, until none is found
+            found, again = [], []
+            for t, d, lo, hi in rest:
+                free = np.where(taken[lo:hi], -2, ids[lo:hi])
+                m, first, end = align_part(self.words[t], free, d - lo, self.band[t])
+                if m >= PART_WORDS and not taken[lo + first:lo + end].any():
+                    good = self.named(t, words, ids, lo + first, lo + end, raw)
+                    found.append((2, m, m / len(self.words[t]), lo + first, lo + end, t, good))
+                    again.append((t, d, lo, hi))
+            keep(found)
+            rest = again
+        kinds = ("whole", "similar", "part")
+        return [(self.names[t].split("#")[0] if good else None, self.names[t], kinds[k], m, c, first, end)
+                for k, m, c, first, end, t, good in sorted(kept, key=lambda f: f[3])]
+
+    def scan(self, text: bytes) -> list[tuple[str, int, float, int, int]]:
+        """Whole notices of a text: (license, matched words, coverage, first word, end)."""
+        return [(name, m, c, first, end) for name, _, kind, m, c, first, end in self.findings(text) if kind == "whole"]
 
 
 _SPAN = re.compile(rb"[^ ]+")
+_GOES_ON = re.compile(rb"[.\-][0-9]|\+")        # after exact words: another version
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """License notices in every whole text, a row for each: doc_id, license, matched_words, coverage (of the
-    template, 0 to 1), first_word, last_word (exclusive), first_char, last_char (exclusive, in code points).
+    """License notices in every whole text, a row for each: doc_id, license, template, kind, matched_words, coverage
+    (of the template, 0 to 1), first_word, last_word (exclusive), first_char, last_char (exclusive, in code points).
+
+    ``kind``: "whole" (coverage from ``MIN_COVERAGE``), "similar" (as much, but the words that tell licenses apart
+    differ) or "part" (less).  ``license`` is NULL where these words aren't there as the template has them.
 
     Texts without notices (NULL and empty ones among them) give no row; a
     notice that a text repeats is reported each time; repeated rows repeat
@@ -181,21 +362,22 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     index = TemplateIndex(templates if templates is not None else TEMPLATES)
 
     def run(batches):
-        kinds = (pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        names = ["doc_id", "license", "matched_words", "coverage", "first_word", "last_word", "first_char", "last_char"]
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64(),
+                 pa.int64())
+        names = ["doc_id", "license", "template", "kind", "matched_words", "coverage", "first_word", "last_word", "first_char", "last_char"]
         for b in slices(batches):
             rows = []
             for d, t in zip(b.column("doc_id").to_pylist(), text_bytes(b), strict=True):
-                found = index.scan(t)
+                found = index.findings(t)
                 if found:
                     spans = [m.span() for m in _SPAN.finditer(t.translate(_TABLE))]
-                    for name, m, c, first, end in found:
+                    for name, template, kind, m, c, first, end in found:
                         x, y = spans[first][0], spans[end - 1][1]
                         at = len(t[:x].decode())
-                        rows.append((d, name, m, c, first, end, at, at + len(t[x:y].decode())))
+                        rows.append((d, name, template, kind, m, c, first, end, at, at + len(t[x:y].decode())))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id bigint, license string, matched_words int, coverage double, first_word bigint, last_word bigint, "
-             "first_char bigint, last_char bigint")
+        run, "doc_id bigint, license string, template string, kind string, matched_words int, coverage double, "
+             "first_word bigint, last_word bigint, first_char bigint, last_char bigint")

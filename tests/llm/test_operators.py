@@ -233,6 +233,24 @@ def test_license_alignment_bridges_edits():
     assert [(n, a, b) for n, _, _, a, b in index.scan(twice)] == [("MIT-line", 0, 5), ("MIT-line", 5, 10)]
 
 
+def test_sibling_licenses_are_told_apart(spark):
+    work = "This work is licensed under the GNU {} Public License, version {}."
+    texts = {work.format("Lesser General", "3"): "LGPL-3.0-line", work.format("Affero General", "3"): "AGPL-3.0-line",
+             work.format("General", "2"): "GPL-2.0-line", "Licensed under CC BY 4.0.": "CC-BY-4.0-line",
+             "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0-line", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0-line",
+             licenses.TEMPLATES["BSD-3-Clause"]: "BSD-3-Clause", licenses.TEMPLATES["BSD-2-Clause"]: "BSD-2-Clause",
+             "under the GNU General Public License version 3 or later": "GPL-3.0-or-later-line"}
+    others = [work.format("Foo General", "3"), work.format("General", "3.5"), "under the GPLv3+", "under the Lesser GPL version 3"]
+    part = " ".join(licenses.TEMPLATES["MIT"].split()[:20])
+    rows = [(i, f"Before it {t} after it", "en", "a", 0) for i, t in enumerate([*texts, *others, part])]
+    got = {r.doc_id: r for r in licenses.scan_licenses(cases.frame(spark, rows)).collect()}
+    assert [(got[i].license, got[i].kind) for i in range(len(texts))] == [(n, "whole") for n in texts.values()]
+    assert all((got[len(texts) + i].license, got[len(texts) + i].kind) == (None, "similar") for i in range(len(others)))
+    last = got[len(rows) - 1]
+    assert (last.license, last.kind, last.matched_words) == ("MIT", "part", 20) and last.coverage < 0.4
+    assert (last.first_word, last.last_word) == (2, 22)
+
+
 def test_winnowing_keeps_every_shared_run():
     rng = random.Random(2)
     h = [rng.randrange(1000) for _ in range(200)]
