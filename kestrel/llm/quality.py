@@ -86,15 +86,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 3
     return w[:-1], float(w[-1])
 
 
-def training_labels(labels: DataFrame, value: str, limit: int) -> DataFrame:
-    """(doc_id, value) of at most ``limit`` labelled ids outside the held-out fifth, the smallest id hashes first.
+def training_labels(labels: DataFrame, value: str, limit: int | None = None) -> DataFrame:
+    """(doc_id, value) of at most ``limit`` (None: all) labelled ids outside the held-out fifth, the smallest id hashes first.
 
     An id labelled more than once counts as ``value`` = its largest label; rows without an id or label are left out.
     """
     rows = (labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull())
             .where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
             .groupBy("doc_id").agg(F.max(value).cast("int").alias(value)))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return rows if limit is None else rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:

@@ -3,8 +3,12 @@
 1. Tokens are words (lower case) and, for words that were never seen, their
    beginnings (``MIN_TERM`` to ``MAX_TERM`` bytes).  A term's log-odds between
    toxic and clean labelled documents is smoothed with an informative
-   Dirichlet prior (the term's share in both kinds together); terms whose
-   log-odds are significant are kept.  A word scores as its longest kept
+   Dirichlet prior (the term's share in both kinds together).  Kept are the
+   terms that toxic documents hold more often than chance allows: by the tail
+   of the binomial distribution (its Chernoff bound, exact for terms that no
+   clean document holds), the threshold set so that the share kept by chance
+   is ``FALSE_TERMS``; it follows the number of labels and of terms.  A word
+   scores as its longest kept
    beginning; all other words share one negative score, the log-ratio of
    their shares in the two kinds.
 2. A linear-time scan (all maximal-scoring subsequences) finds every passage
@@ -35,11 +39,12 @@ from kestrel.llm.decontaminate import words_of
 from kestrel.llm.quality import logistic, training_labels
 from kestrel.session import materialize
 
-MAX_LABELLED = 20_000     # labelled rows that the model is fitted on (those with the smallest id hashes)
+MAX_LABELLED = 20_000     # labelled rows that the model is fitted on (of each label, those with the smallest id hashes)
 MAX_TERMS = 20_000        # terms of the model: the most significant ones
 MIN_TERM, MAX_TERM = 4, 12
 PRIOR = 0.05              # strength of the Dirichlet prior, as a share of all counted terms
-MIN_Z, MIN_LOG_ODDS = 4.0, 1.5
+FALSE_TERMS = 0.04        # share of the kept terms that may be there by chance
+MIN_LOG_ODDS = 1.5
 E_VALUE = 0.01
 NO_PASSAGE = -10.0        # normalised score of a document without any toxic term
 
@@ -143,16 +148,55 @@ def _count_terms(sample: DataFrame) -> tuple[DataFrame, int, int]:
     return counts, total[0] or 0, total[1] or 0
 
 
+def _tail(t: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+    """Chernoff bound of log P(t or more of n documents are toxic), where each is with probability ``p``."""
+    t, n = np.asarray(t, float), np.asarray(n, float)
+    c = n - t
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = -(np.where(t > 0, t * np.log(t / (n * p)), 0) + np.where(c > 0, c * np.log(c / (n * (1 - p))), 0))
+    return np.where(t > n * p, out, 0.0)
+
+
+def _by_chance(limit: float, n: np.ndarray, terms: np.ndarray, p: float) -> float:
+    """How many of ``terms[i]`` terms in ``n[i]`` documents each reach the log-probability ``limit`` by chance."""
+    low, high = np.floor(n * p), n + 1.0            # the least number of toxic documents that reaches it is in (low, high]
+    while (high - low > 1).any():
+        middle = np.floor((low + high) / 2)
+        reaches = _tail(np.minimum(middle, n), n, p) <= limit
+        low, high = np.where(reaches, low, middle), np.where(reaches, middle, high)
+    return float((terms * np.where(high <= n, np.exp(_tail(np.minimum(high, n), n, p)), 0.0)).sum())
+
+
 def _significant(counts: DataFrame, toxic: int, clean: int) -> list:
-    """Terms with significant log-odds under the informative Dirichlet prior: (term, log_odds, toxic, clean)."""
+    """Terms with significant log-odds under the informative Dirichlet prior: (term, log_odds, toxic, clean).
+
+    The threshold is the weakest at which the terms expected by chance (each
+    term's own number of documents considered) are ``FALSE_TERMS`` of those
+    that pass.  Only counts of counts reach the driver.
+    """
+    p = toxic / (toxic + clean)
     strength = PRIOR * (toxic + clean)
     prior = F.lit(PRIOR) * (F.col("toxic") + F.col("clean"))
     a, b = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(a / (toxic + strength - a)) - F.log(b / (clean + strength - b))
-    z = odds / F.sqrt(1 / a + 1 / b)
-    rows = (counts.select("term", odds.alias("log_odds"), z.alias("z"), "toxic", "clean")
-            .where((F.col("z") >= MIN_Z) & (F.col("log_odds") >= MIN_LOG_ODDS)))
-    return rows.orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()
+    rows = counts.select("term", odds.alias("log_odds"), "toxic", "clean").where(F.col("log_odds") >= MIN_LOG_ODDS)
+    held = counts.groupBy((F.col("toxic") + F.col("clean")).alias("n")).agg(F.count("*").alias("terms")).collect()
+    n, terms = (np.array([r[k] for r in held], float) for k in ("n", "terms"))
+    kinds = rows.groupBy("toxic", "clean").agg(F.count("*").alias("terms")).collect()
+    tail = _tail(np.array([r.toxic for r in kinds]), np.array([r.toxic + r.clean for r in kinds]), p)
+    passing = sum(r.terms for r in kinds)
+    order = sorted(range(len(kinds)), key=lambda i: (-tail[i], kinds[i].toxic))
+    kept = {}
+    for at, i in enumerate(order):
+        if _by_chance(tail[i], n, terms, p) <= FALSE_TERMS * passing:
+            kept = {(kinds[k].toxic, kinds[k].clean): float(tail[k]) for k in order[at:]}
+            break
+        passing -= kinds[i].terms
+    if not kept:
+        return []
+    kept = rows.sparkSession.createDataFrame([(*k, v) for k, v in kept.items()], "toxic long, clean long, tail double")
+    rows = rows.join(F.broadcast(kept), ["toxic", "clean"]).select("term", "log_odds", "tail", "toxic", "clean")
+    return rows.orderBy("tail", "term").limit(MAX_TERMS).collect()
 
 
 def _lambda(background: list[tuple[float, float]]) -> float:
@@ -168,13 +212,30 @@ def _lambda(background: list[tuple[float, float]]) -> float:
     return high
 
 
+def sampled_labels(labels: DataFrame, limit: int) -> tuple[DataFrame, float]:
+    """(doc_id, toxic) of at most ``limit`` labelled ids (rules as in ``training_labels``), and the log-ratio of the
+    shares of toxic and of clean ids taken.
+
+    Each label has half the places, and those that the other one leaves.
+    """
+    rows = materialize(training_labels(labels, "toxic"), "labels")
+    n = {bool(r.t): r.n for r in rows.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
+    toxic, clean = n.get(True, 0), n.get(False, 0)
+    take = min(toxic, max(limit // 2, limit - clean))
+    rest = min(clean, limit - take)
+    first = [F.xxhash64("doc_id"), "doc_id"]
+    ids = rows.where("toxic > 0").orderBy(*first).limit(take).unionByName(rows.where("toxic <= 0").orderBy(*first).limit(rest))
+    return ids, math.log(take / toxic / (rest / clean)) if take and rest else 0.0
+
+
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
-    """Fit on ``labels.toxic`` of at most ``limit`` documents outside the held-out fifth.
+    """Fit on ``labels.toxic`` of at most ``limit`` documents outside the held-out fifth, rare labels first.
 
-    Texts alone are looked at.  Without labels of both kinds the model has no
-    terms and scores every text alike, low.
+    Texts alone are looked at.  The intercept is corrected for the shares in
+    which the labels were sampled.  Without labels of both kinds the model has
+    no terms and scores every text alike, low.
     """
-    ids = training_labels(labels, "toxic", limit)
+    ids, ratio = sampled_labels(labels, limit)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     sample = materialize(sample.dropDuplicates(["doc_id", "text"]), "labelled")
     counts, toxic, clean = _count_terms(sample)
@@ -224,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
                        ["doc_id", "toxic"]).collect()
     rows.sort(key=lambda r: (r.doc_id, r.x, r.y))
     w, bias = logistic(np.array([(r.x, r.y) for r in rows]), np.array([float(r.toxic > 0) for r in rows]))
-    model.weights, model.bias = (float(w[0]), float(w[1])), bias
+    model.weights, model.bias = (float(w[0]), float(w[1])), bias - ratio
     return model
 
 

@@ -304,6 +304,24 @@ def test_toxicity_of_awkward_documents(spark):
         assert len(out) == d.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
 
 
+def test_rare_toxic_labels_keep_their_terms(spark):
+    docs = [(i, ("vermin moron " if i < 12 else "") + " ".join(f"w{(i * 7 + k * k) % 400:03d}x" for k in range(30)), "en", "a", 0)
+            for i in range(2000)]
+    d = cases.frame(spark, docs)
+    labels = spark.createDataFrame([(r[0], 0, int(r[0] < 12)) for r in docs], "doc_id bigint, quality int, toxic int")
+    for limit in (toxicity.MAX_LABELLED, 200):      # toxic rows are used before the others
+        model = toxicity.fit(d, labels, limit)
+        assert {"vermin", "moron"} <= {t.decode("utf-8", "replace") if isinstance(t, bytes) else t for t in model.scores}
+        assert not any(str(t).lstrip("b'").startswith("w") for t in model.scores)
+        assert model.score("vermin moron vermin moron") > model.score("w001x w002x w003x w004x")
+    ids, ratio = toxicity.sampled_labels(labels, 200)
+    taken = sum(r.toxic for r in ids.collect())
+    assert ids.count() == 200 and taken == sum(r.toxic for r in toxicity.training_labels(labels, "toxic").collect()) and ratio > 0
+    model = toxicity.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"),
+                         spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    assert {"moron", "pathetic", "disgusting", "stupid"} <= {t.decode("utf-8", "replace") if isinstance(t, bytes) else t for t in model.scores}
+
+
 # ---- 6: secrets -----------------------------------------------------------
 
 def test_secrets(spark):
