@@ -1,7 +1,10 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-1. Tokens are words (lower case) and, for words that were never seen, their
-   beginnings (``MIN_TERM`` to ``MAX_TERM`` bytes).  A term's log-odds between
+1. Tokens are words (lower case; runs of Unicode letters, digits and the marks
+   on them) and, for words that were never seen, their beginnings
+   (``MIN_TERM`` to ``MAX_TERM`` characters).  In scripts without blanks every
+   character begins a token, the next ``MAX_GRAM`` characters, whose beginnings
+   from ``MIN_GRAM`` on are overlapping grams.  A term's log-odds between
    toxic and clean labelled documents is smoothed with an informative
    Dirichlet prior (the term's share in both kinds together).  Kept are the
    terms that toxic documents hold more often than chance allows: by the tail
@@ -26,7 +29,10 @@
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,13 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.common import add_columns, slices, texts
-from kestrel.llm.decontaminate import words_of
 from kestrel.llm.quality import logistic, training_labels
 from kestrel.session import materialize
 
 MAX_LABELLED = 20_000     # labelled rows that the model is fitted on (of each label, those with the smallest id hashes)
 MAX_TERMS = 20_000        # terms of the model: the most significant ones
 MIN_TERM, MAX_TERM = 4, 12
+MIN_GRAM, MAX_GRAM = 2, 4
 PRIOR = 0.05              # strength of the Dirichlet prior, as a share of all counted terms
 FALSE_TERMS = 0.04        # share of the kept terms that may be there by chance
 MIN_LOG_ODDS = 1.5
@@ -49,13 +55,58 @@ E_VALUE = 0.01
 NO_PASSAGE = -10.0        # normalised score of a document without any toxic term
 
 
-def tokens(text: str) -> list[bytes]:
-    return words_of(text.lower().encode("utf-8", "surrogatepass"))
-
-
-def terms(word: bytes) -> list[bytes]:
+# Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han: written without blanks between words.
+_UNSPACED = ((0xE00, 0x1000), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3005, 0x3008), (0x3040, 0x3100), (0x31F0, 0x3200),
+             (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xA9E0, 0xAA00), (0xAA60, 0xAA80), (0xF900, 0xFB00), (0xFF66, 0xFFA0),
+             (0x1B000, 0x1B170), (0x20000, 0x32400))
+
+
+def _word_characters() -> tuple[str, str]:
+    """Character classes (ranges of a pattern) of words: with blanks between them, and without."""
+    out: tuple[list, list] = ([], [])
+    spaceless = bytearray(0x32400)
+    for lo, hi in _UNSPACED:
+        spaceless[lo:hi] = b"\1" * (hi - lo)
+    for c in range(0x32400):
+        ch = chr(c)
+        if ch.isalnum() or c in (0x200C, 0x200D) or unicodedata.category(ch)[0] == "M":
+            runs = out[spaceless[c]]
+            if not runs or runs[-1][1] != c - 1:
+                runs.append([c, c])
+            else:
+                runs[-1][1] = c
+    spaced, unspaced = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) for runs in out)
+    return spaced, unspaced
+
+
+_SPACED_CLASS, _UNSPACED_CLASS = _word_characters()
+_RUN = re.compile(f"[{_SPACED_CLASS}]+|[{_UNSPACED_CLASS}]+")
+_NO_BLANKS = re.compile(f"[{_UNSPACED_CLASS}]")
+_LATIN = bytes(c if chr(c).isalnum() else 32 for c in range(256))     # U+0000 to U+00FF, the same words faster
+
+
+def tokens(text: str) -> list[str]:
+    """Words in order; in a run of a script without blanks, the characters from each one on."""
+    text = text.lower()
+    try:
+        return text.encode("latin-1").translate(_LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        runs = _RUN.findall(text)
+    if not _NO_BLANKS.search("".join(set(text))):
+        return runs
+    out: list[str] = []
+    for run in runs:
+        if _NO_BLANKS.match(run):
+            out.extend(run[i:i + MAX_GRAM] for i in range(len(run)))
+        else:
+            out.append(run)
+    return out
+
+
+def terms(word: str) -> list[str]:
     """Beginnings of a word that may be terms, the shortest first; a shorter word is its own only term."""
-    return [word[:k] for k in range(MIN_TERM, min(MAX_TERM, len(word)) + 1)] or [word]
+    least, most = (MIN_GRAM, MAX_GRAM) if word[0] >= "\u0e00" and _NO_BLANKS.match(word) else (MIN_TERM, MAX_TERM)
+    return [word[:k] for k in range(least, min(most, len(word)) + 1)] or [word]
 
 
 def maximal_segments(at: list[int], score: list[float], rest: float) -> list[tuple[int, int, float]]:
@@ -88,7 +139,7 @@ def maximal_segments(at: list[int], score: list[float], rest: float) -> list[tup
 
 @dataclass
 class Model:
-    scores: dict[bytes, float] = field(default_factory=dict)
+    scores: dict[str, float] = field(default_factory=dict)
     rest: float = -0.01
     lam: float = 1.0
     k: float = 1.0
@@ -97,18 +148,21 @@ class Model:
 
     def __post_init__(self):
         self.stems = {t[:MIN_TERM] for t in self.scores}
+        self.grams = {t[:MIN_GRAM] for t in self.scores if _NO_BLANKS.match(t)}
+
+    def hits(self, words: list[str]) -> Iterator[tuple[int, str]]:
+        """(place, longest kept beginning) of every word that has one."""
+        stems, grams, scores = self.stems, self.grams, self.scores
+        for i in [i for i, w in enumerate(words) if w[:MIN_TERM] in stems or w[:MIN_GRAM] in grams]:
+            t = next((t for t in reversed(terms(words[i])) if t in scores), None)
+            if t is not None:
+                yield i, t
 
     def passages(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of words, and the maximal-scoring passages (begin, end, score) in words."""
         words = tokens(text)
-        stems, scores = self.stems, self.scores
-        at, score = [], []
-        for i in [i for i, w in enumerate(words) if w[:MIN_TERM] in stems]:
-            s = next((scores[t] for t in reversed(terms(words[i])) if t in scores), None)
-            if s is not None:
-                at.append(i)
-                score.append(s)
-        return len(words), maximal_segments(at, score, self.rest)
+        found = list(self.hits(words))
+        return len(words), maximal_segments([i for i, _ in found], [self.scores[t] for _, t in found], self.rest)
 
     def normalised(self, score: float, n: int) -> float:
         """lambda S - ln(K n): the log of the inverse of the expected number of such passages in clean text."""
@@ -139,9 +193,9 @@ def _count_terms(sample: DataFrame) -> tuple[DataFrame, int, int]:
                 n = np.fromiter(counter.values(), np.int64, len(counter))
                 z = np.zeros(len(n), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(counter), pa.binary()), pa.array(n if toxic else z), pa.array(z if toxic else n)],
+                    [pa.array(list(counter), pa.string()), pa.array(n if toxic else z), pa.array(z if toxic else n)],
                     names=["term", "toxic", "clean"])
-    counts = (sample.select("toxic", "text").mapInArrow(count, "term binary, toxic bigint, clean bigint")
+    counts = (sample.select("toxic", "text").mapInArrow(count, "term string, toxic bigint, clean bigint")
               .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     counts = materialize(counts, "terms")
     total = counts.agg(F.sum("toxic"), F.sum("clean")).first()
@@ -242,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
     if not toxic or not clean:
         return Model()
     rows = _significant(counts, toxic, clean)
-    model = Model({bytes(r.term): r.log_odds for r in rows})
+    model = Model({r.term: r.log_odds for r in rows})
 
     def shares(batches):        # words, and words that score, in the documents of each kind
         n = np.zeros((2, 2), np.int64)
@@ -250,19 +304,18 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
         for b in batches:
             for label, text in zip(b.column("toxic").to_pylist(), texts(b), strict=True):
                 words = tokens(text)
-                hits = [s for w in words if w[:MIN_TERM] in model.stems
-                        for s in [next((t for t in reversed(terms(w)) if t in model.scores), None)] if s is not None]
+                hits = [t for _, t in model.hits(words)]
                 n[int(label > 0)] += (len(words), len(hits))
                 if not label:
                     by.update(hits)
         out = [*[(None, int(k), int(w), int(h)) for k, (w, h) in enumerate(n)], *[(t, 0, 0, c) for t, c in by.items()]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-            zip(*out, strict=True), (pa.binary(), pa.int32(), pa.int64(), pa.int64()), strict=True)],
+            zip(*out, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)],
             names=["term", "kind", "words", "hits"])
-    found = (sample.select("toxic", "text").mapInArrow(shares, "term binary, kind int, words bigint, hits bigint")
+    found = (sample.select("toxic", "text").mapInArrow(shares, "term string, kind int, words bigint, hits bigint")
              .groupBy("term", "kind").agg(F.sum("words").alias("words"), F.sum("hits").alias("hits")).collect())
     total = {r.kind: (r.words, r.hits) for r in found if r.term is None}
-    own = {bytes(r.term): r.hits for r in found if r.term is not None}
+    own = {r.term: r.hits for r in found if r.term is not None}
     q = (total[1][1] + 0.5) / (total[1][0] + 1)                      # share of scoring words in toxic text
     p = (total[0][1] + 0.5) / (total[0][0] + 1)                      # and in clean text
     model.rest = min(-1e-4, math.log((1 - q) / (1 - p)))
@@ -300,7 +353,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
 
 def passages(docs: DataFrame, model: Model) -> DataFrame:
-    """Every significant passage: doc_id, first_word, last_word (exclusive), score, e_value."""
+    """Every significant passage: doc_id, first_word, last_word (exclusive; places in ``tokens``), score, e_value."""
     def run(batches):
         for b in slices(batches):
             rows = []

@@ -322,6 +322,19 @@ def test_rare_toxic_labels_keep_their_terms(spark):
     assert {"moron", "pathetic", "disgusting", "stupid"} <= {t.decode("utf-8", "replace") if isinstance(t, bytes) else t for t in model.scores}
 
 
+def test_toxic_words_in_any_script():
+    assert toxicity.tokens("“idiot” — moron\xa0scum ¡tonto! Don't") == ["idiot", "moron", "scum", "tonto", "don", "t"]
+    assert toxicity.terms("придурок")[0] == "прид" and toxicity.terms("придурок")[-1] == "придурок"
+    for word, text in (("笨蛋", "今天天气很好我们一起去公园散步然后回家你是笨蛋吗"), ("バカ", "きょうはいいてんきですねあなたはバカです"),
+                       ("โง่", "วันนี้อากาศดีมากคุณโง่จริง"), ("idiot", "he said “idiot”"), ("придурок", "он — придурок"),
+                       ("मूर्ख", "वह मूर्ख है")):
+        model = toxicity.Model({word: 5.0}, rest=-1.0)
+        n, found = model.passages(text)
+        assert [(e - b, s) for b, e, s in found] == [(1, 5.0)], text
+        assert found[0][0] < n
+        assert any(word in toxicity.terms(w) for w in toxicity.tokens(text))
+
+
 # ---- 6: secrets -----------------------------------------------------------
 
 def test_secrets(spark):
