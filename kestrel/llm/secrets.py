@@ -34,7 +34,8 @@ from kestrel.llm.decontaminate import words_of
 from kestrel.session import materialize
 
 MIN_LENGTH = 16
-MAX_FINDINGS = 20_000      # labelled findings that the forest is trained on (the smallest hashes)
+MAX_FINDINGS = 20_000      # labelled findings that the forest is trained on (of each label, the smallest hashes)
+UNKNOWN = 0.25             # probability of a candidate that neither a forest nor a seed speaks for
 DICTIONARY_WORDS = 20_000  # the most frequent words
 TREES, DEPTH, SEED = 20, 6, 42
 NEIGHBOURS = 16            # buckets of the word before a candidate
@@ -156,25 +157,33 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, path: str =
     Columns: doc_id, first_char, last_char, value_sha256 (the value itself is
     not handed on), probability, secret (probability >= 0.5).
     ``labelled``: findings (doc_id, first_char, label 0/1) to train on
-    instead of the seeds.  At most ``limit`` are used, those with the
-    smallest hashes.  Where the findings don't hold both labels, no forest can
-    be trained and a candidate's probability is its seed label (unknown:
-    0.5).  Texts without candidates (NULL and empty ones) give no row;
+    instead of the seeds.  At most ``limit`` are used, distinct by value and
+    features, of each label those with the smallest hashes.  Where the
+    findings don't hold both labels, no forest can be trained and a
+    candidate's probability is its seed label (unknown: ``UNKNOWN``, not a
+    secret).  Texts without candidates (NULL and empty ones) give no row;
     repeated rows repeat theirs; a NULL path is the path ''.
     """
     found = materialize(candidates(docs, *corpus_language(docs), path), "candidates")
     if labelled is None:
-        train = found.where("seed is not null").select("features", F.col("seed").cast("double").alias("label"),
-                                                       F.xxhash64("value", "doc_id", "first_char").alias("h"))
+        train = found.where("seed is not null").select("features", F.col("seed").cast("double").alias("label"), "value")
     else:
         l = labelled.select(F.col("doc_id").alias("d"), F.col("first_char").alias("f"), F.col("label").cast("double").alias("label"))
         train = found.join(l, (F.col("doc_id") == F.col("d")) & (F.col("first_char") == F.col("f"))).select(
-            "features", "label", F.xxhash64("value", "doc_id", "first_char").alias("h"))
-    train = materialize(train.orderBy("h").limit(limit).select(array_to_vector("features").alias("x"), "label"), "findings")
+            "features", "label", "value")
+    # Copies of a finding count once; each label has half the places, and those that the other one leaves.
+    train = train.withColumn("h", F.xxhash64("value", "features")).dropDuplicates(["label", "h"])
+    train = materialize(train.select(array_to_vector("features").alias("x"), "label", "h"), "distinct_findings")
+    n = {r["label"] > 0: r["count"] for r in train.groupBy((F.col("label") > 0).cast("double").alias("label")).count().collect()}
+    yes, no = n.get(True, 0), n.get(False, 0)
+    take = min(yes, max(limit // 2, limit - no))
+    train = (train.where("label > 0").orderBy("h").limit(take)
+             .unionByName(train.where("label <= 0").orderBy("h").limit(min(no, limit - take))))
+    train = materialize(train.select("x", "label"), "findings")
     kinds = train.groupBy("label").count().collect()
     rows = found.withColumn("value_sha256", F.sha2(F.col("value").cast("binary"), 256))
     if len(kinds) < 2:
-        scored = rows.withColumn("probability", F.coalesce(F.col("seed").cast("double"), F.lit(0.5)))
+        scored = rows.withColumn("probability", F.coalesce(F.col("seed").cast("double"), F.lit(UNKNOWN)))
     else:
         least = min(r["count"] for r in kinds)
         weights = {r["label"]: least / r["count"] for r in kinds}        # both kinds weigh alike

@@ -361,6 +361,17 @@ def test_secrets_of_awkward_documents(spark):
     assert len(secrets.scan_secrets(d, given).collect()) == len(out)
 
 
+def test_rare_secrets_are_trained_on(spark):
+    key = "AKIA" + "Z3Q7" * 4
+    rows = [(i, f"number {4785380592391139 + i * 977} here", "en", "a", 0) for i in range(400)]
+    rows += [(1000 + i, f"the key {key} is kept", "en", "a", 0) for i in range(2)]
+    out = secrets.scan_secrets(cases.frame(spark, rows), limit=20).collect()
+    assert all(r.secret == (r.doc_id >= 1000) for r in out) and len(out) == 402
+    assert {round(r.probability, 6) for r in out} != {0.0, 1.0}           # by a forest, not by the seeds
+    unknown = [(1, "see a1b2c3d4e5f6a7b8c9d0 there", "en", "a", 0)]
+    assert [r.secret for r in secrets.scan_secrets(cases.frame(spark, unknown)).collect()] == [False]
+
+
 # ---- 7: decontamination ---------------------------------------------------
 
 @pytest.mark.parametrize("blocks", [1, 4])
