@@ -1,7 +1,9 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-1. Candidates are runs of ``MIN_LENGTH`` or more characters of the alphabets
-   keys are written in, with a digit among them, anywhere in a whole text.
+1. Candidates, anywhere in a whole text: runs of 16 or more characters of the
+   alphabets keys are written in, with a digit among them, and the parts that
+   dots join to them; what stands in quotes after a naming word (4 characters
+   or more, any but blanks); passwords in URLs.
 2. Their features: length and character classes; how likely their character
    transitions are in the corpus's words; how much of them dictionary words
    cover (both learnt from all documents); the path (the document's source);
@@ -33,7 +35,6 @@ from kestrel.llm.common import slices, text_bytes, texts
 from kestrel.llm.decontaminate import words_of
 from kestrel.session import materialize
 
-MIN_LENGTH = 16
 MAX_FINDINGS = 20_000      # labelled findings that the forest is trained on (of each label, the smallest hashes)
 UNKNOWN = 0.25             # probability of a candidate that neither a forest nor a seed speaks for
 DICTIONARY_WORDS = 20_000  # the most frequent words
@@ -41,10 +42,17 @@ TREES, DEPTH, SEED = 20, 6, 42
 NEIGHBOURS = 16            # buckets of the word before a candidate
 PATHS = 8                  # buckets of the path
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9_\-+/])(?=[A-Za-z_\-+/]*[0-9])[A-Za-z0-9_\-+/]{16,}={0,2}(?![A-Za-z0-9_\-+/])")
+_DOTTED_BEFORE = re.compile(r"(?:[A-Za-z0-9_\-]+\.)+$")
+_DOTTED_AFTER = re.compile(r"(?:\.[A-Za-z0-9_\-]+)+")
+_QUOTED = re.compile(r"(?i)(?:token|secret|passwo?r?d|api_?key|credential|auth_?key|private_?key)[\"']?\s{0,4}[:=]\s{0,4}"
+                     r"(?:\"([^\"\s]{4,256})\"|'([^'\s]{4,256})')")
+_IN_URL = re.compile(r"://[^\s/@:\"']{0,128}:([^\s/\"']{1,256})@(?=[A-Za-z0-9\[])")
 _BEFORE = re.compile(r"([A-Za-z_][A-Za-z0-9_\-]*)([^A-Za-z0-9]{0,6})$")
 # Names that say a value is secret, and published key forms.
 _NAMES = re.compile(r"(?i)(token|secret|passw(or)?d|api_?key|credential|auth_?key|private_?key)$")
-_FORMS = re.compile(r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24,}|AIza[0-9A-Za-z_\-]{35})$")
+_FORMS = re.compile(r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24,}|AIza[0-9A-Za-z_\-]{35}"
+                    r"|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]*)$")
+_HOST_OR_FILE = re.compile(r"^[A-Za-z0-9_\-]+(\.[A-Za-z0-9_\-]+)*\.[a-z]{2,5}$")
 _CLASSES = 30              # 26 letters, digit, mark, begin, end
 
 
@@ -120,11 +128,38 @@ def seed_label(value: str, before: str, mark: str, after: str) -> int | None:
     """1: a secret, 0: none, None: not known; by rules of high precision."""
     if _FORMS.match(value) or _NAMES.search(before) and re.fullmatch(r"\s*[:=]\s*[\"']", mark) and after[:1] in ("'", '"'):
         return 1
-    if value.isdigit() or mark[-1:] in ("@", ".", "/") or after[:1] in ("@",):
+    if value.isdigit() or mark[-1:] in ("@", "/") or after[:1] in ("@",) or _HOST_OR_FILE.match(value):
         return 0
     return None
 
 
+def spans(text: str) -> list[tuple[int, int, bool]]:
+    """(begin, end, password of a URL) of every candidate: passwords in URLs, values quoted after a naming word, and
+    runs of key characters with the parts that dots join to them; of overlapping ones the first kind."""
+    found = [(*m.span(1), True) for m in _IN_URL.finditer(text)] if "://" in text else []
+    found += [(*m.span(m.lastindex), False) for m in _QUOTED.finditer(text)]
+    taken, last = sorted(found), 0
+    out: list[tuple[int, int, bool]] = []
+    for b, e, u in taken:
+        if not out or b >= out[-1][1]:
+            out.append((b, e, u))
+    special = list(out)
+    at = 0
+    for m in _CANDIDATE.finditer(text):
+        b, e = m.span()
+        if b < last:
+            continue                 # a part of the dotted one before
+        left = _DOTTED_BEFORE.search(text, max(0, b - 512, last), b) if text[b - 1:b] == "." else None
+        right = _DOTTED_AFTER.match(text, e) if text[e:e + 1] == "." else None
+        b, e = left.start() if left else b, right.end() if right else e
+        last = e
+        while at < len(special) and special[at][1] <= b:
+            at += 1
+        if at == len(special) or special[at][0] >= e:
+            out.append((b, e, False))
+    return sorted(out)
+
+
 _SCHEMA = "doc_id bigint, first_char bigint, last_char bigint, value string, features array<double>, seed int"
 
 
@@ -137,13 +172,13 @@ def candidates(docs: DataFrame, table: np.ndarray, words: frozenset[str], path:
             rows = []
             places = b.column(path).cast(pa.string()).to_pylist()
             for d, t, place in zip(b.column("doc_id").to_pylist(), texts(b), places, strict=True):
-                for m in _CANDIDATE.finditer(t):
-                    around = _BEFORE.search(t[max(0, m.start() - 64):m.start()])
-                    before, mark = around.groups() if around else ("", t[max(0, m.start() - 1):m.start()])
-                    after = t[m.end():m.end() + 1]
-                    value = m.group()
-                    rows.append((d, m.start(), m.end(), value, features(value, before, mark, after, place or "", table, words),
-                                 seed_label(value, before, mark, after)))
+                for begin, end, in_url in spans(t):
+                    around = _BEFORE.search(t[max(0, begin - 64):begin])
+                    before, mark = around.groups() if around else ("", t[max(0, begin - 1):begin])
+                    after = t[end:end + 1]
+                    value = t[begin:end]
+                    rows.append((d, begin, end, value, features(value, before, mark, after, place or "", table, words),
+                                 1 if in_url else seed_label(value, before, mark, after)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                                              names=["doc_id", "first_char", "last_char", "value", "features", "seed"])

@@ -372,6 +372,18 @@ def test_rare_secrets_are_trained_on(spark):
     assert [r.secret for r in secrets.scan_secrets(cases.frame(spark, unknown)).collect()] == [False]
 
 
+def test_secret_candidates_of_every_form():
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    sent = "SG.ngeVfQFYQlKU0ufo8x5d1A.TwL2iGABf9DHoTf09kqeF8tAmbihYzrnopKc1s5cr"
+    for text, want in (('password = "hunter2!x9"', "hunter2!x9"), ("api_key: 'ab12cd34ef56'", "ab12cd34ef56"),
+                       ('secret="correct-horse-battery-staple"', "correct-horse-battery-staple"), (f"a {jwt} b", jwt),
+                       ("see https://bob:p@ss.w0rd!@db.example.org/x", "p@ss.w0rd!"), (f"key {sent}.", sent),
+                       ('passwd = "p@s$.w!rd"', "p@s$.w!rd")):
+        assert [text[b:e] for b, e, _ in secrets.spans(text)] == [want], text
+    assert secrets.seed_label(jwt, "a", " ", " ") == secrets.seed_label(sent, "key", " ", ".") == 1
+    assert secrets.seed_label("server-0123456789abc.example.org", "see", " ", " ") == 0
+
+
 # ---- 7: decontamination ---------------------------------------------------
 
 @pytest.mark.parametrize("blocks", [1, 4])
