@@ -39,10 +39,9 @@ TOKEN_LIMIT = 2048
 WORDS_AT_ONCE = 1 << 18  # words whose ids are dealt out at a time
 ASK_WORDS = 512          # words per call of the library
 
-# A word of letters (of ranges that hold nothing else), or one that ends in a run of other ASCII marks: two
-# pre-tokens, whatever stands around them.  The case of its ASCII letters doesn't matter to the library.
-_PARTS = (r"^(?P<base>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+)"
-          r"(?P<tail>[!-&(-/:-@\[-`{-~]*)$")
+# Letters of a word, and the ASCII marks (but the apostrophe) that may end it.
+_LETTERS = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250)) if c not in (0xD7, 0xF7)]
+_MARKS = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]
 _GAP = re.compile(r"(?<=[^\s])[ \t\n\r](?=[^\s])")
 
 
@@ -72,6 +71,20 @@ def splits_at_blanks(path: str) -> bool:
     return whole and words and "[\\p{L}]+" in first["pattern"]["Regex"]
 
 
+def parts_pattern(encode: Callable) -> str:
+    """A pattern for words that may be encoded as two parts: letters, and the marks after them.
+
+    Only letters that any mark can follow without a change of either's ids, as
+    the library gives them: a letter whose lower case ends in a combining
+    mark, say, is none of them, since that mark joins what follows.
+    """
+    alone = dict(zip(_LETTERS + _MARKS, encode(_LETTERS + _MARKS), strict=True))
+    pairs = [(x, m) for x in _LETTERS for m in _MARKS]
+    apart = {x for (x, m), ids in zip(pairs, encode([x + m for x, m in pairs]), strict=True) if ids != alone[x] + alone[m]}
+    letters = "".join(x for x in _LETTERS if x not in apart)
+    return rf"^(?P<base>[{letters}]+)(?P<tail>[!-&(-/:-@\[-`{{-~]*)$"
+
+
 class Encoder:
     """Encodes texts (UTF-8) with the library for ``path``: tokenizers for .json, sentencepiece for .model."""
 
@@ -108,6 +121,7 @@ class Encoder:
                 bare.no_padding()
                 bare.normalizer = None
                 bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+                self.parts = parts_pattern(self.many)
                 self.bare: Callable = lambda ts: [e.ids for e in bare.encode_batch_fast(ts, add_special_tokens=False)]
 
     def ids(self, text: str) -> np.ndarray:
@@ -145,7 +159,7 @@ class Encoder:
         marks after them are looked up by their parts."""
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        parts = pc.extract_regex(coded.dictionary, _PARTS)
+        parts = pc.extract_regex(coded.dictionary, self.parts)
         apart = parts.is_valid()
         base = pc.if_else(apart, pc.ascii_lower(pc.struct_field(parts, "base")), coded.dictionary)
         tail = pc.if_else(apart, pc.struct_field(parts, "tail"), "")

@@ -32,6 +32,7 @@ def awkward() -> list[tuple]:
         (12, "é́ \x0b日本語 \x1c <|endoftext|> ~   𝔘 ñandú", "es", "d", 30), (12, "the same id, another text", "es", "d", 25),
         (13, "repeated row", "en", "a", 12), (13, "repeated row", "en", "a", 12), (13, "repeated row", "en", "a", 12),
         (14, "z" * 70_000, "en", "e", 70_000), (15, "token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" 4785380592391139", "en", "a", 70),
+        (18, "TARİHİ, ŞEHRİ. İ! aİb, İstanbul'İ ǅ; ŉ? ẞ, ǰ.", "tr", "e", 40), (19, "TARİHİ, ŞEHRİ. " * 4_600, "tr", "e", 69_000),
         (16, PROSE + " Released under the MIT License.", "en", "a", 0),
     ]
     return rows
