@@ -76,9 +76,11 @@ MARKS = ("__m1", "__m2")
 def row_marks(df: DataFrame) -> DataFrame:
     """``df`` plus two 64-bit hashes of the whole row (``MARKS``), equal for equal rows only, for joins by row.
 
-    Map columns can't be hashed and are left out of the marks.
+    Maps can't be hashed; they count as their JSON, entries in their order.
     """
-    parts = [x for c, t in df.dtypes if "map<" not in t for x in (F.col(c), F.col(c).isNull())]
+    def hashed(c, t):
+        return F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if "map<" in t else F.col(c)
+    parts = [x for c, t in df.dtypes for x in (hashed(c, t), F.col(c).isNull())]
     return df.select("*", *[F.xxhash64(F.lit(m), *parts).alias(m) for m in MARKS])
 
 

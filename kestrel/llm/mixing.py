@@ -128,33 +128,36 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, max_copies: int = MAX_C
 
     ``documents`` has one row per input row: doc_id, source, the ``keep``
     columns, size, source_size, target (of its source), begin, taken (words
-    the mix takes of it, repeats counted; at most ``max_copies`` times its
+    that the slots' blocks hold of it, repeats counted; at most ``max_copies`` times its
     size).  ``schedule`` is described at that function; its slots add up to
     each source's target, to the nearest word.  NULL sources are one source,
     sorted last; texts without words are never taken; no rows give no slots.
     """
+    d, slots, pieces = _mixed(docs, block_words, max_copies, keep)
+    taken = pieces.groupBy("source", "begin").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    # Documents with words begin at different places of their source's stream.
+    full = join_on(d.where("size > 0"), taken, ["source", "begin"], "left")
+    columns = [c for c in d.columns if c != "begin"]
+    out = full.select(*columns, "begin", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.unionByName(d.where("size = 0").withColumn("taken", F.lit(0).cast("long"))), slots
+
+
+def _mixed(docs: DataFrame, block_words: int, max_copies: int, keep: list[str] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents in their sources' streams, schedule, pieces: the documents' parts slot by slot), each written."""
     extra = [c for c in keep or [] if c not in ("doc_id", "source")]
     sized = materialize(docs.select("doc_id", "source", *extra, word_count(F.col("text")).alias("size")), "sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(source_targets(sizes, max_copies), "targets")
     slots = materialize(schedule(targets, block_words), "schedule")
-    # Blocks join their documents: what a source's slots take is the stream up to the last slot's end, in whole
-    # passes and a rest (slots of a source are consecutive ranks), so each document meets its source's total.
-    used = slots.groupBy("source").agg(F.max("last_word").alias("used"))
-    t = join_on(targets, used, ["source"], "left").select(
-        "source", "source_size", "target", F.coalesce("used", F.lit(0)).alias("used"))
-    t = materialize(t, "used")
-    d = join_on(shuffled(sized), t, ["source"])
-    passes = F.coalesce(F.expr("used div nullif(source_size, 0)"), F.lit(0))
-    rest = F.col("used") - passes * F.col("source_size")
-    part = F.least(F.greatest(rest - F.col("begin"), F.lit(0)), F.col("size"))
-    taken = passes * F.col("size") + part
-    return d.select("doc_id", "source", *extra, "size", "source_size", "target", "begin", taken.cast("long").alias("taken")), slots
+    d = join_on(shuffled(sized), targets.select("source", "source_size", "target"), ["source"])
+    d = materialize(d.select("doc_id", "source", *extra, "size", "source_size", "target", "begin"), "streams")
+    return d, slots, materialize(block_documents(d, slots), "pieces")
 
 
 def block_documents(documents: DataFrame, slots: DataFrame) -> DataFrame:
-    """The mix itself: (step, source, rank, doc_id, from_word, to_word), slot by slot.
+    """The mix itself: (step, source, rank, lap, doc_id, begin, from_word, to_word), slot by slot.
 
+    ``begin`` is the document's place in its source's stream, ``lap`` the pass over the stream.
     Slots and documents of a source meet in cells of its stream a block wide,
     pass by pass; a slot or document is listed in each cell it touches, so
     rows grow with slots and documents, not with their product.
@@ -172,12 +175,12 @@ def block_documents(documents: DataFrame, slots: DataFrame) -> DataFrame:
 
     def cells(df, lo, hi):
         return df.withColumn("cell", F.explode(F.sequence(F.floor(F.col(lo) / block), F.floor((F.col(hi) - 1) / block))))
-    d = cells(documents.where("size > 0 and taken > 0").withColumn("end", F.col("begin") + F.col("size")), "begin", "end")
+    d = cells(documents.where("size > 0").withColumn("end", F.col("begin") + F.col("size")), "begin", "end")
     j = join_on(cells(s, "x", "y"), d.select("source", "cell", "doc_id", "begin", "end"), ["source", "cell"])
     lo, hi = F.greatest("x", "begin"), F.least("y", "end")
     # An overlap that touches several cells is listed in the first of them only.
     first = F.floor(lo / block) == F.col("cell")
-    return j.where((lo < hi) & first).select("step", "source", "rank", "lap", "doc_id",
+    return j.where((lo < hi) & first).select("step", "source", "rank", "lap", "doc_id", "begin",
                                              (lo - F.col("begin")).alias("from_word"), (hi - F.col("begin")).alias("to_word"))
 
 
@@ -198,10 +201,13 @@ def resample(docs: DataFrame, block_words: int = BLOCK_WORDS, max_copies: int =
     """
     columns = docs.columns
     marked = row_marks(docs)
-    takes, _ = mix(marked, block_words, max_copies, list(MARKS))
-    # Equal rows lie side by side in the stream, so that a pass ends inside one of them at most.
-    plan = takes.where("taken > 0").groupBy(*MARKS).agg(
-        F.sum(F.expr("taken div size")).cast("int").alias("__whole"), F.max(F.expr("taken % size")).cast("int").alias("__cut"))
+    d, _, pieces = _mixed(marked, block_words, max_copies, list(MARKS))
+    passes = pieces.groupBy("source", "begin", "lap").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("words"))
+    passes = join_on(passes, d.where("size > 0").select("source", "begin", "size", *MARKS), ["source", "begin"])
+    # Equal rows lie side by side in the stream, so that the last pass ends inside one of them at most.
+    cut = F.when(F.col("words") < F.col("size"), F.col("words"))
+    plan = passes.groupBy(*MARKS).agg(F.count_if(F.col("words") == F.col("size")).cast("int").alias("__whole"),
+                                      F.coalesce(F.max(cut), F.lit(0)).cast("int").alias("__cut"))
     j = distinct_rows(marked).join(plan, list(MARKS))
     cuts = F.when(F.col("__cut") > 0, F.array("__cut")).otherwise(F.array().cast("array<int>"))
     j = j.withColumn("__cut", F.explode(F.concat(F.array_repeat(F.lit(0), F.col("__whole")), cuts)))

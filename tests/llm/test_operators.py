@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,51 @@ def test_mixing(spark, docs, doc_rows, awkward, block):
     assert per_doc == {k: v for k, v in want.items() if v}
 
 
+def test_taken_comes_from_the_blocks(spark, docs, monkeypatch):
+    """Without a source's slots, nothing of it is taken; the registered mix spreads every source over its sequence."""
+    plan = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda t, block: plan(t, block).where("source <> 'src3'"))
+    taken = {r.source: r.w for r in mixing.mix(docs, 100)[0].groupBy("source").agg(F.sum("taken").alias("w")).collect()}
+    assert taken["src3"] == 0 and min(w for s, w in taken.items() if s != "src3") > 0
+    monkeypatch.undo()
+    documents, slots = mixing.mix(docs, 50)
+    order = [r.source for r in slots.orderBy("step").collect()]
+    share = {r.source: r.target for r in documents.select("source", "target").distinct().collect()}
+    total = sum(share.values())
+    for n in range(50, len(order), 50):
+        for source, target in share.items():
+            assert abs(order[:n].count(source) - target / total * n) <= 14
+
+
+def test_resample_is_what_the_blocks_hold(spark):
+    """A plain mixer: each source's shuffled stream, taken word by word up to its target."""
+    rng = random.Random(5)
+    rows = [(i % 37 or None, " ".join(f"w{rng.randrange(9)}" for _ in range(rng.randrange(12))), "en", f"s{i % 4}", 0) for i in range(200)]
+    got = sorted((r.source, r.text) for r in mixing.resample(cases.frame(spark, rows), 16).collect())
+    sizes: dict = {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + cases.size(r[1])
+    want = []
+    takes = mixing.shuffled(mixing.row_marks(cases.frame(spark, rows)).withColumn("size", mixing.word_count(F.col("text"))))
+    stream: dict = {}
+    for r in sorted(takes.collect(), key=lambda r: r.begin):
+        if r["size"]:
+            stream.setdefault(r.source, []).append(r.text)
+    for source, target in cases.targets(sizes).items():
+        left, texts, at = round(target), stream[source], 0
+        while left > 0:
+            words = texts[at % len(texts)].split()
+            want.append((source, " ".join(words[:left])))
+            left, at = left - len(words), at + 1
+    assert [(s, " ".join(t.split())) for s, t in got] == sorted(want)
+
+
+def test_rows_that_differ_in_a_map_are_different_rows(spark):
+    df = spark.sql("SELECT 1 AS doc_id, 'a b' AS text, 's' AS source, m FROM VALUES (map('k', 1)), (map('k', 2)), (NULL) AS t(m)")
+    assert mixing.distinct_rows(mixing.row_marks(df)).count() == 3
+    assert mixing.resample(df, 1).count() == 3
+
+
 def test_schedule_is_low_discrepancy(spark):
     targets = spark.createDataFrame([("a", 100.0), ("b", 200.0), ("c", 700.0)], "source string, target double")
     order = [r.source for r in mixing.schedule(targets, 1).orderBy("step").collect()]
@@ -528,3 +574,35 @@ def test_empty_tables(spark):
         assert out.count() == 0
     some = cases.frame(spark)
     assert decontaminate.mark(some, items.limit(0)).where("contaminated or n_items > 0").count() == 0
+
+
+# ---- 3, 10: words apart from their marks -----------------------------------
+
+def test_every_letter_before_every_mark():
+    lib, enc = cases.library(), tokenizing.Encoder(cases.VOCABULARY)
+    texts = [f"{x}{m} a{x}{m}{m}b {x}{x}{m}- {x.upper()}{m}" for x in tokenizing._LETTERS for m in tokenizing._MARKS]
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    for overlaps in (True, False):
+        ids, n = enc.batch(pa.array(texts), overlaps)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+
+
+def test_words_of_mixed_scripts():
+    rng = random.Random(7)
+    alphabet = "abzABZéÉßİıŞşǅǆŉǰΣςσЖжя日本ñ́̇𝔘ªºʼ'’\"!?.,:;-_()[]{}~`^|<>0129½٣"
+    words = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 9))) for _ in range(10_000)]
+    lib, enc = cases.library(), tokenizing.Encoder(cases.VOCABULARY, chunk=64, overlap=8)
+    texts = [" ".join(words[i:i + n]) for i in range(0, 10_000, 50) for n in (3, 50)]
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    for overlaps in (True, False):
+        ids, n = enc.batch(pa.array(texts), overlaps)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+
+
+def test_counts_do_not_change_with_the_length():
+    enc = tokenizing.Encoder(cases.VOCABULARY)
+    lib = cases.library()
+    for chars in (tokenizing.CHUNK_CHARS - 20, tokenizing.CHUNK_CHARS + 20):
+        text = ("TARİHİ, ŞEHRİ. " * 3000)[:chars]
+        want = lib.encode(text, add_special_tokens=False).ids
+        assert all(enc.batch(pa.array([text]), o)[0].tolist() == want for o in (True, False))
