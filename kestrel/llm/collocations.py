@@ -1,12 +1,13 @@
 """Collocations by FM-indexes over word ids.
 
-1. A task cuts its texts into pieces and words and deals them out to shards, a
+1. A task cuts its texts into pieces and words and writes them as sections, a
    language and at most ``SHARD_WORDS`` words each (a piece is never cut): the
-   shard's distinct words with their counts, and its text as word ids, 0
-   between pieces.  Counts are summed over the shards; words rarer than the
+   section's distinct words with their counts, and its text as word ids, 0
+   between pieces.  Counts are summed over the sections; words rarer than the
    threshold become breaks, since no phrase that holds one can reach it.
-2. Each shard is indexed over what is left: the Burrows-Wheeler columns of the
-   text and of its reverse.  A phrase is an interval of suffixes in each;
+2. Sections of a language that lie side by side make a shard of about
+   ``SHARD_WORDS`` words, which is indexed over what is left: the
+   Burrows-Wheeler columns of the text and of its reverse.  A phrase is an interval of suffixes in each;
    extending it by a word on the left reads the first column's symbols in its
    interval, on the right the second's, and keeps both intervals in step.
    Suffixes are sorted as deep as the longest phrase only.  The extensions of
@@ -18,7 +19,9 @@
 
 Every sum counts all occurrences: a shard's own counts are never cut off.  A
 phrase is at most one row per shard, so that no key is hot, and a task holds
-one shard.  Phrases travel as ids of their pairs.
+one shard.  Sums and the rows they keep come from one exchange (a window over a
+word's or pair's rows).  Texts travel as compressed byte planes of their ids,
+phrases as ids of their pairs.
 
 NULL texts are empty, a NULL language is ``und``; other columns are ignored,
 repeated rows count as often as they are there; empty tables give no rows.
@@ -35,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kestrel.functions.scans import prefix_before
 from kestrel.llm.common import slices, text_bytes
 from kestrel.llm.tokenizing import deal
 from kestrel.session import materialize
@@ -43,10 +47,11 @@ MIN_COUNT = 100
 LONGEST = 5
 TOP = 2000
 SHARD_WORDS = 1 << 21
+SECTIONS_AT_ONCE = 1 << 42     # numbers of sections whose running sum is one window: those of 1,024 tasks
 NO_LANGUAGE = "und"
 
 _BREAKS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
-_SHARD = "shard bigint, lang string, n_words bigint, words array<string>, counts array<bigint>, ids binary"
+_SECTION = "section bigint, lang string, n_words bigint, words array<string>, counts array<bigint>, ids binary"
 _PAIRS = "shard bigint, a bigint, b bigint, n bigint, ids binary, names binary"
 _LONGER = "k int, x bigint, y bigint, z bigint, n bigint"
 
@@ -160,7 +165,20 @@ def pruned(text: np.ndarray, join: np.ndarray) -> np.ndarray:
     return out
 
 
-# ---- shards ------------------------------------------------------------------
+# ---- sections and shards -------------------------------------------------------
+
+def packed(ids: np.ndarray) -> bytes:
+    """Ids as compressed planes of their bytes (after the count and the width): most planes hold zeros."""
+    head = np.array([len(ids), ids.itemsize], "<i8").tobytes()
+    planes = np.ascontiguousarray(ids.view(np.uint8).reshape(len(ids), ids.itemsize).T)
+    return head + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n, width = np.frombuffer(data[:16], "<i8").tolist()
+    planes = pa.decompress(data[16:], decompressed_size=n * width, codec="zstd", asbytes=True)
+    planes = np.frombuffer(planes, np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(f"<i{width}")
 
 def _cut_words(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The words of texts, A-Z in lower case, and which of them begin a piece."""
@@ -188,7 +206,7 @@ def _cut_words(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
 
 
 class _Open:
-    """A shard that is being filled."""
+    """A section that is being filled."""
 
     def __init__(self):
         self.words: list[pa.DictionaryArray] = []
@@ -201,7 +219,7 @@ class _Open:
         self.fresh.append(fresh)
         self.n += len(words)
 
-    def row(self, shard: int, lang: str) -> pa.RecordBatch:
+    def row(self, section: int, lang: str) -> pa.RecordBatch:
         whole = pa.chunked_array(self.words).unify_dictionaries()
         ids = np.concatenate([c.indices.to_numpy() for c in whole.chunks]).astype(np.int64) + 1
         fresh = np.concatenate(self.fresh)
@@ -212,12 +230,12 @@ class _Open:
         counts = np.bincount(ids, minlength=len(names) + 1)[1:]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), v) for v in (names, pa.array(counts))]
         return pa.RecordBatch.from_arrays(
-            [pa.array([shard]), pa.array([lang]), pa.array([self.n]), *lists, pa.array([text.tobytes()], pa.binary())],
-            names=["shard", "lang", "n_words", "words", "counts", "ids"])
+            [pa.array([section]), pa.array([lang]), pa.array([self.n]), *lists, pa.array([packed(text)], pa.binary())],
+            names=["section", "lang", "n_words", "words", "counts", "ids"])
 
 
-def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The texts of ``docs`` (text, lang) as shards of word ids; a task has at most ``shard_words`` words open."""
+def sections(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The texts of ``docs`` (text, lang) as sections of word ids; a task has at most ``shard_words`` words open."""
     rows = docs.select("text", F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"))
 
     def fill(batches):
@@ -235,37 +253,40 @@ def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
             yield open_[lang].row(base + number, lang)
             number += 1
 
-    return rows.mapInArrow(fill, _SHARD)
-
+    return rows.mapInArrow(fill, _SECTION)
 
-def _one(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(table.column(name)[0].as_py(), kind)
 
-
-def _pairs_of_shard(shard: pa.Table, words: pa.Table) -> pa.Table:
+def _pairs_of_shard(parts: pa.Table, words: pa.Table) -> pa.Table:
     """The text of a shard's frequent words and its pairs with their counts, words by their names (ids over all shards)."""
     out = {"shard": pa.int64(), "a": pa.int64(), "b": pa.int64(), "n": pa.int64(), "ids": pa.binary(), "names": pa.binary()}
     schema = pa.schema(list(out.items()))
-    if not shard.num_rows or not words.num_rows:
+    if not parts.num_rows or not words.num_rows:
         return schema.empty_table()
-    text = _one(shard, "ids", np.int32)
-    local, names = words.column("local").to_numpy(), words.column("name").to_numpy()
-    order = np.argsort(local)
-    local, names = local[order], np.concatenate([[-1], names[order]])
-    new = np.zeros(int(max(text.max(), local.max())) + 1, np.int32)
-    new[local] = np.arange(1, len(local) + 1)
-    text = new[text]
+    section, local, name = (words.column(c).to_numpy() for c in ("from_section", "local", "name"))
+    texts = []
+    for own, ids in zip(parts.column("section").to_pylist(), parts.column("ids").to_pylist(), strict=True):
+        ids, here = unpacked(ids), section == own
+        named = np.full(int(max(ids.max(), local[here].max(initial=0))) + 1, -1, np.int64)
+        named[local[here]] = name[here]
+        texts.append(named[ids])
+    names, text, n = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+    if names[0] >= 0:
+        raise ValueError("a section's text must end in a break")
+    order = np.concatenate([[0], 1 + np.argsort(-n[1:], kind="stable")])         # 0: the break; frequent words next
+    new = np.empty_like(order)
+    new[order] = np.arange(len(order))
+    names, text = names[order], new[text]
     join = np.append((text[1:] > 0) & (text[:-1] > 0), False)
     places = pruned(text, join)
     text = np.append(np.where(places >= 0, text[places], 0), 0).astype(np.int32)
     index = BidirectionalIndex(text, 2)
-    name = shard.column("shard")[0].as_py()
-    parts = [pa.table([pa.array([name]), *[pa.nulls(1, pa.int64())] * 3, pa.array([text.tobytes()], pa.binary()),
-                       pa.array([names.astype(np.int64).tobytes()], pa.binary())], schema=schema)]
+    shard = parts.column("shard")[0].as_py()
+    out = [pa.table([pa.array([shard]), *[pa.nulls(1, pa.int64())] * 3, pa.array([packed(text)], pa.binary()),
+                     pa.array([packed(names)], pa.binary())], schema=schema)]
     for _, at, n in index.ngrams(2):
-        parts.append(pa.table([pa.array(np.full(len(at), name)), pa.array(names[text[at]]), pa.array(names[text[at + 1]]),
-                               pa.array(n), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary())], schema=schema))
-    return pa.concat_tables(parts)
+        out.append(pa.table([pa.array(np.full(len(at), shard)), pa.array(names[text[at]]), pa.array(names[text[at + 1]]),
+                             pa.array(n), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary())], schema=schema))
+    return pa.concat_tables(out)
 
 
 def _longer_of_shard(longest: int):
@@ -275,7 +296,7 @@ def _longer_of_shard(longest: int):
         """A shard's phrases of 3 words and more whose pairs are all frequent, with their counts."""
         if not shard.num_rows or not pairs.num_rows:
             return schema.empty_table()
-        text, names = _one(shard, "ids", np.int32), _one(shard, "names", np.int64)
+        text, names = (unpacked(shard.column(c)[0].as_py()) for c in ("ids", "names"))
         place = np.argsort(names)
         key = [place[np.searchsorted(names, pairs.column(c).to_numpy(), sorter=place)] for c in ("a", "b")]
         key = key[0] * len(names) + key[1]
@@ -307,6 +328,12 @@ def _pair_places(k: int) -> list[int]:
 
 # ---- operators ---------------------------------------------------------------
 
+def _frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """The rows (n, id, ...) whose keys' ``f``, the sum of n, is at least ``least``; ``name`` is the key's smallest id."""
+    w = Window.partitionBy(*keys)
+    return rows.withColumns({"f": F.sum("n").over(w), "name": F.min("id").over(w)}).where(F.col("f") >= least)
+
+
 def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST,
             shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to ``longest`` (2 to 6) words that occur at least ``min_count`` times in their language, and the languages.
@@ -317,23 +344,31 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST,
     """
     if not 2 <= longest <= 6:
         raise ValueError("longest must be from 2 to 6")
-    base = materialize(shards(docs, shard_words), "shards")
+    base = materialize(sections(docs, shard_words), "sections")
     sizes = base.groupBy("lang").agg(F.sum("n_words").alias("n"))
-    listed = base.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "_e"))
-    listed = listed.select("shard", "lang", (F.col("local") + 1).alias("local"), F.col("_e.words").alias("word"),
-                           F.col("_e.counts").alias("n"))
-    words = listed.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-    words = materialize(words.withColumn("name", F.monotonically_increasing_id()), "words")
-
-    own = listed.join(words, ["lang", "word"]).select(F.col("shard").alias("to"), "local", "name")
-    text = base.select("shard", "ids").groupBy("shard").cogroup(own.groupBy("to"))
+    # Sections of a language in their order, cut into shards by a running sum (a row per section; in two levels).
+    before = prefix_before(base.select("lang", "section", "n_words"), ["lang"], "section", "n_words", SECTIONS_AT_ONCE)
+    part = before.withColumn("part", F.expr(f"_before div {shard_words}"))
+    first = part.groupBy("lang", "part").agg(F.min("section").alias("shard"))
+    part = materialize(part.join(first, ["lang", "part"]).select("section", "shard"), "shards")
+
+    listed = base.select("section", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "_e"))
+    listed = listed.select("section", "lang", (F.col("local") + 1).alias("local"), F.col("_e.words").alias("word"),
+                           F.col("_e.counts").alias("n"), F.monotonically_increasing_id().alias("id"))
+    listed = materialize(_frequent(listed, ["lang", "word"], min_count).select(
+        "section", "local", "name", "f", *[F.when(F.col("id") == F.col("name"), F.col(c)).alias(c) for c in ("lang", "word")]), "words")
+    words = listed.where(F.col("lang").isNotNull()).select("lang", "word", "f", "name")
+
+    own = listed.join(part, "section").select(F.col("shard").alias("to"), F.col("section").alias("from_section"), "local", "name")
+    text = base.select("section", "ids").join(part, "section").groupBy("shard").cogroup(own.groupBy("to"))
     paired = materialize(text.applyInArrow(_pairs_of_shard, _PAIRS), "pairs-by-shard")
-    counted = paired.where(F.col("n").isNotNull()).select("shard", "a", "b", "n")
-    pairs = counted.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-    pairs = materialize(pairs.withColumn("name", F.monotonically_increasing_id()), "pairs")
+    counted = paired.where(F.col("n").isNotNull()).select("shard", "a", "b", "n", F.monotonically_increasing_id().alias("id"))
+    own = materialize(_frequent(counted, ["a", "b"], min_count).select(
+        F.col("shard").alias("to"), "a", "b", "name", "f", (F.col("id") == F.col("name")).alias("first")), "pairs")
+    pairs = own.where("first").select("a", "b", "f", "name")
 
-    own = counted.join(pairs, ["a", "b"]).select(F.col("shard").alias("to"), "a", "b", "name")
-    text = paired.where(F.col("n").isNull()).select("shard", "ids", "names").groupBy("shard").cogroup(own.groupBy("to"))
+    text = paired.where(F.col("n").isNull()).select("shard", "ids", "names").groupBy("shard").cogroup(
+        own.select("to", "a", "b", "name").groupBy("to"))
     longer = materialize(text.applyInArrow(_longer_of_shard(longest), _LONGER), "longer-by-shard")
     longer = longer.groupBy("k", "x", "y", "z").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
     longer = materialize(longer, "longer")
