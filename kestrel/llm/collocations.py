@@ -20,8 +20,9 @@
 Every sum counts all occurrences: a shard's own counts are never cut off.  A
 phrase is at most one row per shard, so that no key is hot, and a task holds
 one shard.  Sums and the rows they keep come from one exchange (a window over a
-word's or pair's rows).  Texts travel as compressed byte planes of their ids,
-phrases as ids of their pairs.
+word's or pair's rows).  Texts travel as compressed byte planes of their ids, pairs
+as lists per first word (those of a frequent one in several, by a hash of the
+second), longer phrases as ids of their pairs.
 
 NULL texts are empty, a NULL language is ``und``; other columns are ignored,
 repeated rows count as often as they are there; empty tables give no rows.
@@ -39,6 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.scans import prefix_before
+from kestrel.llm.byte_bpe import mixed
 from kestrel.llm.common import slices, text_bytes
 from kestrel.llm.tokenizing import deal
 from kestrel.session import materialize
@@ -47,12 +49,13 @@ MIN_COUNT = 100
 LONGEST = 5
 TOP = 2000
 SHARD_WORDS = 1 << 21
+SALT_COUNT = 1 << 16           # occurrences of a pair's first word from which its pairs are dealt out further
 SECTIONS_AT_ONCE = 1 << 42     # numbers of sections whose running sum is one window: those of 1,024 tasks
 NO_LANGUAGE = "und"
 
 _BREAKS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _SECTION = "section bigint, lang string, n_words bigint, words array<string>, counts array<bigint>, ids binary"
-_PAIRS = "shard bigint, a bigint, b bigint, n bigint, ids binary, names binary"
+_PAIRS = "shard bigint, a bigint, salt int, bs array<bigint>, ns array<bigint>, ids binary, names binary"
 _LONGER = "k int, x bigint, y bigint, z bigint, n bigint"
 
 
@@ -85,15 +88,17 @@ class _Column:
     """The Burrows-Wheeler column of a text, with the rank of a symbol before any row."""
 
     def __init__(self, text: np.ndarray, depth: int):
-        self.order = suffix_order(text, depth)
+        self.order = suffix_order(text, depth).astype(np.int32)
         self.symbols = text[self.order - 1]
         self.n = len(text)
-        self.sorted = self.symbols.astype(np.int64) * self.n + np.arange(self.n)
-        self.sorted.sort()
+        self._sorted = None
 
     def step(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
         """The first row of the suffixes that begin with ``symbol`` and go on as those from ``row`` on."""
-        return np.searchsorted(self.sorted, symbol.astype(np.int64) * self.n + row)
+        if self._sorted is None:
+            self._sorted = self.symbols.astype(np.int64) * self.n + np.arange(self.n)
+            self._sorted.sort()
+        return np.searchsorted(self._sorted, symbol.astype(np.int64) * self.n + row)
 
 
 class BidirectionalIndex:
@@ -123,33 +128,42 @@ class BidirectionalIndex:
         own = own[own > 0]
         return first[own], first[own], n[own]
 
-    def _extended(self, column: _Column, near: np.ndarray, far: np.ndarray, size: np.ndarray):
+    def _extended(self, column: _Column, near: np.ndarray, size: np.ndarray):
+        """(number of the phrase, word, count, occurrences of smaller words there, a row of each) of all extensions by a
+        word of ``column``."""
         rows = deal(near, size)
         key = np.repeat(np.arange(len(near)) * self.sigma, size) + column.symbols[rows]
-        key, n = np.unique(key, return_counts=True)
+        key, row, n = np.unique(key, return_index=True, return_counts=True)
         phrase, symbol = np.divmod(key, self.sigma)
         before = np.cumsum(n) - n
-        smaller = before - before[np.searchsorted(phrase, phrase)]        # in the same interval, of smaller symbols
+        smaller = before - before[np.searchsorted(phrase, phrase)]        # in the same interval
         keep = symbol > 0
-        phrase, symbol, n, smaller = phrase[keep], symbol[keep], n[keep], smaller[keep]
-        return phrase, column.step(symbol, near[phrase]), far[phrase] + smaller, n
+        return phrase[keep], symbol[keep], n[keep], smaller[keep], rows[row[keep]]
 
     def left(self, lo, back, size):
         """Every phrase with a word before it: (number of the phrase, interval)."""
-        phrase, lo, back, size = self._extended(self.forward, lo, back, size)
-        return phrase, (lo, back, size)
+        phrase, word, n, smaller, _ = self._extended(self.forward, lo, size)
+        return phrase, (self.forward.step(word, lo[phrase]), back[phrase] + smaller, n)
 
     def right(self, lo, back, size):
         """Every phrase with a word after it: (number of the phrase, interval)."""
-        phrase, back, lo, size = self._extended(self.backward, back, lo, size)
-        return phrase, (lo, back, size)
+        phrase, word, n, smaller, _ = self._extended(self.backward, back, size)
+        return phrase, (lo[phrase] + smaller, self.backward.step(word, back[phrase]), n)
 
     def ngrams(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(k, a place of each phrase of k words, its count) for k from 2: intervals extended on the left and right in turn."""
         own = self.words()
-        for k in range(2, min(longest, self.depth) + 1):
+        longest = min(longest, self.depth)
+        for k in range(2, longest):
             _, own = (self.left if k % 2 == 0 else self.right)(*own)
             yield k, self.forward.order[own[0]], own[2]
+        # The last extension needs no intervals, only where a row of it stands in the text.
+        if longest % 2 == 0:
+            _, _, n, _, row = self._extended(self.forward, own[0], own[2])
+            yield longest, self.forward.order[row] - 1, n
+        else:
+            _, _, n, _, row = self._extended(self.backward, own[1], own[2])
+            yield longest, len(self.text) - self.backward.order[row] - (longest - 1), n
 
 
 def pruned(text: np.ndarray, join: np.ndarray) -> np.ndarray:
@@ -258,11 +272,12 @@ def sections(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
 
 def _pairs_of_shard(parts: pa.Table, words: pa.Table) -> pa.Table:
     """The text of a shard's frequent words and its pairs with their counts, words by their names (ids over all shards)."""
-    out = {"shard": pa.int64(), "a": pa.int64(), "b": pa.int64(), "n": pa.int64(), "ids": pa.binary(), "names": pa.binary()}
-    schema = pa.schema(list(out.items()))
+    lists = pa.list_(pa.int64())
+    schema = pa.schema([("shard", pa.int64()), ("a", pa.int64()), ("salt", pa.int32()), ("bs", lists), ("ns", lists),
+                        ("ids", pa.binary()), ("names", pa.binary())])
     if not parts.num_rows or not words.num_rows:
         return schema.empty_table()
-    section, local, name = (words.column(c).to_numpy() for c in ("from_section", "local", "name"))
+    section, local, name, f = (words.column(c).to_numpy() for c in ("from_section", "local", "name", "f"))
     texts = []
     for own, ids in zip(parts.column("section").to_pylist(), parts.column("ids").to_pylist(), strict=True):
         ids, here = unpacked(ids), section == own
@@ -281,11 +296,22 @@ def _pairs_of_shard(parts: pa.Table, words: pa.Table) -> pa.Table:
     text = np.append(np.where(places >= 0, text[places], 0), 0).astype(np.int32)
     index = BidirectionalIndex(text, 2)
     shard = parts.column("shard")[0].as_py()
-    out = [pa.table([pa.array([shard]), *[pa.nulls(1, pa.int64())] * 3, pa.array([packed(text)], pa.binary()),
-                     pa.array([packed(names)], pa.binary())], schema=schema)]
+    out = [pa.table([pa.array([shard]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, lists), pa.nulls(1, lists),
+                     pa.array([packed(text)], pa.binary()), pa.array([packed(names)], pa.binary())], schema=schema)]
+    salts = np.ones(len(names), np.int64)
+    by_name = np.argsort(names)
+    salts[by_name[np.searchsorted(names, name, sorter=by_name)]] = 1 + f // SALT_COUNT
     for _, at, n in index.ngrams(2):
-        out.append(pa.table([pa.array(np.full(len(at), shard)), pa.array(names[text[at]]), pa.array(names[text[at + 1]]),
-                             pa.array(n), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary())], schema=schema))
+        a, b = text[at], names[text[at + 1]]
+        salt = mixed(b.astype(np.uint64)).astype(np.int64) % salts[a] if len(a) else b
+        order = np.lexsort((b, salt, a))
+        a, b, salt, n = a[order], b[order], salt[order], n[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (salt[1:] != salt[:-1]))[:len(a)])
+        offsets = pa.array(np.append(first, len(a)).astype(np.int32))
+        k = len(first)
+        out.append(pa.table([pa.array(np.full(k, shard)), pa.array(names[a[first]]), pa.array(salt[first].astype(np.int32)),
+                             pa.ListArray.from_arrays(offsets, pa.array(b)), pa.ListArray.from_arrays(offsets, pa.array(n)),
+                             pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], schema=schema))
     return pa.concat_tables(out)
 
 
@@ -328,9 +354,11 @@ def _pair_places(k: int) -> list[int]:
 
 # ---- operators ---------------------------------------------------------------
 
-def _frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """The rows (n, id, ...) whose keys' ``f``, the sum of n, is at least ``least``; ``name`` is the key's smallest id."""
+def _frequent(dealt: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """The rows (n, ...) whose keys' ``f``, the sum of n, is at least ``least``; ``id`` tells rows apart, ``name`` is the keys'
+    smallest.  ``dealt`` has a key's rows in one partition already; ids are given there, after the exchange."""
     w = Window.partitionBy(*keys)
+    rows = dealt.withColumn("id", F.monotonically_increasing_id())
     return rows.withColumns({"f": F.sum("n").over(w), "name": F.min("id").over(w)}).where(F.col("f") >= least)
 
 
@@ -352,22 +380,26 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST,
     first = part.groupBy("lang", "part").agg(F.min("section").alias("shard"))
     part = materialize(part.join(first, ["lang", "part"]).select("section", "shard"), "shards")
 
-    listed = base.select("section", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "_e"))
-    listed = listed.select("section", "lang", (F.col("local") + 1).alias("local"), F.col("_e.words").alias("word"),
-                           F.col("_e.counts").alias("n"), F.monotonically_increasing_id().alias("id"))
-    listed = materialize(_frequent(listed, ["lang", "word"], min_count).select(
-        "section", "local", "name", "f", *[F.when(F.col("id") == F.col("name"), F.col(c)).alias(c) for c in ("lang", "word")]), "words")
+    base = base.join(part, "section")
+    listed = base.select("shard", "section", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "_e"))
+    listed = listed.select("shard", "section", "lang", (F.col("local") + 1).alias("local"), F.col("_e.words").alias("word"),
+                           F.col("_e.counts").alias("n"))
+    listed = materialize(_frequent(listed.repartition("lang", "word"), ["lang", "word"], min_count).select(
+        "shard", "section", "local", "name", "f", *[F.when(F.col("id") == F.col("name"), F.col(c)).alias(c) for c in ("lang", "word")]),
+        "words")
     words = listed.where(F.col("lang").isNotNull()).select("lang", "word", "f", "name")
 
-    own = listed.join(part, "section").select(F.col("shard").alias("to"), F.col("section").alias("from_section"), "local", "name")
-    text = base.select("section", "ids").join(part, "section").groupBy("shard").cogroup(own.groupBy("to"))
+    own = listed.select(F.col("shard").alias("to"), F.col("section").alias("from_section"), "local", "name", "f")
+    text = base.select("shard", "section", "ids").groupBy("shard").cogroup(own.groupBy("to"))
     paired = materialize(text.applyInArrow(_pairs_of_shard, _PAIRS), "pairs-by-shard")
-    counted = paired.where(F.col("n").isNotNull()).select("shard", "a", "b", "n", F.monotonically_increasing_id().alias("id"))
-    own = materialize(_frequent(counted, ["a", "b"], min_count).select(
+    counted = paired.where(F.col("a").isNotNull()).select("shard", "a", "salt", "bs", "ns").repartition("a", "salt")
+    counted = counted.select("shard", "a", "salt", F.explode(F.arrays_zip("bs", "ns")).alias("_e"))
+    counted = counted.select("shard", "a", "salt", F.col("_e.bs").alias("b"), F.col("_e.ns").alias("n"))
+    own = materialize(_frequent(counted, ["a", "salt", "b"], min_count).select(
         F.col("shard").alias("to"), "a", "b", "name", "f", (F.col("id") == F.col("name")).alias("first")), "pairs")
     pairs = own.where("first").select("a", "b", "f", "name")
 
-    text = paired.where(F.col("n").isNull()).select("shard", "ids", "names").groupBy("shard").cogroup(
+    text = paired.where(F.col("a").isNull()).select("shard", "ids", "names").groupBy("shard").cogroup(
         own.select("to", "a", "b", "name").groupBy("to"))
     longer = materialize(text.applyInArrow(_longer_of_shard(longest), _LONGER), "longer-by-shard")
     longer = longer.groupBy("k", "x", "y", "z").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
