@@ -20,9 +20,9 @@
 Every sum counts all occurrences: a shard's own counts are never cut off.  A
 phrase is at most one row per shard, so that no key is hot, and a task holds
 one shard.  Sums and the rows they keep come from one exchange (a window over a
-word's or pair's rows).  Texts travel as compressed byte planes of their ids, pairs
-as lists per first word (those of a frequent one in several, by a hash of the
-second), longer phrases as ids of their pairs.
+word's or pair's rows).  Texts travel as compressed byte planes of their ids, a
+shard's pairs as sorted lists, one for each bucket of a hash of the pair, longer
+phrases as ids of their pairs.
 
 NULL texts are empty, a NULL language is ``und``; other columns are ignored,
 repeated rows count as often as they are there; empty tables give no rows.
@@ -49,13 +49,14 @@ MIN_COUNT = 100
 LONGEST = 5
 TOP = 2000
 SHARD_WORDS = 1 << 21
-SALT_COUNT = 1 << 16           # occurrences of a pair's first word from which its pairs are dealt out further
+ROWS_AT_ONCE = 1 << 19         # of a shard's index, extended together
+BUCKETS = 4                    # of pairs, per partition of a shuffle
 SECTIONS_AT_ONCE = 1 << 42     # numbers of sections whose running sum is one window: those of 1,024 tasks
 NO_LANGUAGE = "und"
 
 _BREAKS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _SECTION = "section bigint, lang string, n_words bigint, words array<string>, counts array<bigint>, ids binary"
-_PAIRS = "shard bigint, a bigint, salt int, bs array<bigint>, ns array<bigint>, ids binary, names binary"
+_PAIRS = "shard bigint, bucket int, pa array<bigint>, pb array<bigint>, pn array<bigint>, ids binary, names binary"
 _LONGER = "k int, x bigint, y bigint, z bigint, n bigint"
 
 
@@ -130,15 +131,24 @@ class BidirectionalIndex:
 
     def _extended(self, column: _Column, near: np.ndarray, size: np.ndarray):
         """(number of the phrase, word, count, occurrences of smaller words there, a row of each) of all extensions by a
-        word of ``column``."""
-        rows = deal(near, size)
-        key = np.repeat(np.arange(len(near)) * self.sigma, size) + column.symbols[rows]
-        key, row, n = np.unique(key, return_index=True, return_counts=True)
-        phrase, symbol = np.divmod(key, self.sigma)
-        before = np.cumsum(n) - n
-        smaller = before - before[np.searchsorted(phrase, phrase)]        # in the same interval
-        keep = symbol > 0
-        return phrase[keep], symbol[keep], n[keep], smaller[keep], rows[row[keep]]
+        word of ``column``; the rows of some ``ROWS_AT_ONCE`` are looked at together."""
+        total = np.cumsum(size)
+        cuts = [0]
+        while cuts[-1] < len(near):
+            done = total[cuts[-1] - 1] if cuts[-1] else 0
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(total, done + ROWS_AT_ONCE, "right"))))
+        parts = [[np.zeros(0, np.int64)] * 5]
+        for first, last in zip(cuts, cuts[1:], strict=False):
+            rows = deal(near[first:last], size[first:last])
+            key = np.repeat(np.arange(first, last) * self.sigma, size[first:last])
+            key += column.symbols[rows]
+            key, row, n = np.unique(key, return_index=True, return_counts=True)
+            phrase, symbol = np.divmod(key, self.sigma)
+            before = np.cumsum(n) - n
+            smaller = before - before[np.searchsorted(phrase, phrase)]        # in the same interval
+            keep = symbol > 0
+            parts.append([phrase[keep], symbol[keep], n[keep], smaller[keep], rows[row[keep]]])
+        return [np.concatenate(p) for p in zip(*parts, strict=True)]
 
     def left(self, lo, back, size):
         """Every phrase with a word before it: (number of the phrase, interval)."""
@@ -270,49 +280,49 @@ def sections(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     return rows.mapInArrow(fill, _SECTION)
 
 
-def _pairs_of_shard(parts: pa.Table, words: pa.Table) -> pa.Table:
-    """The text of a shard's frequent words and its pairs with their counts, words by their names (ids over all shards)."""
+def _pairs_of_shard(buckets: int):
     lists = pa.list_(pa.int64())
-    schema = pa.schema([("shard", pa.int64()), ("a", pa.int64()), ("salt", pa.int32()), ("bs", lists), ("ns", lists),
+    schema = pa.schema([("shard", pa.int64()), ("bucket", pa.int32()), ("pa", lists), ("pb", lists), ("pn", lists),
                         ("ids", pa.binary()), ("names", pa.binary())])
-    if not parts.num_rows or not words.num_rows:
-        return schema.empty_table()
-    section, local, name, f = (words.column(c).to_numpy() for c in ("from_section", "local", "name", "f"))
-    texts = []
-    for own, ids in zip(parts.column("section").to_pylist(), parts.column("ids").to_pylist(), strict=True):
-        ids, here = unpacked(ids), section == own
-        named = np.full(int(max(ids.max(), local[here].max(initial=0))) + 1, -1, np.int64)
-        named[local[here]] = name[here]
-        texts.append(named[ids])
-    names, text, n = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
-    if names[0] >= 0:
-        raise ValueError("a section's text must end in a break")
-    order = np.concatenate([[0], 1 + np.argsort(-n[1:], kind="stable")])         # 0: the break; frequent words next
-    new = np.empty_like(order)
-    new[order] = np.arange(len(order))
-    names, text = names[order], new[text]
-    join = np.append((text[1:] > 0) & (text[:-1] > 0), False)
-    places = pruned(text, join)
-    text = np.append(np.where(places >= 0, text[places], 0), 0).astype(np.int32)
-    index = BidirectionalIndex(text, 2)
-    shard = parts.column("shard")[0].as_py()
-    out = [pa.table([pa.array([shard]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, lists), pa.nulls(1, lists),
-                     pa.array([packed(text)], pa.binary()), pa.array([packed(names)], pa.binary())], schema=schema)]
-    salts = np.ones(len(names), np.int64)
-    by_name = np.argsort(names)
-    salts[by_name[np.searchsorted(names, name, sorter=by_name)]] = 1 + f // SALT_COUNT
-    for _, at, n in index.ngrams(2):
-        a, b = text[at], names[text[at + 1]]
-        salt = mixed(b.astype(np.uint64)).astype(np.int64) % salts[a] if len(a) else b
-        order = np.lexsort((b, salt, a))
-        a, b, salt, n = a[order], b[order], salt[order], n[order]
-        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (salt[1:] != salt[:-1]))[:len(a)])
-        offsets = pa.array(np.append(first, len(a)).astype(np.int32))
-        k = len(first)
-        out.append(pa.table([pa.array(np.full(k, shard)), pa.array(names[a[first]]), pa.array(salt[first].astype(np.int32)),
-                             pa.ListArray.from_arrays(offsets, pa.array(b)), pa.ListArray.from_arrays(offsets, pa.array(n)),
-                             pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], schema=schema))
-    return pa.concat_tables(out)
+
+    def pairs(parts: pa.Table, words: pa.Table) -> pa.Table:
+        """The text of a shard's frequent words and its pairs with their counts, words by their names (ids over all shards)."""
+        if not parts.num_rows or not words.num_rows:
+            return schema.empty_table()
+        section, local, name = (words.column(c).to_numpy() for c in ("from_section", "local", "name"))
+        names, number = np.unique(name, return_inverse=True)
+        number = number.astype(np.int32) + 1                                          # 0: a break
+        texts = []
+        for own, ids in zip(parts.column("section").to_pylist(), parts.column("ids").to_pylist(), strict=True):
+            ids, here = unpacked(ids), section == own
+            numbered = np.zeros(int(max(ids.max(), local[here].max(initial=0))) + 1, np.int32)
+            numbered[local[here]] = number[here]
+            texts.append(numbered[ids])
+        text = np.concatenate(texts)
+        del texts
+        # Frequent words get the smallest numbers; names: a break's first.
+        order = np.argsort(-np.bincount(text, minlength=len(names) + 1)[1:], kind="stable")
+        new = np.zeros(len(names) + 1, np.int32)
+        new[1 + order] = np.arange(1, len(names) + 1)
+        names, text = np.concatenate([[-1], names[order]]), new[text]
+        places = pruned(text, np.append((text[1:] > 0) & (text[:-1] > 0), False))
+        text = np.append(np.where(places >= 0, text[places], 0), 0).astype(np.int32)
+        del places
+        shard = parts.column("shard")[0].as_py()
+        whole = [pa.array([packed(text)], pa.binary()), pa.array([packed(names)], pa.binary())]
+        out = [pa.table([pa.array([shard]), *[pa.nulls(1, f.type) for f in list(schema)[1:5]], *whole], schema=schema)]
+        for _, at, n in BidirectionalIndex(text, 2).ngrams(2):
+            a, b = names[text[at]], names[text[at + 1]]
+            bucket = (mixed(mixed(a.astype(np.uint64)) ^ b.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((b, a, bucket))
+            a, b, n, bucket = a[order], b[order], n[order], bucket[order]
+            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:len(a)])
+            offsets, k = pa.array(np.append(first, len(a)).astype(np.int32)), len(first)
+            out.append(pa.table([pa.array(np.full(k, shard)), pa.array(bucket[first]),
+                                 *[pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (a, b, n)],
+                                 pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], schema=schema))
+        return pa.concat_tables(out)
+    return pairs
 
 
 def _longer_of_shard(longest: int):
@@ -389,17 +399,18 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST,
         "words")
     words = listed.where(F.col("lang").isNotNull()).select("lang", "word", "f", "name")
 
-    own = listed.select(F.col("shard").alias("to"), F.col("section").alias("from_section"), "local", "name", "f")
+    own = listed.select(F.col("shard").alias("to"), F.col("section").alias("from_section"), "local", "name")
     text = base.select("shard", "section", "ids").groupBy("shard").cogroup(own.groupBy("to"))
-    paired = materialize(text.applyInArrow(_pairs_of_shard, _PAIRS), "pairs-by-shard")
-    counted = paired.where(F.col("a").isNotNull()).select("shard", "a", "salt", "bs", "ns").repartition("a", "salt")
-    counted = counted.select("shard", "a", "salt", F.explode(F.arrays_zip("bs", "ns")).alias("_e"))
-    counted = counted.select("shard", "a", "salt", F.col("_e.bs").alias("b"), F.col("_e.ns").alias("n"))
-    own = materialize(_frequent(counted, ["a", "salt", "b"], min_count).select(
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    paired = materialize(text.applyInArrow(_pairs_of_shard(buckets), _PAIRS), "pairs-by-shard")
+    counted = paired.where(F.col("bucket").isNotNull()).select("shard", "bucket", "pa", "pb", "pn").repartition("bucket")
+    counted = counted.select("shard", "bucket", F.explode(F.arrays_zip("pa", "pb", "pn")).alias("_e"))
+    counted = counted.select("shard", "bucket", F.col("_e.pa").alias("a"), F.col("_e.pb").alias("b"), F.col("_e.pn").alias("n"))
+    own = materialize(_frequent(counted, ["bucket", "a", "b"], min_count).select(
         F.col("shard").alias("to"), "a", "b", "name", "f", (F.col("id") == F.col("name")).alias("first")), "pairs")
     pairs = own.where("first").select("a", "b", "f", "name")
 
-    text = paired.where(F.col("a").isNull()).select("shard", "ids", "names").groupBy("shard").cogroup(
+    text = paired.where(F.col("bucket").isNull()).select("shard", "ids", "names").groupBy("shard").cogroup(
         own.select("to", "a", "b", "name").groupBy("to"))
     longer = materialize(text.applyInArrow(_longer_of_shard(longest), _LONGER), "longer-by-shard")
     longer = longer.groupBy("k", "x", "y", "z").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
