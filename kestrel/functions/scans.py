@@ -13,6 +13,9 @@ that does not grow with the data:
   timestamps combine map-side); lookups and points meet in cells of
   ``cell_us`` microseconds, which hold at most ``cell_us`` distinct
   timestamps plus the lookups that fall in them.
+* ``ranks_in_order``: the same lookups over one range exchange: points and
+  lookups sorted together by (key, time), running sums per partition, and a
+  row per partition that carries a key's sum over the borders.
 * ``previous_in_order``: each row's predecessor in a total order within a
   key, over range partitions of that order (a hot key is split across
   balanced partitions; partition boundaries carry the predecessor).
@@ -143,3 +146,75 @@ def previous_in_order(df: DataFrame, key: str, order: list[str], value: str, out
     r = r.join(F.broadcast(carry), "_p", "left")
     same = F.col("_prev").isNotNull() & F.col("_prev._lk").eqNullSafe(F.col(key))
     return r.select(*columns, F.when(F.col("_first") & same, F.col("_prev._lv")).otherwise(F.col(out)).alias(out))
+
+
+def key_codes(batch, keys: list[str]):
+    """A number per row that changes where the keys do (NULL is a key of its own)."""
+    import numpy as np
+
+    out = np.zeros(batch.num_rows, np.int64)
+    for c in keys:
+        codes = batch.column(c).dictionary_encode().indices.fill_null(-1).to_numpy()
+        out[1:] += (codes[1:] != codes[:-1])
+    return np.cumsum(out > 0)
+
+
+def ranks_in_order(points: DataFrame, lookups: DataFrame, keys: list[str]) -> DataFrame:
+    """``count_at_or_before`` over one range exchange: (keys, _x, _c, _probe, _o, _r).
+
+    ``points``: (keys, _t, _c), one row per distinct (keys, _t); ``lookups``:
+    (keys, _x, _o).  A row's rank is its running sum in its partition, plus,
+    for the partition's first key, what earlier partitions hold of that key.
+    The sorted rows are written once, so that they and the partitions' borders
+    agree; a hot key, cell or window is as many partitions as it needs.
+    """
+    from kestrel.session import materialize
+
+    spark = points.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    data = points.select(*keys, F.col("_t").alias("_x"), F.col("_c").cast("long").alias("_c"), F.lit(0).alias("_probe"),
+                         F.lit(None).cast("long").alias("_o"))
+    data = data.unionByName(lookups.select(*keys, "_x", F.lit(0).cast("long").alias("_c"), F.lit(1).alias("_probe"), "_o"))
+    order = [*keys, "_x", "_probe"]
+    schema = T.StructType([*data.schema, T.StructField("_sum", T.LongType()), T.StructField("_edge", T.BooleanType()),
+                           T.StructField("_part", T.IntegerType())])
+
+    def running(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, key, held, edge = TaskContext.get().partitionId(), None, 0, True
+        for b in batches:
+            if not b.num_rows:
+                continue
+            run = key_codes(b, keys)
+            first = tuple(b.column(c)[0].as_py() for c in keys)
+            if key is not None and first != key:
+                held, edge = 0, False
+            c = b.column("_c").to_numpy()
+            total = np.cumsum(c)
+            starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+            before = (total - c)[starts]
+            out = total - before[run] + np.where(run == 0, held, 0)
+            key = tuple(b.column(c)[-1].as_py() for c in keys)
+            held = int(out[-1])
+            edges = (run == 0) & edge
+            edge = bool(edges[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out), pa.array(edges), pa.array(np.full(b.num_rows, part, np.int32))],
+                                             names=[*b.schema.names, "_sum", "_edge", "_part"])
+
+    ranged = data.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(running, schema)
+    ranged = materialize(ranged, "ranks")
+    key = F.struct(*keys)
+    place = F.struct(*order)
+    ends = ranged.groupBy("_part").agg(F.min_by(key, place).alias("_first"), F.max_by(F.struct(key.alias("k"), "_sum"), place).alias("_last"))
+    ends = materialize(ends, "range-ends")                      # a row per partition
+    # What a partition's first key has before it: the sums of earlier partitions that end in that key.
+    events = (ends.select("_part", F.col("_first").alias("_k"), F.lit(0).alias("_e"), F.lit(0).cast("long").alias("_s"))
+              .unionByName(ends.select("_part", F.col("_last.k").alias("_k"), F.lit(1).alias("_e"), F.col("_last._sum").alias("_s"))))
+    w = Window.partitionBy("_k").orderBy("_part", "_e").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carry = events.withColumn("_carry", F.sum("_s").over(w)).where("_e = 0 and _carry > 0").select("_part", "_carry")
+    out = ranged.join(F.broadcast(carry), "_part", "left")      # a row per partition at most
+    rank = F.col("_sum") + F.when(F.col("_edge"), F.coalesce("_carry", F.lit(0))).otherwise(F.lit(0))
+    return out.select(*keys, "_x", "_c", "_probe", "_o", rank.alias("_r"))

@@ -1,19 +1,25 @@
 """Similarity search, context assembly and scenario rules.
 
-Exact kNN: queries are a small set (incidents), checked and broadcast;
-cosine similarity is computed JVM-side with zip_with/aggregate; the top n
-per query is a row_number filter, which Spark plans as a partial
-WindowGroupLimit before the shuffle, so only n rows per query leave each
-task.  Queries too many to broadcast are processed in hash blocks.
+Exact kNN: a query set that is small in rows and bytes is broadcast; cosine
+similarity is computed JVM-side with zip_with/aggregate; the top n per query is
+a row_number filter, which Spark plans as a partial WindowGroupLimit before the
+shuffle, so only n rows per query leave each task.  Larger query sets meet the
+corpus in blocks (``knn_blocks``), with the same result.  ``ann`` has the index.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kestrel.functions.blocks import BLOCK_BYTES, QUERY_GROUP, block_product, matrix, row_dot
 from kestrel.functions.exprs import cosine_similarity, dot
-from kestrel.functions.joins import BROADCAST_MAX_ROWS, checked_broadcast
+from kestrel.functions.joins import BROADCAST_MAX_ROWS, checked_broadcast, fits_broadcast
+from kestrel.operators import ann, textsearch
 from kestrel.session import materialize
 
 
@@ -37,30 +43,76 @@ def knn(corpus: DataFrame, queries: DataFrame, n: int = 5, filter_col: str | Non
     # Without a filter every query is compared with every corpus row (exact
     # kNN); a constant key keeps that a broadcast hash join of the checked
     # query set.
+    small, _ = fits_broadcast(queries, max_broadcast_rows)
+    if not small:
+        return knn_blocks(corpus, queries, n, filter_col, exclude_self, vec, id_col)
     c = corpus.select(F.col(id_col).alias("vec_id"), F.col(vec).alias("vec"),
                       (F.col(filter_col) if filter_col else F.lit(0)).alias("fkey"))
     if not filter_col:
         queries = queries.withColumn("query_filter", F.lit(0))
-    q_small, q_rows = checked_broadcast(queries, max_broadcast_rows)
-    blocks = max(1, -(-q_rows // max_broadcast_rows))
-
-    def one(qb: DataFrame) -> DataFrame:
-        pairs = c.join(qb, c["fkey"] == qb["query_filter"], "inner")
-        if exclude_self:
-            pairs = pairs.where(F.col("vec_id") != F.col("query_id"))
-        pairs = pairs.select("query_id", "vec_id", cosine_similarity(F.col("vec"), F.col("query_vec")).alias("similarity"))
-        return _topn(pairs, n)
-
-    if blocks == 1:
-        return one(q_small)
-    parts = []
-    for b in range(blocks):  # each block is broadcast; plan-building only, no data on the driver
-        qb = F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
-        parts.append(one(qb))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    pairs = c.join(F.broadcast(queries), c["fkey"] == queries["query_filter"], "inner")
+    if exclude_self:
+        pairs = pairs.where(F.col("vec_id") != F.col("query_id"))
+    pairs = pairs.select("query_id", "vec_id", cosine_similarity(F.col("vec"), F.col("query_vec")).alias("similarity"))
+    return _topn(pairs.where(F.col("similarity").isNotNull() & ~F.isnan("similarity")), n)
+
+
+def knn_blocks(corpus: DataFrame, queries: DataFrame, n: int = 5, filter_col: str | None = "label",
+               exclude_self: bool = True, vec: str = "embedding", id_col: str = "vec_id",
+               block_bytes: int = BLOCK_BYTES, query_group: int = QUERY_GROUP) -> DataFrame:
+    """``knn`` for any number of queries: blocks of the corpus are held as matrices, queries stream past them in Arrow
+    batches, a matrix product finds what may be among each query's n best of a block, and the bests are merged.
+
+    The corpus and the queries are read once; a task holds at most
+    ``block_bytes`` of vectors.  What the product leaves is scored again as Spark
+    sums it, so that equal vectors tie and results are those of ``knn``.
+    """
+    dim = queries.agg(F.max(F.size("query_vec"))).first()[0] or 1
+    dim = max(1, dim)
+    rows = corpus.where(ann.defined(F.col(vec), dim)).select(
+        (F.col(filter_col).cast("string") if filter_col else F.lit("")).alias("grp"), F.col(id_col).alias("id"), F.col(vec).alias("vec"))
+    asks = queries.where(ann.defined(F.col("query_vec"), dim)).select(
+        (F.col("query_filter").cast("string") if filter_col else F.lit("")).alias("grp"), "query_id", "query_vec")
+
+    def make():
+        def hold(t):
+            ids, x = t.column("id").to_numpy(), matrix(t.column("vec"), dim)
+            norm = np.sqrt(row_dot(x, x))
+            keep = np.flatnonzero(np.isfinite(norm) & (norm > 0))
+            keep = keep[np.argsort(ids[keep], kind="stable")]
+            return ids[keep], x[keep], norm[keep], x[keep] / norm[keep, None]
+
+        def meet(state, b):
+            ids, x, norm, units = state
+            if not len(ids):
+                return
+            step = max(1, block_bytes // (8 * len(ids)))
+            for at in range(0, b.num_rows, step):
+                piece = b.slice(at, step)
+                names, q = piece.column("query_id").to_numpy(), matrix(piece.column("query_vec"), dim)
+                q_norm = np.sqrt(row_dot(q, q))
+                good = np.flatnonzero(np.isfinite(q_norm) & (q_norm > 0))
+                names, q, q_norm = names[good], q[good], q_norm[good]
+                scores = (q / q_norm[:, None]) @ units.T
+                if exclude_self:
+                    lo, hi = np.searchsorted(ids, names, "left"), np.searchsorted(ids, names, "right")
+                    for i in np.flatnonzero(hi > lo):
+                        scores[i, lo[i]:hi[i]] = -np.inf
+                floor = np.full(len(names), -2.0)
+                if len(ids) >= n:
+                    floor = np.maximum(floor, np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n] - ann.SLACK)
+                qi, ri = np.nonzero(scores >= floor[:, None])
+                exact = row_dot(x[ri], q[qi]) / (norm[ri] * q_norm[qi])
+                order = np.lexsort((ids[ri], -exact, qi))
+                qi, ri, exact = qi[order], ri[order], exact[order]
+                first = np.searchsorted(qi, qi)
+                best = np.arange(len(qi)) - first < n
+                yield pa.RecordBatch.from_arrays([pa.array(names[qi[best]]), pa.array(ids[ri[best]]), pa.array(exact[best])],
+                                                 names=["query_id", "vec_id", "similarity"])
+        return hold, meet
+
+    found = block_product(rows, asks, make, "query_id long, vec_id long, similarity double", max(1, block_bytes // (8 * dim)), query_group)
+    return _topn(found, n)
 
 
 def latest_per_label(corpus: DataFrame, label: str = "label", vec: str = "embedding",
@@ -80,8 +132,6 @@ def latest_overall(corpus: DataFrame, label: str = "label", vec: str = "embeddin
 
 def lsh_keys(vec, dim: int, bits: int, num_tables: int, seed: int):
     """One key per table: the signs of ``bits`` random projections, packed."""
-    import numpy as np
-
     planes = np.random.default_rng(seed).normal(size=(num_tables, bits, dim))
 
     def code(rows):
@@ -124,7 +174,7 @@ def text_embed(docs: DataFrame, text: str = "text", id_col: str = "doc_id", dim:
 
     Tokenise, hash term counts into ``dim`` slots, weight by IDF (one
     aggregation pass to fit), L2-normalise, and return an array column.
-    Plug-in point for a model encoder as a pandas_udf.
+    ``encoding.encode_texts`` takes an encoder of the user's instead.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
@@ -197,14 +247,46 @@ def scenario_eval(matches: DataFrame, diagnoses: DataFrame) -> DataFrame:
     ).withColumn("pass_rate", F.round(F.try_divide(F.col("passed"), F.col("diagnosed")), 6))
 
 
+class IncidentIndex(NamedTuple):
+    """The index of the past errors' distinct messages per service, and the newest incidents of each message."""
+    messages: textsearch.Index
+    incidents: DataFrame
+
+
+def incident_index(logs: DataFrame, before, keep: int = 3) -> IncidentIndex:
+    """Past errors (not after ``before``), to be searched by message: a message of a service is one text, whatever its
+    incidents; the ``keep`` newest of them stand for it.  Written tables, to be built once and searched often."""
+    past = logs.where((F.col("error_count") >= 1) & (F.col("timestamp") <= before) & F.col("service").isNotNull())
+    past = past.select("service", F.coalesce("message", F.lit("")).alias("message"), "timestamp", "event_id")
+    w = Window.partitionBy("service", "message").orderBy(F.col("timestamp").desc(), F.col("event_id").desc())
+    newest = past.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).drop("_r")
+    newest = materialize(newest, "incidents")
+    texts = newest.groupBy(F.col("service").alias("fkey"), F.col("message").alias("id")).agg(
+        F.max(F.struct("timestamp", "event_id")).alias("newest")).withColumn("text", F.col("id"))
+    return IncidentIndex(textsearch.build(texts), newest)
+
+
+def similar_incidents(index: IncidentIndex, queries: DataFrame, k: int = 3) -> DataFrame:
+    """(service, rank, message, timestamp, event_id, score): the ``k`` past incidents of the service whose message is most
+    similar to the query's, newer ones first among equals.  ``queries``: (service, message), one per service."""
+    asked = queries.select(F.col("service").alias("query_id"), F.col("service").alias("fkey"), F.col("message").alias("text"))
+    # The k best incidents are among those of the k best messages, which tie by their newest incident.
+    best, _ = textsearch.search(index.messages, asked, k)
+    found = best.select(F.col("fkey").alias("service"), F.col("id").alias("message"), "score").join(index.incidents, ["service", "message"])
+    w = Window.partitionBy("service").orderBy(F.col("score").desc(), F.col("timestamp").desc(), F.col("event_id").desc())
+    return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("service", "rank", "message", "timestamp", "event_id", "score"))
+
+
 def incident_context(logs: DataFrame, now, minutes: int, ate: DataFrame, k_messages: int = 5,
-                     k_similar: int = 3) -> DataFrame:
+                     k_similar: int = 3, index: IncidentIndex | None = None) -> DataFrame:
     """One context row per service with recent errors.
 
     Latest error telemetry, mean latency and error count over the recent
     window, the newest distinct messages, the causal-chain text with the
     effect estimate, the service's past incidents (errors before the window
-    whose telemetry is nearest to the latest error's, by cosine), and whether it holds the newest error overall.  Every part is
+    whose message is most similar to the latest error's, through ``index``,
+    default: one built for it), and whether it holds the newest error overall.  Every part is
     an aggregate keyed by service; the joins are between one-row-per-service
     frames.
     """
@@ -223,17 +305,9 @@ def incident_context(logs: DataFrame, now, minutes: int, ate: DataFrame, k_messa
             .groupBy("service").agg(F.array_join(F.transform(
                 F.array_sort(F.collect_list(F.struct("position", "message"))), lambda x: x["message"]), " | ")
                 .alias("recent_messages")))
-    # The k past incidents of the service whose telemetry is nearest to its latest error's (exact search, D1).
-    vector = F.array("latency_ms", "db_lock_time", "pool_wait_ms")
-    past = logs.where((F.col("error_count") >= 1) & (F.col("timestamp") <= cutoff))
-    queries = latest.select(F.col("l.event_id").alias("query_id"), "service", F.array(
-        "l.latency_ms", "l.db_lock_time", "l.pool_wait_ms").alias("query_vec"), F.col("service").alias("query_filter"))
-    near = knn(past.select("event_id", "service", vector.alias("vec")), queries.drop("service"), n=k_similar,
-               filter_col="service", exclude_self=False, vec="vec", id_col="event_id")
-    near = near.join(queries.select("query_id", "service"), "query_id").select("service", "rank", F.col("vec_id").alias("event_id"))
+    near = similar_incidents(index or incident_index(logs, cutoff, k_similar), latest.select("service", F.col("l.message").alias("message")), k_similar)
     told = F.concat(F.col("message"), F.lit(" @ "), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
-    past = (past.select("event_id", told.alias("m")).join(near, "event_id").groupBy("service")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "m"))), lambda x: x["m"]).alias("similar")))
+    past = near.groupBy("service").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", told.alias("m")))), lambda x: x["m"]).alias("similar"))
     target = recent.select(F.max_by("service", order)).scalar()
     ate_value = ate.select("ate").scalar()
     return (latest.join(msgs, "service", "left").join(past, "service", "left")

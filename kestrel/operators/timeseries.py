@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from kestrel.fixed import (BURST_MIN_ERRORS, BURST_WINDOW_MINUTES, COOLDOWN_SECO
                            FORECAST_MIN_ROWS, FORECAST_STEP_SECONDS, FORECAST_STEPS, SLO_MS,
                            TREND_FACTOR)
 from kestrel.functions.exprs import epoch_micros
-from kestrel.functions.scans import CELL_US, count_at_or_before, join_on, prefix_before
+from kestrel.functions.scans import count_at_or_before, join_on, key_codes, ranks_in_order
 from kestrel.session import materialize
 
 US = 1_000_000
@@ -27,30 +29,30 @@ DAY_S = 86400.0
 
 
 def trailing_count(df: DataFrame, window_us: int, keys: list[str] | None = None,
-                   ts: str = "timestamp", cell_us: int = CELL_US) -> DataFrame:
+                   ts: str = "timestamp", cell_us: int | None = None) -> DataFrame:
     """Rows of ``df`` with the count of rows of the same key in (t - w, t].
 
     A NULL key is a key; a row without a time is in no window and counts 0.
 
     count(t - w, t] = R(t) - R(t - w), where R(x) is the number of rows of
     the key at time <= x.  Rows are collapsed to one point per distinct
-    (key, microsecond) with its multiplicity (partial + final aggregate),
-    and both lookups of every point are answered by ``count_at_or_before``
-    in cells of ``cell_us``: no window partition holds more than
-    ``cell_us`` distinct timestamps plus their lookups, however many rows a
-    key, a bucket or a single timestamp holds.  Counts go back to the rows
-    by an equi-join on (key, time), whose skewed keys AQE splits.
+    (key, microsecond) with its multiplicity (partial + final aggregate); both
+    lookups of every point are answered by ``ranks_in_order`` over one range
+    exchange, however many rows a key, a window or a single timestamp holds
+    (``cell_us``: by ``count_at_or_before`` in cells of that many
+    microseconds).  Counts go back to the rows by an equi-join on (key, time),
+    whose skewed keys AQE splits.
     """
     rows = df.withColumn("_t", epoch_micros(F.col(ts)))
     if not keys:                        # all rows are one key, as hot as a key can be
         keys, rows = ["_all"], rows.withColumn("_all", F.lit(0))
     pts = rows.where(F.col("_t").isNotNull()).groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_c"))
     looks = pts.select(*keys, (F.col("_t") - window_us).alias("_x"), F.col("_t").alias("_o"))
-    r = count_at_or_before(pts, looks, keys, cell_us)
-    at_t = r.where(F.col("_probe") == 0).select(*keys, F.col("_x").alias("_t"), "_r")
-    at_s = r.where(F.col("_probe") == 1).select(*keys, F.col("_o").alias("_t"), F.col("_r").alias("_rs"))
-    cnt = join_on(at_t, at_s, [*keys, "_t"]).select(
-        *keys, "_t", (F.col("_r") - F.col("_rs")).alias("window_count"))
+    r = count_at_or_before(pts, looks, keys, cell_us) if cell_us else ranks_in_order(pts, looks, keys)
+    # A point's rank counts for its own time, a lookup's against the time that asked.
+    asked = F.col("_probe") == 1
+    cnt = r.groupBy(*keys, F.when(asked, F.col("_o")).otherwise(F.col("_x")).alias("_t")).agg(
+        F.sum(F.when(asked, -F.col("_r")).otherwise(F.col("_r"))).alias("window_count"))
     out = join_on(rows, cnt, [*keys, "_t"], "left")
     return out.select(*df.columns, F.coalesce("window_count", F.lit(0)).alias("window_count"))
 
@@ -77,13 +79,13 @@ def burst_sliding(logs: DataFrame, minutes: int = BURST_WINDOW_MINUTES, slide_mi
                     "errors"))
 
 
-# Candidate points of a segment of the cooldown fold (a block more at most).
-SEGMENT_POINTS = 100_000
+OPEN, STEP, FIRED, LAST = range(4)      # rows of the first pass of the cooldown
+MAX_RANGES = 10_000
 
 
 def cooldown(candidates: DataFrame, seconds: int = COOLDOWN_SECONDS, key: str = "service",
              ts: str = "timestamp", order_id: str = "event_id",
-             segment_points: int = SEGMENT_POINTS, last: DataFrame | None = None) -> DataFrame:
+             segment_points: int | None = None, last: DataFrame | None = None) -> DataFrame:
     """Greedy firings: the first candidate fires, then the first candidate at
     least ``seconds`` after the last firing, and so on (per key).
 
@@ -92,77 +94,97 @@ def cooldown(candidates: DataFrame, seconds: int = COOLDOWN_SECONDS, key: str =
     last_us) gives the last firing of a key before these candidates.
 
     Exact, one plan at every size, and no unbounded group.  Candidates are
-    collapsed to one point per (key, microsecond) and cut into segments of
-    about ``segment_points`` points, at borders of blocks as wide as the
-    cooldown.  A firing before a segment reaches into its first block only,
-    so what a segment hands on (the time from which the next candidate may
-    fire) is a step function of what it is handed with few steps: greedy
-    runs soon join.  A first pass computes every segment's steps, a chase
-    over one short list per key finds what each segment is handed, and a
-    second pass fills in the firings.
+    collapsed to one point per (key, microsecond), dealt out by ranges of (key,
+    time) and sorted.  A key that begins in a range fires there at once.  Only
+    a range's first key may have fired before it: what a range hands on of that key (the
+    time from which the next candidate may fire) is a step function of what
+    it is handed, with few steps, since greedy runs soon join.  The ranges' steps
+    (a few rows a range) are chased in order per key, and a second pass over
+    the first keys' points fills in their firings.  ``segment_points`` asks
+    for ranges of about so many points (default: as many ranges as shuffles have).
     """
     c_us = int(seconds) * US
     points = (candidates.select(F.col(key).alias("_k"), F.col(order_id).alias("_n"), F.col(ts).alias("_ts"),
                                 epoch_micros(F.col(ts)).alias("_t"))
               .where(F.col("_t").isNotNull())
-              .groupBy("_k", "_t").agg(F.min("_n").alias("_n"), F.first("_ts").alias("_ts"))
-              .withColumn("_pos", F.floor(F.col("_t") / c_us)))
-    points = materialize(points, "cooldown")
-    blocks = points.groupBy("_k", "_pos").agg(F.count(F.lit(1)).alias("_cnt"))
-    segments = prefix_before(blocks, ["_k"], "_pos", "_cnt").select(
-        "_k", "_pos", F.floor(F.col("_before") / segment_points).alias("_seg"))
-    points = join_on(points, segments, ["_k", "_pos"]).select("_k", "_seg", "_t", "_n", "_ts")
-    points = materialize(points, "segments")
-    kind = points.schema["_k"].dataType.simpleString()
-
-    def steps(pdf):
-        t = np.sort(pdf["_t"].to_numpy())
-        upto, out = segment_steps(t, c_us)
-        return pd.DataFrame({"_k": [pdf["_k"].iloc[0]] * len(upto), "_seg": pdf["_seg"].iloc[0], "upto": upto, "out": out})
-
-    def handed(pdf):
-        at = -(1 << 62)
-        first = pdf["_from"].dropna()
-        if len(first):
-            at = int(first.iloc[0])
-        rows = []
-        pdf = pdf.sort_values(["_seg", "upto"])
-        cuts = np.flatnonzero(np.diff(pdf["_seg"].to_numpy(), prepend=-1))
-        seg, upto, out = (pdf[c].to_numpy() for c in ("_seg", "upto", "out"))
-        for a, b in zip(cuts, [*cuts[1:], len(seg)], strict=True):
-            rows.append((seg[a], at))
+              .groupBy("_k", "_t").agg(F.min("_n").alias("_n"), F.first("_ts").alias("_ts")))
+    if last is not None:
+        start = last.select(F.col(key).alias("_k"), (F.col("last_us") + c_us).alias("_from"))
+        points = join_on(points, start, ["_k"], "left").where(F.col("_from").isNull() | (F.col("_t") >= F.col("_from"))).drop("_from")
+    n = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if segment_points:
+        points = materialize(points, "cooldown")
+        n = min(MAX_RANGES, max(1, -(-points.count() // segment_points)))
+    kind = {f.name: f.dataType.simpleString() for f in points.schema}
+    columns = f"_k {kind['_k']}, _t long, _n {kind['_n']}, _ts {kind['_ts']}"
+
+    def first_pass(batches):
+        part, held = TaskContext.get().partitionId(), [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0].select(["_k", "_t", "_n", "_ts"])
+        run = key_codes(rows, ["_k"])
+        cuts = np.append(np.flatnonzero(np.append(True, run[1:] != run[:-1])), len(run))
+        t = rows.column("_t").to_numpy()
+
+        def out(at, state, upto=None, handed=None):
+            own = rows.take(pa.array(at))
+            return pa.RecordBatch.from_arrays(
+                [*own.columns, pa.array(np.full(len(at), part, np.int32)), pa.array(np.full(len(at), state, np.int32)),
+                 pa.array(upto, pa.int64()) if upto is not None else pa.nulls(len(at), pa.int64()),
+                 pa.array(handed, pa.int64()) if handed is not None else pa.nulls(len(at), pa.int64())],
+                names=["_k", "_t", "_n", "_ts", "_part", "_state", "upto", "out"])
+        first = t[:cuts[1]]
+        yield out(np.arange(cuts[1]), OPEN)
+        upto, handed = segment_steps(first, c_us)
+        yield out(np.zeros(len(upto), np.int64), STEP, upto, handed)
+        picks = [a + i for a, b in zip(cuts[1:-1], cuts[2:], strict=True) for i in greedy_chase(t[a:b], c_us)]
+        if picks:
+            yield out(np.array(picks), FIRED)
+            yield out(np.array(picks[-1:]), LAST, handed=[t[picks[-1]] + c_us])
+
+    dealt = points.repartitionByRange(n, "_k", "_t").sortWithinPartitions("_k", "_t")
+    dealt = materialize(dealt.mapInArrow(first_pass, f"{columns}, _part int, _state int, upto long, out long"), "firings")
+
+    def chase(pdf):
+        at, rows = -(1 << 62), []
+        pdf = pdf.sort_values(["_part", "upto"])
+        part, state, upto, out = (pdf[c].to_numpy() for c in ("_part", "_state", "upto", "out"))
+        cuts = [*np.flatnonzero(np.diff(part, prepend=-1)), len(part)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if state[a] == LAST:        # the key begins in this range and goes on
+                at = int(out[a])
+                continue
+            rows.append((part[a], at))
             i = a + int(np.searchsorted(upto[a:b], at, side="left"))
-            if i < b:                   # else nothing in the segment may fire
+            if i < b:                   # else nothing in the range may fire
                 at = int(out[i])
-        return pd.DataFrame({"_k": [pdf["_k"].iloc[0]] * len(rows), "_seg": [r[0] for r in rows], "_at": [r[1] for r in rows]})
+        return pd.DataFrame(rows, columns=["_part", "_at"])
 
     def fire(pdf):
         pdf = pdf.sort_values("_t")
         return pdf.iloc[greedy_chase(pdf["_t"].to_numpy(), c_us, int(pdf["_at"].iloc[0]))][["_k", "_n", "_ts"]]
 
-    table = points.groupBy("_k", "_seg").applyInPandas(steps, f"_k {kind}, _seg long, upto long, out long")
-    if last is not None:
-        start = last.select(F.col(key).alias("_k"), (F.col("last_us") + c_us).alias("_from"))
-        table = join_on(table, start, ["_k"], "left")
-    else:
-        table = table.withColumn("_from", F.lit(None).cast("long"))
-    entry = table.groupBy("_k").applyInPandas(handed, f"_k {kind}, _seg long, _at long")
-    fired = join_on(points, entry, ["_k", "_seg"]).groupBy("_k", "_seg").applyInPandas(
-        fire, points.select("_k", "_n", "_ts").schema)
+    steps = dealt.where(F.col("_state").isin(STEP, LAST)).select("_k", "_part", "_state", "upto", "out")
+    entry = steps.groupBy("_k").applyInPandas(chase, "_part int, _at long")
+    opened = dealt.where(F.col("_state") == OPEN).select("_k", "_t", "_n", "_ts", "_part").join(entry, "_part")
+    late = opened.groupBy("_part").applyInPandas(fire, dealt.select("_k", "_n", "_ts").schema)
+    fired = dealt.where(F.col("_state") == FIRED).select("_k", "_n", "_ts").unionByName(late)
     return fired.select(F.col("_k").alias(key), F.col("_ts").alias("fired_at"), F.col("_n").alias(order_id))
 
 
 def segment_steps(t, c_us: int):
-    """What a segment of sorted candidate times hands on: (upto, out), for a
+    """What a range of sorted candidate times hands on: (upto, out), for a
     time handed to it of at most upto[i] (and above upto[i - 1]) the next
-    candidate may fire at out[i].  Only the times of the first block and the
-    one after them can be the first firing."""
+    candidate may fire at out[i].  What fired before the range did so before its
+    first time, so only times less than the cooldown after that, and the
+    one after them, can be the first firing."""
     n = len(t)
     nxt = np.searchsorted(t, t + c_us, side="left")
     end = np.where(nxt < n, nxt, np.arange(n))
     while (end[end] != end).any():          # doubling, until each candidate knows the last firing of its run
         end = end[end]
-    entries = min(n, int(np.searchsorted(t, (t[0] // c_us + 1) * c_us, side="left")) + 1)
+    entries = min(n, int(np.searchsorted(t, t[0] + c_us, side="left")) + 1)
     out = t[end[:entries]] + c_us
     keep = np.append(out[1:] != out[:-1], True)
     return t[:entries][keep], out[keep]

@@ -398,6 +398,42 @@ oracle("knn_filtered", _knn_sql("q AS (SELECT vec_id AS query_id, embedding AS q
 oracle("knn_batch", _knn_sql("q AS (SELECT max(vec_id) AS query_id, arg_max(embedding, vec_id) AS query_vec, "
                              "label AS query_filter FROM embeddings GROUP BY label)", 3))
 
+_FIFTIETH = ("q AS (SELECT vec_id AS query_id, embedding AS query_vec, label AS query_filter FROM embeddings "
+             "WHERE vec_id % 50 = 0)")
+oracle("knn_blocks", _knn_sql(_FIFTIETH, 10))
+oracle("knn_ivf", _knn_sql(_FIFTIETH, 10))
+
+
+
+def _tfidf_sql(docs, queries):
+    """CTEs down to sc(f, q, id, score): cosines of TF-IDF vectors of ``docs`` and ``queries`` (f, id, t) with the same f."""
+    words = ("unnest(regexp_extract_all(translate(coalesce(t, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+             "'[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term")
+    return f"""dc AS (SELECT f, id, term, 1 + ln(count(*)) AS tf FROM (SELECT f, id, {words} FROM {docs}) GROUP BY ALL),
+qc AS (SELECT f, id, term, 1 + ln(count(*)) AS tf FROM (SELECT f, id, {words} FROM {queries}) GROUP BY ALL),
+nt AS (SELECT f, count(*) AS texts FROM {docs} WHERE f IS NOT NULL GROUP BY 1),
+df AS (SELECT f, term, count(*) AS df FROM dc GROUP BY ALL),
+dw AS (SELECT f, id, term, tf * (ln((texts + 1) / (df + 1)) + 1) AS w FROM dc JOIN df USING (f, term) JOIN nt USING (f)),
+qw AS (SELECT f, id, term, tf * (ln((texts + 1) / (coalesce(df, 0) + 1)) + 1) AS w FROM qc JOIN nt USING (f) LEFT JOIN df USING (f, term)),
+dv AS (SELECT f, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY f, id)) AS w FROM dw),
+qv AS (SELECT f, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY f, id)) AS w FROM qw),
+sc AS (SELECT dv.f, qv.id AS q, dv.id, round(sum(dv.w * qv.w), 9) AS score FROM dv JOIN qv ON qv.f = dv.f AND qv.term = dv.term
+       GROUP BY ALL)"""
+
+
+oracle("similar_texts", f"""WITH dt AS (SELECT lang AS f, doc_id AS id, text AS t FROM documents),
+qt AS (SELECT * FROM dt WHERE id % 50 = 0), {_tfidf_sql('dt', 'qt')}
+SELECT q AS doc_id, CAST(rank AS INTEGER) AS rank, id AS similar_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY f, q ORDER BY score DESC, id DESC) AS rank FROM sc WHERE q <> id) WHERE rank <= 5""")
+oracle("encode_messages", r"""WITH m AS (SELECT DISTINCT message FROM logs),
+w AS (SELECT message, unnest(regexp_extract_all(translate(message, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[0-9a-z\x{80}-\x{10FFFF}]+')) AS word FROM m),
+p AS (SELECT message, ('0x' || md5(word)[1:8])::BIGINT % 384 AS slot,
+  CASE WHEN ('0x' || md5(word)[9:9])::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS s FROM w),
+c AS (SELECT message, slot, sum(s) AS v FROM p GROUP BY ALL)
+SELECT message, slot::INTEGER AS slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY message)), 5) AS weight FROM c
+QUALIFY v <> 0""")
+
 _RECENT = f"""recent AS (SELECT * FROM logs WHERE error_count >= 1 AND "timestamp" > {NOW} - INTERVAL 1440 MINUTE)"""
 _CONTEXT = f"""{CLEAN}, {_ate_cte_named(_ate_sql(_T, _W, _Y, 'clean'), 're_')},
 ate AS (SELECT beta AS ate FROM re_s), {_RECENT},
@@ -410,15 +446,15 @@ dm AS (SELECT service, message, row_number() OVER (PARTITION BY service ORDER BY
        FROM (SELECT *, row_number() OVER (PARTITION BY service, message ORDER BY "timestamp" DESC, event_id DESC) AS rn
              FROM recent) WHERE rn = 1),
 msgs AS (SELECT service, string_agg(message, ' | ' ORDER BY pos) AS recent_messages FROM dm WHERE pos <= 5 GROUP BY 1),
+pm AS (SELECT service, coalesce(message, '') AS message, "timestamp", event_id FROM logs
+       WHERE error_count >= 1 AND "timestamp" <= {NOW} - INTERVAL 1440 MINUTE),
+dt AS (SELECT DISTINCT service AS f, message AS id, message AS t FROM pm),
+qt AS (SELECT service AS f, service AS id, latest_message AS t FROM lat),
+{_tfidf_sql('dt', 'qt')},
 past AS (SELECT service, string_agg(message || ' @ ' || strftime("timestamp", '%Y-%m-%d %H:%M:%S'), ' | ' ORDER BY p) AS "similar",
            string_agg('- ' || message || ' @ ' || strftime("timestamp", '%Y-%m-%d %H:%M:%S'), chr(10) ORDER BY p) AS similar_lines
-         FROM (SELECT g.*, row_number() OVER (PARTITION BY g.service ORDER BY
-                 (g.latency_ms * latest_latency + g.db_lock_time * latest_lock + g.pool_wait_ms * latest_pool)
-                 / (sqrt(g.latency_ms * g.latency_ms + g.db_lock_time * g.db_lock_time + g.pool_wait_ms * g.pool_wait_ms)
-                    * sqrt(latest_latency * latest_latency + latest_lock * latest_lock + latest_pool * latest_pool)) DESC,
-                 g.event_id) AS p
-               FROM logs g JOIN lat USING (service)
-               WHERE error_count >= 1 AND "timestamp" <= {NOW} - INTERVAL 1440 MINUTE) WHERE p <= 3 GROUP BY 1),
+         FROM (SELECT pm.*, row_number() OVER (PARTITION BY service ORDER BY score DESC, "timestamp" DESC, event_id DESC) AS p
+               FROM pm JOIN sc ON sc.f = pm.service AND sc.id = pm.message) WHERE p <= 3 GROUP BY 1),
 tgt AS (SELECT service AS target FROM recent ORDER BY "timestamp" DESC, event_id DESC LIMIT 1),
 ctx AS (SELECT lat.service, lat.service = (SELECT target FROM tgt) AS is_target, latest_ts, latest_latency, latest_lock,
           latest_pool, latest_message, avg_latency, error_total, error_total / CAST(100 AS DOUBLE) AS error_rate_norm,

@@ -421,6 +421,7 @@ def q_edge_obs_match(spark, sf):
 
 # ---- 2.4 similarity, context, scenarios; 2.8 rules ------------------------
 from kestrel.operators import rules  # noqa: E402
+from kestrel.operators import ann, encoding, textsearch  # noqa: E402
 from kestrel.operators import similarity as sim  # noqa: E402
 
 
@@ -436,12 +437,47 @@ def q_knn_batch(spark, sf):
     return sim.knn(corpus, sim.latest_per_label(corpus), n=3)
 
 
+def _every_fiftieth(corpus):
+    return corpus.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"),
+                                                  F.col("label").alias("query_filter"))
+
+
+@query("knn_blocks")
+def q_knn_blocks(spark, sf):
+    corpus = T.load_embeddings(spark, sf)
+    return sim.knn_blocks(corpus, _every_fiftieth(corpus), n=10)
+
+
+@query("knn_ivf")
+def q_knn_ivf(spark, sf):
+    corpus = T.load_embeddings(spark, sf)
+    return ann.knn_ivf(corpus, _every_fiftieth(corpus), n=10)
+
+
 @query("knn_lsh")
 def q_knn_lsh(spark, sf):
     corpus = T.load_embeddings(spark, sf)
     return sim.knn_lsh(corpus, sim.latest_per_label(corpus), n=3)
 
 
+@query("similar_texts")
+def q_similar_texts(spark, sf):
+    docs = T.read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("fkey"), "text",
+                                                       F.col("doc_id").alias("newest"))
+    queries = docs.where("id % 50 = 0").select(F.col("id").alias("query_id"), "fkey", "text")
+    return textsearch.similar_texts(docs, queries, 5).select(
+        F.col("query_id").alias("doc_id"), "rank", F.col("id").alias("similar_id"), "score")
+
+
+@query("encode_messages")
+def q_encode_messages(spark, sf):
+    """Every distinct message by the encoder plug-in, as the places and values of its vector."""
+    messages = T.load_logs(spark, sf).select("message").distinct()
+    encoded = encoding.encode_texts(messages, lambda: encoding.HashedWords(384), 384, "hashed-words-384", "message")
+    return encoded.select("message", F.posexplode("embedding").alias("slot", "weight")).where("weight <> 0").select(
+        "message", "slot", F.round(F.col("weight").cast("double"), 5).alias("weight"))
+
+
 @query("text_embed")
 def q_text_embed(spark, sf):
     return sim.text_embed(T.read_table(spark, sf, "documents"))
@@ -449,7 +485,9 @@ def q_text_embed(spark, sf):
 
 def _context(spark, sf):
     logs = T.load_logs(spark, sf)
-    return sim.incident_context(logs, NOW(), RECENT_MINUTES, causal.ate_linear(clean.drop_incomplete(logs)))
+    before = NOW() - F.expr(f"INTERVAL {RECENT_MINUTES} MINUTES")
+    index = T.stored_once(spark, sf, "incidents", lambda: sim.incident_index(logs, before))
+    return sim.incident_context(logs, NOW(), RECENT_MINUTES, causal.ate_linear(clean.drop_incomplete(logs)), index=index)
 
 
 @query("incident_context")

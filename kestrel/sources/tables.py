@@ -8,6 +8,7 @@ table values in place of random draws.  All are narrow projections over
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,15 +107,31 @@ def edges_from_logs(logs: DataFrame) -> DataFrame:
             .where(F.col("from_service").isNotNull()))
 
 
-_EDGE_FACTS: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple, object] = {}
+
+
+def table_version(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """The files of a table with their sizes and times: another listing is another version."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(sf_dir, f"{name}.parquet"))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def stored_once(spark: SparkSession, sf_dir: str, what: str, make: Callable[[], object]):
+    """What ``make`` derives from a folder's events and writes: made once per application and version of the events."""
+    at = (spark.sparkContext.applicationId, sf_dir, what, table_version(spark, sf_dir, "events"))
+    if at not in _STORED:
+        _STORED[at] = make()
+    return _STORED[at]
 
 
 def load_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edge fact table of a folder's events: written once per application, read by every graph query."""
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _EDGE_FACTS:
-        _EDGE_FACTS[at] = materialize(edges_from_logs(load_logs(spark, sf_dir)), "edges")
-    return _EDGE_FACTS[at]
+    """The edge fact table of a folder's events: written once, read by every graph query."""
+    return stored_once(spark, sf_dir, "edges", lambda: materialize(edges_from_logs(load_logs(spark, sf_dir)), "edges"))
 
 
 def commands_from_logs(logs: DataFrame) -> DataFrame:
