@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from kestrel.fixed import CAUSAL_EDGES, CONFOUNDER, METRICS, OUTCOME, TREATMENT
 from kestrel.functions.exprs import epoch_micros, normal_two_sided_p
+from kestrel.functions.scans import join_on
 
 Z_CRIT = 1.96
 
@@ -79,8 +80,39 @@ def ate_linear(df: DataFrame, treatment: str = TREATMENT, outcome: str = OUTCOME
     Significance (SE, t, two-sided normal p) comes from the same sums.
     Fewer than ``min_rows`` complete rows: NULL estimate.
     """
+    return ate_from_gram(gram(df, [treatment, confounder, outcome], [by]), treatment, outcome, confounder, min_rows)
+
+
+def merge_gram(parts: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    """The ``gram`` of rows of which ``parts`` holds the grams of disjoint portions (several rows per group).
+
+    Portions' cross-products are moved from their own means to the common
+    ones: two aggregates over a row per group and portion, nothing is recomputed.
+    """
+    means = [f"mean__{c}" for c in cols]
+    total = parts.groupBy(*by).agg(F.sum("n").alias("_n"), *[(F.sum(F.col("n") * F.col(m)) / F.sum("n")).alias(f"_{m}") for m in means])
+    j = join_on(parts, total, by)
+    moved = {}
+    for a, b in itertools.combinations_with_replacement(cols, 2):
+        shift = (F.col(f"mean__{a}") - F.col(f"_mean__{a}")) * (F.col(f"mean__{b}") - F.col(f"_mean__{b}"))
+        moved[_pair_name(a, b)] = F.sum(F.col(_pair_name(a, b)) + F.col("n") * shift).alias(_pair_name(a, b))
+    return j.groupBy(*by).agg(F.sum("n").alias("n"), *[F.max(f"_{m}").alias(m) for m in means], *moved.values())
+
+
+def gram_append(batch: DataFrame, path: str, epoch: int, cols: list[str], by: str = "service") -> None:
+    """Write the gram of a batch of logs as an increment, in its epoch's folder (a replay overwrites it)."""
+    gram(batch, cols, [by]).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+
+def gram_state(spark, path: str, cols: list[str], by: str = "service") -> DataFrame:
+    """The gram over all increments below ``path``: a row per service and epoch is read, no log."""
+    return merge_gram(spark.read.parquet(path).drop("epoch"), cols, [by])
+
+
+def ate_from_gram(g: DataFrame, treatment: str = TREATMENT, outcome: str = OUTCOME, confounder: str = CONFOUNDER,
+                  min_rows: int = 5) -> DataFrame:
+    """``ate_linear`` from a gram of treatment, confounder and outcome per group."""
     cols = [treatment, confounder, outcome]
-    g = gram(df, cols, [by])
     names = sorted({_sname(cols, a, b) for a, b in itertools.combinations_with_replacement(cols, 2)})
     pooled = g.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"),
                    *[F.sum(c).alias(c) for c in names])
@@ -138,9 +170,11 @@ def placebo_hash(event_id: Column, sim: Column) -> Column:
     """Deterministic uniform(0,1) placebo from (row id, simulation).
 
     The simulation is in the multiplier of a quadratic residue, so the draws
-    of two simulations aren't shifts of one another.
+    of two simulations aren't shifts of one another; every further 1,000,003
+    ids begin elsewhere, so that the draws have no period.
     """
-    x = ((event_id % 1000003) * 7919 + sim * 104729) % 1000003
+    block = F.floor(event_id / 1000003) % 1000003
+    x = ((event_id % 1000003) * 7919 + sim * 104729 + block * block % 1000003 * 486187) % 1000003
     return ((x * x + event_id % 1000003 * sim * 15485863) % 1000003).cast("double") / 1000003.0
 
 
@@ -193,9 +227,13 @@ def _pc_name(x: str, y: str, cond: tuple[str, ...]) -> str:
 
 
 def pc_tests(df: DataFrame, cols: list[str] = METRICS, by: str = "service",
-             max_order: int = 2) -> DataFrame:
+             max_order: int | None = None, min_rows: int = 100) -> DataFrame:
     """Every conditional-independence test of the PC skeleton phase.
 
+    Sets of any size, unless ``max_order`` limits them (over many columns
+    ``discovery.pc_levels`` tests neighbours only).  Services with at most
+    ``min_rows`` complete rows are left out.
+
     One pass of ``corr`` aggregates per service (and overall, via rollup);
     partial correlations of order 0..max_order by the standard recursion,
     one projection per order so each expression stays small; Fisher z =
@@ -203,9 +241,11 @@ def pc_tests(df: DataFrame, cols: list[str] = METRICS, by: str = "service",
     expressions are SQL strings, parsed once on the JVM side.
     """
     pairs = list(itertools.combinations(cols, 2))
+    max_order = len(cols) - 2 if max_order is None else max_order
     wide = (df.select(by, *[_num(c).alias(c) for c in cols]).na.drop(subset=cols)
             .rollup(by).agg(F.count(F.lit(1)).alias("n"),
-                            *[F.corr(a, b).alias(_pc_name(a, b, ())) for a, b in pairs]))
+                            *[F.corr(a, b).alias(_pc_name(a, b, ())) for a, b in pairs])
+            .where(F.col("n") > min_rows))
     for k in range(1, max_order + 1):
         exprs = ["*"]
         for x, y in pairs:
@@ -230,6 +270,31 @@ def pc_tests(df: DataFrame, cols: list[str] = METRICS, by: str = "service",
                            f"inline(array({', '.join(tests)}))")
 
 
+def orient(near: dict[int, set[int]], apart: dict[tuple[int, int], tuple[int, ...]]) -> set[tuple[int, int]]:
+    """Arrows (cause, effect) of a skeleton: v-structures x -> z <- y (z not in the set that separated x and y), then
+    those without which another v-structure or a cycle would arise."""
+    k = len(near)
+    arrows: set[tuple[int, int]] = set()
+    for x, y in itertools.combinations(range(k), 2):
+        if y not in near[x]:
+            for z in sorted(near[x] & near[y]):
+                if z not in apart.get((x, y), ()) and (z, x) not in arrows and (z, y) not in arrows:
+                    arrows |= {(x, z), (y, z)}
+    grown = True
+    while grown:
+        grown = False
+        for a in range(k):
+            for b in sorted(near[a]):
+                if (a, b) in arrows or (b, a) in arrows:
+                    continue
+                chain = any((c, a) in arrows and b not in near[c] and c != b for c in near[a])
+                cycle = any((a, c) in arrows and (c, b) in arrows for c in near[a] & near[b])
+                if chain or cycle:
+                    arrows.add((a, b))
+                    grown = True
+    return arrows
+
+
 def pc_search(corr, n: int, cols: list[str], z_crit: float = Z_CRIT):
     """The PC algorithm on a correlation matrix: (skeleton pairs, separating sets, arrows).
 
@@ -262,26 +327,8 @@ def pc_search(corr, n: int, cols: list[str], z_crit: float = Z_CRIT):
                     apart[x, y] = s
                     break
         order += 1
-    arrows: set[tuple[int, int]] = set()
-    for x, y in itertools.combinations(range(k), 2):
-        if y not in near[x]:
-            for z in sorted(near[x] & near[y]):
-                if z not in apart.get((x, y), ()) and (z, x) not in arrows and (z, y) not in arrows:
-                    arrows |= {(x, z), (y, z)}
-    grown = True
-    while grown:
-        grown = False
-        for a in range(k):
-            for b in sorted(near[a]):
-                if (a, b) in arrows or (b, a) in arrows:
-                    continue
-                chain = any((c, a) in arrows and b not in near[c] and c != b for c in near[a])
-                cycle = any((a, c) in arrows and (c, b) in arrows for c in near[a] & near[b])
-                if chain or cycle:
-                    arrows.add((a, b))
-                    grown = True
     pairs = [(x, y) for x, y in itertools.combinations(range(k), 2) if y in near[x]]
-    return pairs, apart, arrows
+    return pairs, apart, orient(near, apart)
 
 
 def pc_oriented(df: DataFrame, cols: list[str] = METRICS, by: str = "service", min_rows: int = 100) -> DataFrame:
@@ -365,9 +412,9 @@ def graph_metrics(found: DataFrame, truth: DataFrame, cols: list[str] = METRICS,
 
 
 def effect_scan(df: DataFrame, cols: list[str] = METRICS, confounder: str = CONFOUNDER,
-                by: str = "service") -> DataFrame:
-    """Naive and confounder-adjusted slope for every ordered metric pair."""
-    g = gram(df, cols, [by])
+                by: str = "service", min_rows: int = 100) -> DataFrame:
+    """Naive and confounder-adjusted slope for every ordered metric pair of services with more than ``min_rows`` rows."""
+    g = gram(df, cols, [by]).where(F.col("n") > min_rows)
     rows = []
     for t, y in itertools.permutations(cols, 2):
         naive = F.try_divide(F.col(_sname(cols, t, y)), F.col(_sname(cols, t, t)))

@@ -138,6 +138,7 @@ SELECT 'pool_wait_ms' AS treatment, 'error_count' AS outcome, n, groups,
   CASE WHEN n >= 5 THEN round(beta / se, 6) END AS t_value,
   CASE WHEN n >= 5 THEN round({_pval('beta / se')}, 6) END AS p_value FROM s""")
 
+ORACLES["ate_incremental"] = ORACLES["ate_linear"]
 oracle("ate_hetero", f"""WITH {CLEAN},
 g AS (SELECT service, count(*) AS n, covar_pop(pool_wait_ms, pool_wait_ms) * count(*) AS stt,
         covar_pop(pool_wait_ms, db_lock_time) * count(*) AS stw, covar_pop(pool_wait_ms, error_count) * count(*) AS sty,
@@ -154,7 +155,8 @@ FROM q, gm WHERE q.ok""")
 
 _PLACEBO_SRC = """ps AS (SELECT c.service, c.db_lock_time, c.error_count, CAST(c.sim AS INTEGER) AS sim,
    CAST((c.x * c.x + c.event_id % 1000003 * c.sim * 15485863) % 1000003 AS DOUBLE) / CAST(1000003 AS DOUBLE) AS placebo
-   FROM (SELECT *, ((event_id % 1000003) * 7919 + sim * 104729) % 1000003 AS x
+   FROM (SELECT *, ((event_id % 1000003) * 7919 + sim * 104729
+     + (event_id // 1000003 % 1000003) * (event_id // 1000003 % 1000003) % 1000003 * 486187) % 1000003 AS x
          FROM clean, (SELECT CAST(unnest(generate_series(1, 20)) AS BIGINT) AS sim)) c)"""
 
 oracle("placebo_refute", f"""WITH {CLEAN}, {_PLACEBO_SRC}, {_ate_sql('placebo', _W, _Y, 'ps', by_sim=True)}
@@ -592,9 +594,11 @@ _STORE = ('event_id, "timestamp", service, level, message, latency_ms, db_lock_t
 oracle("src_logs_csv", f"SELECT {_STORE} FROM logs")
 oracle("sink_logs_csv", """SELECT service, level, count(*) AS "rows", round(sum(latency_ms), 4) AS latency_sum
   FROM logs GROUP BY 1, 2""")
-_SUBMITTED_TS = """CASE WHEN event_id % 5 = 0 THEN date_trunc('second', "timestamp") ELSE "timestamp" END AS "timestamp\""""
+_SUBMITTED_TS = """CASE WHEN event_id % 5 = 0 THEN date_trunc('second', "timestamp")
+  WHEN event_id % 5 = 3 THEN make_timestamp(epoch_us("timestamp") // 100000 * 100000) ELSE "timestamp" END AS "timestamp\""""
+_REQUEST = "CASE WHEN event_id % 41 <> 0 THEN event_id END AS request_id"
 _ACCEPTED = "event_id % 13 <> 0 AND event_id % 29 <> 0 AND event_id % 31 <> 0 AND event_id % 37 <> 0"
-oracle("src_submissions", f"""SELECT event_id AS request_id, {_SUBMITTED_TS}, service,
+oracle("src_submissions", f"""SELECT {_REQUEST}, {_SUBMITTED_TS}, service,
   CASE WHEN event_id % 7 = 0 THEN 'INFO' ELSE level END AS level, latency_ms, message
   FROM logs WHERE {_ACCEPTED}""")
 oracle("submissions_quarantine", f"""SELECT reason, count(*) AS "rows" FROM (
@@ -604,6 +608,9 @@ oracle("submissions_quarantine", f"""SELECT reason, count(*) AS "rows" FROM (
 ORACLES["stream_quarantine"] = ORACLES["submissions_quarantine"]
 oracle("log_store_append_bulk", f"""SELECT 'log_' || strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') || '_' || event_id AS id, {_STORE}
   FROM logs""")
+oracle("log_store_untimed", f"""SELECT CASE WHEN event_id % 47 <> 0 THEN event_id END AS event_id,
+  CASE WHEN event_id % 43 <> 0 THEN "timestamp" END AS "timestamp", {_STORE.split(', ', 2)[2]}
+  FROM logs WHERE event_id % 43 = 0 OR event_id % 47 = 0""")
 oracle("log_store_wipe", f"""SELECT '' AS id, {_STORE} FROM logs WHERE false""")
 _NULLS = """burst_in AS (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN service END AS service,
   CASE WHEN event_id % 13 <> 0 THEN date_trunc('minute', "timestamp") END AS "timestamp"
@@ -655,7 +662,7 @@ oracle("feedback_counts", f"WITH {_FB} SELECT rating, count(*) AS analyses FROM
 # ---- 2.9 streaming: batch twins ----------------------------------------------------
 ORACLES["stream_burst"] = ORACLES["burst_sliding"]
 ORACLES["stream_cooldown"] = ORACLES["cooldown"]
-ORACLES["stream_ingest"] = with_views(f"""SELECT event_id AS request_id, {_SUBMITTED_TS}, service,
+ORACLES["stream_ingest"] = with_views(f"""SELECT {_REQUEST}, {_SUBMITTED_TS}, service,
   CASE WHEN event_id % 7 = 0 THEN 'INFO' ELSE level END AS level, latency_ms, message,
   CAST(CASE WHEN (CASE WHEN event_id % 7 = 0 THEN 'INFO' ELSE level END) = 'ERROR' THEN 1 ELSE 0 END AS INTEGER) AS error_count
   FROM logs WHERE {_ACCEPTED}""")
@@ -670,3 +677,13 @@ dfired AS (SELECT d.* FROM diagnoses d JOIN fired USING (event_id)), {_parse_sql
 SELECT * FROM gated ORDER BY "timestamp" DESC, event_id DESC LIMIT 20""")
 ORACLES["stream_actions"] = ORACLES["action_gate"]
 ORACLES["stream_node_state"] = ORACLES["node_state"]
+ORACLES["stream_cooldown_timers"] = ORACLES["cooldown"]
+ORACLES["stream_counters"] = with_views(f"""SELECT count(*) AS submitted, count(*) FILTER (WHERE NOT ({_ACCEPTED})) AS refused,
+  count(*) FILTER (WHERE {_ACCEPTED} AND event_id % 7 <> 0 AND level = 'ERROR') AS errors FROM logs""")
+ORACLES["stream_diagnosed"] = with_views(f"""WITH fired AS ({_cooldown_sql(30)}),
+dia AS (SELECT *, "timestamp" + (event_id % 17 - 2) * INTERVAL 1 MINUTE AS diagnosed_at FROM diagnoses WHERE event_id % 7 <> 0),
+{_parse_sql('diagnoses')}
+SELECT f.event_id, f.service, f.fired_at, d.diagnosed_at, d.event_id IS NULL AS paged,
+  CASE WHEN d.event_id IS NULL THEN 'page_human' ELSE p.recommended_action END AS action
+FROM fired f LEFT JOIN dia d ON d.event_id = f.event_id AND d.diagnosed_at >= f.fired_at - INTERVAL 5 MINUTE
+  AND d.diagnosed_at <= f.fired_at + INTERVAL 10 MINUTE LEFT JOIN parsed p ON p.event_id = f.event_id""")

@@ -133,7 +133,16 @@ def q_error_rate_corr(spark, sf):
 
 # ---- 2.7 causal and statistical -----------------------------------------
 from kestrel.fixed import METRICS  # noqa: E402
-from kestrel.operators import causal  # noqa: E402
+from kestrel.fixed import SERVICES  # noqa: E402
+from kestrel.operators import causal, discovery  # noqa: E402
+
+
+def _by_week(df):
+    """Rows by week of January 2024, the first and the last week open, so that none is left out."""
+    weeks = [T.ts_ntz(f"2024-01-{d} 00:00:00") for d in ("08", "15", "22")]
+    t = F.col("timestamp")
+    return [df.where(t.isNull() | (t < weeks[0])), df.where((t >= weeks[0]) & (t < weeks[1])),
+            df.where((t >= weeks[1]) & (t < weeks[2])), df.where(t >= weeks[2])]
 
 
 def _clean_logs(spark, sf):
@@ -161,6 +170,23 @@ def q_ate_hetero(spark, sf):
     return causal.ate_hetero(_clean_logs(spark, sf))
 
 
+@query("ate_incremental")
+def q_ate_incremental(spark, sf):
+    """The effect from increments of sufficient statistics: one per week, the first and last open."""
+    logs, path = _clean_logs(spark, sf), scratch_path(spark, "gram")
+    cols = [causal.TREATMENT, causal.CONFOUNDER, causal.OUTCOME]
+    for i, week in enumerate(_by_week(logs)):
+        causal.gram_append(week, path, i, cols)
+    return causal.ate_from_gram(causal.gram_state(spark, path, cols))
+
+
+@query("pc_wide")
+def q_pc_wide(spark, sf):
+    """Discovery over 50 variables: mean and maximum of five metrics of five services by the hour."""
+    wide, names = discovery.panel(T.load_logs(spark, sf), SERVICES, ["latency_ms", "db_lock_time", "pool_wait_ms", "cpu_percent", "memory_percent"])
+    return discovery.discover(wide, names)
+
+
 @query("placebo_refute")
 def q_placebo(spark, sf):
     return causal.placebo_refute(_clean_logs(spark, sf), simulations=20)
@@ -598,11 +624,14 @@ def submissions_text(logs):
     37th, a bad timestamp on every 29th, and every 13th line cut short (malformed)."""
     ts, n = F.col("timestamp"), F.col("event_id")
     body = F.to_json(F.struct(
-        n.alias("request_id"),
+        F.when(n % 41 != 0, n).alias("request_id"),
         F.when(n % 29 == 0, F.lit("yesterday"))
          .when(n % 5 == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
          .when(n % 5 == 1, F.concat(files.iso_text(ts), F.lit("Z")))
          .when(n % 5 == 2, F.concat(files.iso_text(ts + F.expr("INTERVAL 2 HOURS")), F.lit("+02:00")))
+         .when(n % 5 == 3, F.date_format(ts, "yyyyMMdd'T'HHmmss,S"))
+         .when(n % 5 == 4, F.concat(F.extract(F.lit("YEAROFWEEK"), ts).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(ts).cast("string"), 2, "0"),
+                                    F.lit("-"), (F.weekday(ts) + 1).cast("string"), F.date_format(ts, "'T'HH:mm:ss.SSSSSS")))
          .otherwise(files.iso_text(ts)).alias("timestamp"),
         "service",
         F.when(n % 7 != 0, F.col("level")).alias("level"),
@@ -640,6 +669,17 @@ def q_log_store_append(spark, sf):
     return files.log_store_scan(spark, _store(spark, sf))
 
 
+@query("log_store_untimed")
+def q_log_store_untimed(spark, sf):
+    """Every 43rd log has no time, every 47th no id; what two overlapping appends leave."""
+    n = F.col("event_id")
+    logs = T.load_logs(spark, sf).select(*STORE_COLS).where((n % 43 == 0) | (n % 47 == 0))
+    logs = logs.withColumns({"timestamp": F.when(n % 43 != 0, F.col("timestamp")), "event_id": F.when(n % 47 != 0, n)})
+    path = scratch_path(spark, "log_store_untimed")
+    files.log_store_append(spark, path, logs.where(F.col("latency_ms") < 60), False, bulk=True)
+    return files.log_store_append(spark, path, logs, True, bulk=True).select(*[c for c in files.LOG_STORE_COLUMNS if c != "id"])
+
+
 @query("log_store_append_bulk")
 def q_log_store_append_bulk(spark, sf):
     logs = T.load_logs(spark, sf).select(*STORE_COLS)
@@ -698,6 +738,7 @@ def q_feedback_counts(spark, sf):
 
 # ---- 2.9 streaming (each runs to completion with availableNow) ---------------
 from kestrel.streaming import pipeline as stream  # noqa: E402
+from kestrel.streaming import stateful  # noqa: E402
 
 
 def _run_to_table(spark, df, name, mode="append"):
@@ -728,10 +769,8 @@ def _firings(spark, sf):
     cand_path = scratch_path(spark, "burst_candidates")
     cands = materialize(q_error_burst(spark, sf).where("anomaly").select("service", "event_id", "timestamp"), "candidates")
     # Arrival in event-time order: four appends, one per week, oldest first.
-    weeks = ["2024-01-01 00:00:00", "2024-01-08 00:00:00", "2024-01-15 00:00:00", "2024-01-22 00:00:00", "2100-01-01 00:00:00"]
     out, ck = scratch_path(spark, "stream_cooldown"), scratch_path(spark, "stream_cooldown_ckpt")
-    for lo, hi in zip(weeks, weeks[1:]):
-        part = cands.where((F.col("timestamp") >= T.ts_ntz(lo)) & (F.col("timestamp") < T.ts_ntz(hi)))
+    for part in _by_week(cands):
         part.write.mode("append").parquet(cand_path)
         arrived = stream.read_table_stream(spark, cand_path, cands.schema)
         stream.cooldown_to_table(arrived, out, ck, seconds=30).awaitTermination()
@@ -797,16 +836,66 @@ def q_stream_actions(spark, sf):
 
 @query("stream_node_state")
 def q_stream_node_state(spark, sf):
-    src = scratch_path(spark, "edges_stream")
-    T.load_edges(spark, sf).write.parquet(src)
-    e = stream.read_table_stream(spark, src, spark.read.parquet(src).schema)
-    return _node_state_via_batches(spark, e)
-
-
-def _node_state_via_batches(spark, e):
-    """Complete mode: each epoch is the whole state, in a folder of its own; the newest complete one is read."""
-    out, ck = scratch_path(spark, "node_state"), scratch_path(spark, "node_state_ckpt")
-    state = stream.node_state_stream(e)
-    stream.write_idempotent(state, out, ck, mode="complete").awaitTermination()
-    epochs = spark.read.schema(state.schema.add("epoch", "long")).parquet(out)
-    return epochs.where(F.col("epoch") == epochs.select(F.max("epoch")).scalar()).drop("epoch")
+    """Update mode over four arrivals, oldest first: each epoch writes the nodes that it changed."""
+    edges, src = T.load_edges(spark, sf), scratch_path(spark, "edges_stream")
+    base, ck = scratch_path(spark, "node_state"), scratch_path(spark, "node_state_ckpt")
+    seq = edges.agg(F.max("seq")).scalar()
+    for i in range(4):
+        edges.where(F.least(F.floor(F.col("seq") * 4 / (seq + 1)), F.lit(3)) == i).write.mode("append").parquet(src)
+        stream.node_state_to_table(stream.read_table_stream(spark, src, edges.schema), base, ck, compact_every=2).awaitTermination()
+    return stream.node_state(spark, base).drop("seq")
+
+
+@query("stream_cooldown_timers")
+def q_stream_cooldown_timers(spark, sf):
+    """The candidates arrive out of order by up to five minutes, in one stream; timers fire behind the watermark."""
+    cands = materialize(q_error_burst(spark, sf).where("anomaly").select("service", "event_id", "timestamp"), "candidates")
+    src = scratch_path(spark, "candidates_stream")
+    late = F.expr("timestamp + make_dt_interval(0, 0, CAST(event_id % 6 AS INT))")
+    for part in _by_week(cands.withColumn("arrival", late)):
+        part.select(*cands.columns).repartition(2).write.mode("append").parquet(src)
+    # The end of a finished input: a candidate of no service far ahead lets the watermark pass all others.
+    end = cands.agg(F.lit("end of input").alias("service"), F.lit(-1).cast("long").alias("event_id"),
+                    (F.max("timestamp") + F.expr("INTERVAL 1 DAY")).alias("timestamp"))
+    end.write.mode("append").parquet(src)
+    stateful.use_rocksdb(spark)
+    fired = stateful.cooldown_with_timers(stream.read_table_stream(spark, src, cands.schema), seconds=30, watermark="31 days")
+    out = _run_to_table(spark, fired, "stream_cooldown_timers")
+    return out.where("event_id >= 0").select("service", F.col("fired_at").cast("timestamp_ntz").alias("fired_at"), "event_id")
+
+
+@query("stream_diagnosed")
+def q_stream_diagnosed(spark, sf):
+    """Firings with the diagnoses that arrive for them: up to 14 minutes after the event, those after ten too late."""
+    fired = q_cooldown(spark, sf)
+    logs = T.load_logs(spark, sf)
+    diagnoses = T.diagnoses_from_logs(logs).where(F.col("event_id") % 7 != 0).select(
+        "event_id", F.expr("timestamp + make_dt_interval(0, 0, CAST(event_id % 17 AS INT) - 2)").alias("diagnosed_at"), "raw")
+    paths = []
+    for rows, t in ((fired, "fired_at"), (diagnoses, "diagnosed_at")):
+        path, end = scratch_path(spark, "diagnosed_stream"), rows.agg(F.max(t) + F.expr("INTERVAL 40 DAYS")).scalar()
+        rows.write.parquet(path)
+        # The end of a finished input: a row far ahead on either side.
+        rows.agg(*[(end if c == t else F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in rows.columns]).write.mode("append").parquet(path)
+        paths.append(stream.read_table_stream(spark, path, rows.schema))
+    joined = stateful.diagnosed_firings(*paths, watermark="31 days").where(F.col("event_id").isNotNull())
+    done = rules.diagnosis_parse(_run_to_table(spark, joined, "diagnosed"))
+    return done.select("event_id", "service", "fired_at", "diagnosed_at", "paged",
+                       F.when(F.col("paged"), F.lit("page_human")).otherwise(F.col("recommended_action")).alias("action"))
+
+
+@query("stream_counters")
+def q_stream_counters(spark, sf):
+    """The ingest's counters as a listener heard them while it ran."""
+    src, base = scratch_path(spark, "submissions_counted"), scratch_path(spark, "ingest_counted")
+    submissions_text(T.load_logs(spark, sf)).write.text(src)
+    counters = stateful.LiveCounters()
+    spark.streams.addListener(counters)
+    try:
+        raw = stateful.observed(stream.submissions_stream(spark, src))
+        stream.ingest_to_tables(raw, base).awaitTermination()
+        counters.wait()
+    finally:
+        spark.streams.removeListener(counters)
+    t = counters.totals()
+    return spark.createDataFrame([(t.get("submitted", 0), t.get("refused", 0), t.get("errors", 0))], "submitted long, refused long, errors long")

@@ -58,32 +58,62 @@ def read_submissions(spark: SparkSession, path: str) -> DataFrame:
             .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
 
 
-# Calendar date, then optionally any one separator, hours to microseconds, and an offset (the forms that
-# datetime.fromisoformat takes for calendar dates in extended notation).
-ISO_PATTERN = (r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,](\d{3}|\d{6}))?)?)?"
-               r"(Z|[+-]\d{2}(:?\d{2}(:?\d{2})?)?)?)?$")
+# A date (calendar or ISO week, with dashes or without), then optionally any one separator, a time of day (with colons or
+# without, from hours to any number of decimals) and an offset: what datetime.fromisoformat takes.
+ISO_PATTERN = (r"^(?:(\d{4})-(\d{2})-(\d{2})|(\d{4})(\d{2})(\d{2})|(\d{4})-W(\d{2})(?:-(\d))?|(\d{4})W(\d{2})(\d)?)"
+               r"(?:[\s\S](?:(\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d+))?)?)?|(\d{2})(\d{2})(?:(\d{2})(?:[.,](\d+))?)?)"
+               r"(Z|([+-])(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?)?)?$")
 
 
 def iso_timestamp(text):
-    """ISO-8601 text as a UTC wall-clock time; NULL where it isn't one.  A time without an offset is UTC."""
-    hour_only = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(Z|[+-].*)?$", "$1:00$2")
-    minutes_only = F.regexp_replace(hour_only, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(Z|[+-].*)?$", "$1:00$2")
-    offset = F.regexp_replace(minutes_only, r"([+-]\d{2}):?(\d{2})$", "$1:$2")
-    whole = F.regexp_replace(F.regexp_replace(offset, r"([T ][^+-]*[+-]\d{2})$", "$1:00"), ",", ".")
-    return F.when(text.rlike(ISO_PATTERN), whole.try_cast("timestamp")).cast("timestamp_ntz")
-
-
-def split_submissions(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, quarantine).  Good rows: well-formed JSON with service, an ISO
-    timestamp of any form, latency and message; ``level`` defaults to INFO;
-    ``latency`` -> latency_ms.  The quarantine keeps the first reason."""
+    """ISO-8601 text as a UTC wall-clock time; NULL where it isn't one.  A time without an offset is UTC, a week
+    without a day begins on Monday, decimals beyond microseconds are cut off."""
+    # The parts by one pass of the pattern, then one expression over them.
+    names = ["year", "month", "day", "week_year", "week", "week_day", "hour", "minute", "second", "decimals", "sign",
+             "off_hour", "off_minute", "off_second", "off_decimals"]
+    groups = ["$1$4", "$2$5", "$3$6", "$7$10", "$8$11", "$9$12", "$13$17", "$14$18", "$15$19", "$16$20", "$22", "$23", "$24", "$25", "$26"]
+    parts = F.split(F.regexp_replace(text, ISO_PATTERN, "|".join(groups)), "[|]")
+
+    def whole(p):
+        v = {n: p[i] for i, n in enumerate(names)}
+
+        def number(name, default=0):
+            return F.when(v[name] == "", F.lit(default)).otherwise(v[name].try_cast("int"))
+
+        def micros(*hms, decimals):
+            h, m, s = map(number, hms)
+            inside = (h < 24) & (m < 60) & (s < 60)
+            return F.when(inside, ((h * 60 + m) * 60 + s).cast("long") * 1_000_000 + F.rpad(F.substring(v[decimals], 1, 6), 6, "0").cast("int"))
+
+        # Week w of a year begins w - 1 weeks after the Monday on or before 4 January; a year without a week 53 has none.
+        week, day = number("week", 1), number("week_day", 1)
+        monday = F.date_trunc("week", F.concat(v["week_year"], F.lit("-01-04")).try_cast("timestamp_ntz")).cast("date")
+        of_week = F.date_add(monday, (week - 1) * 7 + day - 1)
+        of_week = F.when(week.between(1, 53) & day.between(1, 7) & (F.weekofyear(of_week) == week), of_week)
+        date = F.when(v["week_year"] != "", of_week).otherwise(F.concat_ws("-", v["year"], v["month"], v["day"]).try_cast("date"))
+        away = micros("off_hour", "off_minute", "off_second", decimals="off_decimals") * F.when(v["sign"] == "-", -1).otherwise(1)
+        return F.unix_micros(date.cast("timestamp")) + micros("hour", "minute", "second", decimals="decimals") - away
+
+    utc = F.get(F.transform(F.array(parts), whole), F.lit(0))
+    return F.when(text.rlike(ISO_PATTERN), F.timestamp_micros(utc)).cast("timestamp_ntz")
+
+
+def judged_submissions(raw: DataFrame) -> DataFrame:
+    """``raw`` plus ``_ts``, its time, and ``reason``, the first one to refuse it (NULL: it is good)."""
     typed = raw.select("*", iso_timestamp(F.col("timestamp")).alias("_ts"))
     reason = (F.when(F.col("_corrupt_record").isNotNull(), "malformed")
               .when(F.col("service").isNull(), "missing_service")
               .when(F.col("_ts").isNull(), "bad_timestamp")
               .when(F.col("latency").isNull(), "missing_latency")
               .when(F.col("message").isNull(), "missing_message"))
-    typed = typed.withColumn("reason", reason)
+    return typed.withColumn("reason", reason)
+
+
+def split_submissions(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, quarantine).  Good rows: well-formed JSON with service, an ISO
+    timestamp of any form, latency and message; ``level`` defaults to INFO;
+    ``latency`` -> latency_ms.  The quarantine keeps the first reason."""
+    typed = judged_submissions(raw)
     good = typed.where(F.col("reason").isNull()).select(
         "request_id", F.col("_ts").alias("timestamp"), "service",
         F.coalesce(F.col("level"), F.lit("INFO")).alias("level"),
@@ -97,27 +127,37 @@ def split_submissions(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 STORE_SCHEMA = StructType([StructField("id", StringType()), *LOGS_SCHEMA, StructField("dt", DateType())])
 
 
-def store_id(ts_col: str = "timestamp", service_col: str = "service"):
-    return F.concat_ws("_", iso_text(F.col(ts_col)), F.col(service_col))
+def content_id(columns: list[str]):
+    """An id for a row that brings none: a digest of its values."""
+    return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).cast("binary"))
+
+
+def store_id(content: list[str], ts_col: str = "timestamp", service_col: str = "service"):
+    """``{iso timestamp}_{service}``; a row without a time has the digest of its ``content`` for it."""
+    return F.concat_ws("_", F.coalesce(iso_text(F.col(ts_col)), content_id(content)), F.col(service_col))
 
 
-def bulk_id(ts_col: str = "timestamp", index_col: str = "event_id"):
-    """``log_{iso timestamp}_{index}``: two logs of a service at one time stay two."""
-    return F.concat_ws("_", F.lit("log"), iso_text(F.col(ts_col)), F.col(index_col).cast("string"))
+def bulk_id(content: list[str], ts_col: str = "timestamp", index_col: str = "event_id"):
+    """``log_{iso timestamp}_{index}``: two logs of a service at one time stay two.  A row without an index has the digest
+    of its ``content`` for it."""
+    index = F.coalesce(F.col(index_col).cast("string"), content_id(content))
+    return F.concat_ws("_", F.lit("log"), iso_text(F.col(ts_col)), index)
 
 
 def log_store_append(spark: SparkSession, path: str, batch: DataFrame, exists: bool, bulk: bool = False) -> DataFrame:
     """Append a batch to the partitioned Parquet store; an existing id is kept.
 
     Ids are ``{iso timestamp}_{service}``, or with ``bulk``
-    ``log_{iso timestamp}_{event_id}``; within the batch the lowest
+    ``log_{iso timestamp}_{event_id}`` (a digest of the row in place of a
+    missing time or index); within the batch the lowest
     event_id wins (an aggregate, not a window).  The anti join reads the
     store's partitions between the batch's first and last date only (two
     dates reach the driver); rows without a time go to the partition without a date.
     """
-    b = batch.withColumn("id", bulk_id() if bulk else store_id()).withColumn("dt", F.to_date("timestamp"))
+    content = [c for c in LOG_STORE_COLUMNS if c != "id"]
+    b = batch.withColumn("id", bulk_id(content) if bulk else store_id(content)).withColumn("dt", F.to_date("timestamp"))
     cols = [c for c in LOG_STORE_COLUMNS if c != "id"] + ["dt"]
-    first = F.min_by(F.struct(*cols), "event_id")
+    first = F.min_by(F.struct(*cols), F.struct(F.col("event_id").isNull(), "event_id"))       # min_by passes over NULLs
     b = b.groupBy("id").agg(first.alias("r")).select("id", "r.*")
     if exists:
         lo, hi = batch.agg(F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))).first()

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,7 +20,7 @@ from kestrel.functions.exprs import error_flag
 from kestrel.operators.rules import action_gate, diagnosis_parse
 from kestrel.operators.timeseries import cooldown, greedy_chase
 from kestrel.session import materialize
-from kestrel.sources.files import SUBMISSION_SCHEMA, bulk_id, by_date, split_submissions
+from kestrel.sources.files import SUBMISSION_SCHEMA, bulk_id, by_date, judged_submissions, split_submissions
 
 WATERMARK = "10 minutes"
 
@@ -51,9 +51,11 @@ def submissions_stream(spark: SparkSession, folder: str, files_per_trigger: int
 
 
 def ingest(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, refused) submissions; the good ones typed, with a store id and the error flag."""
+    """(good, refused) submissions; the good ones typed, with a store id (without a request_id, of their content) and the
+    error flag."""
     good, bad = split_submissions(raw)
-    rows = good.select("request_id", bulk_id("timestamp", "request_id").alias("id"), "timestamp", "service", "level",
+    content = ["timestamp", "service", "level", "latency_ms", "message"]
+    rows = good.select("request_id", bulk_id(content, "timestamp", "request_id").alias("id"), "timestamp", "service", "level",
                        "latency_ms", "message", error_flag(F.col("level")).alias("error_count"))
     return rows, bad
 
@@ -74,7 +76,10 @@ def ingest_to_tables(raw: DataFrame, base: str, available_now: bool = True):
     """
     def sink(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        raw_rows = materialize(batch, "submissions")            # read three times
+        # Counters come with the writes, not by jobs of their own.
+        sent, kept = Observation(), Observation()
+        judged = judged_submissions(batch).observe(sent, F.count(F.lit(1)).alias("submitted"), F.count("reason").alias("refused"))
+        raw_rows = materialize(judged.select(*batch.columns), "submissions")            # read for good and refused rows
         good, bad = ingest(raw_rows)
         first = good.groupBy("id").agg(F.min(F.struct(*[c for c in good.columns if c != "id"])).alias("r"))
         rows = first.select("id", "r.*").withColumn("dt", F.to_date("timestamp"))
@@ -83,17 +88,13 @@ def ingest_to_tables(raw: DataFrame, base: str, available_now: bool = True):
             if lo:
                 old = stored(spark, base).where((F.col("epoch") < epoch) & F.col("dt").between(F.lit(lo), F.lit(hi)))
                 rows = rows.join(old.select("id"), "id", "left_anti")
-        rows = materialize(rows, "ingest")
-        by_date(rows).write.mode("overwrite").partitionBy("dt").parquet(f"{base}/store/epoch={epoch}")
+        rows = rows.observe(kept, F.count(F.lit(1)).alias("accepted"), F.coalesce(F.sum("error_count"), F.lit(0)).alias("errors"))
+        by_date(materialize(rows, "ingest")).write.mode("overwrite").partitionBy("dt").parquet(f"{base}/store/epoch={epoch}")
         (bad.select("reason", F.coalesce("_corrupt_record", F.to_json(F.struct("request_id", "timestamp", "service"))).alias("line"))
          .write.mode("overwrite").parquet(f"{base}/quarantine/epoch={epoch}"))
-        counted = good.agg(F.count(F.lit(1)).alias("good"))
-        refused = bad.agg(F.count(F.lit(1)).alias("refused"))
-        kept = rows.agg(F.count(F.lit(1)).alias("accepted"), F.coalesce(F.sum("error_count"), F.lit(0)).alias("errors"))
-        one = kept.select("accepted", "errors", refused.scalar().alias("refused"), counted.scalar().alias("good"))
-        (one.select((F.col("good") + F.col("refused")).alias("submitted"), "accepted", "refused",
-                    (F.col("good") - F.col("accepted")).alias("repeated"), "errors")
-         .write.mode("overwrite").parquet(f"{base}/metrics/epoch={epoch}"))
+        submitted, refused, accepted = (int(o.get[c]) for o, c in ((sent, "submitted"), (sent, "refused"), (kept, "accepted")))
+        one = [(submitted, accepted, refused, submitted - refused - accepted, int(kept.get["errors"]))]
+        spark.createDataFrame(one, METRICS_SCHEMA).write.mode("overwrite").parquet(f"{base}/metrics/epoch={epoch}")
 
     w = raw.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint")
     return (w.trigger(availableNow=True) if available_now else w).start()
@@ -118,13 +119,6 @@ def ingest_metrics(spark: SparkSession, base: str) -> DataFrame:
     return m.agg(*[F.sum(c).alias(c) for c in ("submitted", "accepted", "refused", "repeated", "errors")])
 
 
-def dedupe(stream: DataFrame) -> DataFrame:
-    """Drop repeated ids within the watermark (state is bounded by it); rows older than it are dropped, so for an
-    endless stream without a store to compare with.  ``ingest_to_tables`` drops none."""
-    return (event_time(stream).withWatermark("timestamp", WATERMARK)
-            .dropDuplicatesWithinWatermark(["id"]))
-
-
 # ---- J3: burst detection ------------------------------------------------------------
 
 def burst_stream(logs: DataFrame, minutes: int = BURST_WINDOW_MINUTES, slide_minutes: int = 1,
@@ -223,11 +217,54 @@ def write_idempotent(stream: DataFrame, path: str, checkpoint: str, available_no
 # ---- J6: live node state -----------------------------------------------------------------
 
 def node_state_stream(edges: DataFrame) -> DataFrame:
-    latest = F.max_by(F.struct("cpu_percent", "memory_percent", "ts"), "seq")
+    latest = F.max_by(F.struct("cpu_percent", "memory_percent", "ts", "seq"), "seq")
     return (edges.where(F.col("cpu_percent").isNotNull())
             .groupBy(F.col("from_service").alias("service")).agg(latest.alias("s"))
             .select("service", F.col("s.cpu_percent").alias("current_cpu"),
-                    F.col("s.memory_percent").alias("current_memory"), F.col("s.ts").alias("last_updated")))
+                    F.col("s.memory_percent").alias("current_memory"), F.col("s.ts").alias("last_updated"), F.col("s.seq").alias("seq")))
+
+
+NODE_STATE = "service string, current_cpu double, current_memory double, last_updated timestamp_ntz, seq long"
+
+
+def node_state(spark: SparkSession, base: str, upto: int | None = None) -> DataFrame:
+    """The newest state of every node below ``base``: the newest snapshot and the deltas after it (of epochs <= ``upto``)."""
+    most = F.lit(True) if upto is None else F.col("epoch") <= upto
+    deltas = spark.read.schema(f"{NODE_STATE}, epoch long").parquet(f"{base}/delta").where(most)
+    rows = deltas.drop("epoch")
+    snapshots = _snapshots(spark, base)
+    if snapshots is not None:
+        older = snapshots.where(most)
+        newest = older.select(F.max("epoch")).first()[0]
+        if newest is not None:
+            rows = deltas.where(F.col("epoch") > newest).drop("epoch").unionByName(older.where(F.col("epoch") == newest).drop("epoch"))
+    latest = rows.groupBy("service").agg(F.max_by(F.struct("current_cpu", "current_memory", "last_updated", "seq"), "seq").alias("s"))
+    return latest.select("service", "s.*")
+
+
+def _snapshots(spark: SparkSession, base: str) -> DataFrame | None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/snapshot")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema(f"{NODE_STATE}, epoch long").parquet(f"{base}/snapshot")
+
+
+def node_state_epoch(batch: DataFrame, epoch: int, base: str, compact_every: int) -> None:
+    """One epoch: the nodes that changed, and every ``compact_every`` epochs a snapshot of all.  A replay overwrites what
+    the epoch wrote with the same rows; deltas are kept, a snapshot only spares reading them."""
+    batch.write.mode("overwrite").parquet(f"{base}/delta/epoch={epoch}")
+    if (epoch + 1) % compact_every == 0:
+        whole = materialize(node_state(batch.sparkSession, base, epoch), "node-state")
+        whole.write.mode("overwrite").parquet(f"{base}/snapshot/epoch={epoch}")
+
+
+def node_state_to_table(edges: DataFrame, base: str, checkpoint: str, compact_every: int = 16):
+    """Live node state in update mode: an epoch writes the nodes it changed, not the state."""
+    def sink(batch: DataFrame, epoch: int) -> None:
+        node_state_epoch(batch, epoch, base, compact_every)
+
+    return (node_state_stream(edges).writeStream.outputMode("update").foreachBatch(sink)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def write_parquet(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):

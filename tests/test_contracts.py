@@ -1,6 +1,6 @@
 """Contracts of ingest, store, walks, searches and rules on small frames."""
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pytest
@@ -20,12 +20,49 @@ T0 = datetime(2024, 3, 1, 12, 0, 0)
     ("2024-03-01T12:00:00.123", T0.replace(microsecond=123000)), ("2024-03-01T12:00:00Z", T0),
     ("2024-03-01T12:00:00.123456+00:00", T0.replace(microsecond=123456)), ("2024-03-01T14:00:00+02:00", T0),
     ("2024-03-01T14:00:00+0200", T0), ("2024-03-01T14+02", T0), ("yesterday", None), ("2024-13-01T00:00:00", None),
-    ("2024-03-01T25:00:00", None), ("12:00:00", None), ("", None), (None, None)])
+    ("2024-03-01T25:00:00", None), ("12:00:00", None), ("", None), (None, None),
+    ("20240301T120000", T0), ("20240301", datetime(2024, 3, 1)), ("2024-W09-5T12:00:00", T0), ("2024W095T1200", T0), ("2024-W09-5", datetime(2024, 3, 1)),
+    ("2024-W09", datetime(2024, 2, 26)), ("2020-W53-7", datetime(2021, 1, 3)), ("2021-W53-1", None), ("2024-W00-1", None), ("2024-W09-8", None),
+    ("2024-03-01T12:00:00.1", T0.replace(microsecond=100000)), ("2024-03-01T12:00:00,12345678", T0.replace(microsecond=123456)),
+    ("20240301T120000.5+0530", datetime(2024, 3, 1, 6, 30, 0, 500000)), ("2024-03-01T12:00:00-01:30:15.5", datetime(2024, 3, 1, 13, 30, 15, 500000)),
+    ("2024-02-30", None), ("2024-03-01T12:60", None), ("2024-03-01T12:00:61", None), ("2024-03-01T12:00+25:00", None), ("2024-03-01T", None),
+    ("2024-03-01T12:00:00.", None), ("|||", None), ("2024-0301", None), ("2024-03-01T12:00:00Z ", None)])
 def test_iso_forms(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string").select(files.iso_timestamp(F.col("t")).alias("ts"))
     assert df.first()["ts"] == want
 
 
+def test_iso_forms_as_the_standard_library_reads_them(spark):
+    import random
+    rng, forms = random.Random(2), ["%Y-%m-%d", "%Y%m%d", "%G-W%V-%u", "%GW%V%u"]
+    times, offsets = ["", "T%H", "T%H:%M", " %H%M", "T%H:%M:%S", "T%H%M%S", "T%H:%M:%S.%f", "T%H%M%S,%f"], ["", "Z", "+01", "-0230", "+05:45", "-11:00:30"]
+    texts = []
+    for _ in range(400):
+        t = datetime(rng.randrange(1980, 2040), rng.randrange(1, 13), rng.randrange(1, 29), rng.randrange(24), rng.randrange(60), rng.randrange(60), rng.randrange(10**6))
+        clock = rng.choice(times)
+        text = t.strftime(rng.choice(forms)) + t.strftime(clock) + (rng.choice(offsets) if clock else "")
+        texts.append(text[:-rng.randrange(1, 6)] if clock.endswith("%f") and text[-1].isdigit() and "+" not in text and "-" not in text[10:] else text)
+
+    def read(text):
+        try:
+            t = datetime.fromisoformat(text)
+        except ValueError:
+            return None
+        return t if t.tzinfo is None else t.astimezone(timezone.utc).replace(tzinfo=None)
+    df = spark.createDataFrame([(x,) for x in texts], "t string").select("t", files.iso_timestamp(F.col("t")).alias("ts"))
+    wrong = [(r["t"], r["ts"], read(r["t"])) for r in df.collect() if r["ts"] != read(r["t"])]
+    assert not wrong
+
+
+def test_rows_without_an_id_or_a_time_stay(spark):
+    rows = spark.createDataFrame([(None, None, "a", "INFO", f"m{i % 3}", float(i % 2), None, None, 0) for i in range(12)], files.LOGS_SCHEMA)
+    for bulk in (False, True):
+        path = scratch_path(spark, "no_time")
+        assert files.log_store_append(spark, path, rows, False, bulk=bulk).count() == 6           # six different rows
+        kept = files.log_store_append(spark, path, rows, True, bulk=bulk).collect()                # which are there already
+        assert sorted((r["message"], r["latency_ms"], r["service"]) for r in kept) == [(f"m{i}", j, "a") for i in range(3) for j in (0.0, 1.0)]
+
+
 def test_submissions_need_latency_and_message(spark):
     rows = [(1, "2024-03-01T12:00:00", "a", None, 1.0, "m", None), (2, "2024-03-01T12:00:00", "a", "INFO", None, "m", None),
             (3, "2024-03-01T12:00:00", "a", "INFO", 1.0, None, None), (4, "2024-03-01T12:00:00", None, "INFO", 1.0, "m", None)]
