@@ -19,10 +19,10 @@
 
 Every sum counts all occurrences: a shard's own counts are never cut off.  A
 phrase is at most one row per shard, so that no key is hot, and a task holds
-one shard.  Sums and the rows they keep come from one exchange (a window over a
-word's or pair's rows).  Texts travel as compressed byte planes of their ids, a
-shard's pairs as sorted lists, one for each bucket of a hash of the pair, longer
-phrases as ids of their pairs.
+one shard.  Sums and the rows they keep come from one exchange.  Texts travel as
+compressed byte planes of their ids; so do pairs and longer phrases with their
+counts, as a sorted list of a shard for each bucket of their hash, and a
+bucket's lists are added up together.  A longer phrase is named by its pairs.
 
 NULL texts are empty, a NULL language is ``und``; other columns are ignored,
 repeated rows count as often as they are there; empty tables give no rows.
@@ -50,14 +50,17 @@ LONGEST = 5
 TOP = 2000
 SHARD_WORDS = 1 << 21
 ROWS_AT_ONCE = 1 << 19         # of a shard's index, extended together
-BUCKETS = 4                    # of pairs, per partition of a shuffle
+BUCKETS = 4                    # of pairs and phrases, per partition of a shuffle, at most
+BUCKET_WORDS = 1 << 18         # words of all texts for each bucket, at least
 SECTIONS_AT_ONCE = 1 << 42     # numbers of sections whose running sum is one window: those of 1,024 tasks
 NO_LANGUAGE = "und"
 
 _BREAKS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _SECTION = "section bigint, lang string, n_words bigint, words array<string>, counts array<bigint>, ids binary"
-_PAIRS = "shard bigint, bucket int, pa array<bigint>, pb array<bigint>, pn array<bigint>, ids binary, names binary"
-_LONGER = "k int, x bigint, y bigint, z bigint, n bigint"
+_PAIRS = "shard bigint, bucket int, a binary, b binary, n binary, ids binary, names binary"
+_FREQUENT_PAIRS = "shard bigint, a binary, b binary, name binary, f binary"
+_LONGER = "bucket int, k binary, x binary, y binary, z binary, n binary"
+_FREQUENT = "k int, x bigint, y bigint, z bigint, f bigint"
 
 
 # ---- the index ---------------------------------------------------------------
@@ -280,10 +283,69 @@ def sections(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     return rows.mapInArrow(fill, _SECTION)
 
 
+def _in_buckets(keys: list[np.ndarray], n: np.ndarray, buckets: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(bucket, packed keys and counts, sorted by the keys) of phrases."""
+    h = np.zeros(len(n), np.uint64)
+    for k in keys:
+        h = mixed(h ^ k.astype(np.uint64))
+    bucket = (h % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((*keys[::-1], bucket))
+    at = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for i in np.flatnonzero(np.diff(at)).tolist():
+        own = order[at[i]:at[i + 1]]
+        yield i, [packed(v[own]) for v in (*keys, n)]
+
+
+def _added_up(keys: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(one place of each distinct key, its sum, which of them each row has)."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    first = np.flatnonzero(new)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[first], np.add.reduceat(n[order], first) if len(first) else n, which
+
+
+def _unpack(table: pa.Table, columns: str | list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the lists of all rows one after the other, by column; how many each row has)."""
+    parts = [[unpacked(v) for v in table.column(c).to_pylist()] for c in columns]
+    return [np.concatenate(p) for p in parts], np.array([len(v) for v in parts[0]], np.int64)
+
+
+def _frequent_pairs(least: int):
+    """Of one bucket: the pairs that occur ``least`` times, each shard's own for it, and one row of all with their counts."""
+    def add(lists: pa.Table) -> pa.Table:
+        (a, b, n), size = _unpack(lists, ["a", "b", "n"])
+        at, total, which = _added_up([a, b], n)
+        good = total >= least
+        name = np.where(good, (np.int64(lists.column("bucket")[0].as_py()) << 32) + np.cumsum(good) - 1, -1)
+        rows = [(None, packed(a[at[good]]), packed(b[at[good]]), packed(name[good]), packed(total[good]))] if good.any() else []
+        ends = np.cumsum(size)
+        for shard, begin, end in zip(lists.column("shard").to_pylist(), (ends - size).tolist(), ends.tolist(), strict=True):
+            own = begin + np.flatnonzero(good[which[begin:end]])
+            if len(own):
+                rows.append((shard, packed(a[own]), packed(b[own]), packed(name[which[own]]), None))
+        kinds = [pa.int64(), *[pa.binary()] * 4]
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["shard", "a", "b", "name", "f"])
+    return add
+
+
+def _frequent_longer(least: int):
+    """Of one bucket: the longer phrases that occur ``least`` times."""
+    def add(lists: pa.Table) -> pa.Table:
+        (*keys, n), _ = _unpack(lists, ["k", "x", "y", "z", "n"])
+        at, total, _ = _added_up(keys, n)
+        good = total >= least
+        return pa.table([pa.array(keys[0][at[good]].astype(np.int32)), *[pa.array(k[at[good]]) for k in keys[1:]], pa.array(total[good])],
+                        names=["k", "x", "y", "z", "f"])
+    return add
+
+
 def _pairs_of_shard(buckets: int):
-    lists = pa.list_(pa.int64())
-    schema = pa.schema([("shard", pa.int64()), ("bucket", pa.int32()), ("pa", lists), ("pb", lists), ("pn", lists),
-                        ("ids", pa.binary()), ("names", pa.binary())])
+    schema = pa.schema([("shard", pa.int64()), ("bucket", pa.int32()), *[(c, pa.binary()) for c in ("a", "b", "n", "ids", "names")]])
 
     def pairs(parts: pa.Table, words: pa.Table) -> pa.Table:
         """The text of a shard's frequent words and its pairs with their counts, words by their names (ids over all shards)."""
@@ -312,32 +374,29 @@ def _pairs_of_shard(buckets: int):
         whole = [pa.array([packed(text)], pa.binary()), pa.array([packed(names)], pa.binary())]
         out = [pa.table([pa.array([shard]), *[pa.nulls(1, f.type) for f in list(schema)[1:5]], *whole], schema=schema)]
         for _, at, n in BidirectionalIndex(text, 2).ngrams(2):
-            a, b = names[text[at]], names[text[at + 1]]
-            bucket = (mixed(mixed(a.astype(np.uint64)) ^ b.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((b, a, bucket))
-            a, b, n, bucket = a[order], b[order], n[order], bucket[order]
-            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:len(a)])
-            offsets, k = pa.array(np.append(first, len(a)).astype(np.int32)), len(first)
-            out.append(pa.table([pa.array(np.full(k, shard)), pa.array(bucket[first]),
-                                 *[pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (a, b, n)],
+            lists = list(_in_buckets([names[text[at]], names[text[at + 1]]], n, buckets))
+            k = len(lists)
+            columns = [pa.array([v[i] for _, v in lists], pa.binary()) for i in range(3)]
+            out.append(pa.table([pa.array(np.full(k, shard)), pa.array([i for i, _ in lists], pa.int32()), *columns,
                                  pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], schema=schema))
         return pa.concat_tables(out)
     return pairs
 
 
-def _longer_of_shard(longest: int):
-    schema = pa.schema([("k", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64()), ("n", pa.int64())])
+def _longer_of_shard(longest: int, buckets: int):
+    schema = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("k", "x", "y", "z", "n")]])
 
     def phrases(shard: pa.Table, pairs: pa.Table) -> pa.Table:
         """A shard's phrases of 3 words and more whose pairs are all frequent, with their counts."""
         if not shard.num_rows or not pairs.num_rows:
             return schema.empty_table()
         text, names = (unpacked(shard.column(c)[0].as_py()) for c in ("ids", "names"))
+        (first, second, pair_names), _ = _unpack(pairs, ["a", "b", "name"])
         place = np.argsort(names)
-        key = [place[np.searchsorted(names, pairs.column(c).to_numpy(), sorter=place)] for c in ("a", "b")]
+        key = [place[np.searchsorted(names, v, sorter=place)] for v in (first, second)]
         key = key[0] * len(names) + key[1]
         order = np.argsort(key)
-        key, pair_names = key[order], pairs.column("name").to_numpy()[order]
+        key, pair_names = key[order], pair_names[order]
         here = text[:-1].astype(np.int64) * len(names) + text[1:]
         at = np.minimum(np.searchsorted(key, here), len(key) - 1)
         join = np.append((key[at] == here) & (text[1:] > 0) & (text[:-1] > 0), False)
@@ -347,13 +406,15 @@ def _longer_of_shard(longest: int):
         text = np.append(np.where(keep, text[places], 0), 0).astype(np.int32)
         pair_at = np.append(np.where(keep, pair_at[places], -1), [-1] * longest)
         index = BidirectionalIndex(text, longest)
-        parts = []
+        found = [[np.zeros(0, np.int64)] * 5]
         for k, at, n in index.ngrams(longest):
             if k > 2:        # named by pairs: the first, every second one, the last
                 own = [pair_at[at + i] for i in _pair_places(k)]
-                own += [np.full(len(at), -1)] * (3 - len(own))
-                parts.append(pa.table([pa.array(np.full(len(at), k, np.int32)), *map(pa.array, own), pa.array(n)], schema=schema))
-        return pa.concat_tables(parts) if parts else schema.empty_table()
+                found.append([np.full(len(at), k), *own, *[np.full(len(at), -1)] * (3 - len(own)), n])
+        *keys, n = [np.concatenate(c) for c in zip(*found, strict=True)]
+        lists = list(_in_buckets(keys, n, buckets))
+        return pa.table([pa.array([i for i, _ in lists], pa.int32()), *[pa.array([v[i] for _, v in lists], pa.binary()) for i in range(5)]],
+                        schema=schema)
     return phrases
 
 
@@ -401,20 +462,23 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST,
 
     own = listed.select(F.col("shard").alias("to"), F.col("section").alias("from_section"), "local", "name")
     text = base.select("shard", "section", "ids").groupBy("shard").cogroup(own.groupBy("to"))
-    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words_of_all = sizes.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, min(BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words_of_all // BUCKET_WORDS)))
     paired = materialize(text.applyInArrow(_pairs_of_shard(buckets), _PAIRS), "pairs-by-shard")
-    counted = paired.where(F.col("bucket").isNotNull()).select("shard", "bucket", "pa", "pb", "pn").repartition("bucket")
-    counted = counted.select("shard", "bucket", F.explode(F.arrays_zip("pa", "pb", "pn")).alias("_e"))
-    counted = counted.select("shard", "bucket", F.col("_e.pa").alias("a"), F.col("_e.pb").alias("b"), F.col("_e.pn").alias("n"))
-    own = materialize(_frequent(counted, ["bucket", "a", "b"], min_count).select(
-        F.col("shard").alias("to"), "a", "b", "name", "f", (F.col("id") == F.col("name")).alias("first")), "pairs")
-    pairs = own.where("first").select("a", "b", "f", "name")
-
-    text = paired.where(F.col("bucket").isNull()).select("shard", "ids", "names").groupBy("shard").cogroup(
-        own.select("to", "a", "b", "name").groupBy("to"))
-    longer = materialize(text.applyInArrow(_longer_of_shard(longest), _LONGER), "longer-by-shard")
-    longer = longer.groupBy("k", "x", "y", "z").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-    longer = materialize(longer, "longer")
+    lists = paired.where(F.col("bucket").isNotNull()).select("shard", "bucket", "a", "b", "n")
+    kept = materialize(lists.groupBy("bucket").applyInArrow(_frequent_pairs(min_count), _FREQUENT_PAIRS), "pairs")
+
+    def spread(batches):
+        for b in batches:
+            if b.num_rows:
+                columns, _ = _unpack(pa.Table.from_batches([b]), ["a", "b", "f", "name"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "f", "name"])
+    pairs = kept.where(F.col("shard").isNull()).select("a", "b", "f", "name").mapInArrow(spread, "a bigint, b bigint, f bigint, name bigint")
+
+    own = kept.where(F.col("shard").isNotNull()).select(F.col("shard").alias("to"), "a", "b", "name")
+    text = paired.where(F.col("bucket").isNull()).select("shard", "ids", "names").groupBy("shard").cogroup(own.groupBy("to"))
+    longer = materialize(text.applyInArrow(_longer_of_shard(longest, buckets), _LONGER), "longer-by-shard")
+    longer = materialize(longer.groupBy("bucket").applyInArrow(_frequent_longer(min_count), _FREQUENT), "longer")
 
     # Words and pairs by name, then the longer phrases from their pairs.
     w = words.select("name", "lang", "word")
