@@ -15,8 +15,9 @@ longer text in their common prefix and suffix, as far as the anchors agree,
 and the share of distinct spans in common, from the smallest hashes of both.
 Equal texts have equal fingerprints, hence likeness 1.
 
-Texts are handled in blocks of ``BLOCK`` code points, so memory is bounded
-for any length.
+Texts are handled in blocks of ``BLOCK`` code points: what a document keeps
+beside its text is a few numbers a block (a text of one block keeps its prefix
+arrays).
 """
 
 from __future__ import annotations
@@ -63,6 +64,10 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
 
 
+def joined(parts: list) -> np.ndarray:
+    return parts[0] << np.uint64(31) | parts[1]
+
+
 class PrefixHashes:
     """Prefix arrays of one block of code points."""
 
@@ -75,14 +80,14 @@ class PrefixHashes:
             np.cumsum(codes * _POWERS.up[k][:self.n] % np.uint64(p), out=s[1:])      # < 2^31 each: no overflow in a block
             self.sums.append(s % np.uint64(p))
 
+    def parts(self, begin, end) -> list[np.ndarray]:
+        """The hashes of the spans [begin, end), which may be arrays, modulo each prime; independent of where a span lies."""
+        return [(s[end] + np.uint64(p) - s[begin]) % np.uint64(p) * _POWERS.down[k][begin] % np.uint64(p)
+                for k, (s, p) in enumerate(zip(self.sums, PRIMES, strict=True))]
+
     def spans(self, begin, end) -> np.ndarray:
-        """62-bit hashes of the spans [begin, end), which may be arrays; independent of where a span lies."""
-        out = None
-        for k, p in enumerate(PRIMES):
-            s, p = self.sums[k], np.uint64(p)
-            h = (s[end] + p - s[begin]) % p * _POWERS.down[k][begin] % p
-            out = h if out is None else out << np.uint64(31) | h
-        return out
+        """The same as one number of 62 bits."""
+        return joined(self.parts(begin, end))
 
     def same(self, i: int, other: PrefixHashes, j: int, length: int) -> bool:
         """Whether the spans of ``length`` at i here and at j there are equal."""
@@ -118,44 +123,42 @@ def smallest(h: np.ndarray, k: int) -> np.ndarray:
 
 
 class Document:
-    """A text's blocks of prefix arrays, its whole hash and its sketch."""
+    """A text's whole hash, anchor bytes and sketch, from one pass over its blocks."""
 
     def __init__(self, text: str, block: int = BLOCK):
-        codes = code_points(text)
-        self.n = len(codes)
-        self.blocks = [PrefixHashes(codes[i:i + block]) for i in range(0, self.n, block)]
-        whole, sketch = 0, np.zeros(0, np.uint64)
-        for b in self.blocks:
-            whole = (whole * 1_000_003 + int(b.spans(0, b.n))) % ((1 << 61) - 1)
-        for i in range(0, self.n, block):       # spans that begin in the block, also those that end in the next
-            b = self.blocks[i // block]
-            if i + block < self.n:
-                b = PrefixHashes(codes[i:i + block + SPAN - 1])
-            begin = np.arange(max(1, b.n - SPAN + 1)) if b.n >= SPAN or self.n < SPAN else np.zeros(0, np.int64)
-            h = mix64(b.spans(begin, np.minimum(begin + SPAN, b.n))) >> np.uint64(32)
+        self.text, self.n, self.block = text, len(text), block
+        whole, before, sketch = 0, 0, np.zeros(0, np.uint64)
+        prefix, ends, self.single = [], [], None
+        for i in range(0, self.n, block):
+            # Spans that begin in the block may end in the next.
+            wide = PrefixHashes(code_points(text[i:i + block + SPAN - 1]))
+            n = min(block, self.n - i)
+            all_of = int(wide.spans(0, n))
+            whole = (whole * 1_000_003 + all_of) % ((1 << 61) - 1)
+            lengths = ANCHORS[(ANCHORS > i) & (ANCHORS <= i + n)] - i
+            prefix.append(mix64(wide.spans(np.zeros(len(lengths), np.int64), lengths) ^ np.uint64(before)) >> np.uint64(56))
+            before = (before * 31 + all_of) % (1 << 62)
+            # Suffixes that begin in the block: their part in it, to be joined with what follows.
+            begin = self.n - ANCHORS[(ANCHORS <= self.n - i) & (ANCHORS > self.n - i - n)] - i
+            ends.append((n, [int(x) for x in wide.parts(0, n)], n - begin, wide.parts(begin, np.full(len(begin), n))))
+            begin = np.arange(min(n, max(1, wide.n - SPAN + 1))) if wide.n >= SPAN or self.n < SPAN else np.zeros(0, np.int64)
+            h = mix64(wide.spans(begin, np.minimum(begin + SPAN, wide.n))) >> np.uint64(32)
             sketch = smallest(np.concatenate([sketch, h]), SKETCH)
+            if self.n <= block:
+                self.single = wide
         self.whole, self.sketch = whole, sketch.astype(">u4")
-        self.anchors = self._prefix_bytes(block) + self._suffix_bytes(codes, block)
-
-    def _prefix_bytes(self, block: int) -> bytes:
-        out, before = [], 0
-        for i, b in enumerate(self.blocks):
-            ends = ANCHORS[(ANCHORS > i * block) & (ANCHORS <= i * block + b.n)] - i * block
-            out.append(mix64(b.spans(np.zeros(len(ends), np.int64), ends) ^ np.uint64(before)) >> np.uint64(56))
-            before = (before * 31 + int(b.spans(0, b.n))) % (1 << 62)
-        return np.concatenate(out).astype(np.uint8).tobytes() if out else b""
-
-    def _suffix_bytes(self, codes: np.ndarray, block: int) -> bytes:
-        if not self.n:
-            return b""
-        last = self.blocks[0] if len(self.blocks) == 1 else PrefixHashes(codes[-block:])
-        lengths = ANCHORS[ANCHORS <= last.n]
-        return (mix64(last.spans(last.n - lengths, np.full(len(lengths), last.n))) >> np.uint64(56)).astype(np.uint8).tobytes()
+        prefix = np.concatenate(prefix).astype(np.uint8).tobytes() if prefix else b""
+        self.anchors = prefix + _suffix_bytes(ends)
+
+    def part(self, i: int) -> PrefixHashes:
+        """The prefix arrays of block i."""
+        return self.single or PrefixHashes(code_points(self.text[i * self.block:(i + 1) * self.block]))
 
     def common_prefix(self, other: Document) -> int:
         """Length of the longest common prefix: whole blocks first, then binary search in the one that differs."""
         total = 0
-        for a, b in zip(self.blocks, other.blocks, strict=False):
+        for i in range(-(-min(self.n, other.n) // self.block)):
+            a, b = self.part(i), other.part(i)
             run = a.n if a.n == b.n and a.same(0, b, 0, a.n) else a.common_extension(0, b, 0)
             total += run
             if run < max(a.n, b.n):
@@ -168,6 +171,25 @@ class Document:
         return self.n.to_bytes(8, "big") + self.whole.to_bytes(8, "big") + self.anchors + self.sketch.tobytes()
 
 
+def _suffix_bytes(ends: list[tuple]) -> bytes:
+    """A byte of the hash of every suffix whose length is an anchor, shortest first.
+
+    ``ends``: of each block its length, its hash modulo each prime, and of the
+    suffixes that begin in it the lengths and hashes of their part in the block.
+    The hash of two spans one after the other is the first's plus the
+    second's times BASE to the first's length.
+    """
+    out, after = [], [0] * len(PRIMES)            # what follows the block, modulo each prime
+    for n, whole, lengths, parts in reversed(ends):
+        full = []
+        for k, p in enumerate(PRIMES):
+            up = _POWERS.up[k][lengths] * np.uint64(after[k]) % np.uint64(p)
+            full.append((parts[k] + up) % np.uint64(p))
+            after[k] = (whole[k] + int(_POWERS.up[k][n]) * after[k]) % p
+        out.append((mix64(joined(full)) >> np.uint64(56)).astype(np.uint8)[np.argsort(lengths)])
+    return np.concatenate(out).tobytes() if out else b""
+
+
 def _agreeing(a: np.ndarray, b: np.ndarray) -> int:
     """The longest anchor up to which two runs of anchor bytes agree (0: none)."""
     n = min(len(a), len(b))
@@ -176,7 +198,7 @@ def _agreeing(a: np.ndarray, b: np.ndarray) -> int:
     return int(ANCHORS[upto - 1]) if upto else 0
 
 
-def likeness(x: bytes, y: bytes, block: int = BLOCK) -> float:
+def likeness(x: bytes, y: bytes) -> float:
     """How much of their texts two fingerprints have in common, 0 to 1."""
     if x == y:
         return 1.0
@@ -184,9 +206,8 @@ def likeness(x: bytes, y: bytes, block: int = BLOCK) -> float:
     for f in (x, y):
         n = int.from_bytes(f[:8], "big")
         p = int(np.searchsorted(ANCHORS, n, "right"))
-        q = int(np.searchsorted(ANCHORS, min(n, block), "right"))
-        bytes_of = np.frombuffer(f[16:16 + p + q], np.uint8)
-        parts.append((n, bytes_of[:p], bytes_of[p:], np.frombuffer(f[16 + p + q:], ">u4")))
+        bytes_of = np.frombuffer(f[16:16 + 2 * p], np.uint8)
+        parts.append((n, bytes_of[:p], bytes_of[p:], np.frombuffer(f[16 + 2 * p:], ">u4")))
     (n, prefix, suffix, a), (m, prefix2, suffix2, b) = parts
     if not n or not m:
         return 0.0
