@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import add_columns, text_bytes
+from kestrel.llm.common import add_columns, smallest_hashes, text_bytes
 from kestrel.session import materialize
 
 MAX_LABELLED = 20_000     # labelled rows the classifier is fitted on (those with the smallest id hashes)
@@ -94,7 +94,7 @@ def training_labels(labels: DataFrame, value: str, limit: int | None = None) ->
     rows = (labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull())
             .where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
             .groupBy("doc_id").agg(F.max(value).cast("int").alias(value)))
-    return rows if limit is None else rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return rows if limit is None else smallest_hashes(rows, limit, F.xxhash64("doc_id"), F.col("doc_id"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
@@ -103,10 +103,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
     Only the sample's ids are broadcast and only its feature vectors reach the driver (both bounded by ``limit``).
     """
     sample = training_labels(labels, "quality", limit)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(sample), "doc_id")
     rows = add_columns(rows, {"x": "array<double>"}, lambda: lambda b: [[features(t).tolist() for t in text_bytes(b)]],
-                       ["doc_id", "quality"])
-    rows = rows.dropDuplicates(["doc_id"]).collect()     # a repeated id counts once
+                       ["doc_id", "quality", "h"])
+    # A repeated id counts once: the text with the smallest hash.
+    rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("quality", "x"), F.struct("h", "x")).alias("r")).select("doc_id", "r.*").collect()
     rows.sort(key=lambda r: r.doc_id)
     y = np.array([r.quality for r in rows], float)
     if len(set(y.tolist())) < 2:

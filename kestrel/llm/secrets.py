@@ -31,7 +31,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import slices, text_bytes, texts
+from kestrel.llm.common import slices, smallest_hashes, text_bytes, texts
 from kestrel.llm.decontaminate import words_of
 from kestrel.session import materialize
 
@@ -42,14 +42,14 @@ TREES, DEPTH, SEED = 20, 6, 42
 NEIGHBOURS = 16            # buckets of the word before a candidate
 PATHS = 8                  # buckets of the path
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9_\-+/])(?=[A-Za-z_\-+/]*[0-9])[A-Za-z0-9_\-+/]{16,}={0,2}(?![A-Za-z0-9_\-+/])")
-_DOTTED_BEFORE = re.compile(r"(?:[A-Za-z0-9_\-]+\.)+$")
+_DOTTED = re.compile(r"[A-Za-z0-9_\-]+(?:\.[A-Za-z0-9_\-]+)*")
 _DOTTED_AFTER = re.compile(r"(?:\.[A-Za-z0-9_\-]+)+")
-_QUOTED = re.compile(r"(?i)(?:token|secret|passwo?r?d|api_?key|credential|auth_?key|private_?key)[\"']?\s{0,4}[:=]\s{0,4}"
-                     r"(?:\"([^\"\s]{4,256})\"|'([^'\s]{4,256})')")
-_IN_URL = re.compile(r"://[^\s/@:\"']{0,128}:([^\s/\"']{1,256})@(?=[A-Za-z0-9\[])")
+_QUOTED = re.compile(r"(?i)(?:token|secret|passwo?r?d|pwd|api_?key|credential|auth_?key|private_?key)[\"']?\s{0,4}[:=]\s{0,4}"
+                     r"(?:\"([^\"\s]{4,})\"|'([^'\s]{4,})')")
+_IN_URL = re.compile(r"://[^\s/@:\"']*:([^\s/\"']+)@(?=[A-Za-z0-9\[])")
 _BEFORE = re.compile(r"([A-Za-z_][A-Za-z0-9_\-]*)([^A-Za-z0-9]{0,6})$")
 # Names that say a value is secret, and published key forms.
-_NAMES = re.compile(r"(?i)(token|secret|passw(or)?d|api_?key|credential|auth_?key|private_?key)$")
+_NAMES = re.compile(r"(?i)(token|secret|passw(or)?d|pwd|api_?key|credential|auth_?key|private_?key)$")
 _FORMS = re.compile(r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24,}|AIza[0-9A-Za-z_\-]{35}"
                     r"|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]*)$")
 _HOST_OR_FILE = re.compile(r"^[A-Za-z0-9_\-]+(\.[A-Za-z0-9_\-]+)*\.[a-z]{2,5}$")
@@ -94,8 +94,31 @@ def corpus_language(docs: DataFrame) -> tuple[np.ndarray, frozenset[str]]:
     for r in rows:
         table[r["at"]] += r["n"]
     table = table.reshape(_CLASSES, _CLASSES)
-    top = words.where(F.length("word") <= 24).orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).collect()
-    return np.log(table / table.sum(axis=1, keepdims=True)), frozenset(r.word for r in top)
+    return np.log(table / table.sum(axis=1, keepdims=True)), frozenset(_most_frequent(words.where(F.length("word") <= 24), DICTIONARY_WORDS))
+
+
+def _most_frequent(words: DataFrame, limit: int) -> list[str]:
+    """The first ``limit`` of ``words`` (word, n) by falling n, then by word.
+
+    The count from which words are in is found first, from counts of counts, so
+    that about ``limit`` words leave the executors, not as many from each partition.
+    """
+    power = F.floor(F.log2(F.col("n").cast("double") + 0.5))
+    have, cut = 0, None
+    for r in sorted(words.groupBy(power.alias("k")).count().collect(), key=lambda r: -r["k"]):      # at most 64 rows
+        if have + r["count"] >= limit:
+            cut = r["k"]
+            break
+        have += r["count"]
+    if cut is None:
+        return [r["word"] for r in words.select("word").collect()]           # fewer than the limit
+    for r in sorted(words.where(power == cut).groupBy("n").agg(F.count("*").alias("c")).collect(), key=lambda r: -r["n"]):
+        least = r["n"]
+        if have + r["c"] >= limit:
+            break
+        have += r["c"]
+    rows = words.where(F.col("n") > least).select("word").collect()
+    return [r["word"] for r in [*rows, *words.where(F.col("n") == least).orderBy("word").limit(limit - have).select("word").collect()]]
 
 
 def dictionary_cover(text: str, words: frozenset[str]) -> float:
@@ -133,6 +156,20 @@ def seed_label(value: str, before: str, mark: str, after: str) -> int | None:
     return None
 
 
+class _Runs:
+    """Words joined by single dots, in the order of the text."""
+
+    def __init__(self, text: str):
+        self.found = _DOTTED.finditer(text)
+        self.at = next(self.found, None)
+
+    def start(self, end: int) -> int:
+        """Where the run that the dot at ``end`` goes on begins (``end + 1``: no word stands before it); ends only grow."""
+        while self.at is not None and self.at.end() < end:
+            self.at = next(self.found, None)
+        return self.at.start() if self.at is not None and self.at.start() < end <= self.at.end() else end + 1
+
+
 def spans(text: str) -> list[tuple[int, int, bool]]:
     """(begin, end, password of a URL) of every candidate: passwords in URLs, values quoted after a naming word, and
     runs of key characters with the parts that dots join to them; of overlapping ones the first kind."""
@@ -144,14 +181,17 @@ def spans(text: str) -> list[tuple[int, int, bool]]:
         if not out or b >= out[-1][1]:
             out.append((b, e, u))
     special = list(out)
-    at = 0
+    at, dotted = 0, None             # runs of words joined by dots, read along with the candidates
     for m in _CANDIDATE.finditer(text):
         b, e = m.span()
         if b < last:
             continue                 # a part of the dotted one before
-        left = _DOTTED_BEFORE.search(text, max(0, b - 512, last), b) if text[b - 1:b] == "." else None
+        if text[b - 1:b] == "." and b > 1:
+            dotted = dotted or _Runs(text)
+            first = max(last, dotted.start(b - 1))
+            b = first + (text[first] == ".") if first < b else b
         right = _DOTTED_AFTER.match(text, e) if text[e:e + 1] == "." else None
-        b, e = left.start() if left else b, right.end() if right else e
+        e = right.end() if right else e
         last = e
         while at < len(special) and special[at][1] <= b:
             at += 1
@@ -199,24 +239,27 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, path: str =
     secret).  Texts without candidates (NULL and empty ones) give no row;
     repeated rows repeat theirs; a NULL path is the path ''.
     """
-    found = materialize(candidates(docs, *corpus_language(docs), path), "candidates")
+    # What is written holds digests of the values, not the values.
+    found = candidates(docs, *corpus_language(docs), path).withColumns(
+        {"h": F.xxhash64("value", "features"), "value_sha256": F.sha2(F.col("value").cast("binary"), 256)}).drop("value")
+    found = materialize(found, "candidates")
     if labelled is None:
-        train = found.where("seed is not null").select("features", F.col("seed").cast("double").alias("label"), "value")
+        train = found.where("seed is not null").select("features", F.col("seed").cast("double").alias("label"), "h")
     else:
         l = labelled.select(F.col("doc_id").alias("d"), F.col("first_char").alias("f"), F.col("label").cast("double").alias("label"))
         train = found.join(l, (F.col("doc_id") == F.col("d")) & (F.col("first_char") == F.col("f"))).select(
-            "features", "label", "value")
+            "features", "label", "h")
     # Copies of a finding count once; each label has half the places, and those that the other one leaves.
-    train = train.withColumn("h", F.xxhash64("value", "features")).dropDuplicates(["label", "h"])
+    train = train.dropDuplicates(["label", "h"])
     train = materialize(train.select(array_to_vector("features").alias("x"), "label", "h"), "distinct_findings")
     n = {r["label"] > 0: r["count"] for r in train.groupBy((F.col("label") > 0).cast("double").alias("label")).count().collect()}
     yes, no = n.get(True, 0), n.get(False, 0)
     take = min(yes, max(limit // 2, limit - no))
-    train = (train.where("label > 0").orderBy("h").limit(take)
-             .unionByName(train.where("label <= 0").orderBy("h").limit(min(no, limit - take))))
+    train = smallest_hashes(train.where("label > 0"), take, F.col("h")).unionByName(
+        smallest_hashes(train.where("label <= 0"), min(no, limit - take), F.col("h")))
     train = materialize(train.select("x", "label"), "findings")
     kinds = train.groupBy("label").count().collect()
-    rows = found.withColumn("value_sha256", F.sha2(F.col("value").cast("binary"), 256))
+    rows = found
     if len(kinds) < 2:
         scored = rows.withColumn("probability", F.coalesce(F.col("seed").cast("double"), F.lit(UNKNOWN)))
     else:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import add_columns, slices, texts
+from kestrel.llm.common import add_columns, slices, smallest_hashes, texts
 from kestrel.llm.quality import logistic, training_labels
 from kestrel.session import materialize
 
@@ -277,15 +277,16 @@ def sampled_labels(labels: DataFrame, limit: int) -> tuple[DataFrame, float]:
     toxic, clean = n.get(True, 0), n.get(False, 0)
     take = min(toxic, max(limit // 2, limit - clean))
     rest = min(clean, limit - take)
-    first = [F.xxhash64("doc_id"), "doc_id"]
-    ids = rows.where("toxic > 0").orderBy(*first).limit(take).unionByName(rows.where("toxic <= 0").orderBy(*first).limit(rest))
+    first = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = smallest_hashes(rows.where("toxic > 0"), take, *first).unionByName(smallest_hashes(rows.where("toxic <= 0"), rest, *first))
     return ids, math.log(take / toxic / (rest / clean)) if take and rest else 0.0
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
     """Fit on ``labels.toxic`` of at most ``limit`` documents outside the held-out fifth, rare labels first.
 
-    Texts alone are looked at.  The intercept is corrected for the shares in
+    Texts alone are looked at.  The model's size is bounded by ``MAX_TERMS``: of the terms that pass the test, the most
+    significant ones.  The intercept is corrected for the shares in
     which the labels were sampled.  Without labels of both kinds the model has
     no terms and scores every text alike, low.
     """
