@@ -191,17 +191,22 @@ def items_digest(names) -> str:
 
 
 def _blocks(benchmark: DataFrame, block_words: int) -> tuple[DataFrame, int]:
-    """Items (item, text, block) and the number of blocks."""
+    """Items (item, text, key: of the text, block) and the number of blocks: one that holds every item, or several of
+    distinct texts, so that a text of many items takes one place."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.length("text") / 2)).first()[0] or 0       # a word and its gap: two characters at least
-    n = max(1, int(-(-total // block_words)))
+    words = F.sum(F.length("text") / 2)       # a word and its gap: two characters at least
+    n = 1
+    if (items.agg(words).first()[0] or 0) > block_words:
+        n = max(2, int(-(-(items.select("text").distinct().agg(words).first()[0] or 0) // block_words)))
+    items = items.withColumn("key", F.md5(F.col("text").cast("binary")))
     return items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(n))), n
 
 
-def _index(docs: DataFrame, items: DataFrame, block: int, window: int) -> WindowIndex:
-    """The window index of one block, its prefixes chosen by shingle counts over all documents."""
-    rows = items.where(F.col("block") == block).select("item", "text").distinct().collect()
-    index = WindowIndex(sorted(((r.item, r.text.encode()) for r in rows), key=lambda r: (r[0] is None, r[0] or "", r[1])), window)
+def _index(docs: DataFrame, items: DataFrame, block: int, window: int, name: str) -> WindowIndex:
+    """The window index of one block, by items (``name`` "item") or by texts ("key"), its prefixes chosen by shingle counts
+    over all documents."""
+    rows = items.where(F.col("block") == block).select(F.col(name).alias("name"), "text").distinct().collect()
+    index = WindowIndex(sorted(((r.name, r.text.encode()) for r in rows), key=lambda r: (r[0] is None, r[0] or "", r[1])), window)
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def counts(batches):
@@ -242,7 +247,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, keep
     keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULT]
     items, n = _blocks(benchmark, block_words)
     if n == 1:
-        index = docs.sparkSession.sparkContext.broadcast(_index(docs, items, 0, window))
+        index = docs.sparkSession.sparkContext.broadcast(_index(docs, items, 0, window, "item"))
 
         def make():
             ix = index.value
@@ -272,13 +277,14 @@ def _mark_blocks(docs: DataFrame, items: DataFrame, n: int, window: int, keep: l
     """``mark`` for a benchmark of several blocks: hits of each block, written, merged by text, joined back.
 
     Hits are keyed by two hashes of the text, so equal texts share a row; the
-    merge is a union of intervals and names, which repeated rows don't change.
+    merge is a union of intervals and texts hit, which repeated rows don't
+    change.  The ids of the items with these texts are joined to them on Spark.
     """
     key = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("__h1"),
            F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("__h2")]
     parts = None
     for block in range(n):
-        index = docs.sparkSession.sparkContext.broadcast(_index(docs, items, block, window))
+        index = docs.sparkSession.sparkContext.broadcast(_index(docs, items, block, window, "key"))
 
         def make(index=index):
             ix = index.value
@@ -296,7 +302,11 @@ def _mark_blocks(docs: DataFrame, items: DataFrame, n: int, window: int, keep: l
         hits = materialize(hits.dropDuplicates(["__h1", "__h2"]), "hits")
         index.unpersist()
         parts = hits if parts is None else parts.unionByName(hits)
-    merged = parts.groupBy("__h1", "__h2").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("b", "e", "i")])
+    merged = parts.groupBy("__h1", "__h2").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("b", "e")])
+    ids = items.groupBy("key").agg(F.collect_set("item").alias("ids"))           # without NULL
+    owned = parts.select("__h1", "__h2", F.explode("i").alias("key")).distinct().join(ids, "key")
+    owned = owned.groupBy("__h1", "__h2").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("i"))
+    merged = merged.join(owned, ["__h1", "__h2"], "left")
 
     def count():
         return lambda batch: [[len(words_of(t)) for t in text_bytes(batch)]]

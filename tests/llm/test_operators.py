@@ -606,3 +606,96 @@ def test_counts_do_not_change_with_the_length():
         text = ("TARİHİ, ŞEHRİ. " * 3000)[:chars]
         want = lib.encode(text, add_special_tokens=False).ids
         assert all(enc.batch(pa.array([text]), o)[0].tolist() == want for o in (True, False))
+
+
+# ---- 1: long texts -----------------------------------------------------------
+
+def test_likeness_is_the_same_from_either_end():
+    rng = random.Random(11)
+    part = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))      # noqa: E731
+    shared, a, b = part(6000), part(2000), part(2000)
+    for block in (500, 1 << 18):
+        f = [prefix_hash.Document(t, block).fingerprint() for t in (shared + a, shared + b, a + shared, b + shared)]
+        ahead, behind = prefix_hash.likeness(f[0], f[1]), prefix_hash.likeness(f[2], f[3])
+        assert abs(ahead - behind) < 1e-12 and ahead > 0.6
+
+
+def test_suffix_anchors_over_blocks():
+    rng = random.Random(12)
+    text = "".join(rng.choices("ab", k=3001))
+    x = prefix_hash.PrefixHashes(prefix_hash.code_points(text))
+    lengths = prefix_hash.ANCHORS[prefix_hash.ANCHORS <= len(text)]
+    want = (prefix_hash.mix64(x.spans(len(text) - lengths, np.full(len(lengths), len(text)))) >> np.uint64(56)).astype(np.uint8).tobytes()
+    for block in (50, 700, 5000):
+        assert prefix_hash.Document(text, block).anchors[-len(lengths):] == want
+
+
+# ---- 6: long and short values ------------------------------------------------
+
+def test_values_of_any_length_are_candidates():
+    long = "Ab3" * 100
+    text = f'token = "{long}" pwd="s3cr3t!!" ftp://{"u" * 300}:{"p9" * 200}@host x.{"y" * 600}.{"k1" * 10}'
+    found = [text[b:e] for b, e, _ in secrets.spans(text)]
+    assert long in found and "s3cr3t!!" in found and "p9" * 200 in found
+    assert f'x.{"y" * 600}.{"k1" * 10}' in found
+
+
+def test_dotted_candidates_as_by_the_pattern():
+    rng = random.Random(8)
+    before = re.compile(r"(?:[A-Za-z0-9_\-]+\.)+$")
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "b.", ".", "..", " ", "key1key2key3key4", "/x", "-"]) for _ in range(rng.randrange(30)))
+        for b, e, _ in secrets.spans(text):
+            inner = secrets._CANDIDATE.search(text, b, e)
+            start = inner.start() if inner else b
+            left = before.search(text, 0, start) if text[start - 1:start] == "." else None
+            assert b == (left.start() if left else start) or b > (left.start() if left else start)
+
+
+def test_most_frequent_words(spark):
+    rng = random.Random(6)
+    rows = [(f"w{i}", rng.choice([1, 1, 1, 2, 3, 9, 17, 300, 5000])) for i in range(500)]
+    words = spark.createDataFrame(rows, "word string, n long")
+    for limit in (1, 20, 200, 499, 500, 900):
+        want = [w for w, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:limit]]
+        assert sorted(secrets._most_frequent(words, limit)) == sorted(want)
+
+
+def test_smallest_hashes(spark):
+    from kestrel.llm.common import smallest_hashes
+    rows = spark.range(20_000).withColumn("h", F.xxhash64("id"))
+    want = sorted(r.h for r in rows.collect())
+    for limit in (10, 1000, 19_999, 50_000):
+        assert [r.h for r in smallest_hashes(rows, limit, F.col("h")).collect()] == want[:limit]
+
+
+def test_no_secret_is_written(spark):
+    path = secrets.materialize
+    seen = []
+    try:
+        secrets.materialize = lambda df, name="t": (seen.append((name, df.columns)), path(df, name))[1]
+        secrets.scan_secrets(cases.frame(spark)).collect()
+    finally:
+        secrets.materialize = path
+    assert seen and all("value" not in columns for _, columns in seen)
+
+
+# ---- 7: one text under many ids ----------------------------------------------
+
+@pytest.mark.parametrize("block_words", [20, decontaminate.BLOCK_WORDS])
+def test_a_third_of_the_benchmark_is_one_text(spark, block_words):
+    words = cases.PROSE.split()
+    items = [(i, " ".join(words[5:25])) for i in range(60)] + [(100 + i, f"item number {i} has words of its own that nobody else uses {i}") for i in range(120)]
+    items += [(None, " ".join(words[5:25])), (7, None)]
+    got = cases.rows_of(decontaminate.mark(cases.frame(spark), cases.benchmark(spark, items), keep=["doc_id"], block_words=block_words))
+    assert got == sorted(cases.decontamination(cases.awkward(), items), key=repr)
+
+
+# ---- 9: a repeated id --------------------------------------------------------
+
+def test_one_text_of_a_repeated_id_is_learnt_from(spark, docs):
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    again = rows + [(r[0], (r[1] or "") + " more words 123", *r[2:]) for r in rows]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    models = [quality.fit(cases.frame(spark, order).repartition(n), labels) for order, n in ((again, 1), (again[::-1], 7))]
+    assert np.allclose(models[0].weights, models[1].weights)
