@@ -22,7 +22,7 @@ HEADLINE = [
     "placebo_refute", "pc_tests", "effect_scan", "error_burst", "error_burst_global", "burst_sliding",
     "cooldown", "forecast_horizon", "slo_breach", "status_timeline", "lag_panel", "topology_edges",
     "node_state", "edge_last100", "edge_obs_match", "knn_batch", "scenario_match", "guardrail_audit",
-    "action_gate", "incident_context",
+    "action_gate", "incident_context", "edges_view",
 ]
 
 
@@ -32,6 +32,7 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     from kestrel.plans.queries import QUERIES
     from kestrel.session import build_session
+    from kestrel.sources import tables
 
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus),
                           app_name="kestrel-bench")
@@ -43,6 +44,8 @@ def main() -> None:
             fn(spark, sf_dir).write.format("noop").mode("overwrite").save()   # warm-up
         samples = []
         for _ in range(runs if name in HEADLINE else 1):
+            if name == "edges_view":
+                tables._STORED.clear()        # its table is written once per application: time that, too
             t0 = time.perf_counter()
             fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
             samples.append(time.perf_counter() - t0)

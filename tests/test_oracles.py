@@ -13,6 +13,7 @@ from conftest import SF_SMALL
 
 QUERIES = E.queries()
 ORACLES = E.oracle_sql()
+FEW_ROWS = {"pc_neighbourhood", "pc_wide"}      # not more than 100 complete hours in the smallest tables: no graph
 SKIP_SLOW = {"stream_cooldown"}   # covered in test_streaming with its own fixture
 
 
@@ -53,7 +54,8 @@ def test_query_matches_oracle(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(k for k in QUERIES if k not in ORACLES))
 def test_rows_only_queries_run(spark, name):
-    assert QUERIES[name](spark, SF_SMALL).count() >= 0
+    rows = QUERIES[name](spark, SF_SMALL).collect()
+    assert rows or name in FEW_ROWS
 
 
 def test_entry_runs(spark):
