@@ -112,15 +112,16 @@ def test_encoder_gets_full_batches_and_lives_with_its_worker(spark, arrow_rows):
         source = inspect.getsource(_counting)
         scope = {"np": np}
         exec(source, scope)
-        runs = [encoding.encode_texts(docs, scope["_counting"], 4, name, batch_size=10).orderBy("k").collect() for _ in range(6)]
-        got = runs[0]
+        got = encoding.encode_texts(docs, scope["_counting"], 4, name, batch_size=10).orderBy("k").collect()
+        tasks = encoding.encode_texts(spark.range(80).select(F.lit("x").alias("text")).repartition(80), scope["_counting"], 4, name)
+        calls = [r["embedding"][1] for r in tasks.collect()]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert [r["embedding"][0] for r in got] == [10] * 20 + [3] * 3
     assert [r["embedding"][3] for r in got] == [0 if i == 4 else i for i in range(23)]
-    calls = [sorted({r["embedding"][1] for r in run}) for run in runs]
-    assert all(c == [c[0], c[0] + 1, c[0] + 2] for c in calls)
-    assert max(c[0] for c in calls) > 1          # six runs over four workers: one met its encoder again
+    own = sorted({r["embedding"][1] for r in got})
+    assert own == [own[0], own[0] + 1, own[0] + 2]
+    assert len(calls) == 80 and max(calls) > 3            # far more tasks than workers: they met their encoders again
 
 
 def test_encoder_with_another_shape_ends_the_job(spark):
