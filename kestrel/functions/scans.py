@@ -170,8 +170,6 @@ def ranks_in_order(points: DataFrame, lookups: DataFrame, keys: list[str]) -> Da
     """
     from kestrel.session import materialize
 
-    spark = points.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = points.select(*keys, F.col("_t").alias("_x"), F.col("_c").cast("long").alias("_c"), F.lit(0).alias("_probe"),
                          F.lit(None).cast("long").alias("_o"))
     data = data.unionByName(lookups.select(*keys, "_x", F.lit(0).cast("long").alias("_c"), F.lit(1).alias("_probe"), "_o"))
@@ -204,7 +202,8 @@ def ranks_in_order(points: DataFrame, lookups: DataFrame, keys: list[str]) -> Da
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out), pa.array(edges), pa.array(np.full(b.num_rows, part, np.int32))],
                                              names=[*b.schema.names, "_sum", "_edge", "_part"])
 
-    ranged = data.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(running, schema)
+    # As many ranges as shuffles have, neighbouring small ones put together by AQE.
+    ranged = data.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(running, schema)
     ranged = materialize(ranged, "ranks")
     key = F.struct(*keys)
     place = F.struct(*order)

@@ -111,10 +111,10 @@ def cooldown(candidates: DataFrame, seconds: int = COOLDOWN_SECONDS, key: str =
     if last is not None:
         start = last.select(F.col(key).alias("_k"), (F.col("last_us") + c_us).alias("_from"))
         points = join_on(points, start, ["_k"], "left").where(F.col("_from").isNull() | (F.col("_t") >= F.col("_from"))).drop("_from")
-    n = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = []
     if segment_points:
         points = materialize(points, "cooldown")
-        n = min(MAX_RANGES, max(1, -(-points.count() // segment_points)))
+        ranges = [min(MAX_RANGES, max(1, -(-points.count() // segment_points)))]
     kind = {f.name: f.dataType.simpleString() for f in points.schema}
     columns = f"_k {kind['_k']}, _t long, _n {kind['_n']}, _ts {kind['_ts']}"
 
@@ -143,7 +143,7 @@ def cooldown(candidates: DataFrame, seconds: int = COOLDOWN_SECONDS, key: str =
             yield out(np.array(picks), FIRED)
             yield out(np.array(picks[-1:]), LAST, handed=[t[picks[-1]] + c_us])
 
-    dealt = points.repartitionByRange(n, "_k", "_t").sortWithinPartitions("_k", "_t")
+    dealt = points.repartitionByRange(*ranges, "_k", "_t").sortWithinPartitions("_k", "_t")
     dealt = materialize(dealt.mapInArrow(first_pass, f"{columns}, _part int, _state int, upto long, out long"), "firings")
 
     def chase(pdf):

@@ -5,6 +5,7 @@ share one timestamp), and NULL keys, times and values."""
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,17 @@ def _with_nulls(rows):
     return rows.select(*[F.when(F.col("event_id") % blank[c] != 0, F.col(c)).alias(c) if c in blank else c for c in rows.columns])
 
 
-def test_trailing_count_with_ties_and_nulls(spark):
+@pytest.fixture(params=["true", "false"])
+def coalesced(spark, request):
+    """Ranges put together, and each by itself, so that keys and windows cross their borders."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(name)
+    spark.conf.set(name, request.param)
+    yield request.param
+    spark.conf.set(name, old)
+
+
+def test_trailing_count_with_ties_and_nulls(spark, coalesced):
     rows = _with_nulls(_hot_logs(spark, "minute").select("event_id", "timestamp", "service"))
     for keys in (["service"], []):
         for w_us in (300 * 10**6, 3600 * 10**6):
