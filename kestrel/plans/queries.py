@@ -624,7 +624,7 @@ def submissions_text(logs):
     37th, a bad timestamp on every 29th, and every 13th line cut short (malformed)."""
     ts, n = F.col("timestamp"), F.col("event_id")
     body = F.to_json(F.struct(
-        F.when(n % 41 != 0, n).alias("request_id"),
+        F.when((n % 41 != 0) | (n % 13 == 0), n).alias("request_id"),
         F.when(n % 29 == 0, F.lit("yesterday"))
          .when(n % 5 == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
          .when(n % 5 == 1, F.concat(files.iso_text(ts), F.lit("Z")))
@@ -748,6 +748,16 @@ def _run_to_table(spark, df, name, mode="append"):
     return spark.read.parquet(out)
 
 
+def _run_to_the_end(spark, build, ends, name):
+    """The stream of ``build`` run to a table twice: each of ``ends`` appends rows far ahead, so that the second run's
+    watermark passes whatever the first one held."""
+    out, ck = scratch_path(spark, name), scratch_path(spark, name + "_ckpt")
+    for end in ends:
+        end()
+        stream.write_parquet(build(), out, ck).awaitTermination()
+    return spark.read.parquet(out)
+
+
 def _events_stream(spark, sf):
     schema = T.read_table(spark, sf, "events").schema
     return stream.read_table_stream(spark, sf, schema, glob="events.parquet")
@@ -854,13 +864,14 @@ def q_stream_cooldown_timers(spark, sf):
     late = F.expr("timestamp + make_dt_interval(0, 0, CAST(event_id % 6 AS INT))")
     for part in _by_week(cands.withColumn("arrival", late)):
         part.select(*cands.columns).repartition(2).write.mode("append").parquet(src)
-    # The end of a finished input: a candidate of no service far ahead lets the watermark pass all others.
-    end = cands.agg(F.lit("end of input").alias("service"), F.lit(-1).cast("long").alias("event_id"),
-                    (F.max("timestamp") + F.expr("INTERVAL 1 DAY")).alias("timestamp"))
-    end.write.mode("append").parquet(src)
+    # The end of a finished input: candidates of no service far ahead let the watermark pass all others.
+    def end(days):
+        cands.agg(F.lit("end of input").alias("service"), F.lit(-1).cast("long").alias("event_id"),
+                  (F.max("timestamp") + F.expr(f"INTERVAL {days} DAYS")).alias("timestamp")).write.mode("append").parquet(src)
     stateful.use_rocksdb(spark)
-    fired = stateful.cooldown_with_timers(stream.read_table_stream(spark, src, cands.schema), seconds=30, watermark="31 days")
-    out = _run_to_table(spark, fired, "stream_cooldown_timers")
+    out = _run_to_the_end(spark, lambda: stateful.cooldown_with_timers(
+        stream.read_table_stream(spark, src, cands.schema), seconds=30, watermark="31 days"),
+        [lambda: end(70), lambda: end(140)], "stream_cooldown_timers")
     return out.where("event_id >= 0").select("service", F.col("fired_at").cast("timestamp_ntz").alias("fired_at"), "event_id")
 
 
@@ -871,15 +882,22 @@ def q_stream_diagnosed(spark, sf):
     logs = T.load_logs(spark, sf)
     diagnoses = T.diagnoses_from_logs(logs).where(F.col("event_id") % 7 != 0).select(
         "event_id", F.expr("timestamp + make_dt_interval(0, 0, CAST(event_id % 17 AS INT) - 2)").alias("diagnosed_at"), "raw")
-    paths = []
-    for rows, t in ((fired, "fired_at"), (diagnoses, "diagnosed_at")):
-        path, end = scratch_path(spark, "diagnosed_stream"), rows.agg(F.max(t) + F.expr("INTERVAL 40 DAYS")).scalar()
+    sides = [(materialize(fired, "fired"), "fired_at", scratch_path(spark, "fired_stream")),
+             (materialize(diagnoses, "found"), "diagnosed_at", scratch_path(spark, "diagnosed_stream"))]
+    for rows, _, path in sides:
         rows.write.parquet(path)
-        # The end of a finished input: a row far ahead on either side.
-        rows.agg(*[(end if c == t else F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in rows.columns]).write.mode("append").parquet(path)
-        paths.append(stream.read_table_stream(spark, path, rows.schema))
-    joined = stateful.diagnosed_firings(*paths, watermark="31 days").where(F.col("event_id").isNotNull())
-    done = rules.diagnosis_parse(_run_to_table(spark, joined, "diagnosed"))
+
+    def end(days):        # of a finished input: a row far ahead on either side
+        for rows, t, path in sides:
+            far = F.max(t) + F.expr(f"INTERVAL {days} DAYS")
+            fill = {t: far, "event_id": F.lit(-1 if t == "fired_at" else -2).cast("long")}        # ids, so that the join drops none
+            rows.agg(*[fill.get(c, F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in rows.columns]).write.mode("append").parquet(path)
+
+    def joined():
+        return stateful.diagnosed_firings(*[stream.read_table_stream(spark, path, rows.schema) for rows, _, path in sides],
+                                          watermark="31 days")
+    out = _run_to_the_end(spark, joined, [lambda: end(70), lambda: end(140)], "diagnosed")
+    done = rules.diagnosis_parse(out.where("event_id >= 0"))        # a filter on the stream would hide the end from the watermark
     return done.select("event_id", "service", "fired_at", "diagnosed_at", "paged",
                        F.when(F.col("paged"), F.lit("page_human")).otherwise(F.col("recommended_action")).alias("action"))
 

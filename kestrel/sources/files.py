@@ -118,7 +118,7 @@ def split_submissions(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         "request_id", F.col("_ts").alias("timestamp"), "service",
         F.coalesce(F.col("level"), F.lit("INFO")).alias("level"),
         F.col("latency").alias("latency_ms"), "message")
-    bad = typed.where(F.col("reason").isNotNull()).select("reason", "_corrupt_record", "request_id", "timestamp", "service")
+    bad = typed.where(F.col("reason").isNotNull()).select("reason", "_corrupt_record", "request_id", "timestamp", "service", "level", "latency", "message")
     return good, bad
 
 

@@ -90,7 +90,7 @@ def ingest_to_tables(raw: DataFrame, base: str, available_now: bool = True):
                 rows = rows.join(old.select("id"), "id", "left_anti")
         rows = rows.observe(kept, F.count(F.lit(1)).alias("accepted"), F.coalesce(F.sum("error_count"), F.lit(0)).alias("errors"))
         by_date(materialize(rows, "ingest")).write.mode("overwrite").partitionBy("dt").parquet(f"{base}/store/epoch={epoch}")
-        (bad.select("reason", F.coalesce("_corrupt_record", F.to_json(F.struct("request_id", "timestamp", "service"))).alias("line"))
+        (bad.select("reason", F.coalesce("_corrupt_record", F.to_json(F.struct("request_id", "timestamp", "service", "level", "latency", "message"))).alias("line"))
          .write.mode("overwrite").parquet(f"{base}/quarantine/epoch={epoch}"))
         submitted, refused, accepted = (int(o.get[c]) for o, c in ((sent, "submitted"), (sent, "refused"), (kept, "accepted")))
         one = [(submitted, accepted, refused, submitted - refused - accepted, int(kept.get["errors"]))]
