@@ -22,7 +22,6 @@ pass without a shuffle.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from kestrel.llm.common import slices, text_bytes
-from kestrel.llm.decontaminate import _TABLE, words_of
+from kestrel.llm.decontaminate import _TABLE, _runs, words_of
 
 GRAM, WINDOW = 3, 3
 BAND = 8                   # words an alignment may run ahead or behind (a quarter of a shorter template)
 MIN_COVERAGE = 0.8
 
 PART_WORDS = GRAM + WINDOW - 1    # matched words from which a part of a template is reported
+KINDS = ("whole", "similar", "part")
+ALIGN_PAIRS, ALIGN_CELLS = 4096, 1 << 19      # pairs aligned at a time, and words of their windows
+
+_FAR, _MATCH = 1 << 40, 1 << 32
+_OUTSIDE, _TAKEN = -3, -2
 
 _BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met: ")
@@ -107,6 +111,10 @@ OTHERWISE = {"BSD-2-Clause": (80, ["endorse or promote products", "all advertisi
 MODIFIERS = frozenset(b"lesser library affero nc sa nd noncommercial sharealike noderivatives noderivs non share no igo".split())
 
 
+# License of each name in an SPDX tag, lower-cased.
+SPDX: dict[str, str] = {}
+
+
 def _short_notices() -> None:
     """Short notices of the common licenses and their siblings, and the GNU notices, into TEMPLATES and EXACT."""
     def add(license: str, text: str, *exact: str) -> None:
@@ -156,6 +164,7 @@ def _short_notices() -> None:
         spdx = [license, f"{license}-only"] if "GPL" in license and "later" not in license else [license]
         for x in spdx:
             add(f"{license}-line", f"SPDX-License-Identifier: {x}", f"Identifier: {x}")
+            SPDX[x.lower()] = f"{license}-line"
 
 
 _short_notices()
@@ -168,62 +177,135 @@ def winnow(hashes: list[int], window: int = WINDOW) -> set[int]:
     return {min(range(i, i + window), key=lambda j: (hashes[j], -j)) for i in range(len(hashes) - window + 1)}
 
 
-def align(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
-    """Best alignment of the whole template with a run of ``words`` near the diagonal word = place + ``shift``.
+def align_many(templates: list[np.ndarray], windows: list[np.ndarray], shifts: list[int], band: int,
+               part: bool = False) -> list[tuple[int, int, int]]:
+    """Best alignment of each template with a run of its window near the diagonal word = place + shift.
 
-    A match counts 1, a gap or mismatch -1; words before and after the run
-    are free.  Returns (matched template words, first word, end).
+    A match counts 1, a gap or mismatch -1; words before and after the run are
+    free.  With ``part`` the run of the template is free as well, and begins
+    and ends with a match.  Gives (matched template words, first word, end) of
+    each.  Bands of many pairs are filled row by row as whole arrays, short templates first.
     """
-    width = 2 * band + 1
-    floor = -10 ** 9
-    best = (floor, 0, 0, 0)
-    # A cell holds (score, matches, first word); row 0 is free.
-    row = [(0, 0, shift - band + k) for k in range(width)]
-    for i, t in enumerate(template.tolist()):
-        new: list[tuple[int, int, int]] = []
-        for k in range(width):
-            j = i + shift - band + k                     # the word that place i would match
-            skip_t = row[k + 1] if k + 1 < width else (floor, 0, 0)
-            cell = (skip_t[0] - 1, skip_t[1], skip_t[2])
-            if 0 <= j < len(words):
-                s, m, f = row[k]
-                f = max(f, 0) if m else j
-                cell = max(cell, (s + 1, m + 1, f) if words[j] == t else (s - 1, m, f), key=lambda c: c[0])
-            if k and new[k - 1][0] - 1 > cell[0]:
-                cell = (new[k - 1][0] - 1, *new[k - 1][1:])
-            new.append(cell)
-        row = new
-    end = len(template) + shift - band
-    for k, (s, m, f) in enumerate(row):
-        if m and s > best[0]:
-            best = (s, m, f, min(max(end + k, f + 1), len(words)))
-    return best[1:]
-
-
-def align_part(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
-    """Best alignment of any run of the template with any run of ``words`` near the diagonal, counted as in ``align``:
-    (matched words, first word, end); it begins and ends with a match."""
-    width = 2 * band + 1
-    none = (0, 0, 0)
-    best = (0, 0, 0, 0)
-    row = [none] * (width + 1)
-    for i, t in enumerate(template.tolist()):
-        new: list[tuple[int, int, int]] = []
-        for k in range(width):
-            j = i + shift - band + k
-            s, m, f = row[k + 1]
-            cell = (s - 1, m, f)
-            if 0 <= j < len(words):
-                s, m, f = row[k]
-                hit = words[j] == t
-                cell = max(cell, (s + 1, m + 1, f if m else j) if hit else (s - 1, m, f), key=lambda c: c[0])
-                if hit and cell[0] > best[0]:
-                    best = (*cell, j + 1)
-            if k and new[k - 1][0] - 1 > cell[0]:
-                cell = (new[k - 1][0] - 1, *new[k - 1][1:])
-            new.append(cell if cell[0] > 0 else none)
-        row = [*new, none]
-    return best[1:]
+    out: list[tuple[int, int, int]] = [(0, 0, 0)] * len(templates)
+    order = sorted(range(len(templates)), key=lambda c: len(templates[c]))
+    while order:
+        most = len(templates[order[min(len(order), ALIGN_PAIRS) - 1]])
+        n = max(1, min(len(order), ALIGN_PAIRS, ALIGN_CELLS // (most + 2 * band + 1)))
+        some, order = order[:n], order[n:]
+        for c, best in zip(some, _align_rows([templates[c] for c in some], [windows[c] for c in some],
+                                             [shifts[c] for c in some], band, part), strict=True):
+            out[c] = best
+    return out
+
+
+def _align_rows(templates: list[np.ndarray], windows: list[np.ndarray], shifts: list[int], band: int,
+                part: bool) -> list[tuple[int, int, int]]:
+    """``align_many`` of some pairs, sorted by the length of the template."""
+    width, sizes = 2 * band + 1, np.array([len(t) for t in templates])
+    n, rows = len(sizes), int(sizes[-1])
+    t = np.full((n, rows), _OUTSIDE, np.int64)
+    x = np.full((n, rows + width), _OUTSIDE, np.int64)      # cell k of row i stands for word x[i + k]
+    for c, (template, words, shift) in enumerate(zip(templates, windows, shifts, strict=True)):
+        t[c, :len(template)] = template
+        lo, hi = max(0, shift - band), min(len(words), shift - band + x.shape[1])
+        if lo < hi:
+            x[c, lo - shift + band:hi - shift + band] = words[lo:hi]
+    k = np.arange(width)
+    score, path = np.zeros((n, width), np.int64), np.zeros((n, width), np.int64)      # path: matches and first word
+    edge = np.full((n, 1), 0 if part else -_FAR)
+    best_score, best_path, best_end = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    from_row = 0
+    for i in range(rows):
+        done = int(np.searchsorted(sizes, i, "right"))      # pairs whose template is over
+        score, path = score[done - from_row:], path[done - from_row:]
+        from_row = done
+        word = x[done:, i:i + width]
+        hit = word == t[done:, i:i + 1]
+        # Place i is skipped, or it meets the word, or (last) words before are skipped.
+        cell = np.concatenate([score[:, 1:], edge[done:]], axis=1) - 1
+        cell_path = np.concatenate([path[:, 1:], np.zeros_like(path[:, :1])], axis=1)
+        meet = np.where(hit, score + 1, score - 1)
+        better = (word != _OUTSIDE) & (meet > cell)
+        meet_path = np.where(path < _MATCH, i + k, path) + hit * _MATCH
+        cell, cell_path = np.where(better, meet, cell), np.where(better, meet_path, cell_path)
+        if part:
+            top = np.where(hit & better, cell, 0)
+            at = top.argmax(axis=1)
+            r = np.arange(len(at))
+            up = top[r, at] > best_score[done:]
+            best_score[done:][up], best_path[done:][up], best_end[done:][up] = (
+                top[r, at][up], cell_path[r, at][up], i + at[up] + 1)
+        level = cell + k
+        high = np.maximum.accumulate(level, axis=1)
+        origin = np.maximum.accumulate(np.where(level == high, k, 0), axis=1)
+        score, path = high - k, np.take_along_axis(cell_path, origin, axis=1)
+        if part:
+            path, score = np.where(score > 0, path, 0), np.maximum(score, 0)
+        else:
+            over = int(np.searchsorted(sizes, i + 1, "right")) - done
+            if over:
+                top = np.where(path[:over] >= _MATCH, score[:over], -2 * _FAR)
+                at = top.argmax(axis=1)
+                r = np.arange(over)
+                best_score[done:done + over], best_path[done:done + over] = top[r, at], path[r, at]
+                best_end[done:done + over] = i + 1 + at
+    out = []
+    for c, (p, end) in enumerate(zip(best_path.tolist(), best_end.tolist(), strict=True)):
+        m, first = p // _MATCH, p % _MATCH + shifts[c] - band
+        out.append((m, first, min(max(end + shifts[c] - band, first + 1), len(windows[c]))) if m else (0, 0, 0))
+    return out
+
+
+class _Page:
+    """A text, its words and their numbers; places of runs of words, each found once."""
+
+    def __init__(self, text: bytes, words: list[bytes], ids: np.ndarray):
+        self.text, self.words, self.ids = text, words, ids
+        self._places: dict[bytes, np.ndarray] = {}
+        self._standing: dict[bytes, np.ndarray] = {}
+        self._ends: np.ndarray | None = None
+
+    def span(self, word: int) -> tuple[int, int]:
+        """Bytes [begin, end) of a word."""
+        if self._ends is None:
+            blank = np.frombuffer(b" " + self.text.translate(_TABLE) + b" ", np.uint8) == 32
+            self._begins = np.flatnonzero(blank[:-1] & ~blank[1:])
+            self._ends = np.flatnonzero(~blank[:-1] & blank[1:])
+        return int(self._begins[word]), int(self._ends[word])
+
+    def word_at(self, byte: int) -> int:
+        """The first word that begins at ``byte`` or later."""
+        self.span(0)
+        return int(np.searchsorted(self._begins, byte))
+
+    def places(self, run: np.ndarray) -> np.ndarray:
+        """Where ``run`` stands, ascending."""
+        key = run.tobytes()
+        if key not in self._places:
+            at = np.flatnonzero(self.ids[:max(0, len(self.ids) - len(run) + 1)] == run[0])
+            for i in range(1, len(run)):
+                at = at[self.ids[at + i] == run[i]]
+            self._places[key] = at
+        return self._places[key]
+
+    def standing(self, run: np.ndarray) -> np.ndarray:
+        """Where ``run`` stands and nothing beside it makes it another license."""
+        key = run.tobytes()
+        if key not in self._standing:
+            self._standing[key] = np.array([at for at in self.places(run).tolist() if self._plain(at, at + len(run))], np.int64)
+        return self._standing[key]
+
+    def _plain(self, at: int, stop: int) -> bool:
+        if MODIFIERS.intersection(self.words[max(0, at - 1):at] + self.words[stop:stop + 1]):
+            return False
+        end = self.span(stop - 1)[1]
+        return not _GOES_ON.match(self.text[end:end + 2])
+
+
+def _within(places: np.ndarray, lo: int, hi: int) -> bool:
+    """Whether a place lies in [lo, hi]."""
+    i = int(np.searchsorted(places, lo))
+    return i < len(places) and int(places[i]) <= hi
 
 
 class TemplateIndex:
@@ -247,7 +329,11 @@ class TemplateIndex:
                 entries.append((grams[i], t, i))
         entries.sort()
         self.grams = np.array([e[0] for e in entries], np.int64)
-        self.entry = [(t, i) for _, t, i in entries]
+        self.entry_template = np.array([e[1] for e in entries], np.int64)
+        self.entry_place = np.array([e[2] for e in entries], np.int64)
+        self.word_list = [w.tolist() for w in self.words]
+        tag = [self.number.get(w, -1) for w in words_of(b"SPDX-License-Identifier")]
+        self.tag = np.array(tag if min(tag) >= 0 else [], np.int64)
 
     @staticmethod
     def _code(ids) -> int:
@@ -256,65 +342,80 @@ class TemplateIndex:
             code = code << 20 | int(x)
         return code
 
-    def candidates(self, ids: np.ndarray) -> Iterable[tuple[int, int]]:
+    def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
         """(template, diagonal) of each group of hits."""
         n = len(ids) - GRAM + 1
         if n <= 0:
-            return
+            return []
         ok = np.flatnonzero((ids[:n] >= 0) & (ids[1:n + 1] >= 0) & (ids[2:n + 2] >= 0))
         code = ids[ok] << 40 | ids[ok + 1] << 20 | ids[ok + 2]
         lo, hi = np.searchsorted(self.grams, code, "left"), np.searchsorted(self.grams, code, "right")
-        hits = sorted((self.entry[e][0], int(p) - self.entry[e][1])
-                      for p, a, b in zip(ok[lo < hi], lo[lo < hi], hi[lo < hi], strict=True) for e in range(a, b))
-        last = None
-        for t, d in hits:
-            if last is None or t != last[0] or d - last[1] > self.band[t]:
-                last = (t, d)
-                yield last
-
-    def named(self, t: int, words: list[bytes], ids: np.ndarray, first: int, end: int, raw: Callable[[int], bytes]) -> bool:
-        """Whether the words [first, end) hold the template's exact words, nothing beside them that changes them."""
-        def stands(run: np.ndarray) -> bool:
-            for at in range(first, end - len(run) + 1):
-                stop = at + len(run)
-                if (ids[at:stop] == run).all() and not MODIFIERS.intersection(words[max(0, at - 1):at] + words[stop:stop + 1]):
-                    if not _GOES_ON.match(raw(stop - 1)):
-                        return True
-            return False
-        reach, runs = self.otherwise[t]
-        after = ids[end:end + reach]
-        return (all(stands(run) for run in self.exact[t])
-                and not any((after[i:i + len(run)] == run).all() for run in runs for i in range(len(after) - len(run) + 1)))
+        entry = _runs(lo[lo < hi], (hi - lo)[lo < hi])
+        if not len(entry):
+            return []
+        t, d = self.entry_template[entry], np.repeat(ok, hi - lo) - self.entry_place[entry]
+        order = np.lexsort((d, t))
+        groups, last, reach = [], -1, 0
+        for t, d in zip(t[order].tolist(), d[order].tolist(), strict=True):
+            if t != last or d > reach:
+                last, reach = t, d + self.band[t]
+                groups.append((t, d))
+        return groups
+
+    def aligned(self, pairs: list[tuple[int, int, int, int]], ids: np.ndarray, part: bool) -> list[tuple[int, int, int]]:
+        """Alignments of (template, diagonal, lo, hi): matched words, first word, end in the text.  What reads the
+        same words by the same template is aligned once."""
+        place: dict[tuple, int] = {}
+        distinct: list[tuple[int, int, np.ndarray]] = []
+        which = []
+        for t, d, lo, hi in pairs:
+            window = ids[lo:hi]
+            key = (t, d - lo, window.tobytes())
+            if key not in place:
+                place[key] = len(distinct)
+                distinct.append((t, d - lo, window))
+            which.append(place[key])
+        best: list[tuple[int, int, int]] = [(0, 0, 0)] * len(distinct)
+        bands: dict[int, list[int]] = {}
+        for c, (t, _, _) in enumerate(distinct):
+            bands.setdefault(self.band[t], []).append(c)
+        for band, some in bands.items():
+            got = align_many([self.words[distinct[c][0]] for c in some], [distinct[c][2] for c in some],
+                             [distinct[c][1] for c in some], band, part)
+            for c, b in zip(some, got, strict=True):
+                best[c] = b
+        return [(best[c][0], lo + best[c][1], lo + best[c][2]) for c, (_, _, lo, _) in zip(which, pairs, strict=True)]
 
     def findings(self, text: bytes) -> list[tuple[str | None, str, str, int, float, int, int]]:
         """Findings of a text: (license or None, template, kind, matched words, coverage, first word, end)."""
         words = words_of(text)
         get = self.number.get
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        groups = list(self.candidates(ids))
+        groups = self.candidates(ids)
         if not groups:
             return []
-        spans: list[int] = []
-
-        def raw(word: int) -> bytes:
-            if not spans:
-                spans.extend(m.end() for m in _SPAN.finditer(text.translate(_TABLE)))
-            return text[spans[word]:spans[word] + 2]
-
-        found, rest = [], []
+        page = _Page(text, words, ids)
+        pairs, rest = [], []
+        known: dict[tuple[int, bytes], int] = {}
         for t, d in groups:
-            size, band = len(self.words[t]), self.band[t]
-            lo, hi = max(0, d - band), d + size + 2 * band
+            lo, hi = max(0, d - self.band[t]), d + len(self.words[t]) + 2 * self.band[t]
             # What can't match enough words needs no alignment.
-            most = int(np.isin(self.words[t], ids[lo:hi]).sum())
-            if most >= MIN_COVERAGE * size:
-                m, first, end = align(self.words[t], ids[lo:hi], d - lo, band)
-                if m >= MIN_COVERAGE * size:
-                    good = self.named(t, words, ids, lo + first, lo + end, raw)
-                    found.append((0 if good else 1, m, m / size, lo + first, lo + end, t, good))
-                    continue
-            if most >= PART_WORDS:
+            key = (t, ids[lo:hi].tobytes())
+            most = known.get(key)
+            if most is None:
+                most = known[key] = sum(map(set(ids[lo:hi].tolist()).__contains__, self.word_list[t]))
+            if most >= MIN_COVERAGE * len(self.words[t]):
+                pairs.append((t, d, lo, hi))
+            elif most >= PART_WORDS:
                 rest.append((t, d, lo, hi))
+        found = []
+        for pair, (m, first, end) in zip(pairs, self.aligned(pairs, ids, part=False), strict=True):
+            t = pair[0]
+            if m >= MIN_COVERAGE * len(self.words[t]):
+                good = self.named(t, page, first, end)
+                found.append((0 if good else 1, m, m / len(self.words[t]), first, end, t, good))
+            else:
+                rest.append(pair)
         kept: list[tuple] = []
         taken = np.zeros(len(words), bool)
 
@@ -326,25 +427,57 @@ class TemplateIndex:
         keep(found)
         while rest:        # the parts of what is left, the longest first, until none is found
             found, again = [], []
-            for t, d, lo, hi in rest:
-                free = np.where(taken[lo:hi], -2, ids[lo:hi])
-                m, first, end = align_part(self.words[t], free, d - lo, self.band[t])
-                if m >= PART_WORDS and not taken[lo + first:lo + end].any():
-                    good = self.named(t, words, ids, lo + first, lo + end, raw)
-                    found.append((2, m, m / len(self.words[t]), lo + first, lo + end, t, good))
-                    again.append((t, d, lo, hi))
+            free = np.where(taken, _TAKEN, ids)
+            known_before = np.concatenate([[0], np.cumsum(free >= 0)])
+            at = np.minimum(np.array(rest, np.int64)[:, 2:], len(free))
+            enough = known_before[at[:, 1]] - known_before[at[:, 0]] >= PART_WORDS
+            rest = [p for p, e in zip(rest, enough.tolist(), strict=True) if e]
+            for pair, (m, first, end) in zip(rest, self.aligned(rest, free, part=True), strict=True):
+                t = pair[0]
+                if m >= PART_WORDS and not taken[first:end].any():
+                    good = self.named(t, page, first, end)
+                    found.append((2, m, m / len(self.words[t]), first, end, t, good))
+                    again.append(pair)
             keep(found)
             rest = again
-        kinds = ("whole", "similar", "part")
-        return [(self.names[t].split("#")[0] if good else None, self.names[t], kinds[k], m, c, first, end)
-                for k, m, c, first, end, t, good in sorted(kept, key=lambda f: f[3])]
+        out = [(self.names[t].split("#")[0] if good else None, self.names[t], KINDS[k], m, c, first, end)
+               for k, m, c, first, end, t, good in kept]
+        return sorted(out + self.expressions(page, taken), key=lambda f: f[5:])
+
+    def named(self, t: int, page: _Page, first: int, end: int) -> bool:
+        """Whether the words [first, end) hold the template's exact words, nothing beside them that changes them."""
+        reach, runs = self.otherwise[t]
+        return (all(_within(page.standing(run), first, end - len(run)) for run in self.exact[t])
+                and not any(_within(page.places(run), end, end + reach - len(run)) for run in runs))
+
+    def expressions(self, page: _Page, taken: np.ndarray) -> list[tuple]:
+        """The further licenses of license expressions whose tag stands in a finding: a finding for each name after
+        an operator ("similar" if no template has the name); what follows WITH is an exception, not a license."""
+        out = []
+        tag = self.tag
+        for at in page.places(tag).tolist() if len(tag) else ():
+            if not taken[at]:
+                continue
+            begin = page.span(at + len(tag) - 1)[1]
+            m = _EXPRESSION.match(page.text, begin)
+            for x in _FURTHER.finditer(m[0]) if m else ():
+                if x[1] == b"WITH":
+                    continue
+                first, end = page.word_at(begin + x.start(2)), page.word_at(begin + x.end(2))
+                if first < end and not taken[first:end].any():
+                    taken[first:end] = True
+                    name = x[2].decode().lower()
+                    license = SPDX.get(name[:-1] + "-or-later" if name.endswith("+") else name)
+                    out.append((license, "SPDX-License-Identifier", KINDS[0 if license else 1], end - first, 1.0, first, end))
+        return out
 
     def scan(self, text: bytes) -> list[tuple[str, int, float, int, int]]:
         """Whole notices of a text: (license, matched words, coverage, first word, end)."""
         return [(name, m, c, first, end) for name, _, kind, m, c, first, end in self.findings(text) if kind == "whole"]
 
 
-_SPAN = re.compile(rb"[^ ]+")
+_EXPRESSION = re.compile(rb"[: (]+[A-Za-z0-9.+-]+(?:[ )]+(?:AND|OR|WITH)[ (]+[A-Za-z0-9.+-]+)+")
+_FURTHER = re.compile(rb"[ )]+(AND|OR|WITH)[ (]+([A-Za-z0-9.+-]+)")
 _GOES_ON = re.compile(rb"[.\-][0-9]|\+")        # after exact words: another version
 
 
@@ -370,11 +503,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
             for d, t in zip(b.column("doc_id").to_pylist(), text_bytes(b), strict=True):
                 found = index.findings(t)
                 if found:
-                    spans = [m.span() for m in _SPAN.finditer(t.translate(_TABLE))]
-                    for name, template, kind, m, c, first, end in found:
-                        x, y = spans[first][0], spans[end - 1][1]
-                        at = len(t[:x].decode())
-                        rows.append((d, name, template, kind, m, c, first, end, at, at + len(t[x:y].decode())))
+                    page, byte, at = _Page(t, [], np.zeros(0, np.int64)), 0, 0
+                    for name, template, kind, m, c, first, end in found:      # apart, ascending
+                        x, y = page.span(first)[0], page.span(end - 1)[1]
+                        at += len(t[byte:x].decode())
+                        stop = at + len(t[x:y].decode())
+                        rows.append((d, name, template, kind, m, c, first, end, at, stop))
+                        byte, at = y, stop
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -297,6 +298,100 @@ def test_sibling_licenses_are_told_apart(spark):
     assert (last.first_word, last.last_word) == (2, 22)
 
 
+def _plain_alignment(template, words, shift, band, part):
+    """Cell by cell: (matched words, first word, end)."""
+    far = -10 ** 9
+    none = (0, 0, 0)
+    row = {k: none for k in range(2 * band + 1)}
+    best = (0 if part else far, 0, 0, 0)
+    for i, t in enumerate(template):
+        new = {}
+        for k in range(2 * band + 1):
+            j = i + shift - band + k
+            s, m, f = row.get(k + 1, none if part else (far, 0, 0))
+            cell = (s - 1, m, f)
+            if 0 <= j < len(words):
+                s, m, f = row[k]
+                met = (s + 1, m + 1, f if m else j) if words[j] == t else (s - 1, m, f if m else j)
+                if met[0] > cell[0]:
+                    cell = met
+                    if part and words[j] == t and cell[0] > best[0]:
+                        best = (*cell, j + 1)
+            if k and new[k - 1][0] - 1 > cell[0]:
+                cell = (new[k - 1][0] - 1, *new[k - 1][1:])
+            new[k] = none if part and cell[0] <= 0 else cell
+        row = new
+    if not part:
+        for k, (s, m, f) in row.items():
+            if m and s > best[0]:
+                best = (s, m, f, min(max(len(template) + shift - band + k, f + 1), len(words)))
+    return best[1:]
+
+
+@pytest.mark.parametrize("part", [False, True])
+def test_license_alignment_by_rows_is_the_plain_one(part, monkeypatch):
+    rng = random.Random(11)
+    monkeypatch.setattr(licenses, "ALIGN_PAIRS", 64)
+    for band in (1, 2, 3, 5):
+        pairs = [([rng.randrange(6) for _ in range(rng.randint(1, 15))], [rng.randrange(-2, 6) for _ in range(rng.randint(0, 30))],
+                  rng.randint(-5, 20)) for _ in range(400)]
+        got = licenses.align_many([np.array(t) for t, _, _ in pairs], [np.array(w, np.int64) for _, w, _ in pairs],
+                                  [s for _, _, s in pairs], band, part)
+        assert got == [_plain_alignment(t, w, s, band, part) for t, w, s in pairs]
+
+
+def test_license_scan_against_every_alignment(spark, doc_rows):
+    """Each template by itself: a document has a whole or similar notice if any alignment, unindexed, has one."""
+    rng = random.Random(12)
+    names = ["MIT-line", "Apache-2.0-line", "GPL-3.0-line", "CC-BY-NC-4.0-line", "ISC", "MPL-2.0"]
+    texts = [r[1] for r in doc_rows if r[1] and ("icense" in r[1] or r[0] % 40 == 0)][:60]
+    for name in names:                  # edited wordings in running text
+        for _ in range(6):
+            w = licenses.TEMPLATES[name].split()
+            for _ in range(rng.randint(0, max(1, len(w) // 6))):
+                i = rng.randrange(len(w))
+                w[i:i + 1] = rng.choice([[], ["other"], [w[i], "word"]])
+            texts.append("Some words " + " ".join(w) + " and more of it")
+    docs = cases.frame(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
+    for name in names:
+        template = decontaminate.words_of(licenses.TEMPLATES[name].encode())
+        got = {r.doc_id for r in licenses.scan_licenses(docs, {name: licenses.TEMPLATES[name]}).where("kind <> 'part'").collect()}
+        run = licenses.GRAM + licenses.WINDOW - 1
+        runs = {tuple(template[i:i + run]) for i in range(len(template) - run + 1)}
+        share, want = set(), set()
+        for i, t in enumerate(texts):
+            words = decontaminate.words_of(t.encode())
+            if any(tuple(words[j:j + run]) in runs for j in range(len(words))):
+                share.add(i)
+            if i in share | got and _plain_alignment(template, words, 0, len(words) + len(template), False)[0] >= (
+                    licenses.MIN_COVERAGE * len(template)):
+                want.add(i)
+        # Winnowing promises those that share a run of words; it may find others, all of which some alignment holds.
+        assert want & share <= got <= want and len(got) >= 4
+
+
+def test_many_mentions_of_a_license_take_little_time():
+    index = licenses.TemplateIndex(licenses.TEMPLATES)
+    line = "File {} says: This work is licensed under the GNU Lesser General Public License, version 2.1 or later. "
+    for text in (line.format("a") * 2000, "".join(line.format(f"n{i}") for i in range(2000))):
+        begin = time.perf_counter()
+        found = index.findings(text.encode())
+        assert [f[0] for f in found] == ["LGPL-2.1-or-later-line"] * 2000
+        assert time.perf_counter() - begin < 30          # 2 to 3 s here; cell by cell 80 s
+
+
+def test_license_expressions(spark):
+    texts = ["SPDX-License-Identifier: MIT OR Apache-2.0", "x\n// SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND Foo-1 end",
+             "SPDX-License-Identifier: MIT and Apache-2.0", "SPDX-License-Identifier: MIT OR (ISC AND GPL-3.0+)", "é MIT OR Apache-2.0"]
+    rows = licenses.scan_licenses(cases.frame(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])).collect()
+    got = [[(r.license, texts[r.doc_id][r.first_char:r.last_char]) for r in rows if r.doc_id == i] for i in range(len(texts))]
+    tag = "SPDX-License-Identifier: "
+    assert got == [[("MIT-line", tag + "MIT"), ("Apache-2.0-line", "Apache-2.0")],
+                   [("GPL-2.0-line", tag.replace(": ", ": (") + "GPL-2.0-only"), (None, "Foo-1")],
+                   [("MIT-line", tag + "MIT")],
+                   [("MIT-line", tag + "MIT"), ("ISC-line", "ISC"), ("GPL-3.0-or-later-line", "GPL-3.0")], []]
+
+
 def test_winnowing_keeps_every_shared_run():
     rng = random.Random(2)
     h = [rng.randrange(1000) for _ in range(200)]
