@@ -1,19 +1,22 @@
 """License scan: winnowed template fingerprints pick candidates, banded alignment measures them.
 
-Templates (notices of common licenses) are cut into grams of ``GRAM`` words;
-of every ``WINDOW`` consecutive grams the one with the smallest hash goes into
-an inverted index (winnowing), so any ``GRAM + WINDOW - 1`` words that a text
+Templates (notices and short texts of common licenses) are cut into grams of
+``GRAM`` words; of every ``WINDOW`` consecutive grams the one with the smallest
+hash (of those within the license's name, if there are any) goes into an
+inverted index (winnowing), so any ``GRAM + WINDOW - 1`` words that a text
 shares with a template hit the index.  All grams of a document are looked up.
 Hits of a template whose diagonals (place in the document minus place in the
 template) lie within the band are one candidate; a banded sequence alignment
 of the template with the words around it gives the matched words and the
-span.  The words that tell a license from its siblings (``EXACT``: name, kind,
-version) must be there as they stand, with no word that changes them beside
-them; otherwise the finding is only similar and names no license.  What is
-below ``MIN_COVERAGE`` is reported by its parts: local alignments of
-``PART_WORDS`` matched words or more.  Of overlapping findings whole ones go
-before similar ones and these before parts, then the one with the most matched
-words.
+span.  The alignments of a text are made together, equal ones once, their
+bands filled row by row as whole arrays.  The words that tell a license from
+its siblings (``EXACT``: name, kind, version) must be there as they stand, with
+no word that changes them beside them; otherwise the finding is only similar
+and names no license.  What is below ``MIN_COVERAGE`` is reported by its parts:
+local alignments of ``PART_WORDS`` matched words or more.  Of overlapping
+findings whole ones go before similar ones and these before parts, then the one
+with the most matched words.  After the tag of a license expression each further
+license of the expression is a finding of its own.
 
 The templates are a small fixed list, sent with the tasks; the scan is one
 pass without a shuffle.
@@ -49,6 +52,26 @@ _BSD_CLAUSES = (
     "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
     "the following disclaimer in the documentation and/or other materials provided with the distribution. ")
 
+_AS_IS = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+    "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+    "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
+_ISC_AS_IS = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+    "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN "
+    "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
+    "THIS SOFTWARE.")
+_BSD_AS_IS = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+    "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+    "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+
 # Short notices (four wordings), and notices as the licenses publish them.  A wording's number after #
 # is not part of the license's name.
 TEMPLATES = {
@@ -90,6 +113,36 @@ TEMPLATES = {
         "this file except in compliance with the License. You may obtain a copy of the License at "
         "http://www.mozilla.org/MPL/"),
 }
+# Whole texts of the short licenses.
+_BSD_3 = (" Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+          "derived from this software without specific prior written permission. ")
+TEMPLATES |= {
+    "MIT#2": TEMPLATES["MIT"] + (
+        ": The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+        "the Software. ") + _AS_IS,
+    "ISC#2": TEMPLATES["ISC"] + " " + _ISC_AS_IS,
+    "0BSD#2": TEMPLATES["0BSD"] + " " + _ISC_AS_IS,
+    "BSD-2-Clause#2": _BSD + _BSD_CLAUSES + _BSD_AS_IS,
+    "BSD-3-Clause#3": _BSD + _BSD_CLAUSES + _BSD_3 + _BSD_AS_IS,
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software "
+        "for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the "
+        "following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you "
+        "wrote the original software. If you use this software in a product, an acknowledgment in the product documentation "
+        "would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not "
+        "be misrepresented as being the original software. 3. This notice may not be removed or altered from any source "
+        "distribution."),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, "
+        "execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to "
+        "whom the Software is furnished to do so"),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means."),
+}
 # Words that must be there exactly, by wording.
 EXACT = {
     "MIT-line": ["MIT License"], "Apache-2.0-line": ["Apache License, Version 2.0"],
@@ -97,6 +150,10 @@ EXACT = {
     "Apache-2.0": ["Apache License, Version 2.0"], "MPL-2.0": ["Mozilla Public License, v. 2.0"],
     "MPL-1.1": ["Mozilla Public License Version 1.1"], "ISC": ["provided that the above copyright notice"],
     "0BSD": ["with or without fee is hereby granted"],
+    "ISC#2": ["provided that the above copyright notice"], "0BSD#2": ["hereby granted the software is provided as is"],
+    "BSD-2-Clause#2": ["Redistributions in binary form must reproduce the above copyright notice"],
+    "BSD-3-Clause#3": ["nor the names of its contributors may be used to endorse or promote products"],
+    "BSL-1.0": ["any person or organization obtaining a copy"], "Unlicense": ["released into the public domain"],
     "BSD-2-Clause": ["Redistributions in binary form must reproduce the above copyright notice"],
     "BSD-3-Clause": ["nor the names of its contributors may be used to endorse or promote products"],
     "BSD-3-Clause#2": ["may not be used to endorse or promote products"],
@@ -106,7 +163,8 @@ EXACT = {
 # Words near a finding that make it another license: (words looked at after its end, runs).
 OTHERWISE = {"BSD-2-Clause": (80, ["endorse or promote products", "all advertising materials"]),
              "BSD-3-Clause": (20, ["all advertising materials"]), "BSD-3-Clause#2": (20, ["all advertising materials"]),
-             "0BSD": (3, ["provided that"])}
+             "BSD-2-Clause#2": (80, ["endorse or promote products", "all advertising materials"]),
+             "BSD-3-Clause#3": (20, ["all advertising materials"]), "0BSD": (3, ["provided that"])}
 # Beside exact words, these change the license.
 MODIFIERS = frozenset(b"lesser library affero nc sa nd noncommercial sharealike noderivatives noderivs non share no igo".split())
 
@@ -132,6 +190,11 @@ def _short_notices() -> None:
              "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License 2.0"],
              "EPL-1.0": ["Eclipse Public License, Version 1.0", "Eclipse Public License 1.0"],
              "EPL-2.0": ["Eclipse Public License, Version 2.0", "Eclipse Public License v2.0", "Eclipse Public License 2.0"],
+             "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0"], "Zlib": ["zlib License"],
+             "EUPL-1.1": ["European Union Public Licence, Version 1.1", "European Union Public Licence v. 1.1", "EUPL, Version 1.1"],
+             "EUPL-1.2": ["European Union Public Licence, Version 1.2", "European Union Public Licence v. 1.2", "EUPL, Version 1.2"],
+             "Artistic-2.0": ["Artistic License 2.0", "Artistic License, Version 2.0"],
+             "CDDL-1.0": ["Common Development and Distribution License, Version 1.0", "CDDL 1.0"],
              "CC0-1.0": ["CC0 1.0", "Creative Commons Zero 1.0"]}
     for short, words in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"),
                          ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
@@ -140,6 +203,8 @@ def _short_notices() -> None:
             names[f"CC-{short}-{v}"] = [f"CC {short} {v}", f"Creative Commons {words} {v}"]
             if short.endswith("ND"):
                 names[f"CC-{short}-{v}"].append(f"Creative Commons {words.replace('Derivatives', 'Derivs')} {v}")
+    add("public-domain-line", "released into the public domain", "into the public domain")
+    add("public-domain-line", "placed in the public domain", "in the public domain")
     later = ("or later", "or any later version", "or (at your option) any later version")
     for letter, kind, versions in (("", "", ("1", "2", "3")), ("L", "Library ", ("2",)), ("L", "Lesser ", ("2.1", "3")),
                                    ("A", "Affero ", ("3",))):
@@ -159,6 +224,9 @@ def _short_notices() -> None:
     for license, texts in names.items():
         for text in texts:
             add(f"{license}-line", f"under the {text}", text)
+            if len(words_of(text.encode())) <= 2:
+                # Two words more are too many for so short a notice.
+                add(f"{license}-line", f"under the terms of the {text}", text)
             if license.startswith("CC") or len(words_of(text.encode())) == 1:
                 add(f"{license}-line", f"Licensed under {text}", text)
         spdx = [license, f"{license}-only"] if "GPL" in license and "later" not in license else [license]
@@ -170,7 +238,7 @@ def _short_notices() -> None:
 _short_notices()
 
 
-def winnow(hashes: list[int], window: int = WINDOW) -> set[int]:
+def winnow(hashes: list, window: int = WINDOW) -> set[int]:
     """Positions of the smallest hash (the rightmost of equal ones) in every ``window`` consecutive hashes."""
     if len(hashes) <= window:
         return {min(range(len(hashes)), key=lambda i: (hashes[i], -i))} if hashes else set()
@@ -325,7 +393,9 @@ class TemplateIndex:
         entries = []
         for t, ids in enumerate(self.words):
             grams = [self._code(ids[i:i + GRAM]) for i in range(len(ids) - GRAM + 1)]
-            for i in winnow([xxhash.xxh64_intdigest(g.to_bytes(8, "little")) for g in grams]):
+            # Grams within the words that tell licenses apart go first, so that a short notice is found by its name.
+            name = {self._code(run[i:i + GRAM]) for run in self.exact[t] for i in range(len(run) - GRAM + 1)}
+            for i in winnow([(g not in name, xxhash.xxh64_intdigest(g.to_bytes(8, "little"))) for g in grams]):
                 entries.append((grams[i], t, i))
         entries.sort()
         self.grams = np.array([e[0] for e in entries], np.int64)

@@ -380,6 +380,21 @@ def test_many_mentions_of_a_license_take_little_time():
         assert time.perf_counter() - begin < 30          # 2 to 3 s here; cell by cell 80 s
 
 
+def test_common_wordings_and_whole_texts(spark):
+    t = licenses.TEMPLATES
+    texts = {"This project is licensed under the terms of the MIT license.": "MIT-line",
+             "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0-line",
+             "Licensed under the EUPL, Version 1.2 only": "EUPL-1.2-line", "It is placed in the public domain.": "public-domain-line",
+             "Copyright (c) 2020 A. Name " + t["MIT#2"]: "MIT", "ISC License " + t["ISC#2"]: "ISC", "Zero " + t["0BSD#2"]: "0BSD",
+             "Copyright A. Name. All rights reserved. " + t["BSD-2-Clause#2"]: "BSD-2-Clause", t["BSD-3-Clause#3"] + " end": "BSD-3-Clause",
+             t["Zlib"]: "Zlib", "Boost " + t["BSL-1.0"]: "BSL-1.0", t["Unlicense"]: "Unlicense"}
+    found = licenses.scan_licenses(cases.frame(spark, [(i, x, "en", "a", 0) for i, x in enumerate(texts)]))
+    got = [(r.doc_id, r.license) for r in found.where("kind = 'whole'").orderBy("doc_id").collect()]
+    assert got == list(enumerate(texts.values()))
+    whole = {r.template for r in found.where("kind = 'whole' and coverage = 1").collect()}
+    assert {"MIT#2", "ISC#2", "0BSD#2", "BSD-2-Clause#2", "BSD-3-Clause#3", "Zlib", "BSL-1.0", "Unlicense"} <= whole
+
+
 def test_license_expressions(spark):
     texts = ["SPDX-License-Identifier: MIT OR Apache-2.0", "x\n// SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND Foo-1 end",
              "SPDX-License-Identifier: MIT and Apache-2.0", "SPDX-License-Identifier: MIT OR (ISC AND GPL-3.0+)", "é MIT OR Apache-2.0"]
