@@ -1,10 +1,13 @@
 """Streaming queries equal their batch twins, whatever the micro-batch sizes."""
 
+import os
 import tempfile
 from datetime import datetime, timedelta
 
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
+from kestrel import session
 from kestrel.operators import timeseries
 from kestrel.streaming import pipeline as S
 
@@ -80,3 +83,17 @@ def test_stream_ingest_store_and_metrics(spark):
     assert sorted(r["reason"] for r in S.quarantined(spark, d + "/out").collect()) == ["bad_timestamp", "malformed"]
     m = S.ingest_metrics(spark, d + "/out").collect()[0]
     assert (m["submitted"], m["accepted"], m["refused"], m["repeated"], m["errors"]) == (7, 4, 2, 1, 1)
+
+
+def test_the_package_is_shipped_once_whichever_thread_asks_first(spark, monkeypatch):
+    # A cluster's file server refuses a second file of a name; every micro-batch of a stream asks from the stream's thread.
+    sent = []
+    monkeypatch.setattr(SparkContext, "addPyFile", lambda self, path: sent.append(os.path.basename(path)))
+    monkeypatch.setattr(session, "_SHIPPED", type(session._SHIPPED)())
+    line = '{{"request_id": {}, "timestamp": "2024-03-01T12:00:00", "service": "a", "latency": 5.0, "message": "x"}}'
+    d = _tmp()
+    for k in range(3):
+        spark.createDataFrame([(line.format(k),)], "value string").write.mode("append").text(d + "/in")
+        S.ingest_to_tables(S.submissions_stream(spark, d + "/in"), d + "/out").awaitTermination()
+    session.ship_package(spark)
+    assert len(sent) == 1 and S.ingested(spark, d + "/out").count() == 3
