@@ -26,14 +26,20 @@ WATERMARK = "10 minutes"
 FIRED = StructType([StructField("service", StringType()), StructField("fired_at", TimestampType()), StructField("event_id", LongType())])
 
 
+RUN = 4096              # candidates of a waiting run
+NEVER = 1 << 62         # after any time
+
+
 class CooldownProcessor(StatefulProcessor):
     """Greedy cooldown of one key over candidates in any order within the watermark.
 
-    Candidates wait in a map from time slice to their (time, id) pairs.  A
-    timer at a slice's end goes off when the watermark has passed it: then nothing
-    can be added to the slice, and it is folded from the last firing and
-    dropped.  State is read and written slice by slice, so that a hot key costs a
-    slice at a time; the last firing is the only state that stays.
+    A micro-batch's candidates wait as runs in order of time, ``RUN`` at most to a
+    run, in a map from a run's first and last time and its number to its (time, id)
+    pairs.  A timer stands at the end of the first time slice that holds any.
+    When the watermark has passed a slice nothing can be added to it: then all
+    slices that it has passed are folded from the last firing, run by run, as many
+    together as overlap, and runs without later candidates are dropped.  The calls
+    to the state grow with the runs, neither with the slices nor with their squares.
     """
 
     def __init__(self, cooldown_us: int, slice_us: int):
@@ -42,38 +48,65 @@ class CooldownProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", StructType([StructField("us", LongType())]))
+        # The timer that stands (ms), up to where all is folded (us), runs so far.
+        self.progress = handle.getValueState("progress", StructType([StructField(c, LongType()) for c in ("timer", "folded", "runs")]))
         pairs = StructType([StructField("us", ArrayType(LongType())), StructField("ids", ArrayType(LongType()))])
-        self.waiting = handle.getMapState("waiting", StructType([StructField("slice", LongType())]), pairs)
+        self.waiting = handle.getMapState("runs", StructType([StructField(c, LongType()) for c in ("first", "last", "run")]), pairs)
+
+    def _slice_end_ms(self, us: int) -> int:
+        return (us // self.slice_us + 1) * self.slice_us // 1000
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)
-        new["slice"] = new["us"] // self.slice_us
-        for s, own in new.groupby("slice"):
-            at = (int(s),)
-            us, ids = own["us"].tolist(), own["event_id"].tolist()
-            if self.waiting.containsKey(at):
-                old = self.waiting.getValue(at)
-                us, ids = [*old[0], *us], [*old[1], *ids]
-            else:
-                self.handle.registerTimer(int((s + 1) * self.slice_us // 1000))
-            self.waiting.updateValue(at, (us, ids))
+        new = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"])
+        us, ids = new["us"].tolist(), new["event_id"].tolist()
+        timer, folded, runs = self.progress.get() if self.progress.exists() else (NEVER, -NEVER, 0)
+        for at in range(0, len(us), RUN):
+            part = us[at:at + RUN]
+            self.waiting.updateValue((part[0], part[-1], runs), (part, ids[at:at + RUN]))
+            runs += 1
+        end = self._slice_end_ms(us[0])
+        if end < timer:
+            if timer != NEVER:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(end)
+            timer = end
+        self.progress.update((timer, folded, runs))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # Slices in the order of time, up to the one whose timer went off; one that was folded already is gone.
-        end = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.slice_us
-        due = sorted(k[0] for k in self.waiting.keys() if k[0] < end)
-        for s in due:
-            us, ids = self.waiting.getValue((s,))
-            self.waiting.removeKey((s,))
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        end = passed * 1000 // self.slice_us * self.slice_us
+        _, folded, runs = self.progress.get()
+        last = self.last.get()[0] if self.last.exists() else None
+        waiting = sorted(tuple(k) for k in self.waiting.keys())
+        due = [k for k in waiting if k[0] < end]
+        rest = min((k[0] for k in waiting if k[0] >= end), default=NEVER)        # the first time that stays
+        us, ids = np.empty(0, np.int64), np.empty(0, np.int64)
+        for i, k in enumerate(due):
+            own_us, own_ids = (np.array(x, np.int64) for x in self.waiting.getValue(k))
+            if k[1] < end:
+                self.waiting.removeKey(k)
+            else:
+                rest = min(rest, int(own_us[np.searchsorted(own_us, end)]))
+            new = slice(np.searchsorted(own_us, folded), np.searchsorted(own_us, end))
+            us, ids = np.concatenate([us, own_us[new]]), np.concatenate([ids, own_ids[new]])
             order = np.lexsort((ids, us))
-            us, ids = np.array(us)[order], np.array(ids)[order]
-            start = self.last.get()[0] + self.cooldown_us if self.last.exists() else None
-            picks = greedy_chase(us, self.cooldown_us, start)
+            us, ids = us[order], ids[order]
+            # Nothing before the next run's first time is still to come.
+            n = np.searchsorted(us, due[i + 1][0] if i + 1 < len(due) else end)
+            picks = greedy_chase(us[:n], self.cooldown_us, None if last is None else last + self.cooldown_us)
             if picks:
-                self.last.update((int(us[picks[-1]]),))
+                last = int(us[picks[-1]])
                 yield pd.DataFrame({"service": [key[0]] * len(picks), "fired_at": pd.to_datetime(us[picks], unit="us", utc=True),
                                     "event_id": ids[picks]})
+            us, ids = us[n:], ids[n:]
+        if last is not None:
+            self.last.update((last,))
+        timer = NEVER
+        if rest != NEVER:
+            timer = self._slice_end_ms(rest)
+            self.handle.registerTimer(timer)
+        self.progress.update((timer, max(folded, end), runs))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         self.last.update((int(initialState["last_us"].max()),))

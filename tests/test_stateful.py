@@ -5,6 +5,8 @@ import random
 import tempfile
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,82 @@ def test_cooldown_with_timers_takes_candidates_in_any_order(spark, start):
     assert got == {(r["service"], r["event_id"]) for r in want.collect()} and len(got) > 100
 
 
+class _Handle:
+    """State of one key, each call to it counted."""
+
+    def __init__(self):
+        self.timers, self.calls = set(), 0
+
+    def _state(self):
+        handle, held = self, {}
+
+        class State:
+            def __getattr__(self, name):
+                handle.calls += 1
+                return {"exists": lambda: () in held, "get": lambda: held[()], "update": lambda v: held.update({(): v}),
+                        "containsKey": held.__contains__, "getValue": held.__getitem__, "updateValue": held.__setitem__,
+                        "removeKey": held.pop, "keys": lambda: iter([*held])}[name]
+        return State()
+
+    def getValueState(self, *_):
+        return self._state()
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class _Clock(int):
+    getCurrentWatermarkInMs = getExpiryTimeInMs = int.__int__
+
+
+def _folded(processor, handle, batches):
+    """Firings of ``batches``: (watermark in ms, (us, id) pairs that arrive before it moves there)."""
+    processor.init(handle)
+    out = []
+    for watermark, rows in batches:
+        if rows:
+            frame = pd.DataFrame(rows, columns=["us", "event_id"])
+            list(processor.handleInputRows(("a",), iter([frame[:len(rows) // 2], frame[len(rows) // 2:]]), None))
+        for t in sorted(t for t in handle.timers if t <= watermark):
+            for f in processor.handleExpiredTimer(("a",), _Clock(watermark), _Clock(t)):
+                out += [(pd.Timestamp(at).value // 1000, i) for at, i in zip(f["fired_at"], f["event_id"])]
+            handle.timers.discard(t)
+    return out
+
+
+def _chased(rows, cooldown_us):
+    rows = sorted(rows)
+    return [rows[i] for i in timeseries.greedy_chase(np.array([r[0] for r in rows]), cooldown_us)]
+
+
+def test_cooldown_over_many_slices_takes_few_calls_to_the_state():
+    rows = [(i * 61_000_000, i) for i in range(3000)]        # each in a slice of its own
+    handle = _Handle()
+    got = _folded(stateful.CooldownProcessor(90_000_000, 60_000_000), handle, [(0, rows[::-1]), (10**9, [])])
+    assert got == _chased(rows, 90_000_000) and len(got) == 1500
+    assert handle.calls < 100
+
+
+def test_cooldown_folds_overlapping_runs_as_the_watermark_passes(monkeypatch):
+    monkeypatch.setattr(stateful, "RUN", 7, raising=False)
+    rng = random.Random(8)
+    rows = [(rng.randrange(3_600_000) * 1000, i) for i in range(900)]
+    arrived = sorted(rows, key=lambda r: r[0] + rng.randrange(300_000_000))
+    handle, batches = _Handle(), []
+    for i in range(0, 900, 60):
+        newest = max(r[0] for r in arrived[:i + 60])
+        batches.append((newest // 1000 - 300_001, arrived[i:i + 60]))
+    got = _folded(stateful.CooldownProcessor(13_000_000, 20_000_000), handle, [*batches, (10**8, [])])
+    assert got == _chased(rows, 13_000_000) and not handle.timers
+
+
 def test_diagnoses_late_missing_and_early(spark):
     minutes = lambda m: T0 + timedelta(minutes=m)        # noqa: E731
     fired = [[("a", 1, minutes(0)), ("a", 2, minutes(1))], [("a", 3, minutes(30)), ("a", 4, minutes(31)), ("b", 5, minutes(32))],
