@@ -72,6 +72,19 @@ def test_search_compares_few_texts(spark):
     assert found.count() == queries.count() and pairs.count() < every
 
 
+def test_texts_of_the_same_common_words_are_not_all_compared(spark, monkeypatch):
+    # No bound of a term tells such texts apart; their sums do, in cells of some texts and some queries.
+    monkeypatch.setattr(textsearch, "CELL_ENTRIES", 2000, raising=False)
+    monkeypatch.setattr(textsearch, "CELL_TERMS", 100, raising=False)
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(80)]
+    docs = [(i, "f", " ".join(rng.choice(words, 40)), i) for i in range(400)] + [(500 + i, "g", f"w{i} alone", i) for i in range(5)]
+    queries = [(d[0], d[1], d[2]) for d in docs if d[0] % 50 == 0] + [(901, "g", "w1 w2 w70")]
+    got, pairs = _search(spark, docs, queries, 3, True)
+    assert got == _exact(docs, queries, 3, True)
+    assert pairs < 200
+
+
 def test_empty_texts(spark):
     got, pairs = _search(spark, [], [(1, "f", "a")], 3, True)
     assert got == [] and pairs == 0
