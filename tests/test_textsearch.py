@@ -7,6 +7,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,44 @@ def test_texts_of_the_same_common_words_are_not_all_compared(spark, monkeypatch)
     assert pairs < 200
 
 
+def test_tables_take_few_bytes_a_posting(spark, monkeypatch, tmp_path):
+    # A row for each text and term took several times the texts' bytes; a cell's postings are packed.
+    names = iter(range(1000))
+    monkeypatch.setattr("kestrel.session.scratch_path", lambda _, name: str(tmp_path / f"{name}-{next(names)}"))
+    rng = np.random.default_rng(5)
+    docs = [(i, "f", " ".join(f"w{t}" for t in rng.integers(0, 2000, 150)), i) for i in range(1500)]
+    got, _ = _search(spark, docs, [d[:3] for d in docs[:20]], 2, True)
+    assert len(got) == 40
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 0.8 * sum(len(d[2]) for d in docs)
+
+
+def test_small_filter_values_share_blocks(spark, monkeypatch):
+    # The same ids in each: only texts of the query's own value are found, and its own text alone is left out.
+    monkeypatch.setattr(textsearch, "SMALLEST", 1.0, raising=False)
+    rng = np.random.default_rng(7)
+    docs = [(i, f"f{f}", " ".join(rng.choice(["a", "b", "c", "d", f"x{f}"], 6)), -i) for f in range(40) for i in range(5)]
+    queries = [d[:3] for d in docs if d[0] < 2]
+    got, _ = _search(spark, docs, queries, 3, True)
+    assert got == _exact(docs, queries, 3, True)
+
+
+def test_equal_texts_of_many_cells_come_by_newest(spark, monkeypatch):
+    monkeypatch.setattr(textsearch, "LIST", 8)
+    rng = np.random.default_rng(9)
+    newest = rng.permutation(200)
+    docs = [(i, "f", ["same words here", "words same here", "other words"][i % 3], int(newest[i]) // 2) for i in range(200)]
+    queries = [d[:3] for d in docs[:12]]
+    got, pairs = _search(spark, docs, queries, 4, True)
+    assert got == _exact(docs, queries, 4, True)
+
+
+def test_words_are_split_as_the_sql_does():
+    texts = ["Ünïcode C1 c1, R5!", None, "", "--", "a", "b\u0080c \x7f", "日本 語", "x\x00y", "tail_", "Z" * 40]
+    found, sizes = textsearch.words(pa.array(["skipped", *texts, "skipped"])[1:-1])
+    assert found.to_pylist() == [w for t in texts for w in _words(t)]
+    assert sizes.tolist() == [len(_words(t)) for t in texts]
+
+
 def test_empty_texts(spark):
     got, pairs = _search(spark, [], [(1, "f", "a")], 3, True)
     assert got == [] and pairs == 0
